@@ -136,6 +136,11 @@ def t_sf2(t: float, df: float) -> float:
         return float("nan")
     if math.isinf(t):
         return 0.0
+    if df > 1e6:
+        # Incomplete beta loses digits for huge df; normal limit with the
+        # first-order correction z = t (1 - 1/(4 df)) / sqrt(1 + t^2 / (2 df)).
+        z = abs(t) * (1.0 - 1.0 / (4.0 * df)) / math.sqrt(1.0 + t * t / (2.0 * df))
+        return math.erfc(z / math.sqrt(2.0))
     return betainc_reg(df / 2.0, 0.5, df / (df + t * t))
 
 
@@ -145,6 +150,9 @@ def t_ppf(p: float, df: float) -> float:
         return float("nan")
     if p == 0.5:
         return 0.0
+    if df > 1e6:
+        z = normal_ppf_scalar(p)
+        return z + (z ** 3 + z) / (4.0 * df)
     upper = p > 0.5
     target = 2.0 * (1.0 - p) if upper else 2.0 * p  # two-sided tail mass
     lo, hi = 0.0, 1.0
