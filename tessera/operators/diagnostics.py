@@ -10,8 +10,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +44,6 @@ def qq_points(df: DataFrame, resid: str = "externally_studentized_residuals", st
 def qq_reference_line(points: DataFrame, x: str = "qq_x", y: str = "qq_y") -> DataFrame:
     """Slope and intercept of the 45-degree, standardised (s), regression
     (r) and quartile (q) reference lines, one row per type."""
-    spark = points.sparkSession
     agg = points.agg(
         F.avg(y).alias("my"), F.stddev_pop(y).alias("sy"), F.regr_slope(y, x).alias("rs"),
         F.regr_intercept(y, x).alias("ri"), F.percentile(y, 0.25).alias("q25"),
@@ -54,13 +51,16 @@ def qq_reference_line(points: DataFrame, x: str = "qq_x", y: str = "qq_y") -> Da
     )
     tq1, tq3 = normal_ppf_scalar(0.25), normal_ppf_scalar(0.75)
     slope_q = (F.col("q75") - F.col("q25")) / F.lit(tq3 - tq1)
+    def line(t, slope, intercept):
+        return F.struct(F.lit(t).alias("line_type"), slope.cast("double").alias("slope"),
+                        intercept.cast("double").alias("intercept"))
+
     lines = agg.select(F.explode(F.array(
-        F.struct(F.lit("45").alias("line_type"), F.lit(1.0).alias("slope"), F.lit(0.0).alias("intercept")),
-        F.struct(F.lit("s"), F.col("sy"), F.col("my")),
-        F.struct(F.lit("r"), F.col("rs"), F.col("ri")),
-        F.struct(F.lit("q"), slope_q, F.col("q25") - slope_q * F.lit(tq1)),
+        line("45", F.lit(1.0), F.lit(0.0)),
+        line("s", F.col("sy"), F.col("my")),
+        line("r", F.col("rs"), F.col("ri")),
+        line("q", slope_q, F.col("q25") - slope_q * F.lit(tq1)),
     )).alias("l"))
-    del spark
     return lines.select("l.line_type", "l.slope", "l.intercept")
 
 
@@ -153,5 +153,3 @@ def undo_log_name(name: str) -> str:
     """P1 inverse naming: strip the first ``"Log "`` prefix."""
     return name[4:] if name.startswith("Log ") else name
 
-
-_ = math

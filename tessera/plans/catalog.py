@@ -113,3 +113,187 @@ def add_surrogate_key(spark, sf_dir):
     keyed = keys.add_surrogate_key(li)
     return keyed.select("observation_number", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
+
+
+# --- regression on lineitem (x = quantity, y = extended price, cluster = return flag) ---
+
+from tessera.operators import diagnostics, regress  # noqa: E402
+
+X_COL, Y_COL = "l_quantity", "l_extendedprice"
+
+_INFLUENCE_ROUND = {
+    "fitted_values": 1, "residuals": 1, "leverage": 11, "cooks_d": 11, "standard_resid": 6,
+    "dffits_internal": 8, "student_resid": 6, "dffits": 8, "externally_studentized_residuals": 6,
+    "press_residuals": 1, "internally_studentized_residuals": 6,
+}
+
+
+def _regression_input(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X_COL, Y_COL, "l_returnflag")
+    return category_labels(li, "l_returnflag", "cluster")
+
+
+def _fit(spark, sf_dir, model):
+    df = _regression_input(spark, sf_dir)
+    return df, regress.ols_fit(df, X_COL, Y_COL, "cluster", model)
+
+
+def _params(spark, sf_dir, model):
+    _, fit = _fit(spark, sf_dir, model)
+    p = regress.ols_params(spark, fit, inference=False)
+    return p.select("position", "parameter", rounded("estimate", 6).alias("estimate"),
+                    rounded("std_err", 6).alias("std_err"), rounded("t_value", 6).alias("t_value"))
+
+
+@query
+def ols_slr(spark, sf_dir):
+    """R1 + R4: y = a + b x over all rows."""
+    return _params(spark, sf_dir, "slr")
+
+
+@query
+def ols_parallel(spark, sf_dir):
+    """R2 + R4: one slope, an intercept shift per return flag."""
+    return _params(spark, sf_dir, "parallel")
+
+
+@query
+def ols_separate(spark, sf_dir):
+    """R3 + R4: intercept and slope shifts per return flag."""
+    return _params(spark, sf_dir, "separate")
+
+
+@query
+def ols_inference(spark, sf_dir):
+    """P-values and 95 % confidence intervals (Student t on the driver)."""
+    _, fit = _fit(spark, sf_dir, "separate")
+    return regress.ols_params(spark, fit, inference=True)
+
+
+def _influence(spark, sf_dir, model):
+    df, fit = _fit(spark, sf_dir, model)
+    infl = regress.ols_influence(df, fit)
+    dfb = [f"dfb_{n}" for n in fit.names]
+    return infl.select(
+        "l_orderkey", "l_linenumber", "cluster", "x", "y",
+        *[rounded(c, d).alias(c) for c, d in _INFLUENCE_ROUND.items()],
+        *[rounded(c, 8).alias(c) for c in dfb],
+    )
+
+
+@query
+def ols_influence_slr(spark, sf_dir):
+    """R6 for the single line."""
+    return _influence(spark, sf_dir, "slr")
+
+
+@query
+def ols_influence_parallel(spark, sf_dir):
+    """R6 for parallel lines."""
+    return _influence(spark, sf_dir, "parallel")
+
+
+@query
+def ols_influence(spark, sf_dir):
+    """R6 for separate lines (the dashboard default)."""
+    return _influence(spark, sf_dir, "separate")
+
+
+_METRIC_ROUND = {
+    "nobs": 1, "df_model": 1, "df_resid": 1, "fvalue": 6, "ess": -1, "ssr": -5, "centered_tss": -5,
+    "uncentered_tss": -6, "rsquared": 9, "rsquared_adj": 9, "aic": 4, "bic": 4, "llf": 4,
+    "mse_model": -1, "mse_resid": 1, "mse_total": 1, "ess_press": -5,
+}
+
+
+@query
+def ols_metrics(spark, sf_dir):
+    """R5 for separate lines (F-test p-value in ``ols_metrics_full``)."""
+    df, fit = _fit(spark, sf_dir, "separate")
+    m = regress.ols_metrics(spark, fit, regress.ols_influence(df, fit))
+    return m.select(*[rounded(c, d).alias(c) for c, d in _METRIC_ROUND.items()])
+
+
+@query
+def ols_metrics_full(spark, sf_dir):
+    """R5 with the F-test p-value (driver-side F tail)."""
+    df, fit = _fit(spark, sf_dir, "separate")
+    return regress.ols_metrics(spark, fit, regress.ols_influence(df, fit))
+
+
+@query
+def regression_lines(spark, sf_dir):
+    """1,000 points per return flag over the global quantity range."""
+    df, fit = _fit(spark, sf_dir, "separate")
+    r = df.agg(F.min(X_COL), F.max(X_COL)).first()
+    lines = regress.regression_lines(spark, fit, float(r[0]), float(r[1]), 1000)
+    return lines.select(F.col("cluster").cast("int").alias("cluster"), rounded("X_plot", 6).alias("X_plot"),
+                        rounded("y_plot", 4).alias("y_plot"))
+
+
+@query
+def predict_ols(spark, sf_dir):
+    """Predicted price for every part's size as the quantity, the return
+    flag label taken from the part key (new rows joined with the per-flag
+    coefficients)."""
+    df, fit = _fit(spark, sf_dir, "separate")
+    part = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x_new"))
+    new = part.withColumn("cluster", F.pmod("p_partkey", F.lit(3)))
+    pred = regress.predict_ols(new, fit, x="x_new", cat="cluster")
+    return pred.select("p_partkey", F.col("cluster").cast("int").alias("cluster"), "x_new",
+                       rounded("prediction", 4).alias("prediction"))
+
+
+RESID = "externally_studentized_residuals"
+
+
+def _separate_influence(spark, sf_dir):
+    df, fit = _fit(spark, sf_dir, "separate")
+    return regress.ols_influence(df, fit)
+
+
+@query
+def qq_points(spark, sf_dir):
+    """G1: theoretical vs standardised sample quantiles of the externally
+    studentized residuals."""
+    pts = diagnostics.qq_points(_separate_influence(spark, sf_dir), RESID)
+    return pts.select("qq_position", rounded(RESID, 6).alias("resid"), rounded("qq_x", 8).alias("qq_x"),
+                      rounded("qq_y", 6).alias("qq_y"))
+
+
+@query
+def qq_reference_line(spark, sf_dir):
+    """The four reference lines of the Q-Q plot."""
+    pts = diagnostics.qq_points(_separate_influence(spark, sf_dir), RESID)
+    lines = diagnostics.qq_reference_line(pts)
+    return lines.select("line_type", rounded("slope", 6).alias("slope"), rounded("intercept", 6).alias("intercept"))
+
+
+@query
+def residual_histogram(spark, sf_dir):
+    """H1: 30-bin histogram of the externally studentized residuals."""
+    h = diagnostics.residual_histogram(_separate_influence(spark, sf_dir), RESID, 30)
+    return h.select("bin", "bin_count", rounded("bin_probability", 8).alias("bin_probability"),
+                    rounded("left_edge", 8).alias("left_edge"), rounded("right_edge", 8).alias("right_edge"),
+                    "Description")
+
+
+@query
+def normal_curve(spark, sf_dir):
+    """H2: normal density with the residuals' population std, 200 points."""
+    c = diagnostics.normal_curve(_separate_influence(spark, sf_dir), RESID, 200)
+    return c.select("i", rounded("x", 8).alias("x"), rounded("y", 8).alias("y"))
+
+
+@query
+def residual_leverage_bins(spark, sf_dir):
+    """Residual vs leverage as counts on a 20 x 20 grid."""
+    return diagnostics.residual_bins(_separate_influence(spark, sf_dir), "leverage", RESID, 20)
+
+
+@query
+def log_transform(spark, sf_dir):
+    """Natural log of the discount (zero discounts give NULL)."""
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
+    out, _ = diagnostics.log_transform(li, "l_discount")
+    return out.select("l_orderkey", "l_linenumber", rounded("Log l_discount", 9).alias("Log l_discount"))

@@ -87,3 +87,245 @@ SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_line
        l_orderkey, l_linenumber, l_partkey, l_quantity
 FROM lineitem
 """
+
+
+# --- regression on lineitem -------------------------------------------------
+
+from tessera.functions.stats import normal_ppf_sql  # noqa: E402
+
+K_FLAGS = 3  # return flags A, N, R -> labels 0, 1, 2
+XN = "l_quantity"
+
+
+def _reg_base(model: str) -> str:
+    """CTEs: d (rows), gs (group stats), tot (n, p, rss, s2), rowv (per-row
+    fitted, e, h, s2_i), for the three models."""
+    k = K_FLAGS
+    group = "cluster" if model != "slr" else "0"
+    if model == "slr":
+        p = "2"
+    elif model == "parallel":
+        p = f"{k + 1}"
+    else:
+        p = f"{2 * k}"
+    ab = {
+        "slr": "sxy / sxx AS b, ybar - (sxy / sxx) * xbar AS a, sxx AS den",
+        "parallel": "(SELECT sum(sxy) FROM gs0) / (SELECT sum(sxx) FROM gs0) AS b, "
+                    "ybar - ((SELECT sum(sxy) FROM gs0) / (SELECT sum(sxx) FROM gs0)) * xbar AS a, "
+                    "(SELECT sum(sxx) FROM gs0) AS den",
+        "separate": "sxy / sxx AS b, ybar - (sxy / sxx) * xbar AS a, sxx AS den",
+    }[model]
+    rss = {
+        "slr": "sum(syy - sxy * sxy / sxx)",
+        "parallel": "sum(syy) - sum(sxy) * sum(sxy) / sum(sxx)",
+        "separate": "sum(syy - sxy * sxy / sxx)",
+    }[model]
+    return f"""
+d AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y,
+             CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS BIGINT) AS cluster FROM lineitem),
+gs0 AS (SELECT {group} AS g, count(*) AS n, avg(x) AS xbar, avg(y) AS ybar, var_pop(x) * count(*) AS sxx,
+               covar_pop(x, y) * count(*) AS sxy, var_pop(y) * count(*) AS syy FROM d GROUP BY {'cluster' if model != 'slr' else '1'}),
+gs AS (SELECT *, {ab} FROM gs0),
+tot AS (SELECT sum(n) AS n, {p} AS p, greatest({rss}, 0.0) AS rss FROM gs),
+tot2 AS (SELECT n, p, rss, rss / (n - p) AS s2 FROM tot),
+rowv AS (SELECT d.*, gs.g, gs.n AS ng, gs.xbar AS xbar_g, gs.den, gs.a, gs.b,
+                gs.a + gs.b * d.x AS fitted, d.y - (gs.a + gs.b * d.x) AS e,
+                1.0 / gs.n + (d.x - gs.xbar) * (d.x - gs.xbar) / gs.den AS h,
+                tot2.n AS n_tot, tot2.p AS p, tot2.s2 AS s2
+         FROM d JOIN gs ON {'d.cluster' if model != 'slr' else '0'} = gs.g CROSS JOIN tot2),
+rowi AS (SELECT *, e / (1.0 - h) AS press,
+                ((n_tot - p) * s2 - e * e / (1.0 - h)) / (n_tot - p - 1.0) AS s2_i FROM rowv)
+"""
+
+
+def _params_def(model: str):
+    """(name, estimate SQL, cov-diag SQL, dfbeta-coefficient SQL over a row of rowi)."""
+    k = K_FLAGS
+    g = lambda j, c: f"(SELECT {c} FROM gs WHERE g = {j})"
+    out = []
+    if model == "slr":
+        out.append(("const", g(0, "a"), f"(1.0 / {g(0, 'n')} + {g(0, 'xbar')} * {g(0, 'xbar')} / {g(0, 'den')})",
+                    f"((1.0 / ng + xbar_g * xbar_g / den) + (-xbar_g / den) * x)"))
+        out.append((XN, g(0, "b"), f"(1.0 / {g(0, 'den')})", "((-xbar_g / den) + (1.0 / den) * x)"))
+        return out
+    if model == "parallel":
+        w = g(0, "den")
+
+        def u(m):
+            return f"((CASE WHEN g = {m} THEN 1.0 / ng ELSE 0.0 END) + {g(m, 'xbar')} * xbar_g / den)"
+
+        def v(m):
+            return f"(-{g(m, 'xbar')} / den)"
+
+        out.append(("const", g(0, "a"), f"(1.0 / {g(0, 'n')} + {g(0, 'xbar')} * {g(0, 'xbar')} / {w})",
+                    f"({u(0)} + {v(0)} * x)"))
+        out.append((XN, g(0, "b"), f"(1.0 / {w})", "((-xbar_g / den) + (1.0 / den) * x)"))
+        for j in range(1, k):
+            out.append((f"cluster_{j}", f"({g(j, 'a')} - {g(0, 'a')})",
+                        f"(1.0 / {g(0, 'n')} + 1.0 / {g(j, 'n')} + ({g(j, 'xbar')} - {g(0, 'xbar')}) * "
+                        f"({g(j, 'xbar')} - {g(0, 'xbar')}) / {w})",
+                        f"(({u(j)} - {u(0)}) + ({v(j)} - {v(0)}) * x)"))
+        return out
+    da = "((1.0 / ng + xbar_g * xbar_g / den) + (-xbar_g / den) * x)"
+    db = "((-xbar_g / den) + (1.0 / den) * x)"
+    c0 = f"(1.0 / {g(0, 'n')} + {g(0, 'xbar')} * {g(0, 'xbar')} / {g(0, 'den')})"
+    out.append(("const", g(0, "a"), c0, f"(CASE WHEN g = 0 THEN {da} ELSE 0.0 END)"))
+    out.append((XN, g(0, "b"), f"(1.0 / {g(0, 'den')})", f"(CASE WHEN g = 0 THEN {db} ELSE 0.0 END)"))
+    for j in range(1, k):
+        out.append((f"cluster_{j}", f"({g(j, 'a')} - {g(0, 'a')})",
+                    f"(1.0 / {g(j, 'n')} + {g(j, 'xbar')} * {g(j, 'xbar')} / {g(j, 'den')} + {c0})",
+                    f"(CASE WHEN g = 0 THEN -{da} WHEN g = {j} THEN {da} ELSE 0.0 END)"))
+    for j in range(1, k):
+        out.append((f"{XN} cluster_{j}", f"({g(j, 'b')} - {g(0, 'b')})",
+                    f"(1.0 / {g(j, 'den')} + 1.0 / {g(0, 'den')})",
+                    f"(CASE WHEN g = 0 THEN -{db} WHEN g = {j} THEN {db} ELSE 0.0 END)"))
+    return out
+
+
+def _params_sql(model: str) -> str:
+    rows = []
+    for i, (name, est, cov, _) in enumerate(_params_def(model)):
+        rows.append(f"SELECT {i} AS position, '{name}' AS parameter, {est} AS est, sqrt((SELECT s2 FROM tot2) * {cov}) AS se")
+    body = " UNION ALL ".join(rows)
+    return f"""
+WITH {_reg_base(model)}, pr AS ({body})
+SELECT CAST(position AS INTEGER) AS position, parameter, {r('est', 6)} AS estimate, {r('se', 6)} AS std_err,
+       {r('est / se', 6)} AS t_value FROM pr
+"""
+
+
+_INFL_ROUND = [("fitted_values", "fitted", 1), ("residuals", "e", 1), ("leverage", "h", 11),
+               ("cooks_d", "t_int * t_int * h / (p * (1.0 - h))", 11), ("standard_resid", "t_int", 6),
+               ("dffits_internal", "t_int * sqrt(h / (1.0 - h))", 8), ("student_resid", "t_ext", 6),
+               ("dffits", "t_ext * sqrt(h / (1.0 - h))", 8), ("externally_studentized_residuals", "t_ext", 6),
+               ("press_residuals", "press", 1), ("internally_studentized_residuals", "t_int", 6)]
+
+
+def _influence_rows(model: str) -> str:
+    return f"""rowt AS (SELECT *, e / sqrt(s2 * (1.0 - h)) AS t_int, e / sqrt(s2_i * (1.0 - h)) AS t_ext FROM rowi)"""
+
+
+def _influence_sql(model: str) -> str:
+    cols = [f"{r(expr, dgt)} AS {name}" for name, expr, dgt in _INFL_ROUND]
+    for name, _, cov, coef in _params_def(model):
+        cols.append(f"{r(f'{coef} * press / sqrt(s2_i * {cov})', 8)} AS \"dfb_{name}\"")
+    return f"""
+WITH {_reg_base(model)}, {_influence_rows(model)}
+SELECT l_orderkey, l_linenumber, cluster, x, y, {', '.join(cols)} FROM rowt
+"""
+
+
+SQL["ols_slr"] = _params_sql("slr")
+SQL["ols_parallel"] = _params_sql("parallel")
+SQL["ols_separate"] = _params_sql("separate")
+SQL["ols_influence_slr"] = _influence_sql("slr")
+SQL["ols_influence_parallel"] = _influence_sql("parallel")
+SQL["ols_influence"] = _influence_sql("separate")
+
+SQL["ols_metrics"] = f"""
+WITH {_reg_base("separate")},
+ys AS (SELECT avg(y) AS ybar, count(*) AS n FROM d),
+tss AS (SELECT sum(gs.syy + gs.n * (gs.ybar - ys.ybar) * (gs.ybar - ys.ybar)) AS tss_c FROM gs CROSS JOIN ys),
+m AS (SELECT CAST(tot2.n AS DOUBLE) AS n, CAST(tot2.p AS DOUBLE) AS p, tot2.rss, tot2.s2, tss.tss_c,
+             tss.tss_c + tot2.n * ys.ybar * ys.ybar AS tss_u,
+             -tot2.n / 2.0 * (ln(2 * pi()) + ln(tot2.rss / tot2.n) + 1.0) AS llf,
+             (SELECT sum(press * press) FROM rowi) AS ess_press
+      FROM tot2 CROSS JOIN tss CROSS JOIN ys)
+SELECT {r('n', 1)} AS nobs, {r('p - 1.0', 1)} AS df_model, {r('n - p', 1)} AS df_resid,
+       {r('((tss_c - rss) / (p - 1.0)) / s2', 6)} AS fvalue, {r('tss_c - rss', -1)} AS ess, {r('rss', -5)} AS ssr,
+       {r('tss_c', -5)} AS centered_tss, {r('tss_u', -6)} AS uncentered_tss, {r('1.0 - rss / tss_c', 9)} AS rsquared,
+       {r('1.0 - (rss / tss_c) * (n - 1.0) / (n - p)', 9)} AS rsquared_adj, {r('-2.0 * llf + 2.0 * p', 4)} AS aic,
+       {r('-2.0 * llf + p * ln(n)', 4)} AS bic, {r('llf', 4)} AS llf, {r('(tss_c - rss) / (p - 1.0)', -1)} AS mse_model,
+       {r('s2', 1)} AS mse_resid, {r('tss_c / (n - 1.0)', 1)} AS mse_total, {r('ess_press', -5)} AS ess_press
+FROM m
+"""
+
+SQL["regression_lines"] = f"""
+WITH {_reg_base("separate")},
+rng AS (SELECT min(x) AS lo, max(x) AS hi FROM d),
+pts AS (SELECT gs.g, gs.a, gs.b, i,
+               CASE WHEN i = 999 THEN rng.hi ELSE i * ((rng.hi - rng.lo) / 999) + rng.lo END AS xp
+        FROM gs CROSS JOIN rng CROSS JOIN range(0, 1000) t(i))
+SELECT CAST(g AS INTEGER) AS cluster, {r('xp', 6)} AS X_plot, {r('a + b * xp', 4)} AS y_plot FROM pts
+"""
+
+SQL["predict_ols"] = f"""
+WITH {_reg_base("separate")},
+nw AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x_new, p_partkey % 3 AS cluster FROM part)
+SELECT nw.p_partkey, CAST(nw.cluster AS INTEGER) AS cluster, nw.x_new, {r('gs.a + gs.b * nw.x_new', 4)} AS prediction
+FROM nw LEFT JOIN gs ON nw.cluster = gs.g
+"""
+
+_QQ = f"""
+WITH {_reg_base("separate")}, {_influence_rows("separate")},
+rs AS (SELECT t_ext AS v FROM rowt WHERE t_ext IS NOT NULL AND NOT isnan(t_ext)),
+mo AS (SELECT count(*) AS n, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS lo, max(v) AS hi FROM rs),
+qq AS (SELECT v, row_number() OVER (ORDER BY v) AS pos FROM rs),
+pts AS (SELECT qq.pos, qq.v, {normal_ppf_sql('qq.pos / CAST(mo.n + 1 AS DOUBLE)')} AS qx,
+               CASE WHEN mo.mean <> 0 AND mo.std <> 1 THEN (qq.v - mo.mean) / mo.std ELSE qq.v END AS qy
+        FROM qq CROSS JOIN mo)
+"""
+
+SQL["qq_points"] = _QQ + f"""
+SELECT CAST(pos AS BIGINT) AS qq_position, {r('v', 6)} AS resid, {r('qx', 8)} AS qq_x, {r('qy', 6)} AS qq_y FROM pts
+"""
+
+SQL["qq_reference_line"] = _QQ + f""",
+a AS (SELECT avg(qy) AS my, stddev_pop(qy) AS sy, regr_slope(qy, qx) AS rs, regr_intercept(qy, qx) AS ri,
+             quantile_cont(qy, 0.25) AS q25, quantile_cont(qy, 0.75) AS q75 FROM pts),
+l AS (SELECT '45' AS line_type, 1.0 AS slope, 0.0 AS intercept FROM a
+      UNION ALL SELECT 's', sy, my FROM a
+      UNION ALL SELECT 'r', rs, ri FROM a
+      UNION ALL SELECT 'q', (q75 - q25) / (0.6744897501960817 - -0.6744897501960817),
+                       q25 - ((q75 - q25) / (0.6744897501960817 - -0.6744897501960817)) * -0.6744897501960817 FROM a)
+SELECT line_type, {r('slope', 6)} AS slope, {r('intercept', 6)} AS intercept FROM l
+"""
+
+_HIST = f"""
+WITH {_reg_base("separate")}, {_influence_rows("separate")},
+rs AS (SELECT t_ext AS v FROM rowt WHERE t_ext IS NOT NULL AND NOT isnan(t_ext)),
+mo AS (SELECT count(*) AS n, stddev_pop(v) AS std,
+              CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
+              CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi FROM rs)
+"""
+
+
+def _edge(i: str) -> str:
+    return f"(CASE WHEN {i} >= 30 THEN mo.hi ELSE CAST({i} AS DOUBLE) * ((mo.hi - mo.lo) / 30) + mo.lo END)"
+
+
+SQL["residual_histogram"] = _HIST + f""",
+i0 AS (SELECT rs.v, LEAST(CAST(floor((rs.v - mo.lo) / (mo.hi - mo.lo) * 30.0) AS INTEGER), 29) AS b0 FROM rs CROSS JOIN mo),
+i1 AS (SELECT v, CASE WHEN v < {_edge('b0')} THEN b0 - 1 ELSE b0 END AS b1 FROM i0 CROSS JOIN mo),
+i2 AS (SELECT CASE WHEN v >= {_edge('b1 + 1')} AND b1 <> 29 THEN b1 + 1 ELSE b1 END AS bin FROM i1 CROSS JOIN mo),
+c AS (SELECT bin, count(*) AS cnt FROM i2 GROUP BY bin),
+h AS (SELECT CAST(t.bin AS INTEGER) AS bin, CAST(coalesce(c.cnt, 0) AS BIGINT) AS bin_count,
+             {_edge('t.bin')} AS le, {_edge('t.bin + 1')} AS re, mo.n AS n
+      FROM range(0, 30) t(bin) CROSS JOIN mo LEFT JOIN c ON c.bin = t.bin)
+SELECT bin, bin_count, {r('bin_count / (re - le) / n', 8)} AS bin_probability, {r('le', 8)} AS left_edge,
+       {r('re', 8)} AS right_edge, printf('Bin Min: %.3f, Bin Max: %.3f', le, re) AS Description FROM h
+"""
+
+SQL["normal_curve"] = _HIST.replace("CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END", "min(v)").replace(
+    "CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END", "max(v)") + f""",
+pts AS (SELECT i, CASE WHEN i = 199 THEN mo.hi ELSE i * ((mo.hi - mo.lo) / 199) + mo.lo END AS x, mo.std
+        FROM range(0, 200) t(i) CROSS JOIN mo)
+SELECT CAST(i AS INTEGER) AS i, {r('x', 8)} AS x,
+       {r('exp(-0.5 * (x / std) * (x / std)) / (sqrt(2 * pi()) * std)', 8)} AS y FROM pts
+"""
+
+SQL["residual_leverage_bins"] = f"""
+WITH {_reg_base("separate")}, {_influence_rows("separate")},
+p AS (SELECT h AS lx, t_ext AS ly FROM rowt WHERE h IS NOT NULL AND t_ext IS NOT NULL),
+rg AS (SELECT min(lx) - (max(lx) - min(lx)) * 0.05 AS x0, max(lx) + (max(lx) - min(lx)) * 0.05 AS x1,
+              min(ly) - (max(ly) - min(ly)) * 0.05 AS y0, max(ly) + (max(ly) - min(ly)) * 0.05 AS y1 FROM p)
+SELECT CAST(least(greatest(floor((lx - x0) / (x1 - x0) * 20.0), 0), 19) AS INTEGER) AS x_bin,
+       CAST(least(greatest(floor((ly - y0) / (y1 - y0) * 20.0), 0), 19) AS INTEGER) AS y_bin,
+       CAST(count(*) AS BIGINT) AS n
+FROM p CROSS JOIN rg GROUP BY ALL
+"""
+
+SQL["log_transform"] = f"""
+SELECT l_orderkey, l_linenumber,
+       {r('CASE WHEN l_discount > 0 THEN ln(l_discount) END', 9)} AS "Log l_discount" FROM lineitem
+"""
