@@ -297,3 +297,144 @@ def log_transform(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
     out, _ = diagnostics.log_transform(li, "l_discount")
     return out.select("l_orderkey", "l_linenumber", rounded("Log l_discount", 9).alias("Log l_discount"))
+
+
+# --- vectors: scaling, similarity, cluster scores (embeddings, label = cluster) ---
+
+from tessera.functions import vector as V  # noqa: E402
+from tessera.operators import cluster as C  # noqa: E402
+from tessera.operators import scale as S  # noqa: E402
+from tessera.operators import similarity as M  # noqa: E402
+
+EXACT_IDS = (3, 14, 15, 92, 65, 35, 89, 79, 32, 38)
+FOCUS_ID = 42
+FILTER_SIZE = 10
+SEED = 7
+
+
+def _emb(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"),
+                                                  F.col("label").cast("long").alias("cluster"))
+
+
+def _long_vectors(df, col):
+    return df.select("vec_id", F.posexplode(col).alias("dim", "value")).select(
+        "vec_id", F.col("dim").cast("int").alias("dim"), rounded("value", 9).alias("value"))
+
+
+@query
+def min_max_scale(spark, sf_dir):
+    """D1 per dimension, long form (vec_id, dim, value)."""
+    return _long_vectors(S.min_max_scale(_emb(spark, sf_dir), "v"), "scaled")
+
+
+@query
+def standard_scale(spark, sf_dir):
+    """D2 with population std, long form."""
+    return _long_vectors(S.standard_scale(_emb(spark, sf_dir), "v"), "scaled")
+
+
+def _pairs_out(pairs):
+    return pairs.select("id1", "id2", rounded("cosine_similarity", 9).alias("cosine_similarity"),
+                        "cluster1", "cluster2", "label1", "label2")
+
+
+@query
+def cosine_pairs_exact(spark, sf_dir):
+    """M1 + M2 (P4): the similarity matrix of a listed id set."""
+    e = _emb(spark, sf_dir)
+    return _pairs_out(M.cosine_pairs(M.filter_exact(e, "vec_id", EXACT_IDS), "vec_id", "v", "cluster"))
+
+
+@query
+def cosine_pairs_random(spark, sf_dir):
+    """M2 (P5): the similarity matrix of a seeded hash sample of ids."""
+    e = _emb(spark, sf_dir)
+    return _pairs_out(M.cosine_pairs(M.filter_random(e, "vec_id", FILTER_SIZE, SEED), "vec_id", "v", "cluster"))
+
+
+def _focus(spark, sf_dir, mode):
+    e = _emb(spark, sf_dir)
+    return _pairs_out(M.cosine_pairs(M.filter_focused(e, "vec_id", "v", FOCUS_ID, mode, FILTER_SIZE, SEED),
+                                     "vec_id", "v", "cluster"))
+
+
+@query
+def cosine_focus_most(spark, sf_dir):
+    """M3 (P6): focus id and its nine most similar vectors."""
+    return _focus(spark, sf_dir, "most_similar")
+
+
+@query
+def cosine_focus_least(spark, sf_dir):
+    """M3 (P6): focus id and its nine least similar vectors."""
+    return _focus(spark, sf_dir, "least_similar")
+
+
+@query
+def cosine_focus_random(spark, sf_dir):
+    """M3 (P6): focus id and nine hash-chosen others."""
+    return _focus(spark, sf_dir, "random")
+
+
+@query
+def cosine_topk(spark, sf_dir):
+    """M4: every vector's five most similar others (exact, blocked)."""
+    t = M.topk_neighbours(_emb(spark, sf_dir), "vec_id", "v", k=5, metric="cosine", block_rows=128)
+    return t.select("id1", "id2", rounded("cosine_similarity", 9).alias("cosine_similarity"),
+                    F.col("rank").cast("int").alias("rank"))
+
+
+@query
+def knn_graph(spark, sf_dir):
+    """Every vector's five nearest others by euclidean distance."""
+    t = M.topk_neighbours(_emb(spark, sf_dir), "vec_id", "v", k=5, metric="euclidean", block_rows=128)
+    return t.select("id1", "id2", rounded("distance", 9).alias("distance"), F.col("rank").cast("int").alias("rank"))
+
+
+@query
+def cosine_join(spark, sf_dir):
+    """M5: all pairs with cosine similarity >= 0.3 (exact, blocked)."""
+    t = M.cosine_join(_emb(spark, sf_dir), "vec_id", "v", 0.3, block_rows=128)
+    return t.select("id1", "id2", rounded("cosine_similarity", 9).alias("cosine_similarity"))
+
+
+@query
+def vector_distances(spark, sf_dir):
+    """Distances between each vector and the next id's vector
+    (hellinger on absolute values, as it needs non-negative input)."""
+    e = _emb(spark, sf_dir)
+    a, b = e.alias("a"), e.select(F.col("vec_id").alias("nid"), F.col("v").alias("w"))
+    p = a.join(b, F.col("nid") == F.col("a.vec_id") + 1)
+    absv = lambda c: F.transform(F.col(c), lambda x: F.abs(x))
+    return p.select(
+        F.col("vec_id").alias("id1"), F.col("nid").alias("id2"),
+        rounded(V.cosine_distance("v", "w"), 9).alias("cosine"),
+        rounded(V.euclidean("v", "w"), 9).alias("euclidean"),
+        rounded(V.manhattan("v", "w"), 9).alias("manhattan"),
+        rounded(V.chebyshev("v", "w"), 9).alias("chebyshev"),
+        rounded(V.hellinger(absv("v"), absv("w")), 9).alias("hellinger"),
+        rounded(V.dot("v", "w"), 9).alias("dot"),
+        rounded(V.l2_norm("v"), 9).alias("l2_norm"),
+        rounded(V.l1_norm("v"), 9).alias("l1_norm"),
+    )
+
+
+@query
+def silhouette(spark, sf_dir):
+    """Cosine silhouette of the embedding labels."""
+    return C.silhouette(_emb(spark, sf_dir), "v", "cluster").select(rounded("silhouette", 9).alias("silhouette"))
+
+
+@query
+def calinski_harabasz(spark, sf_dir):
+    """C7 of the embedding labels."""
+    return C.calinski_harabasz(_emb(spark, sf_dir), "v", "cluster").select(
+        rounded("calinski_harabasz", 8).alias("calinski_harabasz"))
+
+
+@query
+def davies_bouldin(spark, sf_dir):
+    """C8 of the embedding labels."""
+    return C.davies_bouldin(_emb(spark, sf_dir), "v", "cluster").select(
+        rounded("davies_bouldin", 8).alias("davies_bouldin"))

@@ -329,3 +329,125 @@ SQL["log_transform"] = f"""
 SELECT l_orderkey, l_linenumber,
        {r('CASE WHEN l_discount > 0 THEN ln(l_discount) END', 9)} AS "Log l_discount" FROM lineitem
 """
+
+
+# --- vectors ------------------------------------------------------------------
+
+_E = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(label AS BIGINT) AS cluster FROM embeddings)"
+_EL = _E + ", el AS (SELECT vec_id, cluster, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM e)"
+
+SQL["min_max_scale"] = f"""
+WITH {_EL}, st AS (SELECT dim, min(x) AS lo, max(x) AS hi FROM el GROUP BY dim)
+SELECT el.vec_id, CAST(el.dim AS INTEGER) AS dim,
+       {r('CASE WHEN st.hi > st.lo THEN (el.x - st.lo) / (st.hi - st.lo) ELSE 0.0 END', 9)} AS value
+FROM el JOIN st ON el.dim = st.dim
+"""
+
+SQL["standard_scale"] = f"""
+WITH {_EL}, st AS (SELECT dim, avg(x) AS mu, stddev_pop(x) AS sd FROM el GROUP BY dim)
+SELECT el.vec_id, CAST(el.dim AS INTEGER) AS dim,
+       {r('CASE WHEN st.sd > 0 THEN (el.x - st.mu) / st.sd ELSE 0.0 END', 9)} AS value
+FROM el JOIN st ON el.dim = st.dim
+"""
+
+
+def _cos(a: str, b: str) -> str:
+    den = f"(sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})))"
+    return f"(CASE WHEN {den} > 0 THEN list_inner_product({a}, {b}) / {den} ELSE 0.0 END)"
+
+
+def _pairs_sql(ids_cte: str) -> str:
+    return f"""
+WITH {_E}, ids AS ({ids_cte}), f AS (SELECT e.* FROM e JOIN ids ON e.vec_id = ids.vec_id)
+SELECT a.vec_id AS id1, b.vec_id AS id2, {r(_cos('a.v', 'b.v'), 9)} AS cosine_similarity,
+       a.cluster AS cluster1, b.cluster AS cluster2, 'vec_id1: ' || CAST(a.vec_id AS VARCHAR) AS label1,
+       'vec_id2: ' || CAST(b.vec_id AS VARCHAR) AS label2
+FROM f a CROSS JOIN f b
+"""
+
+
+_HASH = "(((vec_id % 2147483647) * 48271 + 7) % 2147483647)"
+_IDS_EXACT = "SELECT unnest([3, 14, 15, 92, 65, 35, 89, 79, 32, 38]) AS vec_id"
+SQL["cosine_pairs_exact"] = _pairs_sql(_IDS_EXACT)
+SQL["cosine_pairs_random"] = _pairs_sql(f"SELECT vec_id FROM e ORDER BY {_HASH}, vec_id LIMIT 10")
+
+_FOCUS_SIM = _cos("e.v", "(SELECT v FROM e WHERE vec_id = 42)")
+SQL["cosine_focus_most"] = _pairs_sql(
+    f"SELECT 42 AS vec_id UNION ALL (SELECT vec_id FROM e WHERE vec_id <> 42 ORDER BY {_FOCUS_SIM} DESC, vec_id LIMIT 9)")
+SQL["cosine_focus_least"] = _pairs_sql(
+    f"SELECT 42 AS vec_id UNION ALL (SELECT vec_id FROM e WHERE vec_id <> 42 ORDER BY {_FOCUS_SIM} ASC, vec_id LIMIT 9)")
+SQL["cosine_focus_random"] = _pairs_sql(
+    f"SELECT 42 AS vec_id UNION ALL (SELECT vec_id FROM e WHERE vec_id <> 42 ORDER BY {_HASH}, vec_id LIMIT 9)")
+
+SQL["cosine_topk"] = f"""
+WITH {_E}, p AS (SELECT a.vec_id AS id1, b.vec_id AS id2, {_cos('a.v', 'b.v')} AS s
+                 FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+q AS (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY s DESC, id2) AS rk FROM p)
+SELECT id1, id2, {r('s', 9)} AS cosine_similarity, CAST(rk AS INTEGER) AS rank FROM q WHERE rk <= 5
+"""
+
+SQL["knn_graph"] = f"""
+WITH {_E}, p AS (SELECT a.vec_id AS id1, b.vec_id AS id2,
+                        sqrt(greatest(list_inner_product(a.v, a.v) + list_inner_product(b.v, b.v)
+                                      - 2 * list_inner_product(a.v, b.v), 0)) AS d
+                 FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+q AS (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY d, id2) AS rk FROM p)
+SELECT id1, id2, {r('d', 9)} AS distance, CAST(rk AS INTEGER) AS rank FROM q WHERE rk <= 5
+"""
+
+SQL["cosine_join"] = f"""
+WITH {_E}, p AS (SELECT a.vec_id AS id1, b.vec_id AS id2, {_cos('a.v', 'b.v')} AS s
+                 FROM e a JOIN e b ON a.vec_id < b.vec_id)
+SELECT id1, id2, {r('s', 9)} AS cosine_similarity FROM p WHERE s >= 0.3
+"""
+
+SQL["vector_distances"] = f"""
+WITH {_EL},
+p AS (SELECT a.vec_id AS id1, b.vec_id AS id2, a.x AS xa, b.x AS xb
+      FROM el a JOIN el b ON b.vec_id = a.vec_id + 1 AND a.dim = b.dim)
+SELECT id1, id2,
+       {r('1.0 - CASE WHEN sum(xa * xa) > 0 AND sum(xb * xb) > 0 THEN sum(xa * xb) / (sqrt(sum(xa * xa)) * sqrt(sum(xb * xb))) ELSE 0.0 END', 9)} AS cosine,
+       {r('sqrt(sum((xa - xb) * (xa - xb)))', 9)} AS euclidean,
+       {r('sum(abs(xa - xb))', 9)} AS manhattan,
+       {r('max(abs(xa - xb))', 9)} AS chebyshev,
+       {r('sqrt(greatest(0.0, 1.0 - sum(sqrt(abs(xa) * abs(xb))) / sqrt(sum(abs(xa)) * sum(abs(xb)))))', 9)} AS hellinger,
+       {r('sum(xa * xb)', 9)} AS dot, {r('sqrt(sum(xa * xa))', 9)} AS l2_norm, {r('sum(abs(xa))', 9)} AS l1_norm
+FROM p GROUP BY id1, id2
+"""
+
+SQL["silhouette"] = f"""
+WITH {_E}, p AS (SELECT a.vec_id AS i, a.cluster AS ci, b.cluster AS cj,
+                        CASE WHEN a.vec_id = b.vec_id THEN 0.0 ELSE 1.0 - {_cos('a.v', 'b.v')} END AS d
+                 FROM e a CROSS JOIN e b),
+m AS (SELECT i, ci, cj, sum(d) AS sd, count(*) AS n FROM p GROUP BY i, ci, cj),
+ab AS (SELECT i, max(CASE WHEN ci = cj THEN n END) AS own_n,
+              max(CASE WHEN ci = cj THEN sd / greatest(n - 1, 1) END) AS a,
+              min(CASE WHEN ci <> cj THEN sd / n END) AS b FROM m GROUP BY i)
+SELECT {r('avg(CASE WHEN own_n <= 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END)', 9)} AS silhouette FROM ab
+"""
+
+_CENT = f"""{_EL},
+cs AS (SELECT cluster, count(DISTINCT vec_id) AS n FROM el GROUP BY cluster),
+ce AS (SELECT cluster, dim, avg(x) AS c FROM el GROUP BY cluster, dim),
+mu AS (SELECT dim, avg(x) AS m FROM el GROUP BY dim),
+dist AS (SELECT el.vec_id, el.cluster, sum((el.x - ce.c) * (el.x - ce.c)) AS sq
+         FROM el JOIN ce ON el.cluster = ce.cluster AND el.dim = ce.dim GROUP BY el.vec_id, el.cluster)"""
+
+SQL["calinski_harabasz"] = f"""
+WITH {_CENT},
+bw AS (SELECT sum(cs.n * t.sq) AS b FROM cs JOIN (SELECT ce.cluster, sum((ce.c - mu.m) * (ce.c - mu.m)) AS sq
+       FROM ce JOIN mu ON ce.dim = mu.dim GROUP BY ce.cluster) t ON cs.cluster = t.cluster),
+wi AS (SELECT sum(sq) AS w, count(*) AS n FROM dist),
+k AS (SELECT count(*) AS k FROM cs)
+SELECT {r('(bw.b / (k.k - 1)) / (wi.w / (wi.n - k.k))', 8)} AS calinski_harabasz FROM bw, wi, k
+"""
+
+SQL["davies_bouldin"] = f"""
+WITH {_CENT},
+s AS (SELECT cluster, avg(sqrt(sq)) AS s FROM dist GROUP BY cluster),
+cd AS (SELECT a.cluster AS i, b.cluster AS j, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS d
+       FROM ce a JOIN ce b ON a.dim = b.dim AND a.cluster <> b.cluster GROUP BY a.cluster, b.cluster),
+r AS (SELECT cd.i, max(CASE WHEN cd.d > 0 THEN (si.s + sj.s) / cd.d ELSE 0.0 END) AS worst
+      FROM cd JOIN s si ON si.cluster = cd.i JOIN s sj ON sj.cluster = cd.j GROUP BY cd.i)
+SELECT {r('avg(worst)', 8)} AS davies_bouldin FROM r
+"""
