@@ -68,9 +68,14 @@ class TfidfModel:
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                params: TfidfParams = TfidfParams()) -> DataFrame:
-    """``(doc_id, term, tf)`` counted inside each document row (no shuffle)."""
-    toks = token_expr(F.col(text_col), params.analyzer, params.lowercase, params.strip_accents)
+                params: TfidfParams = TfidfParams(), token_fn=None) -> DataFrame:
+    """``(doc_id, term, tf)`` counted inside each document row (no shuffle).
+
+    ``token_fn`` (text Column -> array Column) replaces the analyzer."""
+    if token_fn is not None:
+        toks = token_fn(F.col(text_col))
+    else:
+        toks = token_expr(F.col(text_col), params.analyzer, params.lowercase, params.strip_accents)
     sorted_toks = spread(docs).select(F.col(id_col).alias("doc_id"), F.sort_array(toks).alias("_s"))
     with_starts = sorted_toks.select(
         "doc_id",

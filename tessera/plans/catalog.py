@@ -438,3 +438,82 @@ def davies_bouldin(spark, sf_dir):
     """C8 of the embedding labels."""
     return C.davies_bouldin(_emb(spark, sf_dir), "v", "cluster").select(
         rounded("davies_bouldin", 8).alias("davies_bouldin"))
+
+
+# --- text embeddings ----------------------------------------------------------------
+
+from tessera.operators import embed as E  # noqa: E402
+
+
+def _docs(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def derived_word_vectors(docs):
+    """A word-vector table derived from the corpus itself (lower-case ASCII
+    words): [length, first letter, last letter, length mod 3].  Stands in for
+    a trained model so the result has an exact SQL twin."""
+    words = tfidf.vocabulary(docs).where(F.col("term").rlike("^[a-z]+$"))
+    return words.select(
+        F.col("term").alias("word"),
+        F.array(F.length("term").cast("double"), (F.ascii("term") - 96).cast("double"),
+                (F.ascii(F.substring("term", -1, 1)) - 96).cast("double"),
+                (F.length("term") % 3).cast("double")).alias("vector"),
+    )
+
+
+def _vec_cols(df, col, n, digits=9):
+    return [rounded(F.element_at(col, i + 1), digits).alias(f"v{i}") for i in range(n)]
+
+
+@query
+def tfidf_transform(spark, sf_dir):
+    """Fit on documents, transform the benchmark passages (unknown terms dropped)."""
+    model = tfidf.tfidf_fit(_docs(spark, sf_dir))
+    bench = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    w = tfidf.tfidf_transform(bench, model)
+    return w.select("doc_id", "term", "tf", rounded("weight", 6).alias("weight"))
+
+
+@query
+def mean_word_vector_embed(spark, sf_dir):
+    """E3 with word tokens: mean word vector per document (NULL if no known word)."""
+    docs = _docs(spark, sf_dir)
+    e = E.mean_word_vector_embed(docs, derived_word_vectors(docs), tokenizer="word")
+    return e.select("doc_id", *_vec_cols(e, "vector", 4))
+
+
+@query
+def idf_weighted_word_vector_embed(spark, sf_dir):
+    """E4 with word tokens: idf-weighted mean word vector per document."""
+    docs = _docs(spark, sf_dir)
+    e = E.idf_weighted_word_vector_embed(docs, derived_word_vectors(docs), tokenizer="word")
+    return e.select("doc_id", *_vec_cols(e, "vector", 4))
+
+
+def _token_states(docs):
+    toks = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
+    return docs.select(
+        "doc_id",
+        F.transform(toks, lambda t: F.array(F.length(t).cast("double"), (F.ascii(t) - 96).cast("double"))).alias("states"),
+        F.transform(toks, lambda t: F.when(t.rlike("^[a-z]+$"), 1).otherwise(0)).alias("attention_mask"),
+    )
+
+
+@query
+def pool_token_states(spark, sf_dir):
+    """E5: first-token, masked-mean and padded-mean pooling of per-token states
+    ([length, first letter]) with non-ASCII words as padding positions."""
+    st = _token_states(_docs(spark, sf_dir))
+    a = E.pool_token_states(st, mode="start_token_hidden", out="first")
+    a = E.pool_token_states(a, mode="mean", out="masked")
+    a = E.pool_token_states(a, mode="mean", include_padding=True, out="padded")
+    return a.select("doc_id", *[rounded(F.element_at(c, i + 1), 9).alias(f"{c}{i}")
+                                for c in ("first", "masked", "padded") for i in range(2)])
+
+
+@query
+def embed_with_model(spark, sf_dir):
+    """Batch inference through an injected model (a letter-count embedder)."""
+    e = E.embed_with_model(_docs(spark, sf_dir), "text", E.letter_count_embedder("aeiou"), batch_size=256)
+    return e.select("doc_id", *_vec_cols(e, "vector", 6, 3))

@@ -451,3 +451,65 @@ r AS (SELECT cd.i, max(CASE WHEN cd.d > 0 THEN (si.s + sj.s) / cd.d ELSE 0.0 END
       FROM cd JOIN s si ON si.cluster = cd.i JOIN s sj ON sj.cluster = cd.j GROUP BY cd.i)
 SELECT {r('avg(worst)', 8)} AS davies_bouldin FROM r
 """
+
+
+# --- text embeddings ----------------------------------------------------------
+
+_DOC_TF = f"""
+toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{WORD_RE}')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY doc_id, term),
+ndoc AS (SELECT count(*) AS n FROM documents),
+idf AS (SELECT term, ln((1.0 + ndoc.n) / (1.0 + count(*))) + 1.0 AS idf FROM tf CROSS JOIN ndoc GROUP BY term, ndoc.n)
+"""
+
+SQL["tfidf_transform"] = f"""
+WITH {_DOC_TF},
+btoks AS (SELECT item_id AS doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{WORD_RE}')) AS term FROM benchmark),
+btf AS (SELECT doc_id, term, count(*) AS tf FROM btoks GROUP BY doc_id, term),
+w AS (SELECT btf.doc_id, btf.term, btf.tf, btf.tf * idf.idf AS w FROM btf JOIN idf ON btf.term = idf.term)
+SELECT doc_id, term, CAST(tf AS BIGINT) AS tf, {r('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))', 6)} AS weight FROM w
+"""
+
+_WV = """wv AS (SELECT DISTINCT term FROM toks WHERE regexp_full_match(term, '[a-z]+')),
+wvv AS (SELECT term, CAST(length(term) AS DOUBLE) AS c0, CAST(ascii(term) - 96 AS DOUBLE) AS c1,
+               CAST(ascii(right(term, 1)) - 96 AS DOUBLE) AS c2, CAST(length(term) % 3 AS DOUBLE) AS c3 FROM wv)"""
+
+SQL["mean_word_vector_embed"] = f"""
+WITH {_DOC_TF}, {_WV},
+m AS (SELECT tf.doc_id, sum(tf.tf * c0) / sum(tf.tf) AS v0, sum(tf.tf * c1) / sum(tf.tf) AS v1,
+             sum(tf.tf * c2) / sum(tf.tf) AS v2, sum(tf.tf * c3) / sum(tf.tf) AS v3
+      FROM tf JOIN wvv ON tf.term = wvv.term GROUP BY tf.doc_id)
+SELECT d.doc_id, {r('v0', 9)} AS v0, {r('v1', 9)} AS v1, {r('v2', 9)} AS v2, {r('v3', 9)} AS v3
+FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id
+"""
+
+SQL["idf_weighted_word_vector_embed"] = f"""
+WITH {_DOC_TF}, {_WV},
+m AS (SELECT tf.doc_id, sum(tf.tf * idf.idf * c0) / sum(tf.tf) AS v0, sum(tf.tf * idf.idf * c1) / sum(tf.tf) AS v1,
+             sum(tf.tf * idf.idf * c2) / sum(tf.tf) AS v2, sum(tf.tf * idf.idf * c3) / sum(tf.tf) AS v3
+      FROM tf JOIN wvv ON tf.term = wvv.term JOIN idf ON tf.term = idf.term GROUP BY tf.doc_id)
+SELECT d.doc_id, {r('v0', 9)} AS v0, {r('v1', 9)} AS v1, {r('v2', 9)} AS v2, {r('v3', 9)} AS v3
+FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id
+"""
+
+SQL["pool_token_states"] = f"""
+WITH t0 AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD_RE}') AS tk FROM documents),
+t AS (SELECT doc_id, unnest(tk) AS term, generate_subscripts(tk, 1) AS pos FROM t0),
+s AS (SELECT doc_id, pos, CAST(length(term) AS DOUBLE) AS s0, CAST(ascii(term) - 96 AS DOUBLE) AS s1,
+             CASE WHEN regexp_full_match(term, '[a-z]+') THEN 1.0 ELSE 0.0 END AS m FROM t),
+a AS (SELECT doc_id, max(CASE WHEN pos = 1 THEN s0 END) AS f0, max(CASE WHEN pos = 1 THEN s1 END) AS f1,
+             CASE WHEN sum(m) > 0 THEN sum(s0 * m) / sum(m) END AS m0, CASE WHEN sum(m) > 0 THEN sum(s1 * m) / sum(m) END AS m1,
+             sum(s0) / count(*) AS p0, sum(s1) / count(*) AS p1 FROM s GROUP BY doc_id)
+SELECT d.doc_id, {r('f0', 9)} AS first0, {r('f1', 9)} AS first1, {r('m0', 9)} AS masked0, {r('m1', 9)} AS masked1,
+       {r('p0', 9)} AS padded0, {r('p1', 9)} AS padded1
+FROM documents d LEFT JOIN a ON d.doc_id = a.doc_id
+"""
+
+SQL["embed_with_model"] = f"""
+WITH l AS (SELECT doc_id, lower(coalesce(text, '')) AS s FROM documents)
+SELECT doc_id,
+       {r("length(s) - length(replace(s, 'a', ''))", 3)} AS v0, {r("length(s) - length(replace(s, 'e', ''))", 3)} AS v1,
+       {r("length(s) - length(replace(s, 'i', ''))", 3)} AS v2, {r("length(s) - length(replace(s, 'o', ''))", 3)} AS v3,
+       {r("length(s) - length(replace(s, 'u', ''))", 3)} AS v4, {r('length(s)', 3)} AS v5
+FROM l
+"""
