@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vector as V
-from tessera.operators.scale import attach_one_row
+from tessera.operators.scale import with_constants
 
 MAX_CLUSTERS = 10_000
 
@@ -50,12 +50,12 @@ def cluster_summaries(df: DataFrame, cluster_col: str, vec, with_unit: bool = Fa
     return [out[k] for k in sorted(out)]
 
 
-def _summary_row(spark, summaries: list[dict], fields: list[str]):
-    """One row: parallel arrays of cluster labels, sizes and vectors."""
-    data = [([s["label"] for s in summaries], [float(s["n"]) for s in summaries])
-            + tuple([s[f] for s in summaries] for f in fields)]
-    schema = "_labels array<long>, _sizes array<double>, " + ", ".join(f"_{f} array<array<double>>" for f in fields)
-    return spark.createDataFrame([tuple(data[0])], schema)
+def _summary_row(spark, summaries: list[dict], fields: list[str]) -> dict:
+    """Parallel arrays of cluster labels, sizes and vectors (k x d, checked)."""
+    out = {"_labels": [int(s["label"]) for s in summaries], "_sizes": [float(s["n"]) for s in summaries]}
+    for f in fields:
+        out[f"_{f}"] = [[float(x) for x in s[f]] for s in summaries]
+    return out
 
 
 def silhouette(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
@@ -64,7 +64,7 @@ def silhouette(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
     summ = cluster_summaries(df, cluster_col, vec, with_unit=True)
     one = _summary_row(df.sparkSession, summ, ["u"])
     x = V.normalize(vec)
-    j = attach_one_row(df.select(F.col(cluster_col).cast("long").alias("_cl"), x.alias("_x")), one)
+    j = with_constants(df.select(F.col(cluster_col).cast("long").alias("_cl"), x.alias("_x")), one)
     idx = F.array_position(F.col("_labels"), F.col("_cl"))  # 1-based
     own_n = F.element_at("_sizes", idx.cast("int"))
     xx = V.dot(F.col("_x"), F.col("_x"))
@@ -93,7 +93,7 @@ def calinski_harabasz(df: DataFrame, vec_col: str, cluster_col: str) -> DataFram
     for s, c in zip(summ, cents):
         s["c"] = c
     one = _summary_row(df.sparkSession, summ, ["c"])
-    j = attach_one_row(df.select(F.col(cluster_col).cast("long").alias("_cl"), vec.alias("_x")), one)
+    j = with_constants(df.select(F.col(cluster_col).cast("long").alias("_cl"), vec.alias("_x")), one)
     idx = F.array_position(F.col("_labels"), F.col("_cl")).cast("int")
     within = j.agg(F.sum(V.squared_euclidean(F.col("_x"), F.element_at("_c", idx))).alias("w"))
     ch = F.when((F.col("w") > 0) & F.lit(k > 1), F.lit(between / max(k - 1, 1)) / (F.col("w") / F.lit(n - k)))
@@ -108,7 +108,7 @@ def davies_bouldin(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
     for s in summ:
         s["c"] = [x / s["n"] for x in s["s"]]
     one = _summary_row(df.sparkSession, summ, ["c"])
-    j = attach_one_row(df.select(F.col(cluster_col).cast("long").alias("_cl"), vec.alias("_x")), one)
+    j = with_constants(df.select(F.col(cluster_col).cast("long").alias("_cl"), vec.alias("_x")), one)
     idx = F.array_position(F.col("_labels"), F.col("_cl")).cast("int")
     spread = j.groupBy("_cl").agg(F.avg(V.euclidean(F.col("_x"), F.element_at("_c", idx))).alias("s")).collect()
     s_of = {r["_cl"]: r["s"] for r in spread}
@@ -170,7 +170,7 @@ def assign_nearest(df: DataFrame, vec_col: str, centroids: list[list[float]], na
         raise ValueError("too many centroids")
     spark = df.sparkSession
     one = spark.createDataFrame([([[float(x) for x in c] for c in centroids],)], "_cent array<array<double>>")
-    j = attach_one_row(df, one)
+    j = with_constants(df, one)
     dist = V.distance(metric)
     ds = F.transform(F.col("_cent"), lambda c, i: F.struct(dist(_dense(vec_col), c).alias("d"), i.alias("i")))
     return j.withColumn(name, F.array_min(ds)["i"].cast("int")).drop("_cent")
