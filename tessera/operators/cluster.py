@@ -137,14 +137,20 @@ def kmeans(df: DataFrame, vec_col: str, k: int = 4, n_init: int = 20, seed: int
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    from concurrent.futures import ThreadPoolExecutor
+
     data = df.withColumn("_features", array_to_vector(_dense(vec_col))).persist()
-    best = None
-    for i in range(max(1, int(n_init))):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features", predictionCol="_raw",
-                       initMode="k-means||", tol=1e-6).fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
+
+    def fit(i):
+        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features", predictionCol="_raw",
+                   initMode="k-means||", tol=1e-6).fit(data)
+        return m.summary.trainingCost, i, m
+
+    # Restarts are independent jobs: run a few concurrently on the cluster.
+    with ThreadPoolExecutor(max_workers=min(4, max(1, int(n_init)))) as pool:
+        fits = list(pool.map(fit, range(max(1, int(n_init)))))
+    best = min(fits, key=lambda t: (t[0], t[1]))
+    best = (best[0], best[2])
     model = best[1]
     pred = model.transform(data).drop("_features")
     order_key = F.min(F.col(id_col)) if id_col else F.lit(0)
@@ -168,9 +174,7 @@ def assign_nearest(df: DataFrame, vec_col: str, centroids: list[list[float]], na
     kept, any number of rows, no refit).  Centroids are a checked k x d list."""
     if len(centroids) > MAX_CLUSTERS:
         raise ValueError("too many centroids")
-    spark = df.sparkSession
-    one = spark.createDataFrame([([[float(x) for x in c] for c in centroids],)], "_cent array<array<double>>")
-    j = with_constants(df, one)
+    j = with_constants(df, {"_cent": [[float(x) for x in c] for c in centroids]})
     dist = V.distance(metric)
     ds = F.transform(F.col("_cent"), lambda c, i: F.struct(dist(_dense(vec_col), c).alias("d"), i.alias("i")))
     return j.withColumn(name, F.array_min(ds)["i"].cast("int")).drop("_cent")

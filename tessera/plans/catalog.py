@@ -443,6 +443,7 @@ def davies_bouldin(spark, sf_dir):
 # --- text embeddings ----------------------------------------------------------------
 
 from tessera.operators import embed as E  # noqa: E402
+from tessera.operators import reduce as R_  # noqa: E402
 
 
 def _docs(spark, sf_dir):
@@ -517,3 +518,67 @@ def embed_with_model(spark, sf_dir):
     """Batch inference through an injected model (a letter-count embedder)."""
     e = E.embed_with_model(_docs(spark, sf_dir), "text", E.letter_count_embedder("aeiou"), batch_size=256)
     return e.select("doc_id", *_vec_cols(e, "vector", 6, 3))
+
+
+# --- clustering chain --------------------------------------------------------------
+
+from tessera.plans import cluster_texts as CT  # noqa: E402
+
+
+@query
+def kmeans(spark, sf_dir):
+    """K-means (k = 10, best of 5 seeded restarts) of the embeddings,
+    canonical labels."""
+    labelled, _ = C.kmeans(_emb(spark, sf_dir).select("vec_id", "v"), "v", k=10, n_init=5, id_col="vec_id")
+    return labelled.select("vec_id", "cluster")
+
+
+@query
+def pca(spark, sf_dir):
+    """D3: centred 2-D principal component scores of the embeddings."""
+    e = _emb(spark, sf_dir)
+    m = R_.pca(e, "v", 2)
+    return m.transform(e, "v").select("vec_id", F.element_at("reduced", 1).alias("pc1"),
+                                      F.element_at("reduced", 2).alias("pc2"))
+
+
+@query
+def truncated_svd(spark, sf_dir):
+    """2-D randomised SVD scores of the TF-IDF long form."""
+    _, w = tfidf.tfidf_fit_transform(_docs(spark, sf_dir))
+    _, sc = R_.truncated_svd(w, k=2)
+    return sc.select("doc_id", F.element_at("reduced", 1).alias("x"), F.element_at("reduced", 2).alias("y"))
+
+
+def _cluster_docs(spark, sf_dir):
+    return CT.cluster_texts(_docs(spark, sf_dir))
+
+
+@query
+def cluster_texts(spark, sf_dir):
+    """Documents -> TF-IDF -> SVD(50) -> k-means(4): x, y, cluster."""
+    frame, _, _ = _cluster_docs(spark, sf_dir)
+    return frame
+
+
+@query
+def cluster_texts_stats(spark, sf_dir):
+    """Flagship: C9 then A1 + W1 of n_chars per text cluster, ranked by mean."""
+    frame, _, _ = _cluster_docs(spark, sf_dir)
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return _stats_out(metrics.cluster_metric_stats(frame.join(docs, "doc_id"), "n_chars", "mean"))
+
+
+@query
+def cluster_scores(spark, sf_dir):
+    """C6-C8 of the text clusters (one row)."""
+    _, scores, _ = _cluster_docs(spark, sf_dir)
+    return scores
+
+
+@query
+def assign_cluster(spark, sf_dir):
+    """Cluster of each benchmark passage under the fitted text model."""
+    _, _, model = _cluster_docs(spark, sf_dir)
+    bench = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return CT.assign_texts(bench, model)

@@ -58,9 +58,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def reliable_checkpoint(df):
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder
+    and read it back: lineage is cut, the data survives executor loss, and
+    the input is computed once (``Dataset.checkpoint`` would compute it a
+    second time to write it)."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
 
 
 def spread(df):
