@@ -582,3 +582,91 @@ def assign_cluster(spark, sf_dir):
     _, _, model = _cluster_docs(spark, sf_dir)
     bench = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     return CT.assign_texts(bench, model)
+
+
+# --- posts and prompts (conversations: account = conv_id, ts = turn, kind = role) ---
+
+from tessera.operators import prompt as PR  # noqa: E402
+
+N_EXAMPLES = 3
+TOPIC, TONE = "the weather", "friendly"
+
+
+def _posts(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("account"), F.col("turn").alias("ts"), F.col("role").alias("kind"),
+                    (F.col("conv_id") * 1000 + F.col("turn")).alias("post_id"), "text",
+                    F.length("text").alias("n_chars"))
+
+
+@query
+def recent_texts(spark, sf_dir):
+    """S7 + W3: each account's three latest non-system posts."""
+    r = PR.recent_texts(_posts(spark, sf_dir), n=N_EXAMPLES, exclude=("system",))
+    return r.select("account", "post_id", F.col("rank").cast("int").alias("rank"))
+
+
+@query
+def top_texts_per_account(spark, sf_dir):
+    """K1 per group: each account's three longest non-system posts."""
+    p = _posts(spark, sf_dir).where(F.col("kind") != "system")
+    t = metrics.top_texts_per_group(p, "account", "n_chars", N_EXAMPLES, True, id_col="post_id")
+    return t.select("account", "post_id", F.col("rank").cast("int").alias("rank"))
+
+
+def _prompts(spark, sf_dir):
+    posts = _posts(spark, sf_dir)
+    recent = PR.recent_texts(posts, n=N_EXAMPLES, exclude=("system",))
+    ok = posts.where(F.col("kind") != "system")
+    success = metrics.top_texts_per_group(ok, "account", "n_chars", N_EXAMPLES, True, id_col="post_id")
+    accounts = posts.select("account").distinct()
+    prompts = PR.build_prompts(recent.select("account", "rank", "text"), success.select("account", "rank", "text"),
+                               "account", TOPIC, TONE, account_name=lambda c: F.concat(F.lit("account "), c))
+    return accounts.join(prompts, "account", "left")
+
+
+@query
+def build_prompts(spark, sf_dir):
+    """Per account, recent and most successful (longest) posts assembled
+    into the generation prompt."""
+    return _prompts(spark, sf_dir)
+
+
+@query
+def generate_texts(spark, sf_dir):
+    """One generated text per prompt (first-line stub generator)."""
+    g = PR.generate_texts(_prompts(spark, sf_dir), PR.first_line_generator())
+    return g.select("account", "generated")
+
+
+# --- table hygiene ----------------------------------------------------------------
+
+from tessera.sources.io import parse_vector_column as _parse_vec  # noqa: E402
+
+
+@query
+def remove_observations(spark, sf_dir):
+    """Drop the documents labelled toxic (left-anti join with the id table)."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    toxic = _t(spark, sf_dir, "labels").where(F.col("toxic") == 1).select("doc_id")
+    return docs.join(toxic, "doc_id", "left_anti")
+
+
+@query
+def fill_missing(spark, sf_dir):
+    """Labels joined to all documents, missing values filled with 0."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id")
+    labels = _t(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return docs.join(labels, "doc_id", "left").na.fill(0, ["quality", "toxic"])
+
+
+@query
+def parse_vector_column(spark, sf_dir):
+    """Embeddings written as list text and parsed back."""
+    e = _t(spark, sf_dir, "embeddings").select(
+        "vec_id", F.concat(F.lit("["), F.array_join(F.transform(F.col("embedding").cast("array<double>"),
+                                                                lambda x: x.cast("string")), ", "), F.lit("]")).alias("txt"))
+    p = _parse_vec(e, "txt", "vec")
+    return p.select("vec_id", F.size("vec").alias("n"),
+                    rounded(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 9).alias("total"),
+                    rounded(F.element_at("vec", 1), 9).alias("first"))

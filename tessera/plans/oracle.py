@@ -513,3 +513,67 @@ SELECT doc_id,
        {r("length(s) - length(replace(s, 'u', ''))", 3)} AS v4, {r('length(s)', 3)} AS v5
 FROM l
 """
+
+
+# --- posts and prompts ----------------------------------------------------------
+
+_POSTS = """posts AS (SELECT conv_id AS account, turn AS ts, role AS kind, conv_id * 1000 + turn AS post_id, text,
+                  length(text) AS n_chars FROM conversations)"""
+
+SQL["recent_texts"] = f"""
+WITH {_POSTS}, r AS (SELECT account, post_id, row_number() OVER (PARTITION BY account ORDER BY ts DESC, post_id) AS rk
+                     FROM posts WHERE kind <> 'system')
+SELECT account, post_id, CAST(rk AS INTEGER) AS rank FROM r WHERE rk <= 3
+"""
+
+SQL["top_texts_per_account"] = f"""
+WITH {_POSTS}, r AS (SELECT account, post_id, row_number() OVER (PARTITION BY account ORDER BY n_chars DESC, post_id) AS rk
+                     FROM posts WHERE kind <> 'system')
+SELECT account, post_id, CAST(rk AS INTEGER) AS rank FROM r WHERE rk <= 3
+"""
+
+_PROMPTS = f"""
+WITH {_POSTS},
+rr AS (SELECT account, text, row_number() OVER (PARTITION BY account ORDER BY ts DESC, post_id) AS rk
+       FROM posts WHERE kind <> 'system'),
+ss AS (SELECT account, text, row_number() OVER (PARTITION BY account ORDER BY n_chars DESC, post_id) AS rk
+       FROM posts WHERE kind <> 'system'),
+r AS (SELECT account, string_agg(CAST(rk AS VARCHAR) || '. ' || text || chr(10), '' ORDER BY rk) AS l FROM rr
+      WHERE rk <= 3 GROUP BY account),
+s AS (SELECT account, string_agg(CAST(rk AS VARCHAR) || '. ' || text || chr(10), '' ORDER BY rk) AS l FROM ss
+      WHERE rk <= 3 GROUP BY account),
+a AS (SELECT DISTINCT account FROM posts),
+p AS (SELECT a.account, 'account ' || CAST(a.account AS VARCHAR) AS nm, r.l AS rl, s.l AS sl
+      FROM a LEFT JOIN r ON a.account = r.account LEFT JOIN s ON a.account = s.account),
+pr AS (SELECT account,
+  CASE WHEN rl IS NOT NULL AND sl IS NOT NULL THEN
+    'The following are the most recent tweets written by ' || nm || ':' || chr(10) || rl || chr(10) ||
+    'The following are the most successful tweets ever written by ' || nm || ':' || chr(10) || sl || chr(10) ||
+    'The following is an ' || nm || ' tweet about the weather, written in a friendly tone, that is related to recent events and has a high chance of being successful and is less than 280 characters long:' || chr(10)
+  WHEN sl IS NOT NULL THEN
+    'The following are the most successful tweets ever written by ' || nm || ':' || chr(10) || sl || chr(10) ||
+    'The following is an ' || nm || ' tweet about the weather, written in a friendly tone, that has a high chance of being successful and is less than 280 characters long:' || chr(10)
+  WHEN rl IS NOT NULL THEN
+    'The following are the most recent tweets written by ' || nm || ':' || chr(10) || rl || chr(10) ||
+    'The following is an ' || nm || ' tweet about the weather, written in a friendly tone, that is related to recent events and is less than 280 characters long:' || chr(10)
+  ELSE 'The following is an ' || nm || ' tweet about the weather, written in a friendly tone, that is less than 280 characters long:' || chr(10)
+  END AS prompt FROM p)
+"""
+
+SQL["build_prompts"] = _PROMPTS + "SELECT account, prompt FROM pr"
+SQL["generate_texts"] = _PROMPTS + "SELECT account, trim(split_part(prompt, chr(10), 1)) AS generated FROM pr"
+
+SQL["remove_observations"] = """
+SELECT d.doc_id, d.lang, d.n_chars FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = d.doc_id)
+"""
+
+SQL["fill_missing"] = """
+SELECT d.doc_id, coalesce(l.quality, 0) AS quality, coalesce(l.toxic, 0) AS toxic
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+"""
+
+SQL["parse_vector_column"] = f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT vec_id, CAST(len(v) AS INTEGER) AS n, {r('list_sum(v)', 9)} AS total, {r('v[1]', 9)} AS first FROM e
+"""
