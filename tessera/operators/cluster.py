@@ -143,11 +143,12 @@ def kmeans(df: DataFrame, vec_col: str, k: int = 4, n_init: int = 20, seed: int
 
     def fit(i):
         m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features", predictionCol="_raw",
-                   initMode="k-means||", tol=1e-6).fit(data)
+                   initMode="k-means||", tol=1e-4).fit(data)
         return m.summary.trainingCost, i, m
 
     # Restarts are independent jobs: run a few concurrently on the cluster.
-    with ThreadPoolExecutor(max_workers=min(4, max(1, int(n_init)))) as pool:
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    with ThreadPoolExecutor(max_workers=max(1, min(8, slots, int(n_init)))) as pool:
         fits = list(pool.map(fit, range(max(1, int(n_init)))))
     best = min(fits, key=lambda t: (t[0], t[1]))
     best = (best[0], best[2])

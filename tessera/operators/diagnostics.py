@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions.stats import normal_pdf, normal_ppf, normal_ppf_scalar
 from tessera.operators.metrics import clean_metric
 from tessera.sources.keys import add_row_number
+from tessera.session import reliable_checkpoint
 
 LINE_TYPES = ("45", "s", "r", "q")
 
@@ -31,9 +32,11 @@ def qq_points(df: DataFrame, resid: str = "externally_studentized_residuals", st
     smallest residual standardised by mean and population std (skipped, as
     in the reference library, when the mean is exactly 0 or the std exactly 1).
     Rows with a missing residual are dropped."""
-    m = _moments(df, resid)
+    # The residuals are read three times (moments, range sample, numbering):
+    # materialise them once.
+    rows = reliable_checkpoint(df.where(clean_metric(resid).isNotNull()))
+    m = _moments(rows, resid)
     n, mean, std = m["n"], m["mean"], m["std"]
-    rows = df.where(clean_metric(resid).isNotNull())
     ranked = add_row_number(rows, [clean_metric(resid)], name="qq_position", start=1)
     y = clean_metric(resid)
     if standardise and mean is not None and std and mean != 0 and std != 1:

@@ -63,12 +63,23 @@ def add_surrogate_key(df: DataFrame, order_by: Sequence | None = None, name: str
     return add_row_number(df, cols, name=name, start=1)
 
 
+MAX_LOCAL_LABELS = 100_000
+
+
 def category_labels(df: DataFrame, col: str, name: str = "cluster") -> DataFrame:
     """Map each distinct value of ``col`` to its 0-based position in sorted order.
 
-    The label table has one row per distinct value; the join back lets AQE
-    broadcast it when small and shuffle otherwise.
+    Up to ``MAX_LOCAL_LABELS`` distinct values (checked) the label table is
+    built from the sorted distinct values and broadcast; beyond that the
+    labels come from a distributed global numbering and a shuffle join.
     """
     values = df.select(col).where(F.col(col).isNotNull()).distinct()
+    few = values.limit(MAX_LOCAL_LABELS + 1).collect()
+    if len(few) <= MAX_LOCAL_LABELS:
+        spark = df.sparkSession
+        ordered = sorted(r[0] for r in few)
+        schema = f"`{col}` {df.schema[col].dataType.simpleString()}, `{name}` int"
+        table = spark.createDataFrame([(v, i) for i, v in enumerate(ordered)], schema)
+        return df.join(F.broadcast(table), col, "left")
     labelled = add_row_number(values, [col], name=name, start=0).withColumn(name, F.col(name).cast("int"))
     return df.join(labelled, col, "left")
