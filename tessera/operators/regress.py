@@ -273,34 +273,50 @@ def ols_influence(df: DataFrame, fit: OlsFit) -> DataFrame:
     j = base.join(coefs, "_g", "left")
     p, n = float(fit.p), float(fit.n)
     s2 = fit.s2 if fit.s2 is not None else float("nan")
-    fitted = F.col("_a") + F.col("_b") * xc
-    e = yc - fitted
-    h = F.lit(1.0) / F.col("_n") + (xc - F.col("_xbar")) * (xc - F.col("_xbar")) / F.col("_sxx")
-    one_m_h = F.lit(1.0) - h
-    valid = one_m_h > 1e-12
-    press = F.when(valid, e / one_m_h)
-    s2_i = (F.lit((n - p) * s2) - e * e / one_m_h) / F.lit(n - p - 1.0)
-    t_int = F.when(valid, e / F.sqrt(F.lit(s2) * one_m_h))
-    t_ext = F.when(valid & (s2_i > 0), e / F.sqrt(s2_i * one_m_h))
-    ratio = F.sqrt(h / one_m_h)
-    out = j.select(
-        *[F.col(c) for c in df.columns],
-        fitted.alias("fitted_values"), e.alias("residuals"), h.alias("leverage"),
-        F.when(valid, t_int * t_int * h / (F.lit(p) * one_m_h)).alias("cooks_d"),
-        t_int.alias("standard_resid"),
-        F.when(valid, t_int * ratio).alias("dffits_internal"),
-        t_ext.alias("student_resid"),
-        F.when(valid, t_ext * ratio).alias("dffits"),
-        t_ext.alias("externally_studentized_residuals"),
-        press.alias("press_residuals"),
-        t_int.alias("internally_studentized_residuals"),
+    # ``x`` and ``y`` are (re)written as copies of the model columns, as in the
+    # reference; other input columns pass through.
+    base_cols = [F.col(c) for c in df.columns if c not in ("x", "y")]
+    # Staged projections: every intermediate is a column computed once, so
+    # each stage stays small enough for whole-stage code generation.
+    st1 = j.select(*base_cols, "_du", "_dv", xc.alias("x"), yc.alias("y"),
+                   (F.col("_a") + F.col("_b") * xc).alias("fitted_values"),
+                   (F.lit(1.0) / F.col("_n") + (xc - F.col("_xbar")) * (xc - F.col("_xbar")) / F.col("_sxx"))
+                   .alias("leverage"))
+    e = F.col("y") - F.col("fitted_values")
+    st2 = st1.select("*", e.alias("residuals"), (F.lit(1.0) - F.col("leverage")).alias("_omh"))
+    valid = F.col("_omh") > 1e-12
+    st3 = st2.select(
+        "*",
+        F.when(valid, F.col("residuals") / F.col("_omh")).alias("press_residuals"),
+        ((F.lit((n - p) * s2) - F.col("residuals") * F.col("residuals") / F.col("_omh")) / F.lit(n - p - 1.0))
+        .alias("_s2i"),
+        F.sqrt(F.col("leverage") / F.col("_omh")).alias("_ratio"),
+    )
+    ok_ext = valid & (F.col("_s2i") > 0)
+    st4 = st3.select(
+        "*",
+        F.when(valid, F.col("residuals") / F.sqrt(F.lit(s2) * F.col("_omh"))).alias("_tint"),
+        F.when(ok_ext, F.col("residuals") / F.sqrt(F.col("_s2i") * F.col("_omh"))).alias("_text"),
+    )
+    out = st4.select(
+        *base_cols, "x", "y", "fitted_values", "residuals", "leverage",
+        F.when(valid, F.col("_tint") * F.col("_tint") * F.col("leverage") / (F.lit(p) * F.col("_omh")))
+        .alias("cooks_d"),
+        F.col("_tint").alias("standard_resid"),
+        (F.col("_tint") * F.col("_ratio")).alias("dffits_internal"),
+        F.col("_text").alias("student_resid"),
+        (F.col("_text") * F.col("_ratio")).alias("dffits"),
+        F.col("_text").alias("externally_studentized_residuals"),
+        "press_residuals",
+        F.col("_tint").alias("internally_studentized_residuals"),
         *[
-            F.when(valid & (s2_i > 0), (F.element_at("_du", i + 1) + F.element_at("_dv", i + 1) * xc) * press
-                   / F.sqrt(s2_i * F.lit(c if c is not None else float("nan")))).alias(f"dfb_{name}")
+            F.when(ok_ext, (F.element_at("_du", i + 1) + F.element_at("_dv", i + 1) * F.col("x"))
+                   * F.col("press_residuals")
+                   / F.sqrt(F.col("_s2i") * F.lit(c if c is not None else float("nan")))).alias(f"dfb_{name}")
             for i, (name, c) in enumerate(zip(fit.names, fit.cov_diag))
         ],
     )
-    return out.withColumn("x", xc).withColumn("y", yc)
+    return out
 
 
 def ols_metrics(spark: SparkSession, fit: OlsFit, influence: DataFrame | None = None) -> DataFrame:
