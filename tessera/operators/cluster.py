@@ -176,6 +176,11 @@ def assign_nearest(df: DataFrame, vec_col: str, centroids: list[list[float]], na
     if len(centroids) > MAX_CLUSTERS:
         raise ValueError("too many centroids")
     j = with_constants(df, {"_cent": [[float(x) for x in c] for c in centroids]})
-    dist = V.distance(metric)
+    if metric == "mean_cosine":
+        # centroids hold mean unit vectors: 1 - x_hat . c is the mean cosine
+        # distance to the cluster's members (average linkage to a new point)
+        dist = lambda a, c: F.lit(1.0) - V.dot(V.normalize(a), c)
+    else:
+        dist = V.distance(metric)
     ds = F.transform(F.col("_cent"), lambda c, i: F.struct(dist(_dense(vec_col), c).alias("d"), i.alias("i")))
     return j.withColumn(name, F.array_min(ds)["i"].cast("int")).drop("_cent")

@@ -551,7 +551,8 @@ def truncated_svd(spark, sf_dir):
 
 
 def _cluster_docs(spark, sf_dir):
-    return CT.cluster_texts(_docs(spark, sf_dir))
+    """The chain with k-means (20 seeded restarts) as the clustering step."""
+    return CT.cluster_texts(_docs(spark, sf_dir), config=CT.TextClusterConfig(algorithm="kmeans"))
 
 
 @query
@@ -670,3 +671,22 @@ def parse_vector_column(spark, sf_dir):
     return p.select("vec_id", F.size("vec").alias("n"),
                     rounded(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 9).alias("total"),
                     rounded(F.element_at("vec", 1), 9).alias("first"))
+
+
+from tessera.operators import agglomerative as AG  # noqa: E402
+
+
+@query
+def agglomerative(spark, sf_dir):
+    """Average-linkage cosine agglomeration of the embeddings into 10
+    clusters (exact: every row is its own micro-cluster at this size)."""
+    e = _emb(spark, sf_dir).select("vec_id", "v")
+    return AG.agglomerative(e, "v", 10, "average", "cosine", id_col="vec_id").select("vec_id", "cluster")
+
+
+@query
+def cluster_texts_agglomerative(spark, sf_dir):
+    """C9 with the reference's default clustering: documents -> TF-IDF ->
+    SVD(50) -> average-linkage cosine agglomeration (4 clusters)."""
+    frame, _, _ = CT.cluster_texts(_docs(spark, sf_dir))
+    return frame

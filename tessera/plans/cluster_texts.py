@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import agglomerative as AG
 from tessera.operators import cluster as C
 from tessera.operators import embed as E
 from tessera.operators import reduce as R
@@ -35,6 +36,9 @@ class TextClusterConfig:
     cluster_space: str = "auto"        # auto, before, after_step1, after_full
     scale_before_cluster: str | None = None
     n_clusters: int = 4
+    algorithm: str = "agglomerative"   # agglomerative (reference default) or kmeans
+    linkage: str = "average"
+    affinity: str = "cosine"
     n_init: int = 20
     seed: int = 7742
 
@@ -47,6 +51,7 @@ class TextClusterModel:
     pca_model: R.PcaModel | None
     centroids: list[list[float]]
     space: str
+    assign_metric: str = "euclidean"
 
 
 def _space(config: TextClusterConfig, sparse: bool) -> str:
@@ -98,16 +103,36 @@ def cluster_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     else:
         raise ValueError("cluster_space must be auto, before, after_step1 or after_full")
     scaled = S.scale(cvec, "cv", config.scale_before_cluster, out="sv")
-    labelled, centroids = C.kmeans(scaled, "sv", config.n_clusters, config.n_init, config.seed, id_col="doc_id")
+    if config.algorithm == "kmeans":
+        labelled, centroids = C.kmeans(scaled, "sv", config.n_clusters, config.n_init, config.seed, id_col="doc_id")
+        assign_metric = "euclidean"
+    elif config.algorithm == "agglomerative":
+        labelled = AG.agglomerative(scaled, "sv", config.n_clusters, config.linkage, config.affinity,
+                                    id_col="doc_id", seed=config.seed)
+        mean_cos = config.linkage == "average" and config.affinity == "cosine"
+        centroids = _centroids(labelled, "sv", unit=mean_cos)
+        assign_metric = "mean_cosine" if mean_cos else ("euclidean" if config.affinity in ("euclidean", "l2")
+                                                         else config.affinity)
+    else:
+        raise ValueError("algorithm must be 'agglomerative' or 'kmeans'")
     labelled = reliable_checkpoint(labelled.select("doc_id", "cv", "cluster"))
     frame = layout.join(labelled.select("doc_id", "cluster"), "doc_id")
     scores = (C.silhouette(labelled, "cv", "cluster")
               .join(C.calinski_harabasz(labelled, "cv", "cluster"), how="inner")
               .join(C.davies_bouldin(labelled, "cv", "cluster"), how="inner"))
-    model = TextClusterModel(config, tf_model, svd_model, pca_model, centroids, space)
+    model = TextClusterModel(config, tf_model, svd_model, pca_model, centroids, space, assign_metric)
     return frame, scores, model
 
 
+def _centroids(labelled: DataFrame, vec_col: str, unit: bool) -> list[list[float]]:
+    """Per-cluster mean vectors (of unit vectors when ``unit``), k x d, checked."""
+    from tessera.functions import vector as V
+
+    vec = F.col(vec_col).cast("array<double>")
+    summ = C.cluster_summaries(labelled, "cluster", V.normalize(vec) if unit else vec)
+    return [[x / s["n"] for x in s["s"]] for s in summ]
+
+
 def assign_texts(new_docs: DataFrame, model: TextClusterModel, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """Embed new texts with the fitted vocabulary, project with the fitted
@@ -122,5 +147,5 @@ def assign_texts(new_docs: DataFrame, model: TextClusterModel, id_col: str = "do
     proj = model.svd_model.transform(w, out="cv")
     if model.space == "after_full":
         proj = proj.withColumn("cv", F.slice("cv", 1, 2))
-    labelled = C.assign_nearest(proj, "cv", model.centroids, "cluster")
+    labelled = C.assign_nearest(proj, "cv", model.centroids, "cluster", metric=model.assign_metric)
     return docs.select("doc_id").join(labelled.select("doc_id", "cluster"), "doc_id", "left")
