@@ -60,10 +60,11 @@ def strip_accents(col, mode: str | None) -> Column:
 
 
 def normalise(col, lowercase: bool = True, accents: str | None = None) -> Column:
-    """Null text is an empty document (never the string ``"nan"``)."""
+    """Null text is an empty document (never the string ``"nan"``); lower-case
+    first, then strip accents (the vectorizer's order)."""
     out = F.coalesce(_c(col), F.lit(""))
-    out = strip_accents(out, accents)
-    return F.lower(out) if lowercase else out
+    out = F.lower(out) if lowercase else out
+    return strip_accents(out, accents)
 
 
 def word_tokens(col, lowercase: bool = True, accents: str | None = None) -> Column:

@@ -690,3 +690,33 @@ def cluster_texts_agglomerative(spark, sf_dir):
     SVD(50) -> average-linkage cosine agglomeration (4 clusters)."""
     frame, _, _ = CT.cluster_texts(_docs(spark, sf_dir))
     return frame
+
+
+# --- text function and TF-IDF option coverage -------------------------------------
+
+from tessera.functions import text as TXT  # noqa: E402
+
+STOP = ("the", "and", "of", "de", "la", "und", "der", "el", "y", "en")
+
+
+@query
+def vocabulary(spark, sf_dir):
+    """Distinct terms of the corpus."""
+    return tfidf.vocabulary(_docs(spark, sf_dir))
+
+
+@query
+def strip_accents(spark, sf_dir):
+    """unicode accent stripping (NFKD, combining marks dropped) of whole texts."""
+    d = _docs(spark, sf_dir)
+    s = TXT.strip_accents(F.col("text"), "unicode")
+    return d.select("doc_id", F.md5(s).alias("md5"), F.length(s).alias("n_chars"))
+
+
+@query
+def tfidf_options(spark, sf_dir):
+    """E1 with options: accents stripped, stop words, min_df 2, max_df 0.5,
+    sublinear tf, l1 norm."""
+    p = tfidf.TfidfParams(strip_accents="unicode", stop_words=STOP, min_df=2, max_df=0.5, sublinear_tf=True, norm="l1")
+    _, w = tfidf.tfidf_fit_transform(_docs(spark, sf_dir), params=p)
+    return w.select("doc_id", "term", "tf", rounded("weight", 9).alias("weight"))

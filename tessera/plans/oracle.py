@@ -577,3 +577,28 @@ SQL["parse_vector_column"] = f"""
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT vec_id, CAST(len(v) AS INTEGER) AS n, {r('list_sum(v)', 9)} AS total, {r('v[1]', 9)} AS first FROM e
 """
+
+
+# --- text function and TF-IDF option coverage ------------------------------------
+
+SQL["vocabulary"] = f"""
+SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '{WORD_RE}')) AS term FROM documents
+"""
+
+SQL["strip_accents"] = """
+SELECT doc_id, md5(strip_accents(text)) AS md5, CAST(length(strip_accents(text)) AS INTEGER) AS n_chars FROM documents
+"""
+
+_STOP_SQL = "('the', 'and', 'of', 'de', 'la', 'und', 'der', 'el', 'y', 'en')"
+
+SQL["tfidf_options"] = f"""
+WITH toks AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '{WORD_RE}')) AS term
+              FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM toks WHERE term NOT IN {_STOP_SQL} GROUP BY doc_id, term),
+n AS (SELECT count(*) AS n FROM documents),
+dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+keep AS (SELECT dfq.term, dfq.df FROM dfq CROSS JOIN n WHERE dfq.df >= 2 AND dfq.df <= 0.5 * n.n),
+w AS (SELECT tf.doc_id, tf.term, tf.tf, (1.0 + ln(tf.tf)) * (ln((1.0 + n.n) / (1.0 + keep.df)) + 1.0) AS w
+      FROM tf JOIN keep ON tf.term = keep.term CROSS JOIN n)
+SELECT doc_id, term, CAST(tf AS BIGINT) AS tf, {r('w / sum(abs(w)) OVER (PARTITION BY doc_id)', 9)} AS weight FROM w
+"""

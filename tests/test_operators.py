@@ -283,3 +283,17 @@ def test_fitted_transform_on_a_stream(spark):
     run_to_memory(out, "streamed_terms", d + "/ckpt")
     got = {r["term"]: r["idf"] for r in spark.sql("SELECT * FROM streamed_terms").collect()}
     assert set(got) == {"red", "apple"}
+
+
+def test_char_analyzers(spark):
+    df = spark.createDataFrame([("Ab  c\nd",), ("",)], "t string")
+    r = df.select(TX.char_tokens("t").alias("c"), TX.char_wb_tokens("t").alias("w")).collect()
+    assert r[0]["c"] == ["a", "b", " ", "c", "\n", "d"]
+    assert r[0]["w"] == [" ", "a", "b", " ", " ", "c", " ", " ", "d", " "]
+    assert r[1]["c"] == [] and r[1]["w"] == []
+
+
+def test_stop_words_removed_before_counting(spark):
+    df = spark.createDataFrame([(0, "the cat and the dog"), (1, "a cat")], "doc_id long, text string")
+    tc = T.term_counts(df, params=T.TfidfParams(stop_words=("the", "and")))
+    assert sorted((r["doc_id"], r["term"], r["tf"]) for r in tc.collect()) == [(0, "cat", 1), (0, "dog", 1), (1, "cat", 1)]
