@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.keys import add_row_number
+from tessera.sources.keys import add_row_number, rank_bounded
 
 STATISTICS = ("mean", "median", "min", "max", "sum", "std", "var", "sem", "size")
 
@@ -64,7 +64,9 @@ def cluster_metric_stats(df: DataFrame, column: str, sort_metric: str = "mean",
     else:
         raise ValueError("median must be 'exact' or 'approx'")
     stats = stats.withColumn("metric", F.col(sort_metric))
-    ranked = add_row_number(stats, [F.col("metric").desc_nulls_last(), F.col(cluster_col)], name="rank", start=0)
+    # k rows: ranked from a bounded collect of the keys (checked), distributed otherwise.
+    ranked = rank_bounded(stats, [F.col("metric").desc_nulls_last(), F.col(cluster_col)], key=cluster_col,
+                          name="rank", start=0)
     return ranked.select(
         F.col("rank").cast("int").alias("rank"), F.col(cluster_col).alias("cluster"),
         *[F.col(s) for s in STATISTICS], "metric",
