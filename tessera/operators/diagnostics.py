@@ -27,14 +27,17 @@ def _moments(df: DataFrame, col: str):
                   F.min(v).alias("min"), F.max(v).alias("max")).first()
 
 
-def qq_points(df: DataFrame, resid: str = "externally_studentized_residuals", standardise: bool = True) -> DataFrame:
+def qq_points(df: DataFrame, resid: str = "externally_studentized_residuals", standardise: bool = True,
+              keep: list[str] | None = None) -> DataFrame:
     """G1: ``qq_x`` = standard normal quantile of i/(n+1), ``qq_y`` = the i-th
     smallest residual standardised by mean and population std (skipped, as
     in the reference library, when the mean is exactly 0 or the std exactly 1).
-    Rows with a missing residual are dropped."""
+    Rows with a missing residual are dropped.  ``keep`` limits the carried
+    columns (default: all, i.e. the regression rows plus ``qq_x``, ``qq_y``)."""
     # The residuals are read three times (moments, range sample, numbering):
-    # materialise them once.
-    rows = reliable_checkpoint(df.where(clean_metric(resid).isNotNull()))
+    # materialise them once, with only the columns that are carried.
+    cols = df.columns if keep is None else list(dict.fromkeys([*keep, resid]))
+    rows = reliable_checkpoint(df.where(clean_metric(resid).isNotNull()).select(*cols))
     m = _moments(rows, resid)
     n, mean, std = m["n"], m["mean"], m["std"]
     ranked = add_row_number(rows, [clean_metric(resid)], name="qq_position", start=1)

@@ -256,7 +256,7 @@ def _separate_influence(spark, sf_dir):
 def qq_points(spark, sf_dir):
     """G1: theoretical vs standardised sample quantiles of the externally
     studentized residuals."""
-    pts = diagnostics.qq_points(_separate_influence(spark, sf_dir), RESID)
+    pts = diagnostics.qq_points(_separate_influence(spark, sf_dir), RESID, keep=[])
     return pts.select("qq_position", rounded(RESID, 6).alias("resid"), rounded("qq_x", 8).alias("qq_x"),
                       rounded("qq_y", 6).alias("qq_y"))
 
@@ -264,7 +264,7 @@ def qq_points(spark, sf_dir):
 @query
 def qq_reference_line(spark, sf_dir):
     """The four reference lines of the Q-Q plot."""
-    pts = diagnostics.qq_points(_separate_influence(spark, sf_dir), RESID)
+    pts = diagnostics.qq_points(_separate_influence(spark, sf_dir), RESID, keep=[])
     lines = diagnostics.qq_reference_line(pts)
     return lines.select("line_type", rounded("slope", 6).alias("slope"), rounded("intercept", 6).alias("intercept"))
 
