@@ -720,3 +720,14 @@ def tfidf_options(spark, sf_dir):
     p = tfidf.TfidfParams(strip_accents="unicode", stop_words=STOP, min_df=2, max_df=0.5, sublinear_tf=True, norm="l1")
     _, w = tfidf.tfidf_fit_transform(_docs(spark, sf_dir), params=p)
     return w.select("doc_id", "term", "tf", rounded("weight", 9).alias("weight"))
+
+
+from tessera.operators import layout as LY  # noqa: E402
+
+
+@query
+def tsne_layout(spark, sf_dir):
+    """2-D t-SNE of the embeddings on their exact 90-NN graph (perplexity
+    30, 200 iterations of which 100 exaggerated)."""
+    e = _emb(spark, sf_dir).select("vec_id", "v")
+    return LY.tsne_layout(e, "vec_id", "v", perplexity=30.0, n_iter=200, exaggeration_iter=100)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera.operators import agglomerative as AG
 from tessera.operators import cluster as C
 from tessera.operators import embed as E
+from tessera.operators import layout as LY
 from tessera.operators import reduce as R
 from tessera.operators import scale as S
 from tessera.operators import tfidf as T
@@ -30,7 +31,9 @@ REDUCTIONS = ("linear", "svd", "pca")
 class TextClusterConfig:
     embedding: str = "tfidf"
     tfidf: T.TfidfParams = field(default_factory=T.TfidfParams)
-    reduction: str = "linear"          # linear (svd if sparse else pca), svd, pca
+    reduction: str = "linear"          # linear (svd if sparse else pca), svd, pca; "<step>__tsne" chains
+    tsne_perplexity: float = 30.0
+    tsne_iterations: int = 500
     step_one_dims: int = 50
     svd_iterations: int = 5
     cluster_space: str = "auto"        # auto, before, after_step1, after_full
@@ -90,8 +93,16 @@ def cluster_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pca_model = R.pca(raw, "vec", min(config.step_one_dims, len(raw.first()["vec"])))
         step1 = pca_model.transform(raw, "vec", "step1").select("doc_id", "step1", "vec")
     step1 = reliable_checkpoint(step1)
-    space = _space(config, sparse)
-    layout = step1.select("doc_id", F.element_at("step1", 1).alias("x_embed"), F.element_at("step1", 2).alias("y_embed"))
+    two_step = config.reduction.endswith("__tsne")
+    space = _space(config, sparse) if not (two_step and config.cluster_space == "auto") else "after_step1"
+    if two_step:
+        # Step one (SVD / PCA) feeds the t-SNE layout; the step-one frame is
+        # materialised once and reused by layout, clustering and scores.
+        layout = reliable_checkpoint(LY.tsne_layout(step1.select("doc_id", "step1"), "doc_id", "step1",
+                                                    config.tsne_perplexity, config.tsne_iterations))
+    else:
+        layout = step1.select("doc_id", F.element_at("step1", 1).alias("x_embed"),
+                              F.element_at("step1", 2).alias("y_embed"))
     if space == "after_step1":
         cvec = step1.select("doc_id", F.col("step1").alias("cv"))
     elif space == "after_full":
