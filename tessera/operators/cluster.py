@@ -14,6 +14,7 @@ counted and checked before they are broadcast):
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,10 +131,22 @@ def davies_bouldin(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
 # --- k-means -------------------------------------------------------------------
 
 def kmeans(df: DataFrame, vec_col: str, k: int = 4, n_init: int = 20, seed: int = 7742, max_iter: int = 300,
-           id_col: str | None = None, name: str = "cluster"):
-    """Best of ``n_init`` seeded k-means|| fits (lowest training cost),
-    labels canonicalised: clusters ordered by size descending, then by the
-    smallest member id.  Returns (labelled frame, centroids as a list)."""
+           id_col: str | None = None, name: str = "cluster", engine: str = "auto"):
+    """Best of ``n_init`` seeded k-means runs (lowest inertia), labels
+    canonicalised: clusters ordered by size descending, then by the smallest
+    member id.  Returns (labelled frame, centroids as a list).
+
+    ``engine="batched"`` runs all restarts in the same data passes (one job
+    per Lloyd iteration for every restart together: n_init times fewer scans
+    of the data); ``engine="ml"`` runs Spark ML k-means|| once per restart
+    (concurrent jobs; cheaper while jobs are latency-bound).  ``"auto"``
+    picks batched from ``BATCHED_FROM_ROWS`` rows on."""
+    if engine == "auto":
+        engine = "batched" if df.count() >= BATCHED_FROM_ROWS else "ml"
+    if engine == "batched":
+        return _kmeans_batched(df, vec_col, k, n_init, seed, max_iter, id_col, name)
+    if engine != "ml":
+        raise ValueError("engine must be 'batched' or 'ml'")
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -184,3 +197,90 @@ def assign_nearest(df: DataFrame, vec_col: str, centroids: list[list[float]], na
         dist = V.distance(metric)
     ds = F.transform(F.col("_cent"), lambda c, i: F.struct(dist(_dense(vec_col), c).alias("d"), i.alias("i")))
     return j.withColumn(name, F.array_min(ds)["i"].cast("int")).drop("_cent")
+
+
+# --- batched restarts -----------------------------------------------------------
+
+INIT_SAMPLE = 20_000
+BATCHED_FROM_ROWS = 1_000_000
+
+
+def _kmeans_pp(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ seeding on a bounded sample (greedy D^2 sampling)."""
+    centres = [x[rng.integers(len(x))]]
+    d2 = ((x - centres[0]) ** 2).sum(1)
+    for _ in range(1, k):
+        total = d2.sum()
+        nxt = x[rng.integers(len(x))] if total <= 0 else x[rng.choice(len(x), p=d2 / total)]
+        centres.append(nxt)
+        d2 = np.minimum(d2, ((x - nxt) ** 2).sum(1))
+    return np.stack(centres)
+
+
+def _kmeans_batched(df: DataFrame, vec_col: str, k: int, n_init: int, seed: int, max_iter: int,
+                    id_col: str | None, name: str, tol: float = 1e-4):
+    import pandas as pd
+
+    spark = df.sparkSession
+    data = df.withColumn("_kv", _dense(vec_col)).persist()
+    n = data.count()
+    frac = min(1.0, 2.0 * INIT_SAMPLE / max(n, 1))
+    sample = np.stack(data.sample(fraction=frac, seed=seed).select("_kv").limit(INIT_SAMPLE).toPandas()["_kv"]
+                      .to_numpy())
+    r_count = max(1, int(n_init))
+    centres = np.stack([_kmeans_pp(sample, k, np.random.default_rng(seed + r)) for r in range(r_count)])
+    scale = float(np.mean(sample.var(0))) if len(sample) else 1.0
+
+    def pass_fn(cent):
+        bc = spark.sparkContext.broadcast(cent)
+
+        def part(it):
+            c = bc.value  # (R, k, d)
+            sums = np.zeros_like(c)
+            counts = np.zeros(c.shape[:2])
+            inertia = np.zeros(c.shape[0])
+            for chunk in it:
+                if chunk.empty:
+                    continue
+                x = np.stack(chunk["_kv"].to_numpy())
+                xx = (x * x).sum(1)
+                for r in range(c.shape[0]):
+                    d2 = xx[:, None] - 2 * x @ c[r].T + (c[r] * c[r]).sum(1)[None, :]
+                    a = d2.argmin(1)
+                    inertia[r] += np.maximum(d2[np.arange(len(x)), a], 0).sum()
+                    counts[r] += np.bincount(a, minlength=c.shape[1])
+                    for j in range(c.shape[1]):
+                        sums[r, j] += x[a == j].sum(0)
+            yield pd.DataFrame({"s": [sums.reshape(-1)], "n": [counts.reshape(-1)], "i": [inertia]})
+
+        rows = data.select("_kv").mapInPandas(part, "s array<double>, n array<double>, i array<double>").collect()
+        s = np.sum([np.asarray(r["s"]) for r in rows], axis=0).reshape(cent.shape)
+        cnt = np.sum([np.asarray(r["n"]) for r in rows], axis=0).reshape(cent.shape[:2])
+        inertia = np.sum([np.asarray(r["i"]) for r in rows], axis=0)
+        return s, cnt, inertia
+
+    active = np.ones(r_count, bool)
+    inertia = np.full(r_count, np.inf)
+    for _ in range(max_iter):
+        s, cnt, inertia = pass_fn(centres)
+        new = np.where(cnt[:, :, None] > 0, s / np.maximum(cnt[:, :, None], 1), centres)
+        shift = ((new - centres) ** 2).sum((1, 2))
+        centres = np.where(active[:, None, None], new, centres)
+        active &= shift > tol * scale
+        if not active.any():
+            break
+    _, _, inertia = pass_fn(centres)
+    best = centres[int(np.argmin(inertia))]
+    labelled = assign_nearest(data, "_kv", [list(c) for c in best], "_raw", "euclidean")
+    order_key = F.min(F.col(id_col)) if id_col else F.lit(0)
+    stats = labelled.groupBy("_raw").agg(F.count(F.lit(1)).alias("_n"), order_key.alias("_first")).collect()
+    ranked = sorted(stats, key=lambda r: (-r["_n"], r["_first"] if r["_first"] is not None else 0, r["_raw"]))
+    mapping = {r["_raw"]: i for i, r in enumerate(ranked)}
+    remap = spark.createDataFrame(list(mapping.items()), "_raw int, " + f"{name} int")
+    centroids = [None] * len(mapping)
+    for raw, new_label in mapping.items():
+        centroids[new_label] = [float(x) for x in best[raw]]
+    centroids = [c for c in centroids if c is not None]
+    out = labelled.join(F.broadcast(remap), "_raw").drop("_raw", "_kv")
+    data.unpersist()
+    return out, centroids

@@ -297,3 +297,16 @@ def test_stop_words_removed_before_counting(spark):
     df = spark.createDataFrame([(0, "the cat and the dog"), (1, "a cat")], "doc_id long, text string")
     tc = T.term_counts(df, params=T.TfidfParams(stop_words=("the", "and")))
     assert sorted((r["doc_id"], r["term"], r["tf"]) for r in tc.collect()) == [(0, "cat", 1), (0, "dog", 1), (1, "cat", 1)]
+
+
+def test_kmeans_batched_finds_blobs_and_beats_single_restart(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(loc=c, scale=0.3, size=(30, 3)) for c in ([5, 0, 0], [0, 5, 0], [0, 0, 5], [5, 5, 5])])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    out, cents = C.kmeans(df, "v", 4, n_init=5, id_col="id", engine="batched")
+    lab = {r["id"]: r["cluster"] for r in out.collect()}
+    for g in range(4):
+        assert len({lab[i] for i in range(g * 30, g * 30 + 30)}) == 1
+    assert sorted(lab.values()).count(0) == 30 and len(cents) == 4
+    ml, _ = C.kmeans(df, "v", 4, n_init=1, id_col="id", engine="ml")
+    assert ml.count() == 120
