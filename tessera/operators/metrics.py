@@ -70,7 +70,7 @@ def cluster_metric_stats(df: DataFrame, column: str, sort_metric: str = "mean",
     return ranked.select(
         F.col("rank").cast("int").alias("rank"), F.col(cluster_col).alias("cluster"),
         *[F.col(s) for s in STATISTICS], "metric",
-    )
+    ).orderBy("rank")  # k rows
 
 
 def axis_range(df: DataFrame, x: str, y: str, buffer: float = 0.05) -> DataFrame:
