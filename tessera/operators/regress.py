@@ -266,11 +266,16 @@ def ols_influence(df: DataFrame, fit: OlsFit) -> DataFrame:
     (internal and external), DFBETAS per parameter, studentized residuals
     (internal and external) and PRESS residual.  Leverage 1 gives NULL."""
     spark = df.sparkSession
-    coefs = F.broadcast(coefficient_table(spark, fit))
-    key = F.col(fit.cat) if fit.cat else F.lit(0).cast("long")
     xc, yc = F.col(fit.x).cast("double"), F.col(fit.y).cast("double")
-    base = df.withColumn("_g", key)
-    j = base.join(coefs, "_g", "left")
+    if fit.cat:
+        coefs = F.broadcast(coefficient_table(spark, fit))
+        j = df.withColumn("_g", F.col(fit.cat)).join(coefs, "_g", "left")
+    else:
+        # one group: its coefficients are plan literals (no join on a constant key)
+        row = coefficient_table(spark, fit).first()
+        j = df
+        for c in ("_a", "_b", "_n", "_xbar", "_sxx", "_du", "_dv"):
+            j = j.withColumn(c, F.lit(row[c]))
     p, n = float(fit.p), float(fit.n)
     s2 = fit.s2 if fit.s2 is not None else float("nan")
     # ``x`` and ``y`` are (re)written as copies of the model columns, as in the
@@ -340,13 +345,8 @@ def ols_metrics(spark: SparkSession, fit: OlsFit, influence: DataFrame | None =
     one = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} double" for k in row))
     if influence is None:
         return one
-    press = influence.agg(F.sum(F.col("press_residuals") * F.col("press_residuals")).alias("ess_press"))
-    return _attach_scalar(one, press)
-
-
-def _attach_scalar(one: DataFrame, agg_one: DataFrame) -> DataFrame:
-    """Join two one-row frames (both bounded to a single row)."""
-    return one.withColumn("_k", F.lit(1)).join(agg_one.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    press = influence.agg(F.sum(F.col("press_residuals") * F.col("press_residuals"))).first()[0]
+    return one.withColumn("ess_press", F.lit(press).cast("double"))
 
 
 def regression_lines(spark: SparkSession, fit: OlsFit, x_min: float, x_max: float, n: int = 1000) -> DataFrame:
@@ -364,10 +364,13 @@ def predict_ols(new: DataFrame, fit: OlsFit, x: str | None = None, cat: str | No
     """Predicted y for new rows (x and, for grouped models, category).
     The constant is always included; unknown categories give NULL."""
     spark = new.sparkSession
-    coefs = F.broadcast(coefficient_table(spark, fit).select("_g", "_a", "_b"))
     x = x or fit.x
-    key = F.col(cat or fit.cat) if fit.cat else F.lit(0).cast("long")
-    j = new.withColumn("_g", key).join(coefs, "_g", "left")
+    if fit.cat:
+        coefs = F.broadcast(coefficient_table(spark, fit).select("_g", "_a", "_b"))
+        j = new.withColumn("_g", F.col(cat or fit.cat)).join(coefs, "_g", "left")
+    else:
+        g = fit.groups[0]
+        j = new.withColumn("_g", F.lit(0)).withColumn("_a", F.lit(g.a)).withColumn("_b", F.lit(g.b))
     return j.withColumn(name, F.col("_a") + F.col("_b") * F.col(x).cast("double")).drop("_g", "_a", "_b")
 
 
