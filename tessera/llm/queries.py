@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, pii, token_counts
+from tessera.llm import byte_bpe, decontaminate, exact_dedup, language_id, lm_scoring, ngram_join, pii, secret_scan, token_counts, warc
 from tessera.llm.common import table
+from tessera.session import reliable_checkpoint, shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,7 +31,72 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of, pii.BASE), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op4_pii)}
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+def secret_dictionary() -> frozenset[str]:
+    """Words and word parts of a public vocabulary, of 3 to 10 letters."""
+    pieces = [p for part in token_counts.piece_vocabulary(public_tokenizers.path("piece_bpe_32k.model")) for p in part]
+    return frozenset(p.lower() for p in pieces if p.isalpha() and 3 <= len(p) <= 10)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, dictionary = table(spark, sf_dir, "documents"), secret_dictionary()
+    learned = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    return secret_scan.scan(docs, secret_scan.candidates(learned, dictionary), dictionary)
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hit = decontaminate.n_hit(F.col("hit_spans"))
+    return out.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    out = byte_bpe.decode(byte_bpe.encode(docs, ranks), ranks)
+    return out.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def captures(records: DataFrame) -> DataFrame:
+    """Digest columns of the captures in ``records``; a revisit is given the page of the response that it refers to."""
+    rows = warc.assemble(records).select(
+        F.col("metadata.fields")["page-id"].cast("long").alias("page_id"), F.col("capture.payload_bytes").alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"),
+        F.col("capture.warc_type").alias("record_type"), F.col("capture.record_id").alias("record_id"), F.col("capture.refers_to").alias("to"))
+    rows = reliable_checkpoint(rows)
+    first = rows.where("record_type = 'response'")
+    revisits = rows.where("record_type = 'revisit'").drop("record_id").join(first.select(F.col("record_id").alias("to"), F.col("page_id").alias("refers_to")), "to", "left")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return first.withColumn("refers_to", F.lit(None).cast("long")).select(*names).unionByName(revisits.select(*names))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return captures(warc.read_records(spark, path))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op2_exact_dedup, op3_lm_scoring, op4_pii, op5_secret_scan, op6_decontaminate, op7_language_id, op8_byte_bpe, op9_ngram_join, op10_warc)}
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLE_SQL = {
     "op2_exact_dedup": f"""
@@ -36,4 +104,33 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op6_decontaminate": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM benchmark),
+        win AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS s
+                FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+        at AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS s
+               FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win))),
+        hit AS (SELECT r, item, i, n FROM at JOIN win USING (n, s)),
+        words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op9_ngram_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM both JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+        reach(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.r)
+        SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN size USING (doc_id) GROUP BY doc_id""",
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        q AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS top, unhex(sha1(body)) AS d FROM p),
+        bits AS (SELECT *, array_to_string(list_transform(range(40), i -> lpad(bin(CAST(concat('0x', substr(hex(d), i + 1, 1)) AS INTEGER)), 4, '0')), '') AS b FROM q)
+        SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(b[5 * i + 1] AS INTEGER) + 8 * CAST(b[5 * i + 2] AS INTEGER)
+                   + 4 * CAST(b[5 * i + 3] AS INTEGER) + 2 * CAST(b[5 * i + 4] AS INTEGER) + CAST(b[5 * i + 5] AS INTEGER), 1)), '') AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+        FROM bits""",
 }

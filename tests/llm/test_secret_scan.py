@@ -1,0 +1,60 @@
+import random
+import zlib
+
+import pytest
+
+from tessera.llm.queries import op5_secret_scan, secret_dictionary
+from tessera.llm.secret_scan import CANDIDATE, candidates, coverage, features, scan, train
+from tests.llm.helpers import ODD_TEXTS, docs_of, no_docs, odd_docs
+
+SF1 = "/root/testdata/sf0.1"  # smaller tables hold too few secrets
+
+
+@pytest.fixture(scope="module")
+def dictionary():
+    return secret_dictionary()
+
+
+def test_features(dictionary):
+    f = features("a1B2" * 6, "token = ", "", "src", dictionary)
+    assert f[0] == 24 and f[1:5] == [0.25, 0.25, 0.5, 0.0] and sum(f[5:21]) == pytest.approx(1)
+    assert coverage("the" * 4, frozenset(["the"])) == 1 and coverage("xyzq", frozenset(["the"])) == 0
+
+
+def test_forest_on_held_out_findings(spark, dictionary):
+    docs = spark.read.parquet(f"{SF1}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    out = [i for i in texts if zlib.crc32(str(i).encode()) % 5 == 0]
+    rows = {r.doc_id: r for r in op5_secret_scan(spark, SF1).collect()}
+    assert set(rows) == set(texts)
+    right = wrong = 0
+    for i in out:
+        r = rows[i]
+        assert r.n_candidates == len(CANDIDATE.findall(texts[i]))
+        found = {(s.start, s.end) for s in r.secrets}
+        for m in CANDIDATE.finditer(texts[i]):
+            secret = texts[i][: m.start()].lower().endswith('token = "')
+            right, wrong = right + (((m.start(), m.end()) in found) == secret), wrong + (((m.start(), m.end()) in found) != secret)
+        assert all(texts[i][s.start : s.end] == s.value for s in r.secrets)
+    assert right > 50 and wrong <= 0.01 * (right + wrong)
+
+
+def test_forest_uses_the_string_itself(spark, dictionary):
+    rng = random.Random(2)
+    key = lambda: "".join(rng.choices("abcdef0123456789", k=40))
+    word = lambda: "".join(rng.choice(["that", "there", "with", "other", "which"]) for _ in range(6))
+    texts = [f'token = "{key()}" and {word()} here' for _ in range(60)]
+    docs = docs_of(spark, texts)
+    labelled = candidates(docs, dictionary)
+    assert train(labelled) is not None and train(labelled.where("labelled = 1")) is None
+    asked = docs_of(spark, [f'secret = "{key()}"', f"see {word()}"])
+    got = {r.doc_id: r for r in scan(asked, labelled, dictionary).collect()}
+    assert (got[0].n_secrets, got[1].n_secrets, got[1].n_candidates) == (1, 0, 1)
+
+
+def test_odd_rows_and_empty_table(spark, dictionary):
+    docs = odd_docs(spark)
+    got = scan(docs, candidates(docs, dictionary), dictionary).collect()
+    assert len(got) == len(ODD_TEXTS) + 1
+    assert sorted(r.n_candidates for r in got) == sorted(len(CANDIDATE.findall(r.text or "")) for r in docs.collect())
+    assert scan(no_docs(spark), None, dictionary).count() == 0
