@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,6 +146,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     sent = _small(docs.sparkSession, ranks)
     src = arrange(docs, {id_col: "id", text_col: "text"}).select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "block")
     kind = dict(src.dtypes)["id"]
+    narrow = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.uint32
 
     def ask(batches):
         for block, parts in runs(batches):
@@ -158,11 +160,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
                         words[h] = data[s:e]
             if not words:
                 continue
-            hashes = np.fromiter(words, U64, len(words))
+            bucket = (np.fromiter(words, U64, len(words)) % U64(n)).astype(np.int64)
             listed = pa.array(words.values(), pa.binary())
-            listed = listed.take(pa.array(np.argsort(hashes % U64(n), kind="stable")))
-            ends = np.cumsum(np.bincount((hashes % U64(n)).astype(np.int64), minlength=n))
-            rows = [(k, pack(word=listed.slice(i, j - i))) for k, (i, j) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if j > i]
+            in_order = pc.sort_indices(listed).to_numpy()  # neighbours share their beginnings, which packs well
+            listed = listed.take(pa.array(in_order[np.argsort(bucket[in_order], kind="stable")]))
+            ends = np.cumsum(np.bincount(bucket, minlength=n))
+            rows = [(k, pack(9, word=listed.slice(i, j - i))) for k, (i, j) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if j > i]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([r for _, r in rows], pa.binary())],
                 ["bucket", "block", "words"])
@@ -172,27 +175,29 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
         whole = pa.concat_arrays(lists).dictionary_encode()
         ids = [merge(w, sent.value) for w in whole.dictionary.to_pylist()]
         at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(at[-1]))
+        flat = np.fromiter((i for x in ids for i in x), narrow, int(at[-1]))
         index = whole.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         out, i = [], 0
         for words in lists:
             raw, to = buffers(words)
-            own, own_at = _gather(flat, at, index[i : i + len(words)])
-            order = pa.ListArray.from_arrays(pa.array(own_at, pa.int32()), pa.array(own))
-            out.append(pack(hash=span_hashes(raw, to[:-1], to[1:]), ids=order))
+            hashes = span_hashes(raw, to[:-1], to[1:])
+            order = np.argsort(hashes)
+            own, own_at = _gather(flat, at, index[i : i + len(words)][order])
+            out.append((pack(3, step=np.diff(hashes[order], prepend=U64(0)), size=np.diff(own_at).astype(np.uint32)), pack(3, id=own)))
             i += len(words)
-        return pa.table({"block": t.column("block"), "ids": pa.array(out, pa.binary())})
+        return pa.table({"block": t.column("block"), "words": pa.array([w for w, _ in out], pa.binary()), "ids": pa.array([i for _, i in out], pa.binary())})
 
     def shrink(batches):
         for block, parts in runs(batches):
             t = pa.Table.from_batches(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pack(id=t.column("id"), text=t.column("text"))], pa.binary())], ["block", "texts"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pack(9, id=t.column("id"), text=t.column("text"))], pa.binary())], ["block", "texts"])
 
     def assemble(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        got = [unpack(c.as_py()) for c in answers.column("ids")]
-        hashes = np.concatenate([column(g, "hash").to_numpy() for g in got]) if got else np.empty(0, U64)
-        lists = pa.concat_arrays([column(g, "ids") for g in got]) if got else pa.array([], pa.list_(pa.uint32()))
-        flat, at = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        join = lambda x, kind: np.concatenate([*x, np.empty(0, kind)]).astype(kind)
+        got = [unpack(c.as_py()) for c in answers.column("words")]
+        hashes = join([np.cumsum(column(g, "step").to_numpy()) for g in got], U64)
+        at = np.concatenate([[0], np.cumsum(join([column(g, "size").to_numpy() for g in got], np.int64))])
+        flat = join([column(unpack(c.as_py()), "id").to_numpy() for c in answers.column("ids")], narrow)
         order = np.argsort(hashes, kind="stable")
         hashes = hashes[order]
         to_id, out = [], []
@@ -201,7 +206,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
                 t = pa.Table.from_batches([b])
                 p = PreTokens(column(t, "text"))
                 where = np.minimum(np.searchsorted(hashes, p.hashes), max(len(hashes) - 1, 0))
-                ids, ids_at = _gather(flat, at, order[where]) if len(where) else (np.empty(0, np.uint32), np.zeros(1, np.int64))
+                ids, ids_at = _gather(flat, at, order[where]) if len(where) else (flat[:0], np.zeros(1, np.int64))
                 data = ids.astype("<u4").tobytes()
                 ends = (ids_at[p.row_at] * 4).tolist()
                 out += [data[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
@@ -210,7 +215,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
         return pa.table({"id": named, "ids": pa.array(out, pa.binary())})
 
     asked = src.mapInArrow(ask, "bucket int, block long, words binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "block long, ids binary")
+    answered = asked.groupBy("bucket").applyInArrow(answer, "block long, words binary, ids binary")
     shrunk = src.mapInArrow(shrink, "block long, texts binary")
     out = shrunk.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(assemble, f"id {kind}, ids binary")
     return out.withColumnRenamed("id", id_col)

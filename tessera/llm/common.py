@@ -22,7 +22,7 @@ from tessera.session import reliable_checkpoint
 #: Rows of one file that form a block, and the text bytes from which a document is a block of its own.
 BLOCK_ROWS, LONG_TEXT = 4096, 256 << 10
 #: Texts are worked on in slices of about so many bytes, which bounds the numpy arrays of a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 
@@ -53,10 +53,10 @@ def lower_az(c):
     return F.when(plain, F.lower(c)).otherwise(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def pack(**arrays) -> bytes:
+def pack(level: int = 1, **arrays) -> bytes:
     t = pa.table({k: a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a) for k, a in arrays.items()})
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as w:
         w.write_table(t)
     return sink.getvalue().to_pybytes()
 
@@ -108,7 +108,7 @@ def runs(batches, text: str = "text") -> Iterator[tuple[int, list[pa.RecordBatch
         ids = b.column(b.schema.get_field_index("block")).to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and (int(ids[i]) != at or size > 8 * SLICE_BYTES):
+            if held and (int(ids[i]) != at or size > 16 * SLICE_BYTES):
                 yield at, held
                 held, size = [], 0
             at = int(ids[i])
