@@ -40,7 +40,7 @@ def advance(spark: SparkSession, arrivals: str, kind: str, state: str) -> DataFr
     """Streams what is new in the folder ``arrivals`` into the state kept in the folder ``state`` and returns the state:
     digest, keep (id, row_file, row_no) and group_size."""
     own = spark.newSession()
-    for k, v in STATE_CONF.items():
+    for k, v in {**STATE_CONF, "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}.items():
         own.conf.set(k, v)
     stream = own.readStream.schema(ARRIVAL.format(kind=kind)).parquet(arrivals)
     keyed = stream.groupBy("digest").agg(F.max(F.struct("id", "row_file", "row_no")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
