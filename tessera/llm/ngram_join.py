@@ -1,8 +1,9 @@
 """N-gram Jaccard join: token-combination prefixes, then exact verification.
 
 A document is the set of its word shingles (64-bit hashes).  Documents of equal sets are one class (a 128-bit digest of
-the set).  Shingles have a global order, rare ones first: a fixed-size sketch counts all shingles of all documents, and a
-shingle whose cell is well above the mean is *frequent*.  Any order gives the same result; this one keeps groups small.
+the set).  Shingles have a global order, rare ones first: a fixed-size sketch counts all shingles of all documents,
+shingles are ordered by the count of their cell, and one whose cell is well above the mean is *frequent*.  Any order
+gives the same result; this one keeps groups small.
 
 Sets x and y link when their Jaccard similarity is at least t = 3/4, so they share at least 3 (|x| + |y|) / 7 shingles.
 
@@ -36,7 +37,7 @@ from tessera.session import reliable_checkpoint
 #: Words of a shingle, and the similarity in hundredths from which documents link.
 SHINGLE, PERCENT = 5, 75
 #: Cells of the sketch of shingle counts, its parts, and words of 64 bits of the filter of wanted rows.
-CELLS, PARTS, FILTER_WORDS = 1 << 22, 64, 1 << 19
+CELLS, PARTS, FILTER_WORDS = 1 << 23, 64, 1 << 19
 #: Keys are cut to 48 bits: they only propose pairs.
 KEY = U64((1 << 48) - 1)
 BEGIN, END = U64(0x2B992DDFA23249D6), U64(0x6A09E667F3BCC909)
@@ -56,7 +57,7 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def prefix_keys(s: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Keys under which a set is indexed: single rare shingles, and pairs of frequent ones."""
+    """Keys under which a set, in the global order, is indexed: single rare shingles, and pairs of frequent ones."""
     n, of = len(s), frequent
     rare, common = s[~of], s[of]
     p = n - -(-percent * n // 100) + 1
@@ -75,8 +76,8 @@ def _cells(s: np.ndarray) -> np.ndarray:
     return (s >> U64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
-def _frequent(sketch: DataFrame) -> np.ndarray:
-    """One bit for each cell: whether its count is well above the mean of all cells."""
+def _rarity(sketch: DataFrame) -> tuple[np.ndarray, int]:
+    """Count of every cell (16 bits: larger ones stay at the top), and the count above which shingles are frequent."""
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(CELLS // PARTS, np.int64)
         for c in t.column("counts"):
@@ -88,7 +89,7 @@ def _frequent(sketch: DataFrame) -> np.ndarray:
     for r in sketch.groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # PARTS rows of fixed size
         out[r["part"] * width : (r["part"] + 1) * width] = column(unpack(r["counts"]), "n").to_numpy()
     mean = out.mean()
-    return np.packbits(out > mean + 4 * math.sqrt(mean) + 8)
+    return np.minimum(out, 65535).astype(np.uint16), int(min(mean + 4 * math.sqrt(mean) + 8, 65534))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -166,18 +167,20 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     first = reliable_checkpoint(src.mapInArrow(classify, f"id {kind}, row_file string, row_no long, place long, n long, cls binary, part int, counts binary"))
     rows = first.where("part is null").select("id", "row_file", "row_no", "place", "n", "cls")
-    frequent = spark.sparkContext.broadcast(_frequent(first.where("part is not null").select("part", "counts")))
+    rarity = spark.sparkContext.broadcast(_rarity(first.where("part is not null").select("part", "counts")))
 
     # 2. prefixes: packed keys by bucket; combinations are only carried along
     def index(batches):
-        bits = np.unpackbits(frequent.value).astype(bool)
+        counts, limit = rarity.value
         for block, parts in runs(batches):
             seen, keys, owner, combos, combo_owner = {}, [], [], [], []
             for b in parts:
                 for s in _sets(b, shingle):
                     if not len(s) or (d := _digest(s)) in seen:
                         continue
-                    single, pairs = prefix_keys(s, bits[_cells(s)], percent)
+                    c = counts[_cells(s)]
+                    order = np.lexsort((s, c))
+                    single, pairs = prefix_keys(s[order], c[order] > limit, percent)
                     i = len(seen)
                     seen[d] = len(s)
                     keys.append(mix(single) & KEY)

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from tessera.llm import ngram_join as module
 from tessera.llm.ngram_join import components, ngram_join, prefix_keys
-from tests.conftest import SF001, SF01
+from tests.conftest import SF01
 from tests.llm.helpers import docs_of, no_docs, odd_docs
 
 
@@ -93,25 +93,21 @@ def variants(seed=3):
     return texts
 
 
-@pytest.mark.parametrize("frequent", ["none", "some", "all"])
-@pytest.mark.parametrize("left", [20, 0])
+@pytest.mark.parametrize("frequent,left", [("none", 20), ("some", 0), ("all", 20)])
 def test_against_brute_force(spark, monkeypatch, frequent, left):
-    bits = {"none": np.zeros(module.CELLS // 8, np.uint8), "all": np.full(module.CELLS // 8, 255, np.uint8)}
-    if frequent in bits:
-        monkeypatch.setattr(module, "_frequent", lambda sketch: bits[frequent])
-    else:
-        monkeypatch.setattr(module, "_frequent", lambda sketch: np.random.default_rng(5).integers(0, 256, module.CELLS // 8, np.uint8))
+    top = {"none": 1, "some": 4, "all": 5}[frequent]
+    counts = np.random.default_rng(5).integers(4 if frequent == "all" else 0, top, module.CELLS).astype(np.uint16)
+    monkeypatch.setattr(module, "_rarity", lambda sketch: (counts, 1))
     monkeypatch.setattr(module, "LEFT", left)
     texts = variants()
     assert got(docs_of(spark, texts), n_buckets=3) == brute(list(enumerate(texts)))
 
 
 def test_documents(spark):
-    for sf in (SF001, SF01):
-        docs = spark.read.parquet(f"{sf}/documents.parquet")
-        want = brute([(r.doc_id, r.text) for r in docs.collect()])
-        assert got(docs) == want
-        assert any(a != c for a, _, c in want)
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    want = brute([(r.doc_id, r.text) for r in docs.collect()])
+    assert got(docs) == want
+    assert any(a != c for a, _, c in want)
 
 
 def test_odd_rows_and_empty_table(spark):
