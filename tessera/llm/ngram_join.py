@@ -76,6 +76,24 @@ def _cells(s: np.ndarray) -> np.ndarray:
     return (s >> U64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
+def _signature(s: np.ndarray) -> bytes:
+    """Parity bits: bit i tells whether an odd number of elements fall on i. Twice the size's power of two."""
+    bits = 1 << max(8, min(16, (2 * len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _may_link(x: bytes, n_x: int, y: bytes, n_y: int, percent: int) -> bool:
+    """Whether sets of these signatures and sizes can be similar: every differing bit needs an element that only one of
+    them has, so they share at most half of what is left."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    shared = min((n_x + n_y - int(np.bitwise_count(x ^ y).sum())) // 2, n_x, n_y)
+    return 100 * shared >= percent * (n_x + n_y - shared)
+
+
 def _rarity(sketch: DataFrame) -> tuple[np.ndarray, int]:
     """Count of every cell (16 bits: larger ones stay at the top), and the count above which shingles are frequent."""
     def add(t: pa.Table) -> pa.Table:
@@ -111,23 +129,55 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link. A class that is in many pairs stands as a, so it is joined last."""
-    met = pairs.join(sets.select(F.col("cls").alias("b"), F.col("elements").alias("right")), "b").join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("left")), "a")
+def _pairs_that(pairs: DataFrame, of: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) of classes whose rows in ``of`` (cls, n, data) pass the test.  A class that is in many pairs
+    stands as a, so it is joined last."""
+    side = lambda c: of.select(F.col("cls").alias(c), F.struct("n", "data").alias(f"{c}_row"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_row", "b_row")
+
+    def check(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            left, right = column(t, "a_row"), column(t, "b_row")
+            rows = zip(left.field("data"), left.field("n").to_pylist(), right.field("data"), right.field("n").to_pylist(), strict=True)
+            keep = [test(x.as_buffer(), n_x, y.as_buffer(), n_y) for x, n_x, y, n_y in rows]
+            yield from t.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).to_batches()
+
+    return met.mapInArrow(check, "a binary, b binary")
+
+
+def _similar(x, n_x: int, y, n_y: int, percent: int) -> bool:
+    """Whether two sorted sets link."""
+    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    shared = int((x[at] == y).sum())
+    return 100 * shared >= percent * (n_x + n_y - shared)
 
-    def verify(batches):
-        for b in batches:
-            a_of, b_of = b.schema.get_field_index("left"), b.schema.get_field_index("right")
-            keep = []
-            for x, y in zip(b.column(a_of), b.column(b_of), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                shared = int((x[at] == y).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            t = pa.table({"a": b.column(b.schema.get_field_index("a")), "b": b.column(b.schema.get_field_index("b"))}).filter(pa.array(keep, pa.bool_()))
-            yield from t.to_batches()
 
-    return met.select("a", "b", "left", "right").mapInArrow(verify, "a binary, b binary")
+def _fetch(src: DataFrame, places: DataFrame, shingle: int) -> DataFrame:
+    """(cls, n, data) with the sorted sets of the rows named in ``places`` (cls, place, n).  A fixed-size filter of places
+    goes to the tasks, which make sets of the rows that pass; the join removes what passed by chance."""
+    places = reliable_checkpoint(places)
+    bit = F.pmod(F.col("place"), F.lit(FILTER_WORDS * 64))
+    mask = F.expr(f"shiftleft(1L, cast(pmod(pmod(place, {FILTER_WORDS * 64}), 64) as int))")
+    got = places.groupBy(F.floor(bit / 64).cast("int").alias("word")).agg(F.bit_or(mask).alias("mask")).toPandas()  # at most FILTER_WORDS rows
+    marks = np.zeros(FILTER_WORDS, np.int64)
+    marks[got["word"]] = got["mask"]
+    passes = src.sparkSession.sparkContext.broadcast(marks.view(np.uint64))
+
+    def fetch(batches):
+        for b in slices(batches):
+            bit = np.mod(b.column(b.schema.get_field_index("place")).to_numpy(), FILTER_WORDS * 64).astype(np.int64)
+            hit = (passes.value[bit // 64] >> (bit % 64).astype(U64)) & U64(1)
+            b = b.filter(pa.array(hit.astype(bool)))
+            sets = _sets(b, shingle) if b.num_rows else []
+            here = [i for i, s in enumerate(sets) if len(s)]
+            place = b.column(b.schema.get_field_index("place")).take(pa.array(here, pa.int64()))
+            cols = [pa.array([_digest(sets[i]) for i in here], pa.binary()), place, pa.array([sets[i].astype("<u8").tobytes() for i in here], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["cls", "place", "data"])
+
+    sets = src.select("text", "place").mapInArrow(fetch, "cls binary, place long, data binary")
+    return sets.join(places, ["cls", "place"]).select("cls", "n", "data")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, n_buckets: int | None = None) -> DataFrame:
@@ -150,7 +200,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sketch = np.zeros(CELLS, np.int32)
         null = lambda n, t: pa.nulls(n, t)
         id_type = None
-        names = ["id", "row_file", "row_no", "place", "n", "cls", "part", "counts"]
+        names = ["id", "row_file", "row_no", "place", "n", "cls", "bits", "part", "counts"]
         for b in slices(batches):
             t = pa.Table.from_batches([b])
             sets = _sets(b, shingle)
@@ -159,14 +209,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for s in {d: s for d, s in zip(digests, sets, strict=True) if d}.values():
                 np.add.at(sketch, _cells(s), 1)
             yield pa.RecordBatch.from_arrays(
-                [*(column(t, c) for c in names[:4]), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), null(len(sets), pa.int32()), null(len(sets), pa.binary())], names)
+                [*(column(t, c) for c in names[:4]), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([_signature(s) if len(s) else None for s in sets], pa.binary()),
+                 null(len(sets), pa.int32()), null(len(sets), pa.binary())], names)
         if id_type is not None:
-            cells = [pack(n=x) for x in sketch.reshape(PARTS, -1)]
+            cells = [pack(3, n=x.astype(np.uint8) if x.max() < 256 else x) for x in sketch.reshape(PARTS, -1)]
             yield pa.RecordBatch.from_arrays(
-                [null(PARTS, id_type), null(PARTS, pa.string()), null(PARTS, pa.int64()), null(PARTS, pa.int64()), null(PARTS, pa.int64()), null(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(cells, pa.binary())], names)
+                [null(PARTS, id_type), null(PARTS, pa.string()), null(PARTS, pa.int64()), null(PARTS, pa.int64()), null(PARTS, pa.int64()), null(PARTS, pa.binary()), null(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(cells, pa.binary())], names)
 
-    first = reliable_checkpoint(src.mapInArrow(classify, f"id {kind}, row_file string, row_no long, place long, n long, cls binary, part int, counts binary"))
-    rows = first.where("part is null").select("id", "row_file", "row_no", "place", "n", "cls")
+    first = reliable_checkpoint(src.mapInArrow(classify, f"id {kind}, row_file string, row_no long, place long, n long, cls binary, bits binary, part int, counts binary"))
+    rows = first.where("part is null").select("id", "row_file", "row_no", "place", "n", "cls", "bits")
     rarity = spark.sparkContext.broadcast(_rarity(first.where("part is not null").select("part", "counts")))
 
     # 2. prefixes: packed keys by bucket; combinations are only carried along
@@ -260,33 +311,21 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = found.where(f"kind = {STAR}").select(F.col("leader").alias("a"), F.col("cls").alias("b")).unionByName(common.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")))
     stars = reliable_checkpoint(stars.distinct())
 
-    # 4. the sets of all classes that may link
+    # 4. links among pairs: first by signatures, then by the sets of what is left
     wanted = stars.select(F.col("a").alias("cls")).unionByName(stars.select(F.col("b").alias("cls"))).unionByName(groups.select("cls")).distinct()
-    places = reliable_checkpoint(rows.where("cls is not null").groupBy("cls").agg(F.min("place").alias("place")).join(wanted, "cls"))
-    bit = F.pmod(F.col("place"), F.lit(FILTER_WORDS * 64))
-    words = places.select(F.floor(bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(place, {FILTER_WORDS * 64}), 64) as int))").alias("mask"))
-    marks = np.zeros(FILTER_WORDS, np.int64)
-    got = words.groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()  # at most FILTER_WORDS rows
-    marks[got["word"]] = got["mask"]
-    passes = spark.sparkContext.broadcast(marks.view(np.uint64))
-
-    def fetch(batches):
-        for b in slices(batches):
-            place = b.column(b.schema.get_field_index("place")).to_numpy()
-            bit = np.mod(place, FILTER_WORDS * 64).astype(np.int64)
-            hit = (passes.value[bit // 64] >> (bit % 64).astype(U64)) & U64(1)
-            b = b.filter(pa.array(hit.astype(bool)))
-            sets = _sets(b, shingle) if b.num_rows else []
-            here = [i for i, s in enumerate(sets) if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_digest(sets[i]) for i in here], pa.binary()), b.column(b.schema.get_field_index("place")).take(pa.array(here, pa.int64())), pa.array([sets[i].astype("<u8").tobytes() for i in here], pa.binary())],
-                ["cls", "place", "elements"])
+    places = rows.where("cls is not null").groupBy("cls").agg(F.min("place").alias("place")).join(wanted, "cls")
+    marks = reliable_checkpoint(rows.select("cls", "place", "n", F.col("bits").alias("data")).join(places, ["cls", "place"]))
 
-    sets = src.select("text", "place").mapInArrow(fetch, "cls binary, place long, elements binary").join(places, ["cls", "place"]).dropDuplicates(["cls"])
-    sets = reliable_checkpoint(sets.select("cls", "elements"))
+    def linked(pairs: DataFrame) -> DataFrame:
+        left = reliable_checkpoint(_pairs_that(pairs, marks, lambda x, n_x, y, n_y: _may_link(x, n_x, y, n_y, percent)))
+        if left.isEmpty():
+            return left
+        named = left.select(F.col("a").alias("cls")).unionByName(left.select(F.col("b").alias("cls"))).distinct()
+        sets = reliable_checkpoint(_fetch(src, marks.select("cls", "place", "n").join(named, "cls"), shingle))
+        return reliable_checkpoint(_pairs_that(left, sets, lambda x, n_x, y, n_y: _similar(x, n_x, y, n_y, percent)))
 
     # 5. links and components
-    links = reliable_checkpoint(_linked(stars, sets, percent))
+    links = linked(stars)
     whole = reliable_checkpoint(components(links))
     for turn in range(ROUNDS + 1):
         named = groups.join(whole.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -303,7 +342,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         else:  # another leader for each group
             heads = rest.groupBy("key").agg(F.max_by(F.struct("cls", "n", "component"), F.xxhash64("cls", F.lit(turn))).alias("head"))
             pairs = rest.join(heads, "key").where((F.col("component") != F.col("head.component")) & close(F.col("n"), F.col("head.n"))).select(F.col("head.cls").alias("a"), F.col("cls").alias("b"))
-        more = reliable_checkpoint(_linked(pairs.distinct(), sets, percent))
+        more = linked(pairs.distinct())
         links = links.unionByName(more)
         if not more.isEmpty():
             whole = reliable_checkpoint(components(links))

@@ -72,6 +72,23 @@ def test_prefixes_meet_when_sets_link(data):
         assert keys[0] & keys[1]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 900), st.floats(0, 0.4), st.integers())
+def test_signatures_pass_all_sets_that_link(n, change, seed):
+    rng = np.random.default_rng(abs(seed))
+    x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    y = np.unique(np.concatenate([x[rng.random(len(x)) > change], rng.integers(0, 1 << 63, int(n * change * rng.random())).astype(np.uint64)]))
+    if not len(y):
+        return
+    shared = len(np.intersect1d(x, y))
+    links = 100 * shared >= 75 * (len(x) + len(y) - shared)
+    assert module._similar(x.tobytes(), len(x), y.tobytes(), len(y), 75) == links
+    may = module._may_link(module._signature(x), len(x), module._signature(y), len(y), 75)
+    assert may or not links
+    z = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    assert n < 50 or not module._may_link(module._signature(x), len(x), module._signature(z), len(z), 75)
+
+
 def variants(seed=3):
     rng, texts = random.Random(seed), []
     vocabulary = [f"w{i}" for i in range(400)]
