@@ -27,6 +27,8 @@ from tessera.llm.common import U64, arrange, buckets, buffers, column, pack, run
 
 #: Bytes of tokens that are sent to all executors.
 MAX_VOCABULARY = 64 << 20
+#: Words that are merged before their ids are put into arrays.
+MERGED = 1 << 14
 #: The characters of White_Space, and the endings that the pattern takes off after an apostrophe.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -137,8 +139,27 @@ def _small(spark: SparkSession, ranks: dict[bytes, int]):
     return spark.sparkContext.broadcast(ranks)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", n_buckets: int | None = None) -> DataFrame:
-    """One row per input row: the id and ``ids``, the token ids as little-endian unsigned 32-bit integers (binary).
+def _token_bytes(spark: SparkSession, ranks: dict[bytes, int]):
+    """The token-byte table: all tokens' bytes in the order of their ids, and where each begins."""
+    by_id = {i: t for t, i in ranks.items()}
+    tokens = [by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)]
+    if (size := sum(map(len, tokens))) > MAX_VOCABULARY:
+        raise ValueError(f"tokens of {size} bytes; at most {MAX_VOCABULARY} are sent to the executors")
+    return spark.sparkContext.broadcast((b"".join(tokens), np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)))
+
+
+def _look_up(table: tuple[bytes, np.ndarray], ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Bytes of the tokens of every row; row i has ids[ends[i]:ends[i + 1]]."""
+    found, to = _gather(np.frombuffer(table[0], np.uint8), table[1], ids.astype(np.int64))
+    found, to = found.tobytes(), to[ends].tolist()
+    return [found[i:j] for i, j in zip(to[:-1], to[1:], strict=True)]
+
+
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", n_buckets: int | None = None, decoded: bool = False,
+) -> DataFrame:
+    """One row per input row: the id and ``ids``, the token ids as little-endian unsigned 32-bit integers (binary); if
+    asked for, also ``decoded``, the bytes that the ids stand for, looked up in the same task as ``decode`` does.
 
     Null and empty texts have no ids (empty binary); a null id stays null; repeated rows stay; an empty table gives an
     empty result; other columns are not read.  ``ranks`` must hold all 256 single bytes."""
@@ -146,6 +167,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     sent = _small(docs.sparkSession, ranks)
     src = arrange(docs, {id_col: "id", text_col: "text"}).select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "block")
     kind = dict(src.dtypes)["id"]
+    table = _token_bytes(docs.sparkSession, ranks) if decoded else None
     narrow = np.uint16 if max(ranks.values(), default=0) < 1 << 16 else np.uint32
 
     def ask(batches):
@@ -173,9 +195,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     def answer(t: pa.Table) -> pa.Table:
         lists = [column(unpack(c.as_py()), "word") for c in t.column("words")]
         whole = pa.concat_arrays(lists).dictionary_encode()
-        ids = [merge(w, sent.value) for w in whole.dictionary.to_pylist()]
-        at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-        flat = np.fromiter((i for x in ids for i in x), narrow, int(at[-1]))
+        flat, sizes = [], []
+        for i in range(0, len(whole.dictionary), MERGED):
+            ids = [merge(w, sent.value) for w in whole.dictionary.slice(i, MERGED).to_pylist()]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter((i for x in ids for i in x), narrow, int(sizes[-1].sum())))
+        flat, at = np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         index = whole.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         out, i = [], 0
         for words in lists:
@@ -200,7 +225,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
         flat = join([column(unpack(c.as_py()), "id").to_numpy() for c in answers.column("ids")], narrow)
         order = np.argsort(hashes, kind="stable")
         hashes = hashes[order]
-        to_id, out = [], []
+        to_id, out, again = [], [], []
         for cell in texts.column("texts"):
             for b in slices(unpack(cell.as_py()).to_batches()):
                 t = pa.Table.from_batches([b])
@@ -210,37 +235,30 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
                 data = ids.astype("<u4").tobytes()
                 ends = (ids_at[p.row_at] * 4).tolist()
                 out += [data[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                if decoded:
+                    again += _look_up(table.value, ids, ids_at[p.row_at])
                 to_id.append(column(t, "id"))
         named = pa.chunked_array(to_id) if to_id else pa.array([], unpack(texts.column("texts")[0].as_py()).schema.field("id").type if len(texts) else pa.int64())
-        return pa.table({"id": named, "ids": pa.array(out, pa.binary())})
+        return pa.table({"id": named, "ids": pa.array(out, pa.binary())} | ({"decoded": pa.array(again, pa.binary())} if decoded else {}))
 
     asked = src.mapInArrow(ask, "bucket int, block long, words binary")
     answered = asked.groupBy("bucket").applyInArrow(answer, "block long, words binary, ids binary")
     shrunk = src.mapInArrow(shrink, "block long, texts binary")
-    out = shrunk.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(assemble, f"id {kind}, ids binary")
+    out = shrunk.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(assemble, f"id {kind}, ids binary" + ", decoded binary" * decoded)
     return out.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """The columns of ``encoded`` and ``decoded``, the bytes that its ``ids`` stand for (null ids: null)."""
-    by_id = {i: t for t, i in ranks.items()}
-    top = max(by_id, default=-1) + 1
-    tokens = [by_id.get(i, b"") for i in range(top)]
-    at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
-    sent = encoded.sparkSession.sparkContext.broadcast((b"".join(tokens), at))
-    if len(sent.value[0]) > MAX_VOCABULARY:
-        raise ValueError("too many token bytes to send to the executors")
+    sent = _token_bytes(encoded.sparkSession, ranks)
     fields = ", ".join(f"`{c}` {k}" for c, k in encoded.dtypes)
 
     def look_up(batches):
-        data, at = np.frombuffer(sent.value[0], np.uint8), sent.value[1]
         for b in slices(batches, "ids"):
             ids = column(pa.Table.from_batches([b]), "ids")
             raw, ends = buffers(ids)
-            found, to = _gather(data, at, np.frombuffer(raw.tobytes(), "<u4").astype(np.int64))
-            found, to = found.tobytes(), to[ends // 4].tolist()
-            null = ids.is_null().to_pylist()
-            texts = [None if x else found[i:j] for x, i, j in zip(null, to[:-1], to[1:], strict=True)]
+            found = _look_up(sent.value, np.frombuffer(raw.tobytes(), "<u4"), ends // 4)
+            texts = [None if x else t for x, t in zip(ids.is_null().to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(look_up, f"{fields}, decoded binary")

@@ -22,7 +22,7 @@ from tessera.session import reliable_checkpoint
 #: Rows of one file that form a block, and the text bytes from which a document is a block of its own.
 BLOCK_ROWS, LONG_TEXT = 4096, 256 << 10
 #: Texts are worked on in slices of about so many bytes, which bounds the numpy arrays of a task.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 512 << 10
 U64 = np.uint64
 
 
@@ -108,7 +108,7 @@ def runs(batches, text: str = "text") -> Iterator[tuple[int, list[pa.RecordBatch
         ids = b.column(b.schema.get_field_index("block")).to_numpy(zero_copy_only=False)
         cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and (int(ids[i]) != at or size > 16 * SLICE_BYTES):
+            if held and (int(ids[i]) != at or size > 32 * SLICE_BYTES):
                 yield at, held
                 held, size = [], 0
             at = int(ids[i])

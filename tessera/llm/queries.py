@@ -62,7 +62,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    out = byte_bpe.decode(byte_bpe.encode(docs, ranks), ranks)
+    out = byte_bpe.encode(docs, ranks, decoded=True)
     return out.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

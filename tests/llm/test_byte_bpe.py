@@ -48,6 +48,8 @@ def test_as_the_library(spark, ranks, library):
         got = sorted((r.doc_id, bytes(r.decoded).decode(), np.frombuffer(r.ids, "<u4").tolist()) for r in decode(encode(docs, ranks, n_buckets=3), ranks).collect())
         assert [(i, t) for i, t, _ in got] == texts
         assert [ids for _, _, ids in got] == [library.encode_ordinary(t) for _, t in texts]
+        both = encode(docs, ranks, n_buckets=3, decoded=True).collect()
+        assert sorted((r.doc_id, bytes(r.decoded).decode()) for r in both) == texts
 
 
 def test_empty_table(spark, ranks):
