@@ -29,6 +29,8 @@ HEADLINE = [
     "silhouette",
     "mean_word_vector_embed",
     "cluster_texts_stats",
+    "assign_cluster",
+    "build_prompts",
 ]
 
 

@@ -67,10 +67,12 @@ def chebyshev(a, b) -> Column:
 
 
 def hellinger(a, b) -> Column:
-    """sqrt(1 - sum(sqrt(x y)) / sqrt(sum x * sum y)) for non-negative inputs."""
+    """sqrt(1 - sum(sqrt(x y)) / sqrt(sum x * sum y)) for non-negative inputs;
+    two zero vectors are at distance 0, a zero vector is at 1 from any other."""
     bc = _sum(F.zip_with(_c(a), _c(b), lambda x, y: F.sqrt(x * y)))
-    den = F.sqrt(_sum(_c(a)) * _sum(_c(b)))
-    return F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - bc / den))
+    sa, sb = _sum(_c(a)), _sum(_c(b))
+    none = F.when((sa == 0) & (sb == 0), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - F.coalesce(F.try_divide(bc, F.sqrt(sa * sb)), none)))
 
 
 DISTANCES = {

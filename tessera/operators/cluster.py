@@ -14,12 +14,17 @@ counted and checked before they are broadcast):
 
 from __future__ import annotations
 
-import numpy as np
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vector as V
 from tessera.operators.scale import with_constants
+from tessera.session import reliable_checkpoint
 
 MAX_CLUSTERS = 10_000
 
@@ -28,27 +33,17 @@ def _dense(col: str):
     return F.col(col).cast("array<double>")
 
 
-def _elementwise_sum_by(df: DataFrame, key: str, vec) -> DataFrame:
-    """(key, dim, total) = element-wise sums per key (partial aggregation)."""
-    ex = df.select(F.col(key).alias("_k"), F.posexplode(vec).alias("dim", "v"))
-    return ex.groupBy("_k", "dim").agg(F.sum("v").alias("total"))
-
-
 def cluster_summaries(df: DataFrame, cluster_col: str, vec, with_unit: bool = False) -> list[dict]:
-    """Per cluster: size, sum vector (and sum of unit vectors); k checked."""
-    sizes = df.groupBy(F.col(cluster_col).alias("_k")).agg(F.count(F.lit(1)).alias("n"))
-    cols = [_elementwise_sum_by(df, cluster_col, vec).withColumnRenamed("total", "s")]
-    if with_unit:
-        cols.append(_elementwise_sum_by(df, cluster_col, V.normalize(vec)).withColumnRenamed("total", "u"))
-    sizes_rows = sizes.limit(MAX_CLUSTERS + 1).collect()
-    if len(sizes_rows) > MAX_CLUSTERS:
+    """Per cluster: size, sum vector (or the sum of unit vectors ``u``), from
+    one aggregate with map-side partial sums; k rows."""
+    v = array_to_vector(V.normalize(vec) if with_unit else vec)
+    rows = df.groupBy(F.col(cluster_col).alias("_k")).agg(
+        F.count(F.lit(1)).alias("n"), Summarizer.metrics("sum").summary(v).alias("s")).select(
+        "_k", "n", vector_to_array("s.sum").alias("s")).limit(MAX_CLUSTERS + 1).collect()
+    if len(rows) > MAX_CLUSTERS:
         raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    out = {r["_k"]: {"label": r["_k"], "n": r["n"]} for r in sizes_rows}
-    for frame, name in zip(cols, ["s", "u"]):
-        agg = frame.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("dim", name))).alias("a")).collect()
-        for r in agg:
-            out[r["_k"]][name] = [x[name] for x in r["a"]]
-    return [out[k] for k in sorted(out)]
+    out = [{"label": r["_k"], "n": r["n"], "u" if with_unit else "s": r["s"]} for r in rows]
+    return sorted(out, key=lambda x: x["label"])
 
 
 def _summary_row(spark, summaries: list[dict], fields: list[str]) -> dict:
@@ -71,13 +66,14 @@ def silhouette(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
     xx = V.dot(F.col("_x"), F.col("_x"))
     dots = F.transform(F.col("_u"), lambda s: V.dot(F.col("_x"), s))
     own_dot = F.element_at(dots, idx.cast("int"))
-    a = ((own_n - 1.0) - (own_dot - xx)) / (own_n - 1.0)
+    a = F.try_divide((own_n - 1.0) - (own_dot - xx), own_n - 1.0)
     others = F.filter(
         F.transform(F.arrays_zip(F.col("_labels"), F.col("_sizes"), dots.alias("d")),
                     lambda t: F.struct(t["_labels"].alias("l"), ((t["_sizes"] - t["d"]) / t["_sizes"]).alias("m"))),
         lambda t: t["l"] != F.col("_cl"))
     b = F.array_min(F.transform(others, lambda t: t["m"]))
-    s = F.when(own_n <= 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
+    # a row as near to its own cluster as to the next (a = b = 0: duplicates in two clusters) scores 0
+    s = F.when(own_n <= 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
     return j.select(s.alias("_s")).agg(F.avg("_s").alias("silhouette"))
 
 
@@ -131,55 +127,36 @@ def davies_bouldin(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
 # --- k-means -------------------------------------------------------------------
 
 def kmeans(df: DataFrame, vec_col: str, k: int = 4, n_init: int = 20, seed: int = 7742, max_iter: int = 300,
-           id_col: str | None = None, name: str = "cluster", engine: str = "auto"):
+           id_col: str | None = None, name: str = "cluster", init: str = "k-means||"):
     """Best of ``n_init`` seeded k-means runs (lowest inertia), labels
     canonicalised: clusters ordered by size descending, then by the smallest
     member id.  Returns (labelled frame, centroids as a list).
 
-    ``engine="batched"`` runs all restarts in the same data passes (one job
-    per Lloyd iteration for every restart together: n_init times fewer scans
-    of the data); ``engine="ml"`` runs Spark ML k-means|| once per restart
-    (concurrent jobs; cheaper while jobs are latency-bound).  ``"auto"``
-    picks batched from ``BATCHED_FROM_ROWS`` rows on."""
-    if engine == "auto":
-        engine = "batched" if df.count() >= BATCHED_FROM_ROWS else "ml"
-    if engine == "batched":
-        return _kmeans_batched(df, vec_col, k, n_init, seed, max_iter, id_col, name)
-    if engine != "ml":
-        raise ValueError("engine must be 'batched' or 'ml'")
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    from concurrent.futures import ThreadPoolExecutor
-
-    data = df.withColumn("_features", array_to_vector(_dense(vec_col))).persist()
+    One engine at every size: Spark ML k-means, seeded over all rows
+    (``init``: ``k-means||`` or ``random``), restarts as concurrent jobs over
+    vectors that are written once to the shared folder."""
+    if init not in ("k-means||", "random"):
+        raise ValueError("init must be 'k-means||' or 'random'")
+    data = reliable_checkpoint(df.withColumn("_features", array_to_vector(_dense(vec_col))))
 
     def fit(i):
         m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features", predictionCol="_raw",
-                   initMode="k-means||", tol=1e-4).fit(data)
+                   initMode=init, tol=1e-4).fit(data)
         return m.summary.trainingCost, i, m
 
-    # Restarts are independent jobs: run a few concurrently on the cluster.
     slots = df.sparkSession.sparkContext.defaultParallelism
     with ThreadPoolExecutor(max_workers=max(1, min(8, slots, int(n_init)))) as pool:
         fits = list(pool.map(fit, range(max(1, int(n_init)))))
-    best = min(fits, key=lambda t: (t[0], t[1]))
-    best = (best[0], best[2])
-    model = best[1]
+    model = min(fits, key=lambda t: (t[0], t[1]))[2]
     pred = model.transform(data).drop("_features")
     order_key = F.min(F.col(id_col)) if id_col else F.lit(0)
-    stats = pred.groupBy("_raw").agg(F.count(F.lit(1)).alias("_n"), order_key.alias("_first")).collect()
+    stats = pred.groupBy("_raw").agg(F.count(F.lit(1)).alias("_n"), order_key.alias("_first")).collect()  # k rows
     ranked = sorted(stats, key=lambda r: (-r["_n"], r["_first"] if r["_first"] is not None else 0, r["_raw"]))
     mapping = {r["_raw"]: i for i, r in enumerate(ranked)}
-    spark = df.sparkSession
-    remap = spark.createDataFrame(list(mapping.items()), "_raw int, " + f"{name} int")
     centers = model.clusterCenters()
-    centroids = [None] * len(mapping)
-    for raw, new in mapping.items():
-        centroids[new] = [float(x) for x in centers[raw]]
-    out = pred.join(F.broadcast(remap), "_raw").drop("_raw")
-    data.unpersist()
-    return out, centroids
+    centroids = [[float(x) for x in centers[raw]] for raw in mapping]
+    label = F.coalesce(*[F.when(F.col("_raw") == raw, new) for raw, new in mapping.items()])
+    return pred.withColumn(name, label.cast("int")).drop("_raw"), centroids
 
 
 def assign_nearest(df: DataFrame, vec_col: str, centroids: list[list[float]], name: str = "cluster",
@@ -197,90 +174,3 @@ def assign_nearest(df: DataFrame, vec_col: str, centroids: list[list[float]], na
         dist = V.distance(metric)
     ds = F.transform(F.col("_cent"), lambda c, i: F.struct(dist(_dense(vec_col), c).alias("d"), i.alias("i")))
     return j.withColumn(name, F.array_min(ds)["i"].cast("int")).drop("_cent")
-
-
-# --- batched restarts -----------------------------------------------------------
-
-INIT_SAMPLE = 20_000
-BATCHED_FROM_ROWS = 1_000_000
-
-
-def _kmeans_pp(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ seeding on a bounded sample (greedy D^2 sampling)."""
-    centres = [x[rng.integers(len(x))]]
-    d2 = ((x - centres[0]) ** 2).sum(1)
-    for _ in range(1, k):
-        total = d2.sum()
-        nxt = x[rng.integers(len(x))] if total <= 0 else x[rng.choice(len(x), p=d2 / total)]
-        centres.append(nxt)
-        d2 = np.minimum(d2, ((x - nxt) ** 2).sum(1))
-    return np.stack(centres)
-
-
-def _kmeans_batched(df: DataFrame, vec_col: str, k: int, n_init: int, seed: int, max_iter: int,
-                    id_col: str | None, name: str, tol: float = 1e-4):
-    import pandas as pd
-
-    spark = df.sparkSession
-    data = df.withColumn("_kv", _dense(vec_col)).persist()
-    n = data.count()
-    frac = min(1.0, 2.0 * INIT_SAMPLE / max(n, 1))
-    sample = np.stack(data.sample(fraction=frac, seed=seed).select("_kv").limit(INIT_SAMPLE).toPandas()["_kv"]
-                      .to_numpy())
-    r_count = max(1, int(n_init))
-    centres = np.stack([_kmeans_pp(sample, k, np.random.default_rng(seed + r)) for r in range(r_count)])
-    scale = float(np.mean(sample.var(0))) if len(sample) else 1.0
-
-    def pass_fn(cent):
-        bc = spark.sparkContext.broadcast(cent)
-
-        def part(it):
-            c = bc.value  # (R, k, d)
-            sums = np.zeros_like(c)
-            counts = np.zeros(c.shape[:2])
-            inertia = np.zeros(c.shape[0])
-            for chunk in it:
-                if chunk.empty:
-                    continue
-                x = np.stack(chunk["_kv"].to_numpy())
-                xx = (x * x).sum(1)
-                for r in range(c.shape[0]):
-                    d2 = xx[:, None] - 2 * x @ c[r].T + (c[r] * c[r]).sum(1)[None, :]
-                    a = d2.argmin(1)
-                    inertia[r] += np.maximum(d2[np.arange(len(x)), a], 0).sum()
-                    counts[r] += np.bincount(a, minlength=c.shape[1])
-                    for j in range(c.shape[1]):
-                        sums[r, j] += x[a == j].sum(0)
-            yield pd.DataFrame({"s": [sums.reshape(-1)], "n": [counts.reshape(-1)], "i": [inertia]})
-
-        rows = data.select("_kv").mapInPandas(part, "s array<double>, n array<double>, i array<double>").collect()
-        s = np.sum([np.asarray(r["s"]) for r in rows], axis=0).reshape(cent.shape)
-        cnt = np.sum([np.asarray(r["n"]) for r in rows], axis=0).reshape(cent.shape[:2])
-        inertia = np.sum([np.asarray(r["i"]) for r in rows], axis=0)
-        return s, cnt, inertia
-
-    active = np.ones(r_count, bool)
-    inertia = np.full(r_count, np.inf)
-    for _ in range(max_iter):
-        s, cnt, inertia = pass_fn(centres)
-        new = np.where(cnt[:, :, None] > 0, s / np.maximum(cnt[:, :, None], 1), centres)
-        shift = ((new - centres) ** 2).sum((1, 2))
-        centres = np.where(active[:, None, None], new, centres)
-        active &= shift > tol * scale
-        if not active.any():
-            break
-    _, _, inertia = pass_fn(centres)
-    best = centres[int(np.argmin(inertia))]
-    labelled = assign_nearest(data, "_kv", [list(c) for c in best], "_raw", "euclidean")
-    order_key = F.min(F.col(id_col)) if id_col else F.lit(0)
-    stats = labelled.groupBy("_raw").agg(F.count(F.lit(1)).alias("_n"), order_key.alias("_first")).collect()
-    ranked = sorted(stats, key=lambda r: (-r["_n"], r["_first"] if r["_first"] is not None else 0, r["_raw"]))
-    mapping = {r["_raw"]: i for i, r in enumerate(ranked)}
-    remap = spark.createDataFrame(list(mapping.items()), "_raw int, " + f"{name} int")
-    centroids = [None] * len(mapping)
-    for raw, new_label in mapping.items():
-        centroids[new_label] = [float(x) for x in best[raw]]
-    centroids = [c for c in centroids if c is not None]
-    out = labelled.join(F.broadcast(remap), "_raw").drop("_raw", "_kv")
-    data.unpersist()
-    return out, centroids

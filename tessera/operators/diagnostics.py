@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +51,20 @@ def qq_points(df: DataFrame, resid: str = "externally_studentized_residuals", st
 
 def qq_reference_line(points: DataFrame, x: str = "qq_x", y: str = "qq_y") -> DataFrame:
     """Slope and intercept of the 45-degree, standardised (s), regression
-    (r) and quartile (q) reference lines, one row per type."""
+    (r) and quartile (q) reference lines, one row per type.  The quartiles are
+    read at their positions in the sorted order (``qq_position``), so no task
+    gathers the residuals."""
+    n = points.count()
+
+    def quartile(q):  # linear interpolation between the two nearest positions
+        h = q * (n - 1)
+        low = math.floor(h)
+        at = lambda i: F.max(F.when(F.col("qq_position") == i + 1, F.col(y)))
+        return at(low) + (at(math.ceil(h)) - at(low)) * F.lit(h - low)
+
     agg = points.agg(
         F.avg(y).alias("my"), F.stddev_pop(y).alias("sy"), F.regr_slope(y, x).alias("rs"),
-        F.regr_intercept(y, x).alias("ri"), F.percentile(y, 0.25).alias("q25"),
-        F.percentile(y, 0.75).alias("q75"),
+        F.regr_intercept(y, x).alias("ri"), quartile(0.25).alias("q25"), quartile(0.75).alias("q75"),
     )
     tq1, tq3 = normal_ppf_scalar(0.25), normal_ppf_scalar(0.75)
     slope_q = (F.col("q75") - F.col("q25")) / F.lit(tq3 - tq1)

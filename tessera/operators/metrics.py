@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.keys import add_row_number, rank_bounded
+from tessera.sources.keys import add_row_number
 
+# Names of the statistics, in the order of the result.
 STATISTICS = ("mean", "median", "min", "max", "sum", "std", "var", "sem", "size")
 
 
@@ -28,10 +29,11 @@ def group_median(df: DataFrame, group_col: str, value_col: str, name: str = "med
     vals = df.select(group_col, clean_metric(value_col).alias("_v")).where(F.col("_v").isNotNull())
     numbered = add_row_number(vals, [group_col, "_v"], name="_pos", start=0)
     bounds = numbered.groupBy(group_col).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    lo = F.col("_first") + F.floor((F.col("_n") - 1) / 2)
-    hi = F.col("_first") + F.floor(F.col("_n") / 2)
-    middle = numbered.join(bounds, group_col).where((F.col("_pos") == lo) | (F.col("_pos") == hi))
-    return middle.groupBy(group_col).agg(F.avg("_v").alias(name))
+    lo = (F.col("_first") + F.floor((F.col("_n") - 1) / 2)).cast("long")
+    hi = (F.col("_first") + F.floor(F.col("_n") / 2)).cast("long")
+    # the middle positions of each group: a position is in one row, so no group is one join key
+    wanted = bounds.select(F.explode(F.array_distinct(F.array(lo, hi))).alias("_pos"))
+    return numbered.join(wanted, "_pos").groupBy(group_col).agg(F.avg("_v").alias(name))
 
 
 def cluster_metric_stats(df: DataFrame, column: str, sort_metric: str = "mean", cluster_col: str = "cluster",
@@ -60,13 +62,13 @@ def cluster_metric_stats(df: DataFrame, column: str, sort_metric: str = "mean",
         aggs.append(F.percentile_approx(v, 0.5, 10000).cast("double").alias("median"))
         stats = df.groupBy(cluster_col).agg(*aggs)
     elif median == "exact":
-        stats = df.groupBy(cluster_col).agg(*aggs).join(group_median(df, cluster_col, column), cluster_col, "left")
+        medians = group_median(df, cluster_col, column).withColumnRenamed(cluster_col, "_group")
+        stats = df.groupBy(cluster_col).agg(*aggs)
+        stats = stats.join(medians, F.col(cluster_col).eqNullSafe(F.col("_group")), "left").drop("_group")
     else:
         raise ValueError("median must be 'exact' or 'approx'")
     stats = stats.withColumn("metric", F.col(sort_metric))
-    # k rows: ranked from a bounded collect of the keys (checked), distributed otherwise.
-    ranked = rank_bounded(stats, [F.col("metric").desc_nulls_last(), F.col(cluster_col)], key=cluster_col,
-                          name="rank", start=0)
+    ranked = add_row_number(stats, [F.col("metric").desc_nulls_last(), F.col(cluster_col)], name="rank", start=0)
     return ranked.select(
         F.col("rank").cast("int").alias("rank"), F.col(cluster_col).alias("cluster"),
         *[F.col(s) for s in STATISTICS], "metric",
@@ -128,3 +130,13 @@ def top_texts_per_group(df: DataFrame, group_col: str, metric: str, n: int, bigg
     pre = pre.where(F.col("_lr") <= n).drop("_lr", "_salt")
     w = Window.partitionBy(group_col).orderBy(*order)
     return pre.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+
+
+def remove_observations(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose id is not in ``ids`` (a null id stays)."""
+    return df.join(ids.select(id_col).distinct(), id_col, "left_anti")
+
+
+def fill_missing(df: DataFrame, columns: list[str], value: float = 0) -> DataFrame:
+    """Missing values of the named columns replaced by ``value``."""
+    return df.na.fill(value, columns)

@@ -21,7 +21,6 @@ from tessera.operators.metrics import top_texts_per_group
 # Prompt wording of the reference, in order of assembly.
 RECENT_HEADER = "The following are the most recent tweets written by {account}:\n"
 SUCCESS_HEADER = "The following are the most successful tweets ever written by {account}:\n"
-ITEM = "{i}. {text}\n"
 LIST_END = "\n"
 TONE = ", written in a {tone} tone,"
 BOTH_TAIL = ("The following is an {account} tweet about {topic}{tone} that is related to recent events and has a "
@@ -58,11 +57,15 @@ def _fill(template: str, account: Column, topic: str, tone: str | None) -> Colum
 
 def build_prompts(recent: DataFrame | None, successful: DataFrame | None, account: str, topic: str,
                   tone: str | None = None, account_name: Callable[[Column], Column] | None = None,
-                  text_col: str = "text", user_prompt: str | None = None) -> DataFrame:
+                  text_col: str = "text", user_prompt: str | None = None,
+                  accounts: DataFrame | None = None) -> DataFrame:
     """One prompt per account from ranked recent and successful texts
     (``account, rank, text`` rows, at most n per account).  A user prompt
-    overrides the template; an account with neither list gets the plain
+    overrides the template.  ``accounts`` lists the accounts to write for
+    (default: those in either list); one with neither list gets the plain
     sentence."""
+    if accounts is None and recent is None and successful is None:
+        raise ValueError("give accounts, or at least one list")
     name = account_name or (lambda c: c.cast("string"))
 
     def gathered(df, alias):
@@ -73,7 +76,11 @@ def build_prompts(recent: DataFrame | None, successful: DataFrame | None, accoun
                                                  F.col(text_col).alias("text")))).alias(alias))
 
     r, s = gathered(recent, "_recent"), gathered(successful, "_success")
-    if r is not None and s is not None:
+    if accounts is not None:
+        both = accounts.select(account).distinct()
+        for part in (r, s):
+            both = both if part is None else both.join(part, account, "left")
+    elif r is not None and s is not None:
         both = r.join(s, account, "full_outer")
     else:
         both = r if r is not None else s

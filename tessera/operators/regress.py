@@ -285,27 +285,27 @@ def ols_influence(df: DataFrame, fit: OlsFit) -> DataFrame:
     # each stage stays small enough for whole-stage code generation.
     st1 = j.select(*base_cols, "_du", "_dv", xc.alias("x"), yc.alias("y"),
                    (F.col("_a") + F.col("_b") * xc).alias("fitted_values"),
-                   (F.lit(1.0) / F.col("_n") + (xc - F.col("_xbar")) * (xc - F.col("_xbar")) / F.col("_sxx"))
+                   (F.lit(1.0) / F.col("_n") + F.try_divide((xc - F.col("_xbar")) * (xc - F.col("_xbar")), F.col("_sxx")))
                    .alias("leverage"))
     e = F.col("y") - F.col("fitted_values")
     st2 = st1.select("*", e.alias("residuals"), (F.lit(1.0) - F.col("leverage")).alias("_omh"))
     valid = F.col("_omh") > 1e-12
     st3 = st2.select(
         "*",
-        F.when(valid, F.col("residuals") / F.col("_omh")).alias("press_residuals"),
-        ((F.lit((n - p) * s2) - F.col("residuals") * F.col("residuals") / F.col("_omh")) / F.lit(n - p - 1.0))
+        F.when(valid, F.try_divide(F.col("residuals"), F.col("_omh"))).alias("press_residuals"),
+        F.try_divide(F.lit((n - p) * s2) - F.try_divide(F.col("residuals") * F.col("residuals"), F.col("_omh")), F.lit(n - p - 1.0))
         .alias("_s2i"),
-        F.sqrt(F.col("leverage") / F.col("_omh")).alias("_ratio"),
+        F.when(valid, F.sqrt(F.try_divide(F.col("leverage"), F.col("_omh")))).alias("_ratio"),
     )
     ok_ext = valid & (F.col("_s2i") > 0)
     st4 = st3.select(
         "*",
-        F.when(valid, F.col("residuals") / F.sqrt(F.lit(s2) * F.col("_omh"))).alias("_tint"),
-        F.when(ok_ext, F.col("residuals") / F.sqrt(F.col("_s2i") * F.col("_omh"))).alias("_text"),
+        F.when(valid, F.try_divide(F.col("residuals"), F.sqrt(F.lit(s2) * F.col("_omh")))).alias("_tint"),
+        F.when(ok_ext, F.try_divide(F.col("residuals"), F.sqrt(F.col("_s2i") * F.col("_omh")))).alias("_text"),
     )
     out = st4.select(
         *base_cols, "x", "y", "fitted_values", "residuals", "leverage",
-        F.when(valid, F.col("_tint") * F.col("_tint") * F.col("leverage") / (F.lit(p) * F.col("_omh")))
+        F.when(valid, F.try_divide(F.col("_tint") * F.col("_tint") * F.col("leverage"), F.lit(p) * F.col("_omh")))
         .alias("cooks_d"),
         F.col("_tint").alias("standard_resid"),
         (F.col("_tint") * F.col("_ratio")).alias("dffits_internal"),
@@ -315,9 +315,9 @@ def ols_influence(df: DataFrame, fit: OlsFit) -> DataFrame:
         "press_residuals",
         F.col("_tint").alias("internally_studentized_residuals"),
         *[
-            F.when(ok_ext, (F.element_at("_du", i + 1) + F.element_at("_dv", i + 1) * F.col("x"))
-                   * F.col("press_residuals")
-                   / F.sqrt(F.col("_s2i") * F.lit(c if c is not None else float("nan")))).alias(f"dfb_{name}")
+            F.when(ok_ext, F.try_divide(
+                (F.element_at("_du", i + 1) + F.element_at("_dv", i + 1) * F.col("x")) * F.col("press_residuals"),
+                F.sqrt(F.col("_s2i") * F.lit(c if c is not None else float("nan"))))).alias(f"dfb_{name}")
             for i, (name, c) in enumerate(zip(fit.names, fit.cov_diag))
         ],
     )

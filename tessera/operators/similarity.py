@@ -1,9 +1,9 @@
 """Cosine similarity between texts.
 
-* Filtered matrices (M1-M3) first choose at most ``size`` ids (exact list,
+* Filtered matrices (M1-M3) first choose ``size`` ids (exact list,
   seeded hash order, or the focus id's nearest / farthest / hashed others
   found by one linear scan against the broadcast focus vector), and only then
-  form the size x size pairs.  ``size`` is checked, so the pair set is bounded.
+  form the size x size pairs, by a join in parts.
 * Unfiltered similarity is re-aimed as every row's top-k (M4, D10) and as a
   thresholded self-join (M5).  Both use exact blocked products: rows are
   hashed into B balanced blocks, each (left block, right block) task is a
@@ -24,38 +24,44 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vector as V
 
-MAX_FILTER_SIZE = 1_000
 LCG_MOD = 2147483647
 LCG_MUL = 48271
 
 
-def hash_order(id_col: str, seed: int):
-    """Deterministic pseudo-random order key of an integer id (a Lehmer step);
-    the same arithmetic is expressible in any SQL engine."""
-    return F.pmod(F.pmod(F.col(id_col), F.lit(LCG_MOD)) * F.lit(LCG_MUL) + F.lit(int(seed)), F.lit(LCG_MOD))
+def hash_order(id_col: str, seed: int, numeric: bool = True):
+    """Deterministic pseudo-random order key of an id (a Lehmer step of an
+    integer, or of a string's CRC-32); the same arithmetic is expressible in
+    any SQL engine."""
+    key = F.col(id_col) if numeric else F.crc32(F.col(id_col).cast("string").cast("binary"))
+    return F.pmod(F.pmod(key, F.lit(LCG_MOD)) * F.lit(LCG_MUL) + F.lit(int(seed)), F.lit(LCG_MOD))
+
+
+def _numeric(df: DataFrame, id_col: str) -> bool:
+    return df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
 
 
 def _check_size(size: int) -> int:
-    if size < 1 or size > MAX_FILTER_SIZE:
-        raise ValueError(f"filter size must be in 1..{MAX_FILTER_SIZE}")
+    if size < 1:
+        raise ValueError("filter size must be at least 1")
     return int(size)
 
 
 def cosine_pairs(vectors: DataFrame, id_col: str, vec_col: str, cluster_col: str | None = None,
-                 max_ids: int = MAX_FILTER_SIZE) -> DataFrame:
-    """M1: all ordered pairs (self pairs included) of an already filtered,
-    bounded id set: ``id1, id2, cosine_similarity, cluster1, cluster2`` and
-    the labels ``"<id>1: <id1>"`` / ``"<id>2: <id2>"``.  A zero vector has
-    similarity 0 with everything."""
+                 blocks: int = 8) -> DataFrame:
+    """M1: all ordered pairs (self pairs included) of an already filtered
+    id set: ``id1, id2, cosine_similarity, cluster1, cluster2`` and the labels
+    ``"<id>1: <id1>"`` / ``"<id>2: <id2>"``.  A zero vector has similarity 0
+    with everything.
+
+    The set is joined with itself in ``blocks`` parts: every left row goes to
+    all parts, every right row to the part of its id, so no task gathers the
+    set."""
     cl = F.col(cluster_col) if cluster_col else F.lit(None).cast("int")
     items = vectors.select(F.struct(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"),
                                     cl.alias("c")).alias("it"))
-    # The filtered set is bounded by ``max_ids``: gather it into one row and
-    # pair it with itself inside that row.
-    one = items.agg(F.collect_list("it").alias("items"))
-    one = one.where(F.size("items") <= max_ids)
-    left = one.select("items", F.explode("items").alias("a"))
-    pairs = left.select("a", F.explode("items").alias("b"))
+    left = items.select(F.col("it").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_part"))
+    right = items.select(F.col("it").alias("b"), F.pmod(F.xxhash64("it.id"), F.lit(blocks)).cast("int").alias("_part"))
+    pairs = left.join(right, "_part")
     return pairs.select(
         F.col("a.id").alias("id1"), F.col("b.id").alias("id2"),
         V.cosine_similarity(F.col("a.v"), F.col("b.v")).alias("cosine_similarity"),
@@ -78,7 +84,7 @@ def filter_exact(vectors: DataFrame, id_col: str, ids) -> DataFrame:
 def filter_random(vectors: DataFrame, id_col: str, size: int, seed: int = 7) -> DataFrame:
     """P5: ``size`` ids in seeded hash order (without replacement)."""
     size = _check_size(size)
-    return vectors.orderBy(hash_order(id_col, seed), F.col(id_col)).limit(size)
+    return vectors.orderBy(hash_order(id_col, seed, _numeric(vectors, id_col)), F.col(id_col)).limit(size)
 
 
 def filter_focused(vectors: DataFrame, id_col: str, vec_col: str, focus_id, mode: str = "most_similar",
@@ -97,13 +103,16 @@ def filter_focused(vectors: DataFrame, id_col: str, vec_col: str, focus_id, mode
     elif mode == "least_similar":
         order = [V.cosine_similarity(F.col(vec_col).cast("array<double>"), fv).asc(), F.col(id_col)]
     elif mode == "random":
-        order = [hash_order(id_col, seed), F.col(id_col)]
+        order = [hash_order(id_col, seed, _numeric(vectors, id_col)), F.col(id_col)]
     else:
         raise ValueError("mode must be most_similar, least_similar or random")
     chosen = others.orderBy(*order).limit(size - 1)
     return vectors.where(F.col(id_col) == F.lit(focus_id)).unionByName(chosen)
 
 
+METRICS = ("cosine", "euclidean", "manhattan", "chebyshev", "hellinger")
+
+
 # --- exact blocked top-k / threshold join ---------------------------------
 
 def _blocks(n: int, block_rows: int) -> int:
@@ -114,25 +123,42 @@ def _prepare(vectors: DataFrame, id_col: str, vec_col: str, metric: str, n_block
     v = F.col(vec_col).cast("array<double>")
     if metric == "cosine":
         v = V.normalize(v)
-    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"),
+    return vectors.select(F.col(id_col).alias("id"), v.alias("v"),
                           F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int").alias("blk"))
 
 
-def _block_pairs(prepared: DataFrame, n_blocks: int):
-    """Left rows replicated to tasks (blk, j), right rows to tasks (i, blk)."""
-    seq = F.sequence(F.lit(0), F.lit(n_blocks - 1))
+def _block_pairs(prepared: DataFrame, n_blocks: int, upper: bool = False):
+    """Left rows replicated to tasks (blk, j), right rows to tasks (i, blk);
+    ``upper``: only tasks (i, j) with i <= j."""
+    first, last = F.lit(0), F.lit(n_blocks - 1)
+    to_right = F.sequence(F.col("blk") if upper else first, last)
+    to_left = F.sequence(first, F.col("blk") if upper else last)
     # Distinct names per side: both sides derive from one frame, and shared
     # attribute ids would make the co-group drop a side's columns.
     left = prepared.select(F.col("id").alias("lid"), F.col("v").alias("lv"), F.col("blk").alias("bl"),
-                           F.explode(seq).alias("br"))
-    right = prepared.select(F.col("id").alias("rid"), F.col("v").alias("rv"), F.explode(seq).alias("bl"),
+                           F.explode(to_right).alias("br"))
+    right = prepared.select(F.col("id").alias("rid"), F.col("v").alias("rv"), F.explode(to_left).alias("bl"),
                             F.col("blk").alias("br"))
     return left.groupBy("bl", "br"), right.groupBy("bl", "br")
 
 
+def _ids(col: pd.Series) -> np.ndarray:
+    """Ids that numpy can order: integers as they are, others as strings."""
+    return col.to_numpy() if col.dtype.kind in "iu" else col.astype(str).to_numpy().astype(str)
+
+
 def _scores(lv: np.ndarray, rv: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         return lv @ rv.T
+    if metric in ("manhattan", "chebyshev"):  # row by row: a block of n x d differences at a time
+        fold = np.sum if metric == "manhattan" else np.max
+        return -np.stack([fold(np.abs(rv - x), axis=1) for x in lv])
+    if metric == "hellinger":
+        sl, sr = lv.sum(1), rv.sum(1)
+        den = np.sqrt(sl[:, None] * sr[None, :])
+        bc = np.sqrt(lv) @ np.sqrt(rv).T
+        near = np.divide(bc, den, out=((sl[:, None] == 0) & (sr[None, :] == 0)).astype(float), where=den > 0)
+        return -np.sqrt(np.maximum(1.0 - near, 0.0))
     sq = (lv * lv).sum(1)[:, None] + (rv * rv).sum(1)[None, :] - 2.0 * (lv @ rv.T)
     return -np.sqrt(np.maximum(sq, 0.0))  # higher is closer
 
@@ -140,11 +166,10 @@ def _scores(lv: np.ndarray, rv: np.ndarray, metric: str) -> np.ndarray:
 def _topk_fn(k: int, metric: str, exclude_self: bool):
     def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if lpdf.empty or rpdf.empty:
-            return pd.DataFrame({"id": [], "nbr": [], "score": []})
+            return pd.DataFrame({"id": lpdf["lid"][:0], "nbr": lpdf["lid"][:0], "score": []})
         lv = np.stack(lpdf["lv"].to_numpy()).astype(np.float64)
         rv = np.stack(rpdf["rv"].to_numpy()).astype(np.float64)
-        lid = lpdf["lid"].to_numpy()
-        rid = rpdf["rid"].to_numpy()
+        lid, rid = _ids(lpdf["lid"]), _ids(rpdf["rid"])
         s = _scores(lv, rv, metric)
         if exclude_self:
             s = np.where(lid[:, None] == rid[None, :], -np.inf, s)
@@ -163,16 +188,17 @@ def topk_neighbours(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, m
                     block_rows: int = 2048, exclude_self: bool = True) -> DataFrame:
     """Every row's ``k`` nearest rows, exact.
 
-    ``metric`` is ``cosine`` (score = similarity) or ``euclidean`` (score =
-    distance, smallest first).  Ties by neighbour id.
+    ``metric`` is ``cosine`` (score = similarity) or another of ``METRICS``
+    (score = distance, smallest first; hellinger needs non-negative vectors).  Ties by neighbour id.
     """
-    if metric not in ("cosine", "euclidean"):
-        raise ValueError("metric must be cosine or euclidean")
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
     n = vectors.count()
     nb = _blocks(n, block_rows)
     prepared = _prepare(vectors, id_col, vec_col, metric, nb)
     lg, rg = _block_pairs(prepared, nb)
-    cand = lg.cogroup(rg).applyInPandas(_topk_fn(k, metric, exclude_self), "id long, nbr long, score double")
+    kind = vectors.schema[id_col].dataType.simpleString()
+    cand = lg.cogroup(rg).applyInPandas(_topk_fn(k, metric, exclude_self), f"id {kind}, nbr {kind}, score double")
     w = Window.partitionBy("id").orderBy(F.col("score").desc(), F.col("nbr"))
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     val = F.col("score") if metric == "cosine" else -F.col("score")
@@ -183,14 +209,17 @@ def topk_neighbours(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, m
 def _threshold_fn(threshold: float):
     def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if lpdf.empty or rpdf.empty:
-            return pd.DataFrame({"id1": [], "id2": [], "cosine_similarity": []})
+            return pd.DataFrame({"id1": lpdf["lid"][:0], "id2": lpdf["lid"][:0], "cosine_similarity": []})
         lv = np.stack(lpdf["lv"].to_numpy()).astype(np.float64)
         rv = np.stack(rpdf["rv"].to_numpy()).astype(np.float64)
-        lid = lpdf["lid"].to_numpy()
-        rid = rpdf["rid"].to_numpy()
+        lid, rid = _ids(lpdf["lid"]), _ids(rpdf["rid"])
         s = lv @ rv.T
-        i, j = np.nonzero((s >= threshold) & (lid[:, None] < rid[None, :]))
-        return pd.DataFrame({"id1": lid[i], "id2": rid[j], "cosine_similarity": s[i, j]})
+        close = s >= threshold
+        if lpdf["bl"].iloc[0] == lpdf["br"].iloc[0]:  # a block with itself holds every pair twice
+            close &= lid[:, None] < rid[None, :]
+        i, j = np.nonzero(close)
+        a, b = lid[i], rid[j]
+        return pd.DataFrame({"id1": np.where(a < b, a, b), "id2": np.where(a < b, b, a), "cosine_similarity": s[i, j]})
     return fn
 
 
@@ -199,6 +228,7 @@ def cosine_join(vectors: DataFrame, id_col: str, vec_col: str, threshold: float,
     n = vectors.count()
     nb = _blocks(n, block_rows)
     prepared = _prepare(vectors, id_col, vec_col, "cosine", nb)
-    lg, rg = _block_pairs(prepared, nb)
+    lg, rg = _block_pairs(prepared, nb, upper=True)
+    kind = vectors.schema[id_col].dataType.simpleString()
     return lg.cogroup(rg).applyInPandas(_threshold_fn(float(threshold)),
-                                        "id1 long, id2 long, cosine_similarity double")
+                                        f"id1 {kind}, id2 {kind}, cosine_similarity double")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import english_stop_words, tokens as token_expr
-from tessera.session import spread
+from tessera.session import reliable_checkpoint, spread
 
 BROADCAST_TERMS = 2_000_000
 
@@ -183,7 +183,8 @@ def tfidf_transform(docs: DataFrame, model: TfidfModel, id_col: str = "doc_id",
 def tfidf_fit_transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         params: TfidfParams = TfidfParams()) -> tuple[TfidfModel, DataFrame]:
     """Fit on ``docs`` and return (model, long-form weights)."""
-    counts = term_counts(docs, id_col, text_col, params)
+    # read by the fit and by the transform: the texts are tokenised once
+    counts = reliable_checkpoint(term_counts(docs, id_col, text_col, params))
     model = tfidf_fit(docs, id_col, text_col, params, counts=counts)
     return model, tfidf_transform(docs, model, id_col, text_col, counts=counts)
 

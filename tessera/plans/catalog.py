@@ -392,6 +392,23 @@ def knn_graph(spark, sf_dir):
     return t.select("id1", "id2", rounded("distance", 9).alias("distance"), F.col("rank").cast("int").alias("rank"))
 
 
+def _knn(spark, sf_dir, metric):
+    t = M.topk_neighbours(_emb(spark, sf_dir), "vec_id", "v", k=5, metric=metric, block_rows=128)
+    return t.select("id1", "id2", rounded("distance", 9).alias("distance"), F.col("rank").cast("int").alias("rank"))
+
+
+@query
+def knn_graph_manhattan(spark, sf_dir):
+    """Every vector's five nearest others by manhattan distance."""
+    return _knn(spark, sf_dir, "manhattan")
+
+
+@query
+def knn_graph_chebyshev(spark, sf_dir):
+    """Every vector's five nearest others by chebyshev distance."""
+    return _knn(spark, sf_dir, "chebyshev")
+
+
 @query
 def cosine_join(spark, sf_dir):
     """M5: all pairs with cosine similarity >= 0.3 (exact, blocked)."""
@@ -451,10 +468,10 @@ def _docs(spark, sf_dir):
 
 
 def derived_word_vectors(docs):
-    """A word-vector table derived from the corpus itself (lower-case ASCII
-    words): [length, first letter, last letter, length mod 3].  Stands in for
+    """A word-vector table derived from the corpus itself (all words, accented
+    ones too): [length, first letter, last letter, length mod 3].  Stands in for
     a trained model so the result has an exact SQL twin."""
-    words = tfidf.vocabulary(docs).where(F.col("term").rlike("^[a-z]+$"))
+    words = tfidf.vocabulary(docs)
     return words.select(
         F.col("term").alias("word"),
         F.array(F.length("term").cast("double"), (F.ascii("term") - 96).cast("double"),
@@ -527,9 +544,9 @@ from tessera.plans import cluster_texts as CT  # noqa: E402
 
 @query
 def kmeans(spark, sf_dir):
-    """K-means (k = 10, best of 5 seeded restarts) of the embeddings,
+    """K-means (k = 10, best of 20 seeded restarts) of the embeddings,
     canonical labels."""
-    labelled, _ = C.kmeans(_emb(spark, sf_dir).select("vec_id", "v"), "v", k=10, n_init=5, id_col="vec_id")
+    labelled, _ = C.kmeans(_emb(spark, sf_dir).select("vec_id", "v"), "v", k=10, id_col="vec_id")
     return labelled.select("vec_id", "cluster")
 
 
@@ -596,7 +613,7 @@ TOPIC, TONE = "the weather", "friendly"
 def _posts(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("account"), F.col("turn").alias("ts"), F.col("role").alias("kind"),
-                    (F.col("conv_id") * 1000 + F.col("turn")).alias("post_id"), "text",
+                    (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("post_id"), "text",
                     F.length("text").alias("n_chars"))
 
 
@@ -621,9 +638,9 @@ def _prompts(spark, sf_dir):
     ok = posts.where(F.col("kind") != "system")
     success = metrics.top_texts_per_group(ok, "account", "n_chars", N_EXAMPLES, True, id_col="post_id")
     accounts = posts.select("account").distinct()
-    prompts = PR.build_prompts(recent.select("account", "rank", "text"), success.select("account", "rank", "text"),
-                               "account", TOPIC, TONE, account_name=lambda c: F.concat(F.lit("account "), c))
-    return accounts.join(prompts, "account", "left")
+    return PR.build_prompts(recent.select("account", "rank", "text"), success.select("account", "rank", "text"),
+                            "account", TOPIC, TONE, account_name=lambda c: F.concat(F.lit("account "), c),
+                            accounts=accounts)
 
 
 @query
@@ -650,7 +667,7 @@ def remove_observations(spark, sf_dir):
     """Drop the documents labelled toxic (left-anti join with the id table)."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     toxic = _t(spark, sf_dir, "labels").where(F.col("toxic") == 1).select("doc_id")
-    return docs.join(toxic, "doc_id", "left_anti")
+    return metrics.remove_observations(docs, toxic)
 
 
 @query
@@ -658,7 +675,7 @@ def fill_missing(spark, sf_dir):
     """Labels joined to all documents, missing values filled with 0."""
     docs = _t(spark, sf_dir, "documents").select("doc_id")
     labels = _t(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return docs.join(labels, "doc_id", "left").na.fill(0, ["quality", "toxic"])
+    return metrics.fill_missing(docs.join(labels, "doc_id", "left"), ["quality", "toxic"])
 
 
 @query
@@ -722,12 +739,26 @@ def tfidf_options(spark, sf_dir):
     return w.select("doc_id", "term", "tf", rounded("weight", 9).alias("weight"))
 
 
+@query
+def tfidf_max_features(spark, sf_dir):
+    """E1 with a bounded vocabulary: the 50 commonest terms (ties by term)."""
+    _, w = tfidf.tfidf_fit_transform(_docs(spark, sf_dir), params=tfidf.TfidfParams(max_features=50))
+    return w.select("doc_id", "term", "tf", rounded("weight", 6).alias("weight"))
+
+
+@query
+def char_counts(spark, sf_dir):
+    """F5 analyzer ``char``: how often each character occurs in each document."""
+    tc = tfidf.term_counts(_docs(spark, sf_dir), params=tfidf.TfidfParams(analyzer="char"))
+    return tc.select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
+
+
 from tessera.operators import layout as LY  # noqa: E402
 
 
 @query
 def tsne_layout(spark, sf_dir):
     """2-D t-SNE of the embeddings on their exact 90-NN graph (perplexity
-    30, 200 iterations of which 100 exaggerated)."""
+    30, the operator's default iterations)."""
     e = _emb(spark, sf_dir).select("vec_id", "v")
-    return LY.tsne_layout(e, "vec_id", "v", perplexity=30.0, n_iter=200, exaggeration_iter=100)
+    return LY.tsne_layout(e, "vec_id", "v", perplexity=30.0)

@@ -24,14 +24,17 @@ from tessera.operators import tfidf as T
 from tessera.session import reliable_checkpoint
 
 EMBEDDINGS = ("tfidf", "mean_word_vector", "idf_word_vector", "vectors")
-REDUCTIONS = ("linear", "svd", "pca")
+STEPS = ("linear", "svd", "pca")
+REDUCTIONS = (*STEPS, "tsne", *(f"{s}__tsne" for s in STEPS))
+SPACES = ("auto", "before", "after_step1", "after_full")
 
 
 @dataclass(frozen=True)
 class TextClusterConfig:
     embedding: str = "tfidf"
     tfidf: T.TfidfParams = field(default_factory=T.TfidfParams)
-    reduction: str = "linear"          # linear (svd if sparse else pca), svd, pca; "<step>__tsne" chains
+    reduction: str = "linear"          # one of REDUCTIONS; linear is svd on sparse input, pca on dense
+    scale_before_reduction: str | None = None
     tsne_perplexity: float = 30.0
     tsne_iterations: int = 500
     step_one_dims: int = 50
@@ -57,7 +60,34 @@ class TextClusterModel:
     assign_metric: str = "euclidean"
 
 
+def _first_step(config: TextClusterConfig, sparse: bool) -> str:
+    """svd or pca, as the reduction setting says."""
+    if config.reduction not in REDUCTIONS:
+        raise ValueError(f"reduction must be one of {REDUCTIONS}, not {config.reduction!r}")
+    step = config.reduction.split("__")[0]
+    if step in ("linear", "tsne"):
+        step = "svd" if sparse else "pca"
+    if step == "pca" and sparse:
+        raise ValueError("pca centres its input, which a sparse TF-IDF matrix can't hold: use svd or linear")
+    return step
+
+
+def _svd_of_vectors(raw: DataFrame, k: int, config: TextClusterConfig) -> tuple[R.SvdModel, DataFrame]:
+    """Uncentred SVD of dense vectors: their long form, a term for each dimension."""
+    long = raw.select("doc_id", F.posexplode("vec").alias("_d", "weight")).where(F.col("weight") != 0)
+    long = long.select("doc_id", F.lpad(F.col("_d").cast("string"), 7, "0").alias("term"), "weight")
+    return R.truncated_svd(long, k=k, n_iter=config.svd_iterations, seed=config.seed)
+
+
+def _every_row(ids: DataFrame, rows: DataFrame, col: str, size: int) -> DataFrame:
+    """``rows`` for all ``ids``; what has no vector (no known term) gets the zero vector."""
+    zero = F.array_repeat(F.lit(0.0), size)
+    return ids.select("doc_id").join(rows, "doc_id", "left").withColumn(col, F.coalesce(F.col(col), zero))
+
+
 def _space(config: TextClusterConfig, sparse: bool) -> str:
+    if config.cluster_space not in SPACES:
+        raise ValueError(f"cluster_space must be one of {SPACES}")
     if config.cluster_space != "auto":
         return config.cluster_space
     # One-step types cluster before any reduction; on sparse TF-IDF that would
@@ -74,12 +104,14 @@ def cluster_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                        *([F.col(vec_col).alias("vec")] if vec_col else []))
     sparse = config.embedding == "tfidf"
     tf_model = svd_model = pca_model = None
+    first = _first_step(config, sparse)
+    if sparse and config.scale_before_reduction:
+        raise ValueError("scaling before reduction needs dense vectors")
     if sparse:
         tf_model, weights = T.tfidf_fit_transform(docs, "doc_id", "text", config.tfidf)
         svd_model, step1 = R.truncated_svd(weights, k=config.step_one_dims, n_iter=config.svd_iterations,
                                            seed=config.seed)
-        step1 = step1.withColumnRenamed("reduced", "step1")
-        raw = None
+        step1 = _every_row(docs, step1.withColumnRenamed("reduced", "step1"), "step1", len(svd_model.singular_values))
     else:
         if config.embedding == "mean_word_vector":
             raw = E.mean_word_vector_embed(docs, word_vectors, out="vec")
@@ -89,16 +121,28 @@ def cluster_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             raw = docs.select("doc_id", F.col("vec").cast("array<double>").alias("vec"))
         else:
             raise ValueError(f"embedding must be one of {EMBEDDINGS}")
-        raw = reliable_checkpoint(raw.where(F.col("vec").isNotNull()))
-        pca_model = R.pca(raw, "vec", min(config.step_one_dims, len(raw.first()["vec"])))
-        step1 = pca_model.transform(raw, "vec", "step1").select("doc_id", "step1", "vec")
+        raw = reliable_checkpoint(raw.select("doc_id", "vec"))
+        width = raw.where("vec is not null").select(F.size("vec")).first()
+        if width is None:
+            raise ValueError("no text has a vector")
+        raw = raw.withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0), width[0])))
+        if config.scale_before_reduction:
+            raw = reliable_checkpoint(S.scale(raw, "vec", config.scale_before_reduction, out="vec"))
+        if first == "svd":
+            svd_model, step1 = _svd_of_vectors(raw, min(config.step_one_dims, width[0]), config)
+            step1 = _every_row(raw, step1.withColumnRenamed("reduced", "step1"), "step1", len(svd_model.singular_values))
+            step1 = step1.join(raw, "doc_id")
+        else:
+            pca_model = R.pca(raw, "vec", min(config.step_one_dims, width[0]))
+            step1 = pca_model.transform(raw, "vec", "step1").select("doc_id", "step1", "vec")
     step1 = reliable_checkpoint(step1)
-    two_step = config.reduction.endswith("__tsne")
-    space = _space(config, sparse) if not (two_step and config.cluster_space == "auto") else "after_step1"
-    if two_step:
+    space = _space(config, sparse) if not ("__" in config.reduction and config.cluster_space == "auto") else "after_step1"
+    if config.reduction.endswith("tsne"):
         # Step one (SVD / PCA) feeds the t-SNE layout; the step-one frame is
         # materialised once and reused by layout, clustering and scores.
-        layout = reliable_checkpoint(LY.tsne_layout(step1.select("doc_id", "step1"), "doc_id", "step1",
+        # "tsne" alone lays out the dense vectors themselves (sparse: the step-one space).
+        col = "vec" if config.reduction == "tsne" and not sparse else "step1"
+        layout = reliable_checkpoint(LY.tsne_layout(step1.select("doc_id", col), "doc_id", col,
                                                     config.tsne_perplexity, config.tsne_iterations))
     else:
         layout = step1.select("doc_id", F.element_at("step1", 1).alias("x_embed"),
@@ -107,12 +151,10 @@ def cluster_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         cvec = step1.select("doc_id", F.col("step1").alias("cv"))
     elif space == "after_full":
         cvec = layout.select("doc_id", F.array("x_embed", "y_embed").alias("cv"))
-    elif space == "before":
+    else:
         if sparse:
             raise ValueError("clustering before reduction needs dense vectors")
         cvec = step1.select("doc_id", F.col("vec").alias("cv"))
-    else:
-        raise ValueError("cluster_space must be auto, before, after_step1 or after_full")
     scaled = S.scale(cvec, "cv", config.scale_before_cluster, out="sv")
     if config.algorithm == "kmeans":
         labelled, centroids = C.kmeans(scaled, "sv", config.n_clusters, config.n_init, config.seed, id_col="doc_id")
@@ -153,6 +195,8 @@ def assign_texts(new_docs: DataFrame, model: TextClusterModel, id_col: str = "do
         raise ValueError("assign_texts needs a TF-IDF + SVD model")
     if model.config.scale_before_cluster is not None:
         raise ValueError("assignment after cluster-space scaling is not supported")
+    if model.space == "after_full" and model.config.reduction.endswith("tsne"):
+        raise ValueError("a t-SNE layout has no transform: cluster in the step-one space to assign new texts")
     docs = new_docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     w = T.tfidf_transform(docs, model.tfidf_model)
     proj = model.svd_model.transform(w, out="cv")

@@ -470,7 +470,7 @@ w AS (SELECT btf.doc_id, btf.term, btf.tf, btf.tf * idf.idf AS w FROM btf JOIN i
 SELECT doc_id, term, CAST(tf AS BIGINT) AS tf, {r('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))', 6)} AS weight FROM w
 """
 
-_WV = """wv AS (SELECT DISTINCT term FROM toks WHERE regexp_full_match(term, '[a-z]+')),
+_WV = """wv AS (SELECT DISTINCT term FROM toks),
 wvv AS (SELECT term, CAST(length(term) AS DOUBLE) AS c0, CAST(ascii(term) - 96 AS DOUBLE) AS c1,
                CAST(ascii(right(term, 1)) - 96 AS DOUBLE) AS c2, CAST(length(term) % 3 AS DOUBLE) AS c3 FROM wv)"""
 
@@ -517,7 +517,7 @@ FROM l
 
 # --- posts and prompts ----------------------------------------------------------
 
-_POSTS = """posts AS (SELECT conv_id AS account, turn AS ts, role AS kind, conv_id * 1000 + turn AS post_id, text,
+_POSTS = """posts AS (SELECT conv_id AS account, turn AS ts, role AS kind, conv_id * 1000000 + turn AS post_id, text,
                   length(text) AS n_chars FROM conversations)"""
 
 SQL["recent_texts"] = f"""
@@ -602,3 +602,26 @@ w AS (SELECT tf.doc_id, tf.term, tf.tf, (1.0 + ln(tf.tf)) * (ln((1.0 + n.n) / (1
       FROM tf JOIN keep ON tf.term = keep.term CROSS JOIN n)
 SELECT doc_id, term, CAST(tf AS BIGINT) AS tf, {r('w / sum(abs(w)) OVER (PARTITION BY doc_id)', 9)} AS weight FROM w
 """
+
+for _name, _dist in (("manhattan", "list_sum([abs(a.v[i] - b.v[i]) for i in range(1, len(a.v) + 1)])"),
+                     ("chebyshev", "list_max([abs(a.v[i] - b.v[i]) for i in range(1, len(a.v) + 1)])")):
+    SQL[f"knn_graph_{_name}"] = f"""
+WITH {_E}, p AS (SELECT a.vec_id AS id1, b.vec_id AS id2, {_dist} AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+q AS (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY d, id2) AS rk FROM p)
+SELECT id1, id2, {r('d', 9)} AS distance, CAST(rk AS INTEGER) AS rank FROM q WHERE rk <= 5
+"""
+
+SQL["tfidf_max_features"] = f"""
+WITH {_TF},
+n AS (SELECT count(*) AS n FROM documents),
+dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 50),
+w AS (SELECT tf.doc_id, tf.term, tf.tf, tf.tf * (ln((1.0 + n.n) / (1.0 + dfq.df)) + 1.0) AS w
+      FROM tf JOIN dfq ON tf.term = dfq.term CROSS JOIN n)
+SELECT doc_id, term, CAST(tf AS BIGINT) AS tf, {r('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))', 6)} AS weight FROM w
+"""
+
+SQL["char_counts"] = """
+WITH t AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[\\t\\n\\v\\f\\r ][\\t\\n\\v\\f\\r ]+', ' ', 'g') AS x FROM documents),
+c AS (SELECT doc_id, unnest(string_split(x, '')) AS term FROM t)
+SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM c WHERE term <> '' GROUP BY doc_id, term
+"""

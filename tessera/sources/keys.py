@@ -83,18 +83,3 @@ def category_labels(df: DataFrame, col: str, name: str = "cluster") -> DataFrame
         return df.join(F.broadcast(table), col, "left")
     labelled = add_row_number(values, [col], name=name, start=0).withColumn(name, F.col(name).cast("int"))
     return df.join(labelled, col, "left")
-
-
-def rank_bounded(df: DataFrame, order_by: Sequence, key: str, name: str = "rank", start: int = 0,
-                 limit: int = MAX_LOCAL_LABELS) -> DataFrame:
-    """W1 on an aggregate keyed by the unique column ``key``: ``add_row_number``
-    semantics, but a table of at most ``limit`` rows (checked) takes its order
-    from one bounded sorted collect of the keys, and the ranks are broadcast
-    back; larger tables use the distributed numbering."""
-    ordered = df.orderBy(*_as_cols(order_by)).select(key).limit(limit + 1).collect()
-    if len(ordered) > limit:
-        return add_row_number(df, order_by, name=name, start=start)
-    spark = df.sparkSession
-    key_type = df.schema[key].dataType.simpleString()
-    ranks = spark.createDataFrame([(r[0], start + i) for i, r in enumerate(ordered)], f"`{key}` {key_type}, `{name}` long")
-    return df.join(F.broadcast(ranks), key)

@@ -1,10 +1,12 @@
 """Fitted operators on streams.
 
-The reference has no streaming.  Its fitted-model operators (TF-IDF
-transform E2, projection D9, cluster assignment C5, regression prediction
-R8) are stateless row maps joined with small fitted tables, so they apply
-unchanged to a streaming DataFrame; this module wires a stream through one
-of them into a sink.  No watermark or state store is needed.
+The reference has no streaming.  Three of its fitted-model operators are
+stateless row maps with small fitted tables and apply unchanged to a
+streaming DataFrame: projection of dense vectors (D9, ``PcaModel.transform``),
+cluster assignment (C5, ``assign_nearest``) and regression prediction (R8,
+``predict_ols``).  The TF-IDF transform (E2) runs on a stream with
+``norm=None`` only: its norm is a window over a document's terms, which Spark
+does not allow on streams.  No watermark or state store is needed.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
+from tessera.functions import vector as V
 from tessera.operators import cluster as C
 from tessera.operators import diagnostics as D
 from tessera.operators import embed as E
@@ -207,7 +208,7 @@ def test_word_vectors_unknown_words_give_null(spark):
     assert got[1] is None
 
 
-def test_prompt_without_examples_uses_plain_sentence(spark):
+def test_prompt_lists_and_tails(spark):
     rec = spark.createDataFrame([(1, 1, "hello")], "account long, rank long, text string")
     suc = spark.createDataFrame([(2, 1, "best")], "account long, rank long, text string")
     p = {r["account"]: r["prompt"] for r in PR.build_prompts(rec, suc, "account", "rain", None).collect()}
@@ -266,23 +267,24 @@ def test_embedding_cache_embeds_only_missing(spark):
     assert calls == [2, 1]
 
 
-def test_fitted_transform_on_a_stream(spark):
+def test_fitted_operators_on_a_stream(spark):
+    from tessera.operators.reduce import PcaModel
+    from tessera.operators.regress import ols_fit, predict_ols
     from tessera.streaming.stateless import apply_fitted, run_to_memory
 
     d = tempfile.mkdtemp(prefix="tessera-stream-", dir="/tmp")
-    fit_docs = spark.createDataFrame([(0, "red apple"), (1, "green apple"), (2, "red car")], "doc_id long, text string")
-    model = T.tfidf_fit(fit_docs)
-    spark.createDataFrame([(10, "red apple pie")], "doc_id long, text string").write.parquet(d + "/in")
-    stream = spark.readStream.schema("doc_id long, text string").parquet(d + "/in")
+    fitted = ols_fit(spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(6)], "x double, y double"), "x", "y", model="slr")
+    pca = PcaModel([1.0, 1.0], [[0.6, 0.8]], [1.0])
+    spark.createDataFrame([(10, 3.0, [2.0, 3.0])], "doc_id long, x double, v array<double>").write.parquet(d + "/in")
+    stream = spark.readStream.schema("doc_id long, x double, v array<double>").parquet(d + "/in")
 
-    def known_terms_with_idf(s):  # E2's stateless part: tokens joined with the fitted idf table
-        return s.select("doc_id", F.explode(TX.word_tokens("text")).alias("term")).join(
-            model.vocabulary.select("term", "idf"), "term")
+    def chain(s):  # R8, D9 and C5
+        s = pca.transform(predict_ols(s, fitted), "v")
+        return C.assign_nearest(s, "v", [[0.0, 0.0], [2.0, 2.0]])
 
-    out = apply_fitted(stream, known_terms_with_idf)
-    run_to_memory(out, "streamed_terms", d + "/ckpt")
-    got = {r["term"]: r["idf"] for r in spark.sql("SELECT * FROM streamed_terms").collect()}
-    assert set(got) == {"red", "apple"}
+    run_to_memory(apply_fitted(stream, chain), "streamed_rows", d + "/ckpt")
+    row = spark.sql("SELECT * FROM streamed_rows").collect()[0]
+    assert row["prediction"] == pytest.approx(7.0) and row["reduced"][0] == pytest.approx(2.2) and row["cluster"] == 1
 
 
 def test_char_analyzers(spark):
@@ -299,14 +301,71 @@ def test_stop_words_removed_before_counting(spark):
     assert sorted((r["doc_id"], r["term"], r["tf"]) for r in tc.collect()) == [(0, "cat", 1), (0, "dog", 1), (1, "cat", 1)]
 
 
-def test_kmeans_batched_finds_blobs_and_beats_single_restart(spark):
+def test_kmeans_finds_blobs_and_its_result_can_be_read_again(spark):
     rng = np.random.default_rng(4)
     x = np.vstack([rng.normal(loc=c, scale=0.3, size=(30, 3)) for c in ([5, 0, 0], [0, 5, 0], [0, 0, 5], [5, 5, 5])])
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
-    out, cents = C.kmeans(df, "v", 4, n_init=5, id_col="id", engine="batched")
-    lab = {r["id"]: r["cluster"] for r in out.collect()}
-    for g in range(4):
-        assert len({lab[i] for i in range(g * 30, g * 30 + 30)}) == 1
+    out, cents = C.kmeans(df, "v", 4, n_init=5, id_col="id")
+    for _ in range(2):
+        lab = {r["id"]: r["cluster"] for r in out.collect()}
+        for g in range(4):
+            assert len({lab[i] for i in range(g * 30, g * 30 + 30)}) == 1
     assert sorted(lab.values()).count(0) == 30 and len(cents) == 4
-    ml, _ = C.kmeans(df, "v", 4, n_init=1, id_col="id", engine="ml")
-    assert ml.count() == 120
+    for g in range(4):
+        assert np.allclose(cents[lab[g * 30]], x[g * 30:g * 30 + 30].mean(0), atol=1e-6)
+
+
+def test_pairs_of_many_ids_and_string_ids(spark):
+    df = spark.range(1001).select(F.col("id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
+    assert M.cosine_pairs(df, "id", "v").count() == 1001 * 1001
+    named = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.1]), ("c", [0.0, 1.0])], "id string, v array<double>")
+    got = {(r["id1"], r["id2"]) for r in M.cosine_join(named, "id", "v", 0.9, block_rows=1).collect()}
+    assert got == {("a", "b")}
+    top = {r["id1"]: r["id2"] for r in M.topk_neighbours(named, "id", "v", 1, block_rows=1).collect()}
+    assert top == {"a": "b", "b": "a", "c": "a"}
+    assert M.filter_random(named, "id", 2).count() == 2
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev", "hellinger"])
+def test_topk_metrics(spark, metric):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.random((18, 4)), np.zeros((2, 4))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+
+    def dist(a, b):
+        if metric == "euclidean":
+            return np.sqrt(((a - b) ** 2).sum())
+        if metric in ("manhattan", "chebyshev"):
+            return np.abs(a - b).sum() if metric == "manhattan" else np.abs(a - b).max()
+        den = np.sqrt(a.sum() * b.sum())
+        near = np.sqrt(a * b).sum() / den if den else float(a.sum() == b.sum())
+        return np.sqrt(max(0.0, 1 - near))
+
+    got = {(r["id1"], r["rank"]): (r["id2"], r["distance"]) for r in M.topk_neighbours(df, "id", "v", 3, metric, block_rows=6).collect()}
+    for i in range(20):
+        want = sorted((round(dist(x[i], x[j]), 9), j) for j in range(20) if j != i)[:3]
+        assert [round(got[i, k + 1][1], 6) for k in range(3)] == pytest.approx([w[0] for w in want], abs=1e-6)
+    pairs = df.alias("a").join(df.alias("b"), F.col("a.id") < F.col("b.id"))
+    for r in pairs.select("a.v", F.col("b.v").alias("w"), V.distance(metric)(F.col("a.v"), F.col("b.v")).alias("d")).collect():
+        assert r["d"] == pytest.approx(dist(np.array(r["v"]), np.array(r["w"])), abs=1e-7)
+
+
+def test_silhouette_of_duplicates_in_two_clusters_is_zero(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0])], "cluster int, v array<double>")
+    assert C.silhouette(df, "v", "cluster").first()[0] == 0.0
+
+
+def test_statistics_keep_the_null_cluster(spark):
+    df = spark.createDataFrame([(None, 9.0), (None, 7.0), (0, 1.0), (1, 2.0), (1, 4.0)], "cluster int, m double")
+    rows = MT.cluster_metric_stats(df, "m").collect()
+    assert [(r["rank"], r["cluster"], r["mean"], r["median"], r["size"]) for r in rows] == [(0, None, 8.0, 8.0, 2), (1, 1, 3.0, 3.0, 2), (2, 0, 1.0, 1.0, 1)]
+
+
+def test_prompts_for_accounts_without_texts(spark):
+    rec = spark.createDataFrame([(1, 1, "hello")], "account long, rank long, text string")
+    accounts = spark.createDataFrame([(1,), (2,), (2,)], "account long")
+    p = {r["account"]: r["prompt"] for r in PR.build_prompts(rec, None, "account", "rain", accounts=accounts).collect()}
+    assert p[2] == "The following is an 2 tweet about rain that is less than 280 characters long:\n" and len(p) == 2
+    assert PR.build_prompts(None, None, "account", "rain", accounts=accounts).count() == 2
+    with pytest.raises(ValueError):
+        PR.build_prompts(None, None, "account", "rain")

@@ -121,3 +121,27 @@ def test_prediction_and_lines(spark):
     assert lines.count() == 3000
     last = lines.where("cluster = 9").agg({"X_plot": "max"}).first()[0]
     assert last == 10.0
+
+
+def test_leverage_one_gives_null(spark):
+    rows = [(1, 0.0, 1.0), (1, 2.0, 5.0), (2, 0.0, 1.0), (2, 1.0, 2.0), (2, 2.0, 2.5), (2, 3.0, 4.5)]  # two rows fix a line
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    fit = regress.ols_fit(df, "x", "y", "g", model="separate")
+    got = regress.ols_influence(df, fit).orderBy("g", "x").collect()
+    assert len(got) == 6
+    assert all(r["press_residuals"] is None and r["cooks_d"] is None and r["standard_resid"] is None for r in got[:2])
+    assert all(r["press_residuals"] is not None for r in got[2:])
+
+
+def test_t_and_f_tails():
+    # tabulated two-sided values
+    for t, df, p in [(2.228138852, 10, 0.05), (12.70620474, 1, 0.05), (1.959966, 1e7, 0.05), (2.575835, 1e9, 0.01), (63.65674116, 1, 0.01)]:
+        assert st.t_sf2(t, df) == pytest.approx(p, rel=2e-5)
+    assert st.t_ppf(0.975, 10) == pytest.approx(2.228138852, abs=1e-8)
+    # no step where the sample is large: the tail falls smoothly to the normal one
+    tails = [st.t_sf2(2.5, d) for d in (9e5, 999_999, 1e6, 1_000_001, 1.1e6, 1e8, 1e10)]
+    assert all(a - b > -1e-8 for a, b in zip(tails, tails[1:]))
+    assert max(tails[:5]) - min(tails[:5]) < 1e-7
+    assert tails[-1] == pytest.approx(0.012419330651552265, rel=1e-6)
+    assert st.f_sf(4.964602744, 1, 10) == pytest.approx(0.05, rel=1e-8)
+    assert st.f_sf(3.0, 5, 1e8) == pytest.approx(0.0104, abs=5e-5)
