@@ -41,7 +41,8 @@ CELLS, PARTS, FILTER_WORDS = 1 << 23, 64, 1 << 19
 #: Keys are cut to 48 bits: they only propose pairs.
 KEY = U64((1 << 48) - 1)
 BEGIN, END = U64(0x2B992DDFA23249D6), U64(0x6A09E667F3BCC909)
-#: Leaders are changed while the pairs left to compare are more than so many times the rows that make them.
+#: Leaders are changed while the pairs left to compare are more than so many times the rows that make them, and each
+#: change at least halves them; then all that are left are compared.
 LEFT, ROUNDS = 20, 6
 #: Kinds of rows that buckets give.
 STAR, GROUP, COMMON = range(3)
@@ -327,6 +328,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # 5. links and components
     links = linked(stars)
     whole = reliable_checkpoint(components(links))
+    before = math.inf
     for turn in range(ROUNDS + 1):
         named = groups.join(whole.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         parts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
@@ -335,7 +337,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         left = rest.groupBy("key").agg(F.first("size").alias("size"), F.first("square").alias("square")).agg(F.sum(F.col("size") * F.col("size") - F.col("square")), F.sum("size")).first()
         if not left[0]:
             break
-        last = turn == ROUNDS or left[0] <= LEFT * left[1]
+        last = turn == ROUNDS or left[0] <= LEFT * left[1] or left[0] > before / 2
+        before = left[0]
         if last:
             other = rest.select("key", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
             pairs = rest.join(other, "key").where((F.col("component") < F.col("component_b")) & close(F.col("n"), F.col("n_b"))).select(F.col("cls").alias("a"), "b")
