@@ -44,6 +44,8 @@ BEGIN, END = U64(0x2B992DDFA23249D6), U64(0x6A09E667F3BCC909)
 #: Leaders are changed while the pairs left to compare are more than so many times the rows that make them, and each
 #: change at least halves them; then all that are left are compared.
 LEFT, ROUNDS = 20, 6
+#: Classes of one group that are compared with each other in one task.
+WIDTH = 1024
 #: Kinds of rows that buckets give.
 STAR, GROUP, COMMON = range(3)
 
@@ -147,6 +149,44 @@ def _pairs_that(pairs: DataFrame, of: DataFrame, test) -> DataFrame:
     return met.mapInArrow(check, "a binary, b binary")
 
 
+def _compare(rest: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of one group (key, cls, n, component, size) that are in different components and whose
+    signatures allow a link.  A group is dealt into blocks of about ``WIDTH`` classes, and every two blocks meet in a task
+    of their own; only what passes leaves it."""
+    blocks = F.ceil(F.col("size") / WIDTH).cast("int")
+    dealt = rest.join(marks.select("cls", "data"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    dealt = dealt.select("key", "cls", "n", "component", "data", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "n", "component", "data", "own")
+
+    def meet(t: pa.Table) -> pa.Table:
+        n, own = column(t, "n").to_numpy(), column(t, "own").to_numpy()
+        apart = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+        part = column(t, "component").dictionary_encode().indices.to_numpy()
+        data = [np.frombuffer(x.as_buffer(), np.uint8) for x in column(t, "data")]
+        length = np.fromiter(map(len, data), np.int64, len(data))
+        left, right = [], []
+        for size in np.unique(length):
+            same, double = np.flatnonzero(length == size), np.flatnonzero(length == 2 * size)  # others differ too much in size
+            rows = np.stack([data[i] for i in same])
+            folded = np.stack([data[i][:size] ^ data[i][size:] for i in double]) if len(double) else rows[:0]
+            for k, i in enumerate(same):
+                for those, bits in ((same[k + 1 :], rows[k + 1 :]), (double, folded)):
+                    fits = (part[those] != part[i]) & (np.minimum(n[those], n[i]) * 100 >= percent * np.maximum(n[those], n[i]))
+                    if apart:
+                        fits &= own[those] != own[i]
+                    if fits.any():
+                        those = those[fits]
+                        total = n[those] + n[i]
+                        shared = np.minimum((total - np.bitwise_count(bits[fits] ^ rows[k]).sum(1, dtype=np.int64)) // 2, np.minimum(n[those], n[i]))
+                        those = those[100 * shared >= percent * (total - shared)]
+                        left += [i] * len(those)
+                        right += those.tolist()
+        cls = column(t, "cls")
+        return pa.table({"a": cls.take(pa.array(left, pa.int64())), "b": cls.take(pa.array(right, pa.int64()))})
+
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(meet, "a binary, b binary").distinct()
+
+
 def _similar(x, n_x: int, y, n_y: int, percent: int) -> bool:
     """Whether two sorted sets link."""
     x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
@@ -318,7 +358,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = reliable_checkpoint(rows.select("cls", "place", "n", F.col("bits").alias("data")).join(places, ["cls", "place"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        left = reliable_checkpoint(_pairs_that(pairs, marks, lambda x, n_x, y, n_y: _may_link(x, n_x, y, n_y, percent)))
+        return confirmed(_pairs_that(pairs, marks, lambda x, n_x, y, n_y: _may_link(x, n_x, y, n_y, percent)))
+
+    def confirmed(left: DataFrame) -> DataFrame:
+        left = reliable_checkpoint(left)
         if left.isEmpty():
             return left
         named = left.select(F.col("a").alias("cls")).unionByName(left.select(F.col("b").alias("cls"))).distinct()
@@ -340,12 +383,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         last = turn == ROUNDS or left[0] <= LEFT * left[1] or left[0] > before / 2
         before = left[0]
         if last:
-            other = rest.select("key", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-            pairs = rest.join(other, "key").where((F.col("component") < F.col("component_b")) & close(F.col("n"), F.col("n_b"))).select(F.col("cls").alias("a"), "b")
+            more = confirmed(_compare(rest, marks, percent))
         else:  # another leader for each group
             heads = rest.groupBy("key").agg(F.max_by(F.struct("cls", "n", "component"), F.xxhash64("cls", F.lit(turn))).alias("head"))
             pairs = rest.join(heads, "key").where((F.col("component") != F.col("head.component")) & close(F.col("n"), F.col("head.n"))).select(F.col("head.cls").alias("a"), F.col("cls").alias("b"))
-        more = linked(pairs.distinct())
+            more = linked(pairs.distinct())
         links = links.unionByName(more)
         if not more.isEmpty():
             whole = reliable_checkpoint(components(links))

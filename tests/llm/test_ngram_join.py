@@ -116,6 +116,7 @@ def test_against_brute_force(spark, monkeypatch, frequent, left):
     counts = np.random.default_rng(5).integers(4 if frequent == "all" else 0, top, module.CELLS).astype(np.uint16)
     monkeypatch.setattr(module, "_rarity", lambda sketch: (counts, 1))
     monkeypatch.setattr(module, "LEFT", left)
+    monkeypatch.setattr(module, "WIDTH", 7)
     texts = variants()
     assert got(docs_of(spark, texts), n_buckets=3) == brute(list(enumerate(texts)))
 
