@@ -149,15 +149,22 @@ def _pairs_that(pairs: DataFrame, of: DataFrame, test) -> DataFrame:
     return met.mapInArrow(check, "a binary, b binary")
 
 
-def _compare(rest: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+def _compare(rest: DataFrame, marks: DataFrame, percent: int, n_buckets: int) -> DataFrame:
     """Pairs (a, b) of classes of one group (key, cls, n, component, size) that are in different components and whose
-    signatures allow a link.  A group is dealt into blocks of about ``WIDTH`` classes, and every two blocks meet in a task
-    of their own; only what passes leaves it."""
+    signatures allow a link.  A group is dealt into blocks of about ``WIDTH`` classes; every two blocks meet in some bucket,
+    which holds many such meetings, one after the other, and only what passes leaves it."""
     blocks = F.ceil(F.col("size") / WIDTH).cast("int")
     dealt = rest.join(marks.select("cls", "data"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
     dealt = dealt.select("key", "cls", "n", "component", "data", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "n", "component", "data", "own")
 
+    def bucket(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("key", "ascending"), ("lo", "ascending"), ("hi", "ascending")]).combine_chunks()
+        ids = np.stack([column(t, c).to_numpy() for c in ("key", "lo", "hi")])
+        cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), len(t)]
+        found = pa.concat_tables([meet(t.slice(i, j - i)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
+        return found.group_by(["a", "b"]).aggregate([])
+
     def meet(t: pa.Table) -> pa.Table:
         n, own = column(t, "n").to_numpy(), column(t, "own").to_numpy()
         apart = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
@@ -184,7 +191,8 @@ def _compare(rest: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
         cls = column(t, "cls")
         return pa.table({"a": cls.take(pa.array(left, pa.int64())), "b": cls.take(pa.array(right, pa.int64()))})
 
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(meet, "a binary, b binary").distinct()
+    where = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(n_buckets)).alias("bucket")
+    return dealt.withColumn("bucket", where).groupBy("bucket").applyInArrow(bucket, "a binary, b binary").distinct()
 
 
 def _similar(x, n_x: int, y, n_y: int, percent: int) -> bool:
@@ -383,7 +391,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         last = turn == ROUNDS or left[0] <= LEFT * left[1] or left[0] > before / 2
         before = left[0]
         if last:
-            more = confirmed(_compare(rest, marks, percent))
+            more = confirmed(_compare(rest, marks, percent, n))
         else:  # another leader for each group
             heads = rest.groupBy("key").agg(F.max_by(F.struct("cls", "n", "component"), F.xxhash64("cls", F.lit(turn))).alias("head"))
             pairs = rest.join(heads, "key").where((F.col("component") != F.col("head.component")) & close(F.col("n"), F.col("head.n"))).select(F.col("head.cls").alias("a"), F.col("cls").alias("b"))
