@@ -1,6 +1,6 @@
 """Secret scans: a random forest on candidate strings removes false positives.
 
-Every long run of key-like characters is a candidate.  Its features are its length, the transitions between kinds of
+Every long run of key-like characters is a candidate, without a leading name and "=".  Its features are its length, the transitions between kinds of
 characters, how much of it dictionary words cover, the path that it comes from, and the words around it.  The forest is
 trained on labelled findings (at most ``rows`` of each label) and keeps candidates of probability 1/2 or more.  Texts are
 read whole, in Arrow batches; only candidates are shuffled, to come together by document.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import numpy as np
@@ -21,9 +22,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import arrange, column, landed, slices
 
-#: What a candidate is, the names that an assigned secret has, and the words that are features.
+#: What a candidate is, the names that an assigned secret has (up to where the value starts), the prefixes of
+#: known kinds of keys, and the words that are features.
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
-ASSIGNED = re.compile(r"(?i)(token|secret|passw(or)?d|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?$")
+LONG = 20
+ASSIGNED = re.compile(r"(?i)(?:token|secret(?:[_-]?key)?|passw(?:or)?d|api[_-]?key|access[_-]?key)\\?[\"']?\s*(?::=|=>|={1,3}|:(?!:))\s*(?:\\?[\"'])?")
+PREFIXED = re.compile(
+    r"(?<![A-Za-z0-9])(?:gh[opsru]_[A-Za-z0-9]{30,}|github_pat_\w{22,}|glpat-[\w-]{20,}|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|AIza[\w-]{35}"
+    r"|xox[abeoprs]-[\w-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-(?:ant|proj)-[\w-]{20,}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}|pypi-[\w-]{50,})")
+_PART = re.compile(r"=*[^=]+=*")
 WORDS = ("token", "secret", "password", "key", "example", "test", "http", "hash", "=", ":", '"', "'")
 #: Characters around a candidate that are looked at, and hash cells of the path and of the neighbouring words.
 AROUND, PATHS, NEIGHBOURS = 30, 8, 16
@@ -59,9 +66,28 @@ def features(value: str, before: str, after: str, path: str, dictionary: frozens
     return [len(value), *share, *moves, coverage(value[:200], dictionary), *cells[:PATHS], *(float(w in near) for w in WORDS), *cells[PATHS:]]
 
 
+def spans(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, assigned) of the candidates of a text, by start.
+
+    In a run that holds the name of a secret and "=" the value is the candidate.  Any other run is parted behind "=" that
+    more follows: its last part, and others of LONG characters, are candidates."""
+    values = [m.end() for m in ASSIGNED.finditer(text)]
+    out = []
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        i = bisect_left(values, start)
+        at = values[i] if i < len(values) and values[i] < end else None
+        parts = [x.span() for x in _PART.finditer(text, start, end if at is None else at)] or ([] if at is not None else [(start, end)])
+        if at is None:
+            out += [(a, b, False) for a, b in parts[:-1] if b - a >= LONG] + [(*parts[-1], False)]
+        else:  # the last part before the value is its name
+            out += [(a, b, False) for a, b in parts[:-1] if b - a >= LONG] + [(at, end, True)]
+    return out
+
+
 def candidates(docs: DataFrame, dictionary: Iterable[str], id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """A row for each candidate: id, row_file, row_no, start and end (code points), value, ``labelled`` (1 where it is
-    assigned to a name of secrets and has a digit, else 0) and features."""
+    assigned to a name of secrets and has a digit, or has the prefix of a known kind of key, else 0) and features."""
     src = arrange(docs, {id_col: "id", text_col: "text", path_col: "path"}).select(
         "id", "row_file", "row_no", F.col("text").cast("string").alias("text"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"))
     kind = dict(src.dtypes)["id"]
@@ -72,11 +98,11 @@ def candidates(docs: DataFrame, dictionary: Iterable[str], id_col: str = "doc_id
             t = pa.Table.from_batches([b])
             row, out = [], []
             for i, (text, path) in enumerate(zip(column(t, "text").to_pylist(), column(t, "path").to_pylist(), strict=True)):
-                for m in CANDIDATE.finditer(text or ""):
-                    before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
-                    sure = ASSIGNED.search(before) is not None and any(c.isdigit() for c in m[0])
+                for start, end, assigned in spans(text or ""):
+                    value, before, after = text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND]
+                    sure = assigned and any(c.isdigit() for c in value) or PREFIXED.search(value) is not None
                     row.append(i)
-                    out.append((m.start(), m.end(), m[0], float(sure), features(m[0], before, after, path, sent.value)))
+                    out.append((start, end, value, float(sure), features(value, before, after, path, sent.value)))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             types = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.float32())]
             place = t.select(["id", "row_file", "row_no"]).take(pa.array(row, pa.int64()))
