@@ -1,6 +1,7 @@
 """Secret scans: a random forest on candidate strings removes false positives.
 
-Every long run of key-like characters is a candidate, without a leading name and "=".  Its features are its length, the transitions between kinds of
+Every value that is assigned to the name of a secret is a candidate, of any length and any characters but spaces, and so is
+every other long run of key-like characters, without a leading name and "=".  Its features are its length, the transitions between kinds of
 characters, how much of it dictionary words cover, the path that it comes from, and the words around it.  The forest is
 trained on labelled findings (at most ``rows`` of each label) and keeps candidates of probability 1/2 or more.  Texts are
 read whole, in Arrow batches; only candidates are shuffled, to come together by document.
@@ -10,8 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +22,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import arrange, column, landed, slices
 
-#: What a candidate is, the names that an assigned secret has (up to where the value starts), the prefixes of
-#: known kinds of keys, and the words that are features.
+#: What a candidate is without a name, the names that an assigned secret has, its value (between quotes, or up
+#: to a space or to the next assignment), the prefixes of known kinds of keys, and the words that are features.
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
 LONG = 20
-ASSIGNED = re.compile(r"(?i)(?:token|secret(?:[_-]?key)?|passw(?:or)?d|api[_-]?key|access[_-]?key)\\?[\"']?\s*(?::=|=>|={1,3}|:(?!:))\s*(?:\\?[\"'])?")
+_NAMED = r"(?:token|secret(?:[_-]?key)?|passw(?:or)?d|api[_-]?key|access[_-]?key)\\?[\"']?\s*(?::=|=>|={1,3}|:(?!:))\s*"
+ASSIGNED = re.compile(_NAMED, re.I)
+_AGAIN = re.compile(r"[^\w\s]{0,8}[\w-]{0,40}?" + _NAMED, re.I)
+VALUE = re.compile(
+    r"""\\"([^"\\\s]+)\\"|\\'([^'\\\s]+)\\'|"((?:\\\S|[^"\\\s])+)"|'((?:\\\S|[^'\\\s])+)'|\\?["']?((?:(?![&,;]["']?[\w.-]{1,40}["']?[=:])\S)+)""")
+_BARE, _CLOSING = 5, ",;)]}>\"'`"
 PREFIXED = re.compile(
     r"(?<![A-Za-z0-9])(?:gh[opsru]_[A-Za-z0-9]{30,}|github_pat_\w{22,}|glpat-[\w-]{20,}|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|AIza[\w-]{35}"
     r"|xox[abeoprs]-[\w-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-(?:ant|proj)-[\w-]{20,}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}|pypi-[\w-]{50,})")
@@ -55,7 +60,7 @@ def coverage(value: str, dictionary: frozenset[str], longest: int = 10, shortest
 
 
 def features(value: str, before: str, after: str, path: str, dictionary: frozenset[str]) -> list[float]:
-    kinds = _KIND[np.frombuffer(value.encode("ascii"), np.uint8)]
+    kinds = _KIND[np.minimum(np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32), 127)]
     share = np.bincount(kinds, minlength=4) / len(kinds)
     moves = np.bincount(kinds[:-1] * 4 + kinds[1:], minlength=16) / max(len(kinds) - 1, 1)
     cells = np.zeros(PATHS + NEIGHBOURS)
@@ -66,23 +71,42 @@ def features(value: str, before: str, after: str, path: str, dictionary: frozens
     return [len(value), *share, *moves, coverage(value[:200], dictionary), *cells[:PATHS], *(float(w in near) for w in WORDS), *cells[PATHS:]]
 
 
+def assigned(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start of the name, start and end of the value) of what is assigned to names of secrets, whatever its length."""
+    last = pos = 0
+    while m := ASSIGNED.search(text, pos):
+        pos = m.end()
+        v = VALUE.match(text, pos)
+        if v is None or _AGAIN.match(text, pos):  # another name follows, which has the value
+            continue
+        start, end = v.span(v.lastindex)
+        if v.lastindex == _BARE:
+            end = start + len(v[_BARE].rstrip(_CLOSING))
+        if end > start:
+            name = m.start()
+            while name > last and (text[name - 1].isalnum() or text[name - 1] in "_-"):
+                name -= 1
+            yield name, start, end
+            last = pos = end
+
+
+def runs(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of long runs, parted behind "=" that more follows: the last part, and others of LONG characters."""
+    for m in CANDIDATE.finditer(text, start, end):
+        *parts, last = [x.span() for x in _PART.finditer(text, *m.span())] or [m.span()]
+        yield from [(a, b) for a, b in parts if b - a >= LONG]
+        yield last
+
+
 def spans(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, assigned) of the candidates of a text, by start.
-
-    In a run that holds the name of a secret and "=" the value is the candidate.  Any other run is parted behind "=" that
-    more follows: its last part, and others of LONG characters, are candidates."""
-    values = [m.end() for m in ASSIGNED.finditer(text)]
-    out = []
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        i = bisect_left(values, start)
-        at = values[i] if i < len(values) and values[i] < end else None
-        parts = [x.span() for x in _PART.finditer(text, start, end if at is None else at)] or ([] if at is not None else [(start, end)])
-        if at is None:
-            out += [(a, b, False) for a, b in parts[:-1] if b - a >= LONG] + [(*parts[-1], False)]
-        else:  # the last part before the value is its name
-            out += [(a, b, False) for a, b in parts[:-1] if b - a >= LONG] + [(at, end, True)]
-    return out
+    """(start, end, assigned) of the candidates of a text, by start, without overlaps: each assigned value, and the runs
+    outside of those and of their names."""
+    out, at = [], 0
+    for name, start, end in assigned(text):
+        out += [(*x, False) for x in runs(text, at, name)]
+        out.append((start, end, True))
+        at = end
+    return out + [(*x, False) for x in runs(text, at, len(text))]
 
 
 def candidates(docs: DataFrame, dictionary: Iterable[str], id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -98,9 +122,9 @@ def candidates(docs: DataFrame, dictionary: Iterable[str], id_col: str = "doc_id
             t = pa.Table.from_batches([b])
             row, out = [], []
             for i, (text, path) in enumerate(zip(column(t, "text").to_pylist(), column(t, "path").to_pylist(), strict=True)):
-                for start, end, assigned in spans(text or ""):
+                for start, end, named in spans(text or ""):
                     value, before, after = text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND]
-                    sure = assigned and any(c.isdigit() for c in value) or PREFIXED.search(value) is not None
+                    sure = named and any(c.isdigit() for c in value) or PREFIXED.search(value) is not None
                     row.append(i)
                     out.append((start, end, value, float(sure), features(value, before, after, path, sent.value)))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5

@@ -79,3 +79,30 @@ def test_other_runs_stay_unlabelled(spark, dictionary):
     got = candidates(docs_of(spark, texts), dictionary).orderBy("id", "start").collect()
     assert [r.value for r in got] == [KEY, KEY, f"{KEY}==", KEY, "=" * 30, "0123456789abcdefghi", KEY]
     assert {r.labelled for r in got} == {0.0}
+
+
+@pytest.mark.parametrize("text,value", [
+    ('password = "Hunter2-correct1"', "Hunter2-correct1"), ("PASSWORD=abc12", "abc12"), ("password: p@ss.w0rd!$x, and more", "p@ss.w0rd!$x"), ('"passwd":"7"', "7"),
+    ('token = "eyJhbGciOi.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6Ikpva.SflKxwRJSMeKKF2QT4"', "eyJhbGciOi.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6Ikpva.SflKxwRJSMeKKF2QT4"),
+    ("http://h/p?token=a1.b2&id=5", "a1.b2"), ('{token:12345,"id":678}', "12345"), (r'password = "a\"b1"', r'a\"b1'), ("secret = 'Stra\u00dfe\U0001f600 1", "Stra\u00dfe\U0001f600"),
+    ("secret: token = 'x1'", "x1"), ("if password == 'x1y2':", "x1y2"),
+])
+def test_short_and_broken_values(spark, dictionary, text, value):
+    got = candidates(docs_of(spark, [text]), dictionary).collect()
+    assert [(r.value, r.labelled) for r in got] == [(value, float(any(c.isdigit() for c in value)))]
+    assert text[got[0].start : got[0].end] == value and len(got[0].features) == len(features("a1", "", "", "", dictionary))
+
+
+def test_runs_stay_next_to_values(spark, dictionary):
+    texts = [f"{KEY} password=abc1 {KEY}", 'token = ""', "token:", f"token: '' {KEY}", "the secret of the password is long"]
+    got = candidates(docs_of(spark, texts), dictionary).orderBy("id", "start").collect()
+    assert [(r.id, r.value) for r in got] == [(0, KEY), (0, "abc1"), (0, KEY), (3, KEY)]
+
+
+def test_forest_finds_a_short_password(spark, dictionary):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["that", "there", "with", "other", "which"])
+    mixed = lambda: "".join(rng.choices("abcXYZ019.!@$", k=9)) + "7"
+    labelled = candidates(docs_of(spark, [f'password = "{mixed()}" or password = {word()}' for _ in range(80)]), dictionary)
+    got = {r.doc_id: r for r in scan(docs_of(spark, [f"password: {mixed()}", "password: there"]), labelled, dictionary).collect()}
+    assert [(got[i].n_candidates, got[i].n_secrets) for i in (0, 1)] == [(1, 1), (1, 0)]
