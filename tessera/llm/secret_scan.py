@@ -68,7 +68,7 @@ def features(value: str, before: str, after: str, path: str, dictionary: frozens
     for w in re.findall(r"\w+", before)[-2:] + re.findall(r"\w+", after)[:1]:
         cells[PATHS + zlib.crc32(w.lower().encode("utf-8", "replace")) % NEIGHBOURS] = 1
     near = before.lower()
-    return [len(value), *share, *moves, coverage(value[:200], dictionary), *cells[:PATHS], *(float(w in near) for w in WORDS), *cells[PATHS:]]
+    return [len(value), *share, *moves, coverage(value, dictionary), *cells[:PATHS], *(float(w in near) for w in WORDS), *cells[PATHS:]]
 
 
 def assigned(text: str) -> Iterator[tuple[int, int, int]]:

@@ -106,3 +106,8 @@ def test_forest_finds_a_short_password(spark, dictionary):
     labelled = candidates(docs_of(spark, [f'password = "{mixed()}" or password = {word()}' for _ in range(80)]), dictionary)
     got = {r.doc_id: r for r in scan(docs_of(spark, [f"password: {mixed()}", "password: there"]), labelled, dictionary).collect()}
     assert [(got[i].n_candidates, got[i].n_secrets) for i in (0, 1)] == [(1, 1), (1, 0)]
+
+
+def test_coverage_feature_of_the_whole_value():
+    words = frozenset(["word"])
+    assert features("0" * 200 + "word" * 100, "", "", "", words)[21] == pytest.approx(2 / 3)
