@@ -1,10 +1,11 @@
 """Agglomerative clustering at scale.
 
-Two phases (as in BIRCH):
+Two phases (as in BIRCH), the same at every number of rows:
 
-1. compress the rows into at most ``micro`` micro-clusters with distributed
-   k-means, keeping each one's size and vector sum (rows <= ``micro``: every
-   row is its own micro-cluster, so the result is the exact algorithm);
+1. compress the rows into at most ``micro`` micro-clusters: the rows of the ``micro`` smallest hashes are the first
+   centres, and ``rounds`` Lloyd rounds over all rows follow, each one Spark aggregate; sizes and vector sums are kept
+   (m x d values).  ``micro`` is the caller's: where it is no less than the number of rows, every row is a first centre
+   and stays alone, so the result is that of the exact algorithm;
 2. merge the bounded summaries on the driver with exact linkage updates,
    then broadcast the micro -> cluster map back to the rows.
 
@@ -16,7 +17,7 @@ Linkages from summaries alone:
 * ``average`` / ``complete`` / ``single`` with euclidean or manhattan, and
   ``complete`` / ``single`` with cosine: Lance-Williams updates on micro-cluster
   centroid distances -- exact when every row is its own micro-cluster,
-  approximate after compression.
+  approximate with fewer micro-clusters than rows.
 
 Labels are canonical: clusters ordered by size (descending), then smallest id.
 """
@@ -24,10 +25,14 @@ Labels are canonical: clusters ordered by size (descending), then smallest id.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vector as V
+from tessera.session import reliable_checkpoint
 
 MAX_MICRO = 5_000
 
@@ -104,40 +109,65 @@ def merge_summaries(sizes: np.ndarray, sums: np.ndarray, k: int, linkage: str, m
     return group
 
 
+def _nearest(rows: DataFrame, ids: pd.Index, centres: np.ndarray) -> DataFrame:
+    """``rows`` (_id, _v) with the nearest centre ``_m``; a row that is a first centre keeps to its own among equal ones."""
+    bc = rows.sparkSession.sparkContext.broadcast((ids, centres, (centres * centres).sum(1)))
+
+    def part(it):
+        own_ids, c, sq = bc.value
+        for pdf in it:
+            if not len(pdf):
+                continue
+            found = np.empty(len(pdf), np.int32)
+            for at in range(0, len(pdf), 1_024):
+                x = np.stack(pdf["_v"].to_numpy()[at : at + 1_024])
+                d = sq[None, :] - 2 * x @ c.T
+                near = d.argmin(1)
+                own, r = own_ids.get_indexer(pdf["_id"].to_numpy()[at : at + 1_024]), np.arange(len(x))
+                slack = 1e-12 * (sq[near] + (x * x).sum(1))
+                found[at : at + 1_024] = np.where((own >= 0) & (d[r, own] <= d[r, near] + slack), own, near)
+            yield pdf.assign(_m=found)
+
+    return rows.mapInPandas(part, f"_id {rows.schema['_id'].dataType.simpleString()}, _v array<double>, _m int")
+
+
+def _compress(rows: DataFrame, micro: int, seed: int, rounds: int) -> tuple[DataFrame, list]:
+    """Rows (_id, _v) with their micro-cluster ``_m``, and (``_m``, size, smallest id, vector sum) of each, by ``_m``."""
+    first = rows.orderBy(F.xxhash64(F.col("_id"), F.lit(seed)), "_id").limit(micro).collect()  # micro rows
+    ids, centres = pd.Index([r["_id"] for r in first]), np.array([r["_v"] for r in first], np.float64)
+    for i in range(rounds + 1):
+        labelled = _nearest(rows, ids, centres)
+        if i == rounds:
+            labelled = reliable_checkpoint(labelled)
+        found = labelled.groupBy("_m").agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"), Summarizer.sum(array_to_vector("_v")).alias("_s"))
+        found = found.select("_m", "_n", "_first", vector_to_array("_s").alias("_s")).collect()  # at most micro rows
+        moved = centres.copy()
+        for r in found:
+            moved[r["_m"]] = np.array(r["_s"]) / r["_n"]
+        if np.array_equal(moved, centres):  # a fixed point: further rounds give the same
+            break
+        centres = moved
+    return labelled, sorted(found, key=lambda r: r["_m"])
+
+
 def agglomerative(df: DataFrame, vec_col: str, k: int = 4, linkage: str = "average", metric: str = "cosine",
-                  id_col: str = "id", micro: int = 2_000, seed: int = 7742, name: str = "cluster") -> DataFrame:
-    """Labels for every row of ``df``."""
-    if micro > MAX_MICRO:
-        raise ValueError(f"micro must be at most {MAX_MICRO}")
+                  id_col: str = "id", micro: int = 2_000, seed: int = 7742, name: str = "cluster",
+                  rounds: int = 10) -> DataFrame:
+    """Labels for every row of ``df`` (null where the vector is null)."""
+    if not 1 <= micro <= MAX_MICRO:
+        raise ValueError(f"micro must be in 1..{MAX_MICRO}")
     vec = F.col(vec_col).cast("array<double>")
     if linkage == "average" and metric == "cosine":
         vec = V.normalize(vec)
-    rows = df.select(F.col(id_col).alias("_id"), vec.alias("_v"))
-    n = rows.count()
-    if n <= micro:
-        micro_df = rows.withColumn("_m", F.col("_id"))
-    else:
-        from tessera.operators.cluster import kmeans
-
-        micro_df, _ = kmeans(rows, "_v", micro, n_init=1, seed=seed, id_col="_id", name="_m")
-    # Per micro-cluster: size, smallest id and the element-wise vector sum
-    # (posexplode + groupBy with partial aggregation; m x d values collected).
-    ex = micro_df.select("_m", F.posexplode("_v").alias("_d", "_x"))
-    sums = ex.groupBy("_m", "_d").agg(F.sum("_x").alias("_s"))
-    sizes = micro_df.groupBy("_m").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")).collect()
-    if len(sizes) > MAX_MICRO:
-        raise ValueError("too many micro-clusters")
-    index = {r["_m"]: i for i, r in enumerate(sorted(sizes, key=lambda r: r["_m"]))}
-    m = len(index)
-    dim = len(rows.select("_v").first()["_v"])
-    mat = np.zeros((m, dim))
-    for r in sums.collect():
-        mat[index[r["_m"]], r["_d"]] = r["_s"]
-    size_arr = np.zeros(m)
-    first = np.zeros(m, dtype=np.int64)
-    for r in sizes:
-        size_arr[index[r["_m"]]] = r["_n"]
-        first[index[r["_m"]]] = r["_first"]
+    rows = reliable_checkpoint(df.select(F.col(id_col).alias("_id"), vec.alias("_v")).where("_v IS NOT NULL"))
+    if rows.isEmpty():
+        return df.withColumn(name, F.lit(None).cast("int"))
+    micro_df, found = _compress(rows, micro, seed, rounds)
+    m = len(found)
+    mat = np.array([r["_s"] for r in found])
+    size_arr = np.array([r["_n"] for r in found], np.float64)
+    first = [r["_first"] for r in found]
     group = merge_summaries(size_arr, mat, min(k, m), linkage, metric)
     # canonical labels: group size desc, then smallest member id
     stats = {}
@@ -146,9 +176,7 @@ def agglomerative(df: DataFrame, vec_col: str, k: int = 4, linkage: str = "avera
         stats[g] = (cnt + size_arr[i], first[i] if mn is None else min(mn, first[i]))
     order = sorted(stats, key=lambda g: (-stats[g][0], stats[g][1]))
     label_of = {g: i for i, g in enumerate(order)}
-    inv = {i: mk for mk, i in index.items()}
     spark = df.sparkSession
-    key_type = micro_df.schema["_m"].dataType.simpleString()
-    table = spark.createDataFrame([(inv[i], int(label_of[group[i]])) for i in range(m)], f"_m {key_type}, {name} int")
+    table = spark.createDataFrame([(r["_m"], int(label_of[group[i]])) for i, r in enumerate(found)], f"_m int, {name} int")
     labelled = micro_df.select("_id", "_m").join(F.broadcast(table), "_m").select(F.col("_id").alias(id_col), name)
     return df.join(labelled, id_col, "left")

@@ -41,3 +41,29 @@ def test_agglomerative_exact_small(spark, linkage, metric):
     assert sorted(sorted(g) for g in groups.values()) == _brute(x, 3, linkage, metric)
     sizes = [len(groups[c]) for c in sorted(groups)]
     assert sizes == sorted(sizes, reverse=True)
+
+
+def test_one_path_for_any_number_of_rows(spark, monkeypatch):
+    from tessera.operators import agglomerative as AG
+
+    asked = []
+    real = AG._compress
+    monkeypatch.setattr(AG, "_compress", lambda rows, micro, *a: asked.append(micro) or real(rows, micro, *a))
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(loc=c, scale=0.1, size=(n, 3)) for c, n in zip(np.eye(3) * 4, (40, 30, 20))])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>")
+    want = [0] * 40 + [1] * 30 + [2] * 20
+    for micro in (12, 90, 91, 2_000):  # fewer summaries than rows, as many, and more
+        got = agglomerative(df, "v", 3, "average", "cosine", micro=micro).orderBy("id").collect()
+        assert [r["cluster"] for r in got] == want
+    assert asked == [12, 90, 91, 2_000]
+
+
+def test_equal_rows_stay_rows_of_their_own(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)] + [(5, [0.0, 0.0])], "id long, v array<double>")
+    got = agglomerative(df, "v", 4, "complete", "euclidean").collect()
+    assert len(got) == 6 and len({r["cluster"] for r in got}) == 4
+
+
+def test_no_rows(spark):
+    assert agglomerative(spark.createDataFrame([], "id long, v array<double>"), "v").count() == 0
