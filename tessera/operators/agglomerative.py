@@ -50,9 +50,12 @@ def _pairwise(c: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def merge_summaries(sizes: np.ndarray, sums: np.ndarray, k: int, linkage: str, metric: str) -> np.ndarray:
-    """Exact agglomeration of m weighted summaries down to k groups; returns
-    the group index of each summary."""
+def merge_summaries(sizes: np.ndarray, sums: np.ndarray, k: int, linkage: str, metric: str,
+                    distance_threshold: float | None = None) -> np.ndarray:
+    """Exact agglomeration of m weighted summaries down to k groups, or until
+    the smallest linkage distance is ``distance_threshold`` or more (ward:
+    the square root of twice the merge cost, as the reference's library has
+    it); returns the group index of each summary."""
     m = len(sizes)
     n = sizes.astype(np.float64).copy()
     s = sums.astype(np.float64).copy()
@@ -73,6 +76,10 @@ def merge_summaries(sizes: np.ndarray, sums: np.ndarray, k: int, linkage: str, m
     for _ in range(m - k):
         flat = int(np.argmin(d))
         i, j = divmod(flat, m)
+        if distance_threshold is not None:
+            least = np.sqrt(2.0 * d[i, j]) if linkage == "ward" else d[i, j]
+            if least >= distance_threshold:
+                break
         if i > j:
             i, j = j, i
         ni, nj = n[i], n[j]
@@ -153,8 +160,9 @@ def _compress(rows: DataFrame, micro: int, seed: int, rounds: int) -> tuple[Data
 
 def agglomerative(df: DataFrame, vec_col: str, k: int = 4, linkage: str = "average", metric: str = "cosine",
                   id_col: str = "id", micro: int = 2_000, seed: int = 7742, name: str = "cluster",
-                  rounds: int = 10) -> DataFrame:
-    """Labels for every row of ``df`` (null where the vector is null)."""
+                  rounds: int = 10, distance_threshold: float | None = None) -> DataFrame:
+    """Labels for every row of ``df`` (null where the vector is null): ``k`` clusters or, with a
+    ``distance_threshold``, those left when no two are nearer than it (``k`` isn't used then)."""
     if not 1 <= micro <= MAX_MICRO:
         raise ValueError(f"micro must be in 1..{MAX_MICRO}")
     vec = F.col(vec_col).cast("array<double>")
@@ -168,7 +176,7 @@ def agglomerative(df: DataFrame, vec_col: str, k: int = 4, linkage: str = "avera
     mat = np.array([r["_s"] for r in found])
     size_arr = np.array([r["_n"] for r in found], np.float64)
     first = [r["_first"] for r in found]
-    group = merge_summaries(size_arr, mat, min(k, m), linkage, metric)
+    group = merge_summaries(size_arr, mat, min(k, m) if distance_threshold is None else 1, linkage, metric, distance_threshold)
     # canonical labels: group size desc, then smallest member id
     stats = {}
     for i, g in enumerate(group):

@@ -42,6 +42,7 @@ class TextClusterConfig:
     cluster_space: str = "auto"        # auto, before, after_step1, after_full
     scale_before_cluster: str | None = None
     n_clusters: int = 4
+    distance_threshold: float | None = None  # agglomerative: in place of n_clusters
     algorithm: str = "agglomerative"   # agglomerative (reference default) or kmeans
     linkage: str = "average"
     affinity: str = "cosine"
@@ -161,7 +162,8 @@ def cluster_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         assign_metric = "euclidean"
     elif config.algorithm == "agglomerative":
         labelled = AG.agglomerative(scaled, "sv", config.n_clusters, config.linkage, config.affinity,
-                                    id_col="doc_id", seed=config.seed)
+                                    id_col="doc_id", seed=config.seed,
+                                    distance_threshold=config.distance_threshold)
         mean_cos = config.linkage == "average" and config.affinity == "cosine"
         centroids = _centroids(labelled, "sv", unit=mean_cos)
         assign_metric = "mean_cosine" if mean_cos else ("euclidean" if config.affinity in ("euclidean", "l2")

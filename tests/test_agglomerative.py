@@ -67,3 +67,17 @@ def test_equal_rows_stay_rows_of_their_own(spark):
 
 def test_no_rows(spark):
     assert agglomerative(spark.createDataFrame([], "id long, v array<double>"), "v").count() == 0
+
+
+@pytest.mark.parametrize("linkage,metric,threshold,want", [
+    ("single", "euclidean", 1.5, [[0, 1, 2], [3, 4]]), ("complete", "euclidean", 1.5, [[0, 1], [2], [3, 4]]), ("average", "euclidean", 1.6, [[0, 1], [2], [3, 4]]), ("average", "euclidean", 1.8, [[0, 1, 2], [3, 4]]),
+    ("ward", "euclidean", 1.9, [[0, 1], [2], [3, 4]]), ("ward", "euclidean", 2.0, [[0, 1, 2], [3, 4]]), ("single", "euclidean", 0.4, [[0], [1], [2], [3], [4]]),
+    ("single", "euclidean", 100.0, [[0, 1, 2, 3, 4]]), ("average", "cosine", 0.001, [[0, 1, 2, 3, 4]]),
+])
+def test_distance_threshold(spark, linkage, metric, threshold, want):
+    # on a line: 1, 2, 3.2, 9, 9.5; ward heights are 0.5, 1, 1.963 and more
+    df = spark.createDataFrame([(i, [x]) for i, x in enumerate([1.0, 2.0, 3.2, 9.0, 9.5])], "id long, v array<double>")
+    groups = {}
+    for r in agglomerative(df, "v", linkage=linkage, metric=metric, distance_threshold=threshold).collect():
+        groups.setdefault(r["cluster"], []).append(r["id"])
+    assert sorted(sorted(g) for g in groups.values()) == want
