@@ -3,7 +3,7 @@
 1. Each block of documents is split into pre-tokens with positions; its distinct words go, as one packed list per block
    and bucket, to the bucket of their hash.
 2. A bucket gathers the words of all blocks, encodes each distinct word once by its merges, and answers every block.
-3. Documents and answers of a block meet again: ids are joined back to the words and put together by position.
+3. Documents and answers of a block meet again: ids are joined back by the word itself and put together by position.
 
 Only packed word lists, packed answers and compressed texts are shuffled.  A word that is in every document is in a
 bucket once per block, and a block holds at most ``BLOCK_ROWS`` rows, so neither grows with how common a word is.
@@ -122,7 +122,11 @@ class PreTokens:
         begins = lead[token_starts(points, np.searchsorted(lead, self.at))] if len(points) else lead
         self.starts, self.ends = begins, np.append(begins[1:], len(self.raw)) if len(begins) else begins
         self.row_at = np.searchsorted(self.starts, self.at)
-        self.hashes = span_hashes(self.raw, self.starts, self.ends)
+
+    def words(self) -> pa.Array:
+        """The pre-tokens as an Arrow column; they follow one another without gaps."""
+        ends = np.append(self.starts, len(self.raw)) if len(self.starts) else np.zeros(1, np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(self.raw)])
 
 
 def _gather(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,18 +176,12 @@ def encode(
 
     def ask(batches):
         for block, parts in runs(batches):
-            words: dict[int, bytes] = {}
-            for b in parts:
-                p = PreTokens(column(pa.Table.from_batches([b]), "text"))
-                found, first = np.unique(p.hashes, return_index=True)
-                data = p.raw.tobytes()
-                for h, s, e in zip(found.tolist(), p.starts[first].tolist(), p.ends[first].tolist(), strict=True):
-                    if h not in words:
-                        words[h] = data[s:e]
-            if not words:
+            found = [pc.unique(PreTokens(column(pa.Table.from_batches([b]), "text")).words()) for b in parts]
+            listed = pc.unique(pa.chunked_array(found, pa.large_binary())).cast(pa.binary())
+            if not len(listed):
                 continue
-            bucket = (np.fromiter(words, U64, len(words)) % U64(n)).astype(np.int64)
-            listed = pa.array(words.values(), pa.binary())
+            raw, at = buffers(listed)
+            bucket = (span_hashes(raw, at[:-1], at[1:]) % U64(n)).astype(np.int64)
             in_order = pc.sort_indices(listed).to_numpy()  # neighbours share their beginnings, which packs well
             listed = listed.take(pa.array(in_order[np.argsort(bucket[in_order], kind="stable")]))
             ends = np.cumsum(np.bincount(bucket, minlength=n))
@@ -204,13 +202,10 @@ def encode(
         index = whole.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         out, i = [], 0
         for words in lists:
-            raw, to = buffers(words)
-            hashes = span_hashes(raw, to[:-1], to[1:])
-            order = np.argsort(hashes)
-            own, own_at = _gather(flat, at, index[i : i + len(words)][order])
-            out.append((pack(3, step=np.diff(hashes[order], prepend=U64(0)), size=np.diff(own_at).astype(np.uint32)), pack(3, id=own)))
+            own, own_at = _gather(flat, at, index[i : i + len(words)])
+            out.append((pack(3, size=np.diff(own_at).astype(np.uint32)), pack(3, id=own)))
             i += len(words)
-        return pa.table({"block": t.column("block"), "words": pa.array([w for w, _ in out], pa.binary()), "ids": pa.array([i for _, i in out], pa.binary())})
+        return pa.table({"block": t.column("block"), "words": t.column("words"), "sizes": pa.array([s for s, _ in out], pa.binary()), "ids": pa.array([i for _, i in out], pa.binary())})
 
     def shrink(batches):
         for block, parts in runs(batches):
@@ -219,19 +214,16 @@ def encode(
 
     def assemble(texts: pa.Table, answers: pa.Table) -> pa.Table:
         join = lambda x, kind: np.concatenate([*x, np.empty(0, kind)]).astype(kind)
-        got = [unpack(c.as_py()) for c in answers.column("words")]
-        hashes = join([np.cumsum(column(g, "step").to_numpy()) for g in got], U64)
-        at = np.concatenate([[0], np.cumsum(join([column(g, "size").to_numpy() for g in got], np.int64))])
+        listed = pa.chunked_array([column(unpack(c.as_py()), "word") for c in answers.column("words")], pa.binary()).cast(pa.large_binary())
+        at = np.concatenate([[0], np.cumsum(join([column(unpack(c.as_py()), "size").to_numpy() for c in answers.column("sizes")], np.int64))])
         flat = join([column(unpack(c.as_py()), "id").to_numpy() for c in answers.column("ids")], narrow)
-        order = np.argsort(hashes, kind="stable")
-        hashes = hashes[order]
         to_id, out, again = [], [], []
         for cell in texts.column("texts"):
             for b in slices(unpack(cell.as_py()).to_batches()):
                 t = pa.Table.from_batches([b])
                 p = PreTokens(column(t, "text"))
-                where = np.minimum(np.searchsorted(hashes, p.hashes), max(len(hashes) - 1, 0))
-                ids, ids_at = _gather(flat, at, order[where]) if len(where) else (flat[:0], np.zeros(1, np.int64))
+                where = pc.index_in(p.words(), value_set=listed).to_numpy().astype(np.int64)
+                ids, ids_at = _gather(flat, at, where)
                 data = ids.astype("<u4").tobytes()
                 ends = (ids_at[p.row_at] * 4).tolist()
                 out += [data[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
@@ -242,7 +234,7 @@ def encode(
         return pa.table({"id": named, "ids": pa.array(out, pa.binary())} | ({"decoded": pa.array(again, pa.binary())} if decoded else {}))
 
     asked = src.mapInArrow(ask, "bucket int, block long, words binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "block long, words binary, ids binary")
+    answered = asked.groupBy("bucket").applyInArrow(answer, "block long, words binary, sizes binary, ids binary")
     shrunk = src.mapInArrow(shrink, "block long, texts binary")
     out = shrunk.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(assemble, f"id {kind}, ids binary" + ", decoded binary" * decoded)
     return out.withColumnRenamed("id", id_col)

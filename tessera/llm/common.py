@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,31 +127,50 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+#: Spans over so many bytes are hashed by BLAKE2b, shorter ones 8 bytes at a time.
+LONG_SPAN = 128
+_TAIL = np.array([(1 << (8 * i)) - 1 for i in range(9)], U64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        m = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, _INV)):
-            p = np.full(m, base, U64)
-            p[0] = 1
-            _POWERS[k] = np.cumprod(p)
-    return _POWERS[0], _POWERS[1]
+def _eights(units: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every position on as a number (zeros after the end)."""
+    padded = np.concatenate([units, np.zeros(8, np.uint8)])
+    return np.ndarray((len(units) + 1,), "<u8", padded, 0, (1,))
 
 
 def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of units[start:end] for every span, equal for equal contents: a polynomial modulo 2**64 taken from
-    prefix sums, then mixed with the length."""
-    if not len(starts):
-        return np.empty(0, U64)
-    p, inv = _powers(len(units) + 1)
-    sums = np.zeros(len(units) + 1, U64)
-    np.cumsum((units.astype(U64) + U64(1)) * p[: len(units)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inv[starts]
-    return mix(mix(h) + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """64-bit hash of the bytes units[start:end] of every span, equal for equal contents.
+
+    The state has two lanes of 64 bits; every 8 bytes go through the finaliser of ``mix`` in both, so that no sum or
+    product of the text's own pattern cancels out.  What must hold exactly is compared by bytes (``same_spans``)."""
+    eights, size = _eights(units), (ends - starts).astype(np.int64)
+    a, b = mix(size.astype(U64) + U64(0x9E3779B97F4A7C15)), mix(size.astype(U64) ^ U64(0xC2B2AE3D27D4EB4F))
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        a[i], b[i] = np.frombuffer(hashlib.blake2b(units[starts[i] : ends[i]].tobytes(), digest_size=16).digest(), "<u8")
+    at = np.flatnonzero(size <= LONG_SPAN)
+    place, left = starts[at], size[at]
+    while len(at):
+        chunk = eights[place] & _TAIL[np.minimum(left, 8)]
+        a[at] = mix(a[at] ^ chunk)
+        b[at] = mix((b[at] + chunk) * U64(0xD6E8FEB86659FD93))
+        more = left > 8
+        at, place, left = at[more], place[more] + 8, left[more] - 8
+    return mix(a ^ (b << U64(29)) ^ (b >> U64(35)))
+
+
+def same_spans(x: np.ndarray, x_start: np.ndarray, x_end: np.ndarray, y: np.ndarray, y_start: np.ndarray, y_end: np.ndarray) -> np.ndarray:
+    """Whether the bytes of the spans of x are those of the spans of y, one by one."""
+    size = x_end - x_start
+    out = size == y_end - y_start
+    xs, ys = _eights(x), _eights(y)
+    at = np.flatnonzero(out)
+    i, j, left = x_start[at], y_start[at], size[at]
+    while len(at):
+        same = ((xs[i] ^ ys[j]) & _TAIL[np.minimum(left, 8)]) == 0
+        out[at[~same]] = False
+        more = same & (left > 8)
+        at, i, j, left = at[more], i[more] + 8, j[more] + 8, left[more] - 8
+    return out
 
 
 class Words:

@@ -3,7 +3,8 @@
 A window is a run of ``window`` consecutive item words (an item with fewer words is one window).  A document contains a
 window only if it contains all of its shingles, so it is enough to look for one: the necessary prefix of a window is its
 rarest shingle, by counts over all documents.  An occurrence of that shingle at word p of a document fixes where the window
-would begin; bounds on that position and on the length are tested first, then the words are compared one by one.
+would begin; bounds on that position and on the length are tested first, then the words are compared one by one, by their
+hashes and at last by their bytes.
 
 The benchmark side is the small one.  It is cut by a hash of the item into parts of at most ``PART_BYTES`` of text, so
 what is sent to the executors is bounded for a benchmark of any size; documents pass all parts one after the other, whole
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Words, column, shingle_hashes, slices
+from tessera.llm.common import U64, Words, column, same_spans, shingle_hashes, slices
 
 WINDOW, SHINGLE = 10, 3
 #: Benchmark text in one part, and candidates that a task compares at a time.
@@ -38,13 +39,17 @@ class Part:
     item: np.ndarray
     #: by shingle width: sorted shingles, and for each of them which windows (from - to) have it where
     tokens: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    #: the items' bytes, and where the words lie in them
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
 
 
 def _shingles(words: np.ndarray, k: int) -> np.ndarray:
     return shingle_hashes(words, k) if len(words) >= k else np.empty(0, U64)
 
 
-def _windows(rows: list, window: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _windows(rows: list, window: int) -> tuple[list[str], Words, np.ndarray, np.ndarray, np.ndarray]:
     w = Words(pa.array([r["text"] for r in rows], pa.string()), Words.LETTERS)
     named: dict[str, int] = {}
     first, size, item = [], [], []
@@ -56,7 +61,7 @@ def _windows(rows: list, window: int) -> tuple[list[str], np.ndarray, np.ndarray
             size.append(np.full(b - a - n + 1, n))
             item.append(np.full(b - a - n + 1, named.setdefault(r["item_id"] or "", len(named))))
     join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return list(named), w.hashes, join(first), join(size), join(item)
+    return list(named), w, join(first), join(size), join(item)
 
 
 def _count(docs: DataFrame, wanted: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
@@ -82,7 +87,8 @@ def _count(docs: DataFrame, wanted: dict[int, np.ndarray]) -> dict[int, np.ndarr
 
 
 def _index(docs: DataFrame, rows: list, window: int, shingle: int) -> Part:
-    names, words, first, size, item = _windows(rows, window)
+    names, w, first, size, item = _windows(rows, window)
+    words = w.hashes
     width = np.minimum(size, shingle)
     by_width = {int(k): shingle_hashes(words, int(k)) for k in np.unique(width)}
     wanted = {k: np.unique(s) for k, s in by_width.items()}
@@ -101,7 +107,7 @@ def _index(docs: DataFrame, rows: list, window: int, shingle: int) -> Part:
         order = np.argsort(token, kind="stable")
         distinct, begin = np.unique(token[order], return_index=True)
         tokens[k] = (distinct, np.append(begin, len(order)), own[order], at[order])
-    return Part(names, words, first, size, item, tokens)
+    return Part(names, words, first, size, item, tokens, w.data, w.starts, w.ends)
 
 
 def _occurrences(part: Part, w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +132,11 @@ def _occurrences(part: Part, w: Words) -> tuple[np.ndarray, np.ndarray]:
                 last = part.size[win] - 1
                 same = w.hashes[begin + np.minimum(j, last)] == part.words[part.first[win] + np.minimum(j, last)]
                 begin, win = begin[same], win[same]
+            for j in range(int(part.size[win].max()) if len(win) else 0):
+                last = part.size[win] - 1
+                d, i = begin + np.minimum(j, last), part.first[win] + np.minimum(j, last)
+                same = same_spans(w.data, w.starts[d], w.ends[d], part.data, part.starts[i], part.ends[i])
+                begin, win = begin[same], win[same]
             found.append((begin, win))
             cut = end
     return tuple(map(np.concatenate, zip(*found, strict=True)))
@@ -167,7 +178,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 spans, names = [None] * len(w), t.column("items").to_pylist()
                 doc = np.searchsorted(w.row_at, begin, side="right") - 1
                 for d, it in np.unique(np.stack([doc, part.item[win]], 1), axis=0).tolist():
-                    names[d] = [*names[d], part.names[it]] if part.names[it] not in names[d] else names[d]
+                    names[d].append(part.names[it])
+                for d in np.unique(doc).tolist():
+                    names[d] = list(dict.fromkeys(names[d]))  # an item's texts may lie in several parts
                 for d in {*doc.tolist(), *(d for d, x in enumerate(before) if x)}:
                     a, e = int(w.row_at[d]), int(w.row_at[d + 1])
                     change = up[a:e] - down[a:e]

@@ -221,7 +221,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         grams, words = _read(t.column("grams")), _read(t.column("words"))
         g, ng = _sum_by_key(*zip(*grams, strict=True))
         w, nw = _sum_by_key(*zip(*words, strict=True))
-        p = log10_probability(g, [*sent.value, *reversed(subtree(g, ng, depth))], depth).astype(np.float32)
+        p = log10_probability(g, [*sent.value, *reversed(subtree(g, ng, depth))], depth)
         cells = [pack(key=k, p=p[np.searchsorted(g, k)]) for k, _ in grams]
         counted = [pack(key=k, n=nw[np.searchsorted(w, k)]) for k, _ in words]
         return pa.table({"block": t.column("block"), "grams": pa.array(cells, pa.binary()), "words": pa.array(counted, pa.binary())})

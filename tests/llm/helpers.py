@@ -10,7 +10,15 @@ DOCS = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("bucket", T.StringType()),
 ])
 
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of n letters that hashes by sums of powers confuse."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 ODD_TEXTS = [
+    *thue_morse(1024), " ".join(thue_morse(2048)), "one two three four " + thue_morse(4096)[0], "one two three four " + thue_morse(4096)[1],
     None, "", " ", "\n\t ", "a", "A", "it's the cat's 'tis  we'll\n\n x", "naïve Straße ÀÉÎ ñandú", "日本語 テキスト 𝒳𝒴 😀😀",
     "x" * 30_000, "word " * 20_000, "1 2 3 " * 5_000, "ABC def ABC def", "abc DEF abc def", "tab\tand\x0bvt\x0cff\r\n", "\x00 nul \x7f",
     "ends with space ", "  two spaces", "''s 's's don't DON'T", "a-b_c d.e@f.gh +1 (555) 010-9999 127.0.0.1", "…—“quoted”", "½ ² Ⅷ ٣",
