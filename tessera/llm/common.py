@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -195,7 +196,17 @@ class Words:
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         #: words of row i are those from row_at[i] to row_at[i + 1]
         self.row_at = np.searchsorted(self.starts, at)
-        self.hashes = span_hashes(self.data, self.starts, self.ends)
+        self._inside = w
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return span_hashes(self.data, self.starts, self.ends)
+
+    def listed(self) -> pa.Array:
+        """The words themselves as an Arrow column."""
+        at = np.zeros(len(self.starts) + 1, np.int64)
+        np.cumsum(self.ends - self.starts, out=at[1:])
+        return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(self.data[self._inside])])
 
     def __len__(self) -> int:
         return len(self.row_at) - 1

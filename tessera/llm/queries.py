@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, decontaminate, exact_dedup, language_id, lm_scoring, ngram_join, pii, secret_scan, token_counts, warc
+from tessera.llm import byte_bpe, decontaminate, exact_dedup, language_id, lexical_search, lm_scoring, ngram_join, pii, resampling, secret_scan, token_counts, warc
 from tessera.llm.common import table
 from tessera.session import reliable_checkpoint, shared_dir
 
@@ -93,8 +93,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures(warc.read_records(spark, path))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_exact_dedup, op3_lm_scoring, op4_pii, op5_secret_scan, op6_decontaminate, op7_language_id, op8_byte_bpe, op9_ngram_join, op10_warc)}
+    op1_token_counts, op2_exact_dedup, op3_lm_scoring, op4_pii, op5_secret_scan, op6_decontaminate, op7_language_id, op8_byte_bpe, op9_ngram_join, op10_warc,
+    op12_resampling, op13_lexical_search)}
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -133,4 +142,35 @@ ORACLE_SQL = {
                    + 4 * CAST(b[5 * i + 3] AS INTEGER) + 2 * CAST(b[5 * i + 4] AS INTEGER) + CAST(b[5 * i + 5] AS INTEGER), 1) for i in range(32)], '') AS payload_digest,
                CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
         FROM bits""",
+    "op12_resampling": rf"""
+        WITH crc(i, c) AS (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT)) FROM range(256) r(i)),
+        remainders AS (SELECT list(c ORDER BY i) AS tab FROM crc),
+        words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+        d AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM words),
+        target AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM benchmark),
+        tf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM target),
+        df AS (SELECT doc_id, unnest(f) AS f FROM d),
+        distinct_f AS (SELECT DISTINCT f, hex(encode(f)) AS x FROM (SELECT f FROM df UNION ALL SELECT f FROM tf)),
+        bytes AS (SELECT f, list_transform(range(CAST(len(x) / 2 AS BIGINT)), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT)) AS b FROM distinct_f),
+        cell AS (SELECT f, xor(list_reduce(b, lambda c, v: xor(c >> 8, tab[xor(c, v) % 256 + 1]), 4294967295), 4294967295) % 10000 AS c FROM bytes, remainders),
+        s AS (SELECT c, count(*) AS n FROM df JOIN cell USING (f) GROUP BY c), t AS (SELECT c, count(*) AS n FROM tf JOIN cell USING (f) GROUP BY c),
+        gain AS (SELECT c, CAST(floor(1000 * ln(((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM df) + 10000.0::DOUBLE)) / ((s.n + 1.0::DOUBLE) * ((SELECT count(*) FROM tf) + 10000.0::DOUBLE)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (c)),
+        weighed AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS g FROM df JOIN cell USING (f) JOIN gain USING (c) GROUP BY doc_id),
+        rows AS (SELECT doc_id, n, n + greatest(n - 1, 0) AS n_features, CASE WHEN n = 0 THEN 0 ELSE (g - ((g % (2 * n - 1)) + (2 * n - 1)) % (2 * n - 1)) // (2 * n - 1) END AS weight,
+                        CAST('0x' || sha256('7:' || doc_id)[1:8] AS BIGINT) AS h FROM d LEFT JOIN weighed USING (doc_id)),
+        scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM rows),
+        placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n >= 20)
+        SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN place <= (SELECT 25 * count(*) // 100 FROM placed) THEN place END AS rank
+        FROM scored LEFT JOIN placed USING (doc_id)""",
+    "op13_lexical_search": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+        stats AS (SELECT count(*) AS n_all, CAST(sum(len(w)) AS BIGINT) AS l_all FROM d WHERE len(w) > 0),
+        bag AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+        weight AS (SELECT term, CAST(floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM bag, stats GROUP BY term, n_all),
+        m AS (SELECT doc_id, 100 - 50 + (50 * len(w) * n_all) // l_all AS m FROM d, stats WHERE len(w) > 0),
+        item AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}'))) AS term FROM benchmark),
+        scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+                   FROM item JOIN bag USING (term) JOIN weight USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+        placed AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+        SELECT * FROM placed WHERE rank <= 50""",
 }
