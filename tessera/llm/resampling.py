@@ -148,14 +148,15 @@ def smallest(keys: DataFrame, k: int, pivots: int = PIVOTS) -> tuple:
     key = F.struct(*[F.col(f"`{c}`") for c in keys.columns])
     inside, turn = keys, 0
     while True:
-        draws = [F.min_by(key, F.xxhash64(*[F.col(f"`{c}`") for c in keys.columns], F.lit(turn * pivots + i))).alias(f"p{i}") for i in range(pivots)]
-        drawn = {tuple(p) for p in inside.agg(*draws).first() if p is not None}
+        of = [F.col(f"`{c}`") for c in keys.columns]
+        slot = F.pmod(F.xxhash64(*of, F.lit(turn)), F.lit(pivots))
+        drawn = inside.groupBy(slot.alias("slot")).agg(F.min_by(key, F.xxhash64(*of, F.lit(~turn))).alias("p")).collect()  # a row for each pivot
         if not drawn:
             raise ValueError("fewer keys than k")
-        as_key = lambda p: F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(p, kinds, keys.columns, strict=True)])
-        order = sorted(drawn, key=lambda p: tuple((v is not None, v if v is not None else 0) for v in p))
+        order = sorted((tuple(r["p"]) for r in drawn), key=lambda p: tuple((v is not None, v if v is not None else 0) for v in p))
+        listed = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(p, kinds, keys.columns, strict=True)]) for p in order])
         # the part of a key: 2 i + 1 is pivot i itself, 2 i lies before it and after pivot i - 1
-        part = sum((F.when(key > as_key(p), 2).when(key == as_key(p), 1).otherwise(0) for p in order), F.lit(0))
+        part = F.size(F.filter(listed, lambda p: p < key)) + F.size(F.filter(listed, lambda p: p <= key))
         counted = {r["part"]: r["n"] for r in inside.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 2 pivots + 1 rows
         for p in sorted(counted):
             if k <= counted[p]:
