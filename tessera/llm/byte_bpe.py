@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, arrange, buckets, buffers, column, pack, runs, slices, span_hashes, unpack
+from tessera.llm.common import U64, arrange, buckets, buffers, column, gather, pack, runs, slices, span_hashes, unpack
 
 #: Bytes of tokens that are sent to all executors.
 MAX_VOCABULARY = 64 << 20
@@ -129,14 +129,6 @@ class PreTokens:
         return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(self.raw)])
 
 
-def _gather(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """values[at[i]:at[i + 1]] for each i of ``which``, joined, and where each begins."""
-    size = at[which + 1] - at[which]
-    to = np.zeros(len(which) + 1, np.int64)
-    np.cumsum(size, out=to[1:])
-    return values[np.repeat(at[which] - to[:-1], size) + np.arange(to[-1])], to
-
-
 def _small(spark: SparkSession, ranks: dict[bytes, int]):
     if (size := sum(map(len, ranks))) > MAX_VOCABULARY:
         raise ValueError(f"tokens of {size} bytes; at most {MAX_VOCABULARY} are sent to the executors")
@@ -154,7 +146,7 @@ def _token_bytes(spark: SparkSession, ranks: dict[bytes, int]):
 
 def _look_up(table: tuple[bytes, np.ndarray], ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """Bytes of the tokens of every row; row i has ids[ends[i]:ends[i + 1]]."""
-    found, to = _gather(np.frombuffer(table[0], np.uint8), table[1], ids.astype(np.int64))
+    found, to = gather(np.frombuffer(table[0], np.uint8), table[1], ids.astype(np.int64))
     found, to = found.tobytes(), to[ends].tolist()
     return [found[i:j] for i, j in zip(to[:-1], to[1:], strict=True)]
 
@@ -202,7 +194,7 @@ def encode(
         index = whole.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         out, i = [], 0
         for words in lists:
-            own, own_at = _gather(flat, at, index[i : i + len(words)])
+            own, own_at = gather(flat, at, index[i : i + len(words)])
             out.append((pack(3, size=np.diff(own_at).astype(np.uint32)), pack(3, id=own)))
             i += len(words)
         return pa.table({"block": t.column("block"), "words": t.column("words"), "sizes": pa.array([s for s, _ in out], pa.binary()), "ids": pa.array([i for _, i in out], pa.binary())})
@@ -223,7 +215,7 @@ def encode(
                 t = pa.Table.from_batches([b])
                 p = PreTokens(column(t, "text"))
                 where = pc.index_in(p.words(), value_set=listed).to_numpy().astype(np.int64)
-                ids, ids_at = _gather(flat, at, where)
+                ids, ids_at = gather(flat, at, where)
                 data = ids.astype("<u4").tobytes()
                 ends = (ids_at[p.row_at] * 4).tolist()
                 out += [data[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]

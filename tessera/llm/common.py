@@ -87,6 +87,14 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def gather(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[at[i]:at[i + 1]] for each i of ``which``, joined, and where each begins."""
+    size = at[which + 1] - at[which]
+    to = np.zeros(len(which) + 1, np.int64)
+    np.cumsum(size, out=to[1:])
+    return values[np.repeat(at[which] - to[:-1], size) + np.arange(to[-1])], to
+
+
 def slices(batches, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` text bytes; a longer text comes alone."""
     for b in batches:

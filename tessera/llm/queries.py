@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, decontaminate, exact_dedup, language_id, lexical_search, lm_scoring, ngram_join, pii, resampling, secret_scan, token_counts, warc
+from tessera.llm import byte_bpe, decontaminate, exact_dedup, language_id, lexical_search, lm_scoring, ngram_join, packing, pii, resampling, secret_scan, token_counts, warc
 from tessera.llm.common import table
 from tessera.session import reliable_checkpoint, shared_dir
 
@@ -93,6 +93,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures(warc.read_records(spark, path))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        packed = packing.pack_documents(table(spark, sf_dir, "documents"), f.read())
+    return packed.drop("row_file", "row_no")
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
@@ -103,7 +109,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_exact_dedup, op3_lm_scoring, op4_pii, op5_secret_scan, op6_decontaminate, op7_language_id, op8_byte_bpe, op9_ngram_join, op10_warc,
-    op12_resampling, op13_lexical_search)}
+    op11_packing, op12_resampling, op13_lexical_search)}
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
