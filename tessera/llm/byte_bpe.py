@@ -27,8 +27,8 @@ from tessera.llm.common import U64, arrange, buckets, buffers, column, gather, p
 
 #: Bytes of tokens that are sent to all executors.
 MAX_VOCABULARY = 64 << 20
-#: Words that are merged before their ids are put into arrays.
-MERGED = 1 << 14
+#: Words that are merged before their ids are put into arrays, and text bytes that are assembled at a time.
+MERGED, AT_ONCE = 1 << 14, 2 << 20
 #: The characters of White_Space, and the endings that the pattern takes off after an apostrophe.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -211,7 +211,7 @@ def encode(
         flat = join([column(unpack(c.as_py()), "id").to_numpy() for c in answers.column("ids")], narrow)
         to_id, out, again = [], [], []
         for cell in texts.column("texts"):
-            for b in slices(unpack(cell.as_py()).to_batches()):
+            for b in slices(unpack(cell.as_py()).to_batches(), most=AT_ONCE):
                 t = pa.Table.from_batches([b])
                 p = PreTokens(column(t, "text"))
                 where = pc.index_in(p.words(), value_set=listed).to_numpy().astype(np.int64)

@@ -33,8 +33,8 @@ CAPACITY, END = 1024, 2
 #: Pieces of an island, its packings, children of an epoch, epochs; sequences with more room than this share are opened
 #: again, the emptiest first, half of an island's at most.
 ISLAND, POPULATION, CHILDREN, EPOCHS, ROOM = 8192, 5, 40, 3, 1 / 64
-#: Pre-tokens whose ids a task remembers.
-REMEMBERED = 1 << 18
+#: Pre-tokens whose ids a worker remembers, those that go through the tokenizer as one text, and text bytes worked on at a time.
+REMEMBERED, LINES, AT_ONCE = 1 << 19, 512, 2 << 20
 
 
 @lru_cache(1)
@@ -52,23 +52,41 @@ class Encoder:
 
     def __init__(self, config: str):
         self.tokenizer = _tokenizer(config)
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _as_lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words without white space but for a space in front, as lines of one text: a line's end is a pre-token of its
+        own there, and its id is in no other."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        cut = np.flatnonzero(ids == self.line[0]) if len(self.line) == 1 else []
+        if len(cut) != len(words) - 1:
+            return self._one_by_one(words)
+        return np.delete(ids, cut), np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+
     def distinct(self, words: list[bytes]) -> np.ndarray:
         """Numbers of distinct words, whose ids are ids[at[number]:at[number + 1]]."""
-        if len(self.known) + len(words) > REMEMBERED:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
             self._forget()
-        if new := [w for w in words if w not in self.known]:
-            ids = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-            self.known |= {w: i for i, w in enumerate(new, len(self.known))}
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
+            new = words
+        if new:
+            texts = [w.decode() for w in new]
+            blank = [w for w in texts if w.isspace()]
+            plain = [w for w in texts if not w.isspace()]
+            got = [self._as_lines(plain[i : i + LINES]) for i in range(0, len(plain), LINES)] + [self._one_by_one(blank)] * bool(blank)
+            self.known |= {w.encode(): i for i, w in enumerate(plain + blank, len(self.known))}
+            self.ids = np.concatenate([self.ids, *(x for x, _ in got)])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate([n for _, n in got]))])
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where those of each begin."""
@@ -79,6 +97,12 @@ class Encoder:
         return ids, at[p.row_at]
 
 
+@lru_cache(1)
+def _encoder(config: str) -> Encoder:
+    """One for each Python worker, whose tasks follow one another."""
+    return Encoder(config)
+
+
 def cuts(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces of documents of these sizes: document, number of the piece, where it starts, and its length."""
     n = -(-sizes // capacity)
@@ -96,8 +120,8 @@ def pieces(docs: DataFrame, config: str, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(config)
 
     def cut(batches):
-        encoder = Encoder(sent.value)
-        for b in slices(batches):
+        encoder = _encoder(sent.value)
+        for b in slices(batches, most=AT_ONCE):
             t = pa.Table.from_batches([b])
             ids, at = encoder.encode(column(t, "text"))
             own = np.diff(at)
