@@ -304,7 +304,9 @@ def log_transform(spark, sf_dir):
 from tessera.functions import vector as V  # noqa: E402
 from tessera.operators import cluster as C  # noqa: E402
 from tessera.operators import scale as S  # noqa: E402
+from tessera.operators import lsh as LSH  # noqa: E402
 from tessera.operators import similarity as M  # noqa: E402
+from tessera.operators import term_join as TJ  # noqa: E402
 
 EXACT_IDS = (3, 14, 15, 92, 65, 35, 89, 79, 32, 38)
 FOCUS_ID = 42
@@ -416,6 +418,29 @@ def cosine_join(spark, sf_dir):
     return t.select("id1", "id2", rounded("cosine_similarity", 9).alias("cosine_similarity"))
 
 
+@query
+def cosine_join_tfidf(spark, sf_dir):
+    """M5 on long-form TF-IDF: all pairs of documents (of classes of equal vectors) with cosine similarity >= 0.5 (exact,
+    prefix-filtered join on terms)."""
+    _, w = tfidf.tfidf_fit_transform(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    t = TJ.cosine_join_terms(w, 0.5)
+    return t.select("id1", "id2", rounded("cosine_similarity", 6).alias("cosine_similarity"), "n1", "n2")
+
+
+@query
+def cosine_topk_lsh(spark, sf_dir):
+    """M4 by candidates: every vector's five most similar others among those that random hyperplanes bring together."""
+    t = LSH.approx_topk_neighbours(_emb(spark, sf_dir), "vec_id", "v", k=5)
+    return t.select("id1", "id2", rounded("cosine_similarity", 9).alias("cosine_similarity"), "rank")
+
+
+@query
+def knn_graph_lsh(spark, sf_dir):
+    """D10 by candidates: every vector's five nearest others by euclidean distance among those of near slabs."""
+    t = LSH.approx_topk_neighbours(_emb(spark, sf_dir), "vec_id", "v", k=5, metric="euclidean")
+    return t.select("id1", "id2", rounded("distance", 9).alias("distance"), "rank")
+
+
 @query
 def vector_distances(spark, sf_dir):
     """Distances between each vector and the next id's vector

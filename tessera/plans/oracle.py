@@ -26,6 +26,22 @@ SELECT doc_id, term, CAST(tf AS BIGINT) AS tf,
 FROM w
 """
 
+SQL["cosine_join_tfidf"] = f"""
+WITH {_TF},
+n AS (SELECT count(*) AS n FROM documents),
+dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT tf.doc_id, tf.term, tf.tf * (ln((1.0 + n.n) / (1.0 + dfq.df)) + 1.0) AS w
+      FROM tf JOIN dfq ON tf.term = dfq.term CROSS JOIN n),
+u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w),
+vec AS (SELECT doc_id, list((term, round(w, 9)) ORDER BY term) AS vec FROM u GROUP BY doc_id),
+cls AS (SELECT min(doc_id) AS id, count(*) AS n FROM vec GROUP BY vec),
+v AS (SELECT u.* FROM u JOIN cls ON doc_id = id),
+pairs AS (SELECT a.doc_id AS id1, b.doc_id AS id2, sum(a.w * b.w) AS c
+          FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING c >= 0.5)
+SELECT id1, id2, {r('c', 6)} AS cosine_similarity, x.n AS n1, y.n AS n2
+FROM pairs JOIN cls x ON x.id = id1 JOIN cls y ON y.id = id2
+"""
+
 SQL["document_frequency"] = f"""
 WITH {_TF}
 SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS ctf FROM tf GROUP BY term
