@@ -17,8 +17,9 @@ Sets x and y link when their Jaccard similarity is at least t = 3/4, so they sha
 Single tokens meet in buckets as packed lists; their groups are small, as frequent shingles are not among them.
 Combinations may be common, so their groups are handled by joins and aggregates that split.  In each group every class is
 compared with one leader, confirmed links are merged to components, and only classes of one group that are still in
-different components are compared with each other.  So copies of one text, however many, cost one comparison each, and no
-link between components is missed.
+different components are compared with each other: first a spanning forest of the pairs that signatures allow is
+confirmed, then the sets of what is still apart and may link come to one task.  So copies of one text, however many, cost
+one comparison each, less than n links leave n classes, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -149,50 +150,119 @@ def _pairs_that(pairs: DataFrame, of: DataFrame, test) -> DataFrame:
     return met.mapInArrow(check, "a binary, b binary")
 
 
-def _compare(rest: DataFrame, marks: DataFrame, percent: int, n_buckets: int) -> DataFrame:
-    """Pairs (a, b) of classes of one group (key, cls, n, component, size) that are in different components and whose
-    signatures allow a link.  A group is dealt into blocks of about ``WIDTH`` classes; every two blocks meet in some bucket,
-    which holds many such meetings, one after the other, and only what passes leaves it."""
+class _Forest:
+    """Components of numbered things, joined one link at a time."""
+
+    def __init__(self, parts: np.ndarray):
+        first = np.unique(parts, return_index=True)[1]
+        self.up = first[np.unique(parts, return_inverse=True)[1]].tolist()
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _meetings(t: pa.Table):
+    """The meetings (rows of one key, lo and hi) of a bucket, one after the other."""
+    t = t.sort_by([("key", "ascending"), ("lo", "ascending"), ("hi", "ascending")]).combine_chunks()
+    ids = np.stack([column(t, c).to_numpy() for c in ("key", "lo", "hi")])
+    cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), len(t)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        yield t.slice(i, j - i).combine_chunks()
+
+
+def _passing(t: pa.Table, percent: int, part: np.ndarray):
+    """(i, others, their bounds) of the pairs of a meeting that are in different components and may link by signatures."""
+    n, own = column(t, "n").to_numpy(), column(t, "own").to_numpy()
+    apart = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+    data = [np.frombuffer(x.as_buffer(), np.uint8) for x in column(t, "data")]
+    length = np.fromiter(map(len, data), np.int64, len(data))
+    for size in np.unique(length):
+        same, double = np.flatnonzero(length == size), np.flatnonzero(length == 2 * size)  # others differ too much in size
+        rows = np.stack([data[i] for i in same])
+        folded = np.stack([data[i][:size] ^ data[i][size:] for i in double]) if len(double) else rows[:0]
+        for k, i in enumerate(same):
+            for those, bits in ((same[k + 1 :], rows[k + 1 :]), (double, folded)):
+                fits = (part[those] != part[i]) & (np.minimum(n[those], n[i]) * 100 >= percent * np.maximum(n[those], n[i]))
+                if apart:
+                    fits &= own[those] != own[i]
+                if fits.any():
+                    those = those[fits]
+                    total = n[those] + n[i]
+                    shared = np.minimum((total - np.bitwise_count(bits[fits] ^ rows[k]).sum(1, dtype=np.int64)) // 2, np.minimum(n[those], n[i]))
+                    near = 100 * shared >= percent * (total - shared)
+                    if near.any():
+                        yield int(i), those[near], shared[near] / (total - shared)[near]
+
+
+def _dealt(rest: DataFrame, marks: DataFrame, n_buckets: int) -> DataFrame:
+    """Rows of groups (key, cls, n, component, size) with their signatures, dealt into meetings: a group is cut into blocks
+    of about ``WIDTH`` classes, and every two blocks meet in some bucket, which holds many meetings."""
     blocks = F.ceil(F.col("size") / WIDTH).cast("int")
     dealt = rest.join(marks.select("cls", "data"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
     dealt = dealt.select("key", "cls", "n", "component", "data", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "n", "component", "data", "own")
+    return dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(n_buckets)))
 
+
+def _proposed(rest: DataFrame, marks: DataFrame, percent: int, n_buckets: int) -> DataFrame:
+    """Pairs (a, b) of classes of one group that are in different components and whose signatures allow a link: of each
+    meeting a spanning forest, so less than its classes, the most similar pairs first."""
     def bucket(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("key", "ascending"), ("lo", "ascending"), ("hi", "ascending")]).combine_chunks()
-        ids = np.stack([column(t, c).to_numpy() for c in ("key", "lo", "hi")])
-        cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), len(t)]
-        found = pa.concat_tables([meet(t.slice(i, j - i)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
-        return found.group_by(["a", "b"]).aggregate([])
+        found = []
+        for m in _meetings(t):
+            part = column(m, "component").dictionary_encode().indices.to_numpy()
+            near = list(_passing(m, percent, part))
+            if near:
+                i = np.concatenate([np.full(len(x), a) for a, x, _ in near])
+                j, bound = np.concatenate([x for _, x, _ in near]), np.concatenate([x for _, _, x in near])
+                forest = _Forest(part)
+                kept = [k for k in np.argsort(-bound, kind="stable").tolist() if forest.join(int(i[k]), int(j[k]))]
+                cls = column(m, "cls")
+                found.append(pa.table({"a": cls.take(pa.array(i[kept])), "b": cls.take(pa.array(j[kept]))}))
+        return pa.concat_tables(found).group_by(["a", "b"]).aggregate([]) if found else pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+
+    return _dealt(rest, marks, n_buckets).groupBy("bucket").applyInArrow(bucket, "a binary, b binary").distinct()
+
+
+def _verified(rest: DataFrame, marks: DataFrame, fetch, percent: int, n_buckets: int) -> DataFrame:
+    """Links (a, b) of classes of one group that are in different components, all of them but for those between classes
+    that other links of the same meeting join.  Classes that are in no pair whose signatures allow a link stay behind; the
+    sets of the others come to their meetings."""
+    def involved(t: pa.Table) -> pa.Table:
+        found = []
+        for m in _meetings(t):
+            used = np.zeros(len(m), bool)
+            for i, those, _ in _passing(m, percent, column(m, "component").dictionary_encode().indices.to_numpy()):
+                used[i] = used[those] = True
+            found.append(m.filter(pa.array(used)))
+        return pa.concat_tables(found).select(kept)
 
-    def meet(t: pa.Table) -> pa.Table:
-        n, own = column(t, "n").to_numpy(), column(t, "own").to_numpy()
-        apart = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
-        part = column(t, "component").dictionary_encode().indices.to_numpy()
-        data = [np.frombuffer(x.as_buffer(), np.uint8) for x in column(t, "data")]
-        length = np.fromiter(map(len, data), np.int64, len(data))
-        left, right = [], []
-        for size in np.unique(length):
-            same, double = np.flatnonzero(length == size), np.flatnonzero(length == 2 * size)  # others differ too much in size
-            rows = np.stack([data[i] for i in same])
-            folded = np.stack([data[i][:size] ^ data[i][size:] for i in double]) if len(double) else rows[:0]
-            for k, i in enumerate(same):
-                for those, bits in ((same[k + 1 :], rows[k + 1 :]), (double, folded)):
-                    fits = (part[those] != part[i]) & (np.minimum(n[those], n[i]) * 100 >= percent * np.maximum(n[those], n[i]))
-                    if apart:
-                        fits &= own[those] != own[i]
-                    if fits.any():
-                        those = those[fits]
-                        total = n[those] + n[i]
-                        shared = np.minimum((total - np.bitwise_count(bits[fits] ^ rows[k]).sum(1, dtype=np.int64)) // 2, np.minimum(n[those], n[i]))
-                        those = those[100 * shared >= percent * (total - shared)]
-                        left += [i] * len(those)
-                        right += those.tolist()
-        cls = column(t, "cls")
-        return pa.table({"a": cls.take(pa.array(left, pa.int64())), "b": cls.take(pa.array(right, pa.int64()))})
-
-    where = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(n_buckets)).alias("bucket")
-    return dealt.withColumn("bucket", where).groupBy("bucket").applyInArrow(bucket, "a binary, b binary").distinct()
+    def bucket(t: pa.Table) -> pa.Table:
+        found = []
+        for m in _meetings(t):
+            part = column(m, "component").dictionary_encode().indices.to_numpy()
+            sets, n, cls, forest = column(m, "elements"), column(m, "n").to_pylist(), column(m, "cls"), _Forest(part)
+            for i, those, _ in _passing(m, percent, part):
+                for j in those.tolist():
+                    if forest.root(i) != forest.root(j) and _similar(sets[i].as_buffer(), n[i], sets[j].as_buffer(), n[j], percent):
+                        forest.join(i, j)
+                        found.append((cls[i].as_py(), cls[j].as_py()))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    dealt = _dealt(rest, marks, n_buckets)
+    kept = dealt.columns
+    left = reliable_checkpoint(dealt.groupBy("bucket").applyInArrow(involved, dealt.schema))
+    sets = fetch(marks.select("cls", "place", "n").join(left.select("cls").distinct(), "cls"))
+    both = left.join(sets.select("cls", F.col("data").alias("elements")), "cls")
+    return both.groupBy("bucket").applyInArrow(bucket, "a binary, b binary").distinct()
 
 
 def _similar(x, n_x: int, y, n_y: int, percent: int) -> bool:
@@ -226,7 +296,9 @@ def _fetch(src: DataFrame, places: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["cls", "place", "data"])
 
     sets = src.select("text", "place").mapInArrow(fetch, "cls binary, place long, data binary")
-    return sets.join(places, ["cls", "place"]).select("cls", "n", "data")
+    out = reliable_checkpoint(sets.join(places, ["cls", "place"]).select("cls", "n", "data"))
+    passes.destroy()
+    return out
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, n_buckets: int | None = None) -> DataFrame:
@@ -350,6 +422,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             give(GROUP, np.concatenate([np.full(len(m), k) for k, m in kept]) if kept else [], np.concatenate([m for _, m in kept]) if kept else [])])
 
     found = reliable_checkpoint(src.mapInArrow(index, "bucket int, keys binary, docs binary").groupBy("bucket").applyInArrow(meet, "kind int, key long, cls binary, n long, leader binary"))
+    rarity.destroy()
     close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
     # 3. groups of combinations
@@ -373,14 +446,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if left.isEmpty():
             return left
         named = left.select(F.col("a").alias("cls")).unionByName(left.select(F.col("b").alias("cls"))).distinct()
-        sets = reliable_checkpoint(_fetch(src, marks.select("cls", "place", "n").join(named, "cls"), shingle))
+        sets = _fetch(src, marks.select("cls", "place", "n").join(named, "cls"), shingle)
         return reliable_checkpoint(_pairs_that(left, sets, lambda x, n_x, y, n_y: _similar(x, n_x, y, n_y, percent)))
 
     # 5. links and components
     links = linked(stars)
     whole = reliable_checkpoint(components(links))
-    before = math.inf
-    for turn in range(ROUNDS + 1):
+    before, turn, stage = math.inf, 0, "leaders"
+    while True:
         named = groups.join(whole.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         parts = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
         open_keys = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"), F.sum(F.col("size") * F.col("size")).alias("square")).where("parts > 1")
@@ -388,19 +461,26 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         left = rest.groupBy("key").agg(F.first("size").alias("size"), F.first("square").alias("square")).agg(F.sum(F.col("size") * F.col("size") - F.col("square")), F.sum("size")).first()
         if not left[0]:
             break
-        last = turn == ROUNDS or left[0] <= LEFT * left[1] or left[0] > before / 2
+        if stage == "leaders" and (turn == ROUNDS or left[0] <= LEFT * left[1] or left[0] > before / 2):
+            stage = "proposals"
         before = left[0]
-        if last:
-            more = confirmed(_compare(rest, marks, percent, n))
-        else:  # another leader for each group
+        if stage == "leaders":  # another leader for each group
             heads = rest.groupBy("key").agg(F.max_by(F.struct("cls", "n", "component"), F.xxhash64("cls", F.lit(turn))).alias("head"))
             pairs = rest.join(heads, "key").where((F.col("component") != F.col("head.component")) & close(F.col("n"), F.col("head.n"))).select(F.col("head.cls").alias("a"), F.col("cls").alias("b"))
             more = linked(pairs.distinct())
+        elif stage == "proposals":  # most of what signatures allow is a link, so few classes are left for the last turn
+            asked = reliable_checkpoint(_proposed(rest, marks, percent, n))
+            if asked.isEmpty():
+                break
+            more = confirmed(asked)
+        else:
+            more = reliable_checkpoint(_verified(rest, marks, lambda places: _fetch(src, places, shingle), percent, n))
         links = links.unionByName(more)
         if not more.isEmpty():
             whole = reliable_checkpoint(components(links))
-        if last:
+        if stage == "verified":
             break
+        turn, stage = turn + 1, "leaders" if stage == "leaders" else "verified"
 
     # 6. documents
     full = rows.where("cls is not null").join(whole.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
