@@ -17,9 +17,10 @@ Sets x and y link when their Jaccard similarity is at least t = 3/4, so they sha
 Single tokens meet in buckets as packed lists; their groups are small, as frequent shingles are not among them.
 Combinations may be common, so their groups are handled by joins and aggregates that split.  In each group every class is
 compared with one leader, confirmed links are merged to components, and only classes of one group that are still in
-different components are compared with each other: first a spanning forest of the pairs that signatures allow is
-confirmed, then the sets of what is still apart and may link come to one task.  So copies of one text, however many, cost
-one comparison each, less than n links leave n classes, and no link between components is missed.
+different components are compared with each other, first by signatures.  Where those allow few pairs, all are checked; in
+a dense group a spanning forest is, and then the sets of what is still apart and may link come to one task.  So copies of
+one text, however many, cost one comparison each, what leaves a group grows with its size, and no link between components
+is missed.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ BEGIN, END = U64(0x2B992DDFA23249D6), U64(0x6A09E667F3BCC909)
 LEFT, ROUNDS = 20, 6
 #: Classes of one group that are compared with each other in one task.
 WIDTH = 1024
+#: Pairs for each class of a meeting that leave it one by one.
+FEW = 2
 #: Kinds of rows that buckets give.
 STAR, GROUP, COMMON = range(3)
 
@@ -214,22 +217,29 @@ def _dealt(rest: DataFrame, marks: DataFrame, n_buckets: int) -> DataFrame:
 
 def _proposed(rest: DataFrame, marks: DataFrame, percent: int, n_buckets: int) -> DataFrame:
     """Pairs (a, b) of classes of one group that are in different components and whose signatures allow a link: of each
-    meeting a spanning forest, so less than its classes, the most similar pairs first."""
+    meeting all, if they are at most ``FEW`` for each class, else a spanning forest, the most similar pairs first, and the
+    group's ``key`` in a row of its own."""
     def bucket(t: pa.Table) -> pa.Table:
-        found = []
+        found, dense = [], set()
         for m in _meetings(t):
             part = column(m, "component").dictionary_encode().indices.to_numpy()
             near = list(_passing(m, percent, part))
             if near:
                 i = np.concatenate([np.full(len(x), a) for a, x, _ in near])
                 j, bound = np.concatenate([x for _, x, _ in near]), np.concatenate([x for _, _, x in near])
-                forest = _Forest(part)
-                kept = [k for k in np.argsort(-bound, kind="stable").tolist() if forest.join(int(i[k]), int(j[k]))]
+                if len(i) > FEW * len(m):
+                    dense.add(m.column("key")[0].as_py())
+                    forest = _Forest(part)
+                    kept = [k for k in np.argsort(-bound, kind="stable").tolist() if forest.join(int(i[k]), int(j[k]))]
+                    i, j = i[kept], j[kept]
                 cls = column(m, "cls")
-                found.append(pa.table({"a": cls.take(pa.array(i[kept])), "b": cls.take(pa.array(j[kept]))}))
-        return pa.concat_tables(found).group_by(["a", "b"]).aggregate([]) if found else pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+                found.append(pa.table({"a": cls.take(pa.array(i)), "b": cls.take(pa.array(j))}))
+        none = pa.nulls(len(dense), pa.binary())
+        pairs = pa.concat_tables(found).group_by(["a", "b"]).aggregate([]) if found else pa.table({"a": none[:0], "b": none[:0]})
+        pairs = pairs.append_column("key", pa.nulls(len(pairs), pa.int64()))
+        return pa.concat_tables([pairs.select(["a", "b", "key"]), pa.table({"a": none, "b": none, "key": pa.array(list(dense), pa.int64())})])
 
-    return _dealt(rest, marks, n_buckets).groupBy("bucket").applyInArrow(bucket, "a binary, b binary").distinct()
+    return _dealt(rest, marks, n_buckets).groupBy("bucket").applyInArrow(bucket, "a binary, b binary, key long").distinct()
 
 
 def _verified(rest: DataFrame, marks: DataFrame, fetch, percent: int, n_buckets: int) -> DataFrame:
@@ -468,18 +478,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             heads = rest.groupBy("key").agg(F.max_by(F.struct("cls", "n", "component"), F.xxhash64("cls", F.lit(turn))).alias("head"))
             pairs = rest.join(heads, "key").where((F.col("component") != F.col("head.component")) & close(F.col("n"), F.col("head.n"))).select(F.col("head.cls").alias("a"), F.col("cls").alias("b"))
             more = linked(pairs.distinct())
-        elif stage == "proposals":  # most of what signatures allow is a link, so few classes are left for the last turn
+        elif stage == "proposals":  # most of what signatures allow is a link, so little of dense groups is left for the last turn
             asked = reliable_checkpoint(_proposed(rest, marks, percent, n))
-            if asked.isEmpty():
-                break
-            more = confirmed(asked)
+            more, dense = confirmed(asked.where("key is null").select("a", "b")), asked.where("key is not null").select("key")
         else:
             more = reliable_checkpoint(_verified(rest, marks, lambda places: _fetch(src, places, shingle), percent, n))
         links = links.unionByName(more)
         if not more.isEmpty():
             whole = reliable_checkpoint(components(links))
-        if stage == "verified":
+        if stage == "verified" or stage == "proposals" and dense.isEmpty():
             break
+        if stage == "proposals":
+            groups = reliable_checkpoint(groups.join(dense, "key", "left_semi"))
         turn, stage = turn + 1, "leaders" if stage == "leaders" else "verified"
 
     # 6. documents

@@ -117,6 +117,7 @@ def test_against_brute_force(spark, monkeypatch, frequent, left):
     monkeypatch.setattr(module, "_rarity", lambda sketch: (counts, 1))
     monkeypatch.setattr(module, "LEFT", left)
     monkeypatch.setattr(module, "WIDTH", 7)
+    monkeypatch.setattr(module, "FEW", 0 if left else 2)
     texts = variants()
     assert got(docs_of(spark, texts), n_buckets=3) == brute(list(enumerate(texts)))
 
