@@ -38,8 +38,10 @@ from tessera.session import reliable_checkpoint
 
 #: Words of a shingle, and the similarity in hundredths from which documents link.
 SHINGLE, PERCENT = 5, 75
-#: Cells of the sketch of shingle counts, its parts, and words of 64 bits of the filter of wanted rows.
-CELLS, PARTS, FILTER_WORDS = 1 << 23, 64, 1 << 19
+#: Cells of the sketch of shingle counts (a byte each), its parts, and words of 64 bits of the filter of wanted rows.
+CELLS, PARTS, FILTER_WORDS = 1 << 25, 256, 1 << 19
+#: The level of a cell that is as full as the count above which shingles are frequent.
+EVEN = 128
 #: Keys are cut to 48 bits: they only propose pairs.
 KEY = U64((1 << 48) - 1)
 BEGIN, END = U64(0x2B992DDFA23249D6), U64(0x6A09E667F3BCC909)
@@ -102,19 +104,27 @@ def _may_link(x: bytes, n_x: int, y: bytes, n_y: int, percent: int) -> bool:
 
 
 def _rarity(sketch: DataFrame) -> tuple[np.ndarray, int]:
-    """Count of every cell (16 bits: larger ones stay at the top), and the count above which shingles are frequent."""
+    """Level of every cell, a byte that grows with its count, and the level above which shingles are frequent."""
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(CELLS // PARTS, np.int64)
         for c in t.column("counts"):
             total += column(unpack(c.as_py()), "n").to_numpy()
-        return pa.table({"part": t.column("part").slice(0, 1), "counts": pa.array([pack(n=np.minimum(total, 2**31 - 1).astype(np.int32))], pa.binary())})
+        cell = pack(3, n=np.minimum(total, 2**31 - 1).astype(np.int32))
+        return pa.table({"part": t.column("part").slice(0, 1), "total": pa.array([int(total.sum())], pa.int64()), "counts": pa.array([cell], pa.binary())})
 
-    out = np.zeros(CELLS, np.int64)
-    width = CELLS // PARTS
-    for r in sketch.groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # PARTS rows of fixed size
-        out[r["part"] * width : (r["part"] + 1) * width] = column(unpack(r["counts"]), "n").to_numpy()
-    mean = out.mean()
-    return np.minimum(out, 65535).astype(np.uint16), int(min(mean + 4 * math.sqrt(mean) + 8, 65534))
+    added = reliable_checkpoint(sketch.groupBy("part").applyInArrow(add, "part int, total long, counts binary"))
+    mean = (added.agg(F.sum("total")).first()[0] or 0) / CELLS
+    limit = mean + 4 * math.sqrt(mean) + 8
+
+    def level(batches):
+        for b in batches:
+            cells = [np.minimum(column(unpack(c.as_py()), "n").to_numpy() * (EVEN / limit), 255).astype(np.uint8).tobytes() for c in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary())], ["part", "levels"])
+
+    out, width = np.zeros(CELLS, np.uint8), CELLS // PARTS
+    for r in added.select("part", "counts").mapInArrow(level, "part int, levels binary").collect():  # PARTS rows of fixed size
+        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["levels"], np.uint8)
+    return out, EVEN
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -328,7 +338,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # 1. classes of documents, and the sketch of shingle counts
     def classify(batches):
-        sketch = np.zeros(CELLS, np.int32)
+        sketch = np.zeros(CELLS, np.uint8)  # a task counts to 255
         null = lambda n, t: pa.nulls(n, t)
         id_type = None
         names = ["id", "row_file", "row_no", "place", "n", "cls", "bits", "part", "counts"]
@@ -338,12 +348,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             id_type = column(t, "id").type
             digests = [_digest(s) if len(s) else None for s in sets]
             for s in {d: s for d, s in zip(digests, sets, strict=True) if d}.values():
-                np.add.at(sketch, _cells(s), 1)
+                at = _cells(s)
+                sketch[at] += sketch[at] < 255
             yield pa.RecordBatch.from_arrays(
                 [*(column(t, c) for c in names[:4]), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([_signature(s) if len(s) else None for s in sets], pa.binary()),
                  null(len(sets), pa.int32()), null(len(sets), pa.binary())], names)
         if id_type is not None:
-            cells = [pack(3, n=x.astype(np.uint8) if x.max() < 256 else x) for x in sketch.reshape(PARTS, -1)]
+            cells = [pack(3, n=x) for x in sketch.reshape(PARTS, -1)]
             yield pa.RecordBatch.from_arrays(
                 [null(PARTS, id_type), null(PARTS, pa.string()), null(PARTS, pa.int64()), null(PARTS, pa.int64()), null(PARTS, pa.int64()), null(PARTS, pa.binary()), null(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(cells, pa.binary())], names)
 
