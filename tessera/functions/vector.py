@@ -18,6 +18,12 @@ def as_double_array(col) -> Column:
     return _c(col).cast("array<double>")
 
 
+def clean(col) -> Column:
+    """The vector as ``array<double>``; NULL where it is null or holds a null, which counts as having no vector."""
+    v = as_double_array(col)
+    return F.when(~F.exists(v, lambda x: x.isNull()), v)
+
+
 def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 

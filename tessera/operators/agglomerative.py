@@ -42,7 +42,7 @@ def _pairwise(c: np.ndarray, metric: str) -> np.ndarray:
         sq = (c * c).sum(1)
         return np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * c @ c.T, 0.0))
     if metric in ("manhattan", "l1"):
-        return np.abs(c[:, None, :] - c[None, :, :]).sum(-1)
+        return np.stack([np.abs(c - x).sum(1) for x in c])  # row by row: never m x m x d
     if metric == "cosine":
         nrm = np.linalg.norm(c, axis=1)
         u = np.divide(c, nrm[:, None], out=np.zeros_like(c), where=nrm[:, None] > 0)
@@ -117,7 +117,7 @@ def merge_summaries(sizes: np.ndarray, sums: np.ndarray, k: int, linkage: str, m
 
 
 def _nearest(rows: DataFrame, ids: pd.Index, centres: np.ndarray) -> DataFrame:
-    """``rows`` (_id, _v) with the nearest centre ``_m``; a row that is a first centre keeps to its own among equal ones."""
+    """``rows`` (_id, _key, _v) with the nearest centre ``_m``; a row that is a first centre keeps to its own among equal ones."""
     bc = rows.sparkSession.sparkContext.broadcast((ids, centres, (centres * centres).sum(1)))
 
     def part(it):
@@ -135,19 +135,20 @@ def _nearest(rows: DataFrame, ids: pd.Index, centres: np.ndarray) -> DataFrame:
                 found[at : at + 1_024] = np.where((own >= 0) & (d[r, own] <= d[r, near] + slack), own, near)
             yield pdf.assign(_m=found)
 
-    return rows.mapInPandas(part, f"_id {rows.schema['_id'].dataType.simpleString()}, _v array<double>, _m int")
+    key = rows.schema["_key"].dataType.simpleString()
+    return rows.mapInPandas(part, f"_id string, _key {key}, _v array<double>, _m int")
 
 
 def _compress(rows: DataFrame, micro: int, seed: int, rounds: int) -> tuple[DataFrame, list]:
-    """Rows (_id, _v) with their micro-cluster ``_m``, and (``_m``, size, smallest id, vector sum) of each, by ``_m``."""
-    first = rows.orderBy(F.xxhash64(F.col("_id"), F.lit(seed)), "_id").limit(micro).collect()  # micro rows
+    """Rows (_id, _key, _v) with their micro-cluster ``_m``, and (``_m``, size, smallest id, vector sum) of each, by ``_m``."""
+    first = rows.orderBy(F.xxhash64(F.col("_key"), F.lit(seed)), "_key", "_id").limit(micro).collect()  # micro rows
     ids, centres = pd.Index([r["_id"] for r in first]), np.array([r["_v"] for r in first], np.float64)
     for i in range(rounds + 1):
         labelled = _nearest(rows, ids, centres)
         if i == rounds:
             labelled = reliable_checkpoint(labelled)
         found = labelled.groupBy("_m").agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"), Summarizer.sum(array_to_vector("_v")).alias("_s"))
+            F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col("_key").isNull(), "_key", "_id")).alias("_first"), Summarizer.sum(array_to_vector("_v")).alias("_s"))
         found = found.select("_m", "_n", "_first", vector_to_array("_s").alias("_s")).collect()  # at most micro rows
         moved = centres.copy()
         for r in found:
@@ -161,21 +162,26 @@ def _compress(rows: DataFrame, micro: int, seed: int, rounds: int) -> tuple[Data
 def agglomerative(df: DataFrame, vec_col: str, k: int = 4, linkage: str = "average", metric: str = "cosine",
                   id_col: str = "id", micro: int = 2_000, seed: int = 7742, name: str = "cluster",
                   rounds: int = 10, distance_threshold: float | None = None) -> DataFrame:
-    """Labels for every row of ``df`` (null where the vector is null): ``k`` clusters or, with a
-    ``distance_threshold``, those left when no two are nearer than it (``k`` isn't used then)."""
+    """Labels for every row of ``df`` (null where the vector is null or holds a null): ``k`` clusters or, with a
+    ``distance_threshold``, those left when no two are nearer than it (``k`` isn't used then).
+
+    Rows are told apart by their place in a written copy, so ids may repeat or be null; an empty table stays empty."""
     if not 1 <= micro <= MAX_MICRO:
         raise ValueError(f"micro must be in 1..{MAX_MICRO}")
-    vec = F.col(vec_col).cast("array<double>")
+    vec = V.clean(vec_col)
     if linkage == "average" and metric == "cosine":
         vec = V.normalize(vec)
-    rows = reliable_checkpoint(df.select(F.col(id_col).alias("_id"), vec.alias("_v")).where("_v IS NOT NULL"))
+    df = reliable_checkpoint(df.drop(name))
+    df = df.withColumn("_id", F.concat_ws(":", "_metadata.file_name", F.col("_metadata.row_index").cast("string")))
+    rows = df.select("_id", F.col(id_col).alias("_key"), vec.alias("_v")).where("_v IS NOT NULL")
     if rows.isEmpty():
-        return df.withColumn(name, F.lit(None).cast("int"))
+        return df.drop("_id").withColumn(name, F.lit(None).cast("int"))
     micro_df, found = _compress(rows, micro, seed, rounds)
     m = len(found)
     mat = np.array([r["_s"] for r in found])
     size_arr = np.array([r["_n"] for r in found], np.float64)
-    first = [r["_first"] for r in found]
+    # a null id comes last
+    first = [(r["_first"][0], 0 if r["_first"][1] is None else r["_first"][1], r["_first"][2]) for r in found]
     group = merge_summaries(size_arr, mat, min(k, m) if distance_threshold is None else 1, linkage, metric, distance_threshold)
     # canonical labels: group size desc, then smallest member id
     stats = {}
@@ -186,5 +192,5 @@ def agglomerative(df: DataFrame, vec_col: str, k: int = 4, linkage: str = "avera
     label_of = {g: i for i, g in enumerate(order)}
     spark = df.sparkSession
     table = spark.createDataFrame([(r["_m"], int(label_of[group[i]])) for i, r in enumerate(found)], f"_m int, {name} int")
-    labelled = micro_df.select("_id", "_m").join(F.broadcast(table), "_m").select(F.col("_id").alias(id_col), name)
-    return df.join(labelled, id_col, "left")
+    labelled = micro_df.select("_id", "_m").join(F.broadcast(table), "_m").select("_id", name)
+    return df.join(labelled, "_id", "left").drop("_id")

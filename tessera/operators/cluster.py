@@ -10,12 +10,16 @@ counted and checked before they are broadcast):
 * Calinski-Harabasz: between / within dispersion from centroids.
 * Davies-Bouldin: mean euclidean distance to the centroid per cluster and the
   k x k centroid distances.
+
+Labels are of any type.  Rows without a label, and rows whose vector is null or
+holds a null, are in no score; without any other row a score is NULL.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -30,14 +34,19 @@ MAX_CLUSTERS = 10_000
 
 
 def _dense(col: str):
-    return F.col(col).cast("array<double>")
+    return V.clean(col)
+
+
+def _labelled(df: DataFrame, vec, cluster_col: str) -> DataFrame:
+    """(_cl, _x): the label as a string and the vector of the rows that have both."""
+    return df.select(F.col(cluster_col).cast("string").alias("_cl"), vec.alias("_x")).where("_cl IS NOT NULL AND _x IS NOT NULL")
 
 
 def cluster_summaries(df: DataFrame, cluster_col: str, vec, with_unit: bool = False) -> list[dict]:
     """Per cluster: size, sum vector (or the sum of unit vectors ``u``), from
     one aggregate with map-side partial sums; k rows."""
     v = array_to_vector(V.normalize(vec) if with_unit else vec)
-    rows = df.groupBy(F.col(cluster_col).alias("_k")).agg(
+    rows = df.where(F.col(cluster_col).isNotNull() & vec.isNotNull()).groupBy(F.col(cluster_col).alias("_k")).agg(
         F.count(F.lit(1)).alias("n"), Summarizer.metrics("sum").summary(v).alias("s")).select(
         "_k", "n", vector_to_array("s.sum").alias("s")).limit(MAX_CLUSTERS + 1).collect()
     if len(rows) > MAX_CLUSTERS:
@@ -46,32 +55,35 @@ def cluster_summaries(df: DataFrame, cluster_col: str, vec, with_unit: bool = Fa
     return sorted(out, key=lambda x: x["label"])
 
 
-def _summary_row(spark, summaries: list[dict], fields: list[str]) -> dict:
-    """Parallel arrays of cluster labels, sizes and vectors (k x d, checked)."""
-    out = {"_labels": [int(s["label"]) for s in summaries], "_sizes": [float(s["n"]) for s in summaries]}
+def _with_summaries(df: DataFrame, summaries: list[dict], fields: list[str]) -> DataFrame:
+    """Rows (_cl, _x) with parallel arrays of cluster sizes and vectors (k x d, checked), and ``_at``, the place (from 1) of
+    the row's cluster in them."""
+    one = {"_sizes": [float(s["n"]) for s in summaries]}
     for f in fields:
-        out[f"_{f}"] = [[float(x) for x in s[f]] for s in summaries]
-    return out
+        one[f"_{f}"] = [[float(x) for x in s[f]] for s in summaries]
+    place = F.array_position(F.lit([str(s["label"]) for s in summaries]), F.col("_cl")).cast("int")
+    return with_constants(df.withColumn("_at", place), one)
+
+
+def _no_score(df: DataFrame, name: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([(None,)], f"{name} double")
 
 
 def silhouette(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
     """Mean silhouette with cosine distance (one row ``silhouette``)."""
     vec = _dense(vec_col)
-    summ = cluster_summaries(df, cluster_col, vec, with_unit=True)
-    one = _summary_row(df.sparkSession, summ, ["u"])
-    x = V.normalize(vec)
-    j = with_constants(df.select(F.col(cluster_col).cast("long").alias("_cl"), x.alias("_x")), one)
-    idx = F.array_position(F.col("_labels"), F.col("_cl"))  # 1-based
-    own_n = F.element_at("_sizes", idx.cast("int"))
+    rows = _labelled(df, vec, cluster_col)
+    summ = cluster_summaries(rows, "_cl", F.col("_x"), with_unit=True)
+    if not summ:
+        return _no_score(df, "silhouette")
+    j = _with_summaries(rows.withColumn("_x", V.normalize(F.col("_x"))), summ, ["u"])
+    own_n = F.element_at("_sizes", F.col("_at"))
     xx = V.dot(F.col("_x"), F.col("_x"))
     dots = F.transform(F.col("_u"), lambda s: V.dot(F.col("_x"), s))
-    own_dot = F.element_at(dots, idx.cast("int"))
+    own_dot = F.element_at(dots, F.col("_at"))
     a = F.try_divide((own_n - 1.0) - (own_dot - xx), own_n - 1.0)
-    others = F.filter(
-        F.transform(F.arrays_zip(F.col("_labels"), F.col("_sizes"), dots.alias("d")),
-                    lambda t: F.struct(t["_labels"].alias("l"), ((t["_sizes"] - t["d"]) / t["_sizes"]).alias("m"))),
-        lambda t: t["l"] != F.col("_cl"))
-    b = F.array_min(F.transform(others, lambda t: t["m"]))
+    means = F.zip_with("_sizes", dots, lambda n, d: (n - d) / n)
+    b = F.array_min(F.transform(means, lambda m, i: F.when(i + 1 != F.col("_at"), m)))
     # a row as near to its own cluster as to the next (a = b = 0: duplicates in two clusters) scores 0
     s = F.when(own_n <= 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
     return j.select(s.alias("_s")).agg(F.avg("_s").alias("silhouette"))
@@ -79,20 +91,18 @@ def silhouette(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
 
 def calinski_harabasz(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
     """(B / (k - 1)) / (W / (n - k)) with euclidean dispersion."""
-    vec = _dense(vec_col)
-    summ = cluster_summaries(df, cluster_col, vec)
-    n = float(sum(s["n"] for s in summ))
-    k = len(summ)
-    d = len(summ[0]["s"])
-    mu = [sum(s["s"][i] for s in summ) / n for i in range(d)]
-    cents = [[x / s["n"] for x in s["s"]] for s in summ]
-    between = sum(s["n"] * sum((c[i] - mu[i]) ** 2 for i in range(d)) for s, c in zip(summ, cents))
-    for s, c in zip(summ, cents):
+    rows = _labelled(df, _dense(vec_col), cluster_col)
+    summ = cluster_summaries(rows, "_cl", F.col("_x"))
+    if not summ:
+        return _no_score(df, "calinski_harabasz")
+    n, k = float(sum(s["n"] for s in summ)), len(summ)
+    sizes, sums = np.array([s["n"] for s in summ], float), np.array([s["s"] for s in summ], float)
+    centres = sums / sizes[:, None]
+    between = float((sizes * ((centres - sums.sum(0) / n) ** 2).sum(1)).sum())
+    for s, c in zip(summ, centres):
         s["c"] = c
-    one = _summary_row(df.sparkSession, summ, ["c"])
-    j = with_constants(df.select(F.col(cluster_col).cast("long").alias("_cl"), vec.alias("_x")), one)
-    idx = F.array_position(F.col("_labels"), F.col("_cl")).cast("int")
-    within = j.agg(F.sum(V.squared_euclidean(F.col("_x"), F.element_at("_c", idx))).alias("w"))
+    j = _with_summaries(rows, summ, ["c"])
+    within = j.agg(F.sum(V.squared_euclidean(F.col("_x"), F.element_at("_c", F.col("_at")))).alias("w"))
     ch = F.when((F.col("w") > 0) & F.lit(k > 1), F.lit(between / max(k - 1, 1)) / (F.col("w") / F.lit(n - k)))
     return within.select(ch.otherwise(F.lit(1.0) if k > 1 else F.lit(None)).alias("calinski_harabasz"))
 
@@ -100,28 +110,24 @@ def calinski_harabasz(df: DataFrame, vec_col: str, cluster_col: str) -> DataFram
 def davies_bouldin(df: DataFrame, vec_col: str, cluster_col: str) -> DataFrame:
     """Mean over clusters of max_j (s_i + s_j) / d_ij, s = mean euclidean
     distance to the centroid (not root-mean-square)."""
-    vec = _dense(vec_col)
-    summ = cluster_summaries(df, cluster_col, vec)
-    for s in summ:
-        s["c"] = [x / s["n"] for x in s["s"]]
-    one = _summary_row(df.sparkSession, summ, ["c"])
-    j = with_constants(df.select(F.col(cluster_col).cast("long").alias("_cl"), vec.alias("_x")), one)
-    idx = F.array_position(F.col("_labels"), F.col("_cl")).cast("int")
-    spread = j.groupBy("_cl").agg(F.avg(V.euclidean(F.col("_x"), F.element_at("_c", idx))).alias("s")).collect()
-    s_of = {r["_cl"]: r["s"] for r in spread}
-    labels = [s["label"] for s in summ]
-    cents = {s["label"]: s["c"] for s in summ}
+    rows = _labelled(df, _dense(vec_col), cluster_col)
+    summ = cluster_summaries(rows, "_cl", F.col("_x"))
+    if not summ:
+        return _no_score(df, "davies_bouldin")
+    centres = np.array([s["s"] for s in summ], float) / np.array([s["n"] for s in summ], float)[:, None]
+    for s, c in zip(summ, centres):
+        s["c"] = c
+    j = _with_summaries(rows, summ, ["c"])
+    found = j.groupBy("_at").agg(F.avg(V.euclidean(F.col("_x"), F.element_at("_c", F.col("_at")))).alias("s")).collect()  # k rows
+    spread = np.zeros(len(summ))
+    for r in found:
+        spread[r["_at"] - 1] = r["s"]
     worst = []
-    for a in labels:
-        best = 0.0
-        for b in labels:
-            if a == b:
-                continue
-            dist = sum((x - y) ** 2 for x, y in zip(cents[a], cents[b])) ** 0.5
-            val = (s_of[a] + s_of[b]) / dist if dist > 0 else 0.0  # coincident centroids count 0
-            best = max(best, val)
-        worst.append(best)
-    return df.sparkSession.createDataFrame([(sum(worst) / len(worst),)], "davies_bouldin double")
+    for i in range(len(summ)):
+        apart = np.sqrt(((centres - centres[i]) ** 2).sum(1))
+        ratio = np.divide(spread + spread[i], apart, out=np.zeros(len(summ)), where=apart > 0)  # coincident centroids count 0
+        worst.append(float(ratio.max()))
+    return df.sparkSession.createDataFrame([(float(np.mean(worst)),)], "davies_bouldin double")
 
 
 # --- k-means -------------------------------------------------------------------
@@ -134,10 +140,16 @@ def kmeans(df: DataFrame, vec_col: str, k: int = 4, n_init: int = 20, seed: int
 
     One engine at every size: Spark ML k-means, seeded over all rows
     (``init``: ``k-means||`` or ``random``), restarts as concurrent jobs over
-    vectors that are written once to the shared folder."""
+    vectors that are written once to the shared folder.  Rows whose vector is null
+    or holds a null get a NULL label; without any vector there are no centroids."""
     if init not in ("k-means||", "random"):
         raise ValueError("init must be 'k-means||' or 'random'")
-    data = reliable_checkpoint(df.withColumn("_features", array_to_vector(_dense(vec_col))))
+    df = df.drop(name)
+    usable = _dense(vec_col).isNotNull()
+    data = reliable_checkpoint(df.where(usable).withColumn("_features", array_to_vector(_dense(vec_col))))
+    rest = df.where(~usable).withColumn(name, F.lit(None).cast("int"))
+    if data.isEmpty():
+        return rest, []
 
     def fit(i):
         m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features", predictionCol="_raw",
@@ -156,7 +168,7 @@ def kmeans(df: DataFrame, vec_col: str, k: int = 4, n_init: int = 20, seed: int
     centers = model.clusterCenters()
     centroids = [[float(x) for x in centers[raw]] for raw in mapping]
     label = F.coalesce(*[F.when(F.col("_raw") == raw, new) for raw, new in mapping.items()])
-    return pred.withColumn(name, label.cast("int")).drop("_raw"), centroids
+    return pred.withColumn(name, label.cast("int")).drop("_raw").unionByName(rest), centroids
 
 
 def assign_nearest(df: DataFrame, vec_col: str, centroids: list[list[float]], name: str = "cluster",
@@ -173,4 +185,4 @@ def assign_nearest(df: DataFrame, vec_col: str, centroids: list[list[float]], na
     else:
         dist = V.distance(metric)
     ds = F.transform(F.col("_cent"), lambda c, i: F.struct(dist(_dense(vec_col), c).alias("d"), i.alias("i")))
-    return j.withColumn(name, F.array_min(ds)["i"].cast("int")).drop("_cent")
+    return j.withColumn(name, F.when(_dense(vec_col).isNotNull(), F.array_min(ds)["i"]).cast("int")).drop("_cent")

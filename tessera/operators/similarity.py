@@ -120,11 +120,11 @@ def _blocks(n: int, block_rows: int) -> int:
 
 
 def _prepare(vectors: DataFrame, id_col: str, vec_col: str, metric: str, n_blocks: int) -> DataFrame:
-    v = F.col(vec_col).cast("array<double>")
+    v = V.clean(vec_col)
     if metric == "cosine":
         v = V.normalize(v)
-    return vectors.select(F.col(id_col).alias("id"), v.alias("v"),
-                          F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int").alias("blk"))
+    rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int").alias("blk"))
+    return rows.where("id IS NOT NULL AND v IS NOT NULL")
 
 
 def _block_pairs(prepared: DataFrame, n_blocks: int, upper: bool = False):
@@ -166,7 +166,7 @@ def _scores(lv: np.ndarray, rv: np.ndarray, metric: str) -> np.ndarray:
 def _topk_fn(k: int, metric: str, exclude_self: bool):
     def fn(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if lpdf.empty or rpdf.empty:
-            return pd.DataFrame({"id": lpdf["lid"][:0], "nbr": lpdf["lid"][:0], "score": []})
+            return pd.DataFrame({"id": lpdf["lid"][:0], "nbr": rpdf["rid"][:0], "score": []})
         lv = np.stack(lpdf["lv"].to_numpy()).astype(np.float64)
         rv = np.stack(rpdf["rv"].to_numpy()).astype(np.float64)
         lid, rid = _ids(lpdf["lid"]), _ids(rpdf["rid"])
@@ -184,12 +184,22 @@ def _topk_fn(k: int, metric: str, exclude_self: bool):
     return fn
 
 
+def _merged(cand: DataFrame, k: int, metric: str) -> DataFrame:
+    """The k best of each row's candidates of all blocks."""
+    w = Window.partitionBy("id").orderBy(F.col("score").desc(), F.col("nbr"))
+    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    val = F.col("score") if metric == "cosine" else -F.col("score")
+    name = "cosine_similarity" if metric == "cosine" else "distance"
+    return top.select(F.col("id").alias("id1"), F.col("nbr").alias("id2"), val.alias(name), "rank")
+
+
 def topk_neighbours(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, metric: str = "cosine",
                     block_rows: int = 2048, exclude_self: bool = True) -> DataFrame:
     """Every row's ``k`` nearest rows, exact.
 
     ``metric`` is ``cosine`` (score = similarity) or another of ``METRICS``
     (score = distance, smallest first; hellinger needs non-negative vectors).  Ties by neighbour id.
+    Rows with a null id, or whose vector is null or holds a null, have and are no neighbours.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
@@ -198,12 +208,24 @@ def topk_neighbours(vectors: DataFrame, id_col: str, vec_col: str, k: int = 5, m
     prepared = _prepare(vectors, id_col, vec_col, metric, nb)
     lg, rg = _block_pairs(prepared, nb)
     kind = vectors.schema[id_col].dataType.simpleString()
-    cand = lg.cogroup(rg).applyInPandas(_topk_fn(k, metric, exclude_self), f"id {kind}, nbr {kind}, score double")
-    w = Window.partitionBy("id").orderBy(F.col("score").desc(), F.col("nbr"))
-    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    val = F.col("score") if metric == "cosine" else -F.col("score")
-    name = "cosine_similarity" if metric == "cosine" else "distance"
-    return top.select(F.col("id").alias("id1"), F.col("nbr").alias("id2"), val.alias(name), "rank")
+    return _merged(lg.cogroup(rg).applyInPandas(_topk_fn(k, metric, exclude_self), f"id {kind}, nbr {kind}, score double"), k, metric)
+
+
+def topk_between(queries: DataFrame, id_col: str, vec_col: str, base: DataFrame, base_id: str, base_vec: str, k: int = 5,
+                 metric: str = "euclidean", block_rows: int = 2048) -> DataFrame:
+    """Every query's ``k`` nearest rows of another table, exact: ``id1`` (query), ``id2`` (base), score and ``rank`` as in
+    ``topk_neighbours``.  A query meets every block of ``base``, and emits its k best of each.  Rows with a null id, or
+    whose vector is null or holds a null, have and are no neighbours; an empty table on either side gives no rows."""
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    nl, nr = _blocks(queries.count(), block_rows), _blocks(base.count(), block_rows)
+    left = _prepare(queries, id_col, vec_col, metric, nl)
+    right = _prepare(base, base_id, base_vec, metric, nr)
+    left = left.select(F.col("id").alias("lid"), F.col("v").alias("lv"), F.col("blk").alias("bl"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("br"))
+    right = right.select(F.col("id").alias("rid"), F.col("v").alias("rv"), F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("bl"), F.col("blk").alias("br"))
+    kinds = queries.schema[id_col].dataType.simpleString(), base.schema[base_id].dataType.simpleString()
+    cand = left.groupBy("bl", "br").cogroup(right.groupBy("bl", "br")).applyInPandas(_topk_fn(k, metric, False), f"id {kinds[0]}, nbr {kinds[1]}, score double")
+    return _merged(cand, k, metric)
 
 
 def _threshold_fn(threshold: float):
