@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrange, column, landed, slices
+from tessera.session import reliable_checkpoint
 
 #: What a candidate is without a name, the names that an assigned secret has, its value (between quotes, or up
 #: to a space or to the next assignment), the prefixes of known kinds of keys, and the words that are features.
@@ -35,7 +36,8 @@ _BARE, _CLOSING = 5, ",;)]}>\"'`"
 PREFIXED = re.compile(
     r"(?<![A-Za-z0-9])(?:gh[opsru]_[A-Za-z0-9]{30,}|github_pat_\w{22,}|glpat-[\w-]{20,}|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|AIza[\w-]{35}"
     r"|xox[abeoprs]-[\w-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-(?:ant|proj)-[\w-]{20,}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}|pypi-[\w-]{50,})")
-_PART = re.compile(r"=*[^=]+=*")
+#: Characters after a name within which another name with an assignment would begin the value.
+_NEXT = 80
 WORDS = ("token", "secret", "password", "key", "example", "test", "http", "hash", "=", ":", '"', "'")
 #: Characters around a candidate that are looked at, and hash cells of the path and of the neighbouring words.
 AROUND, PATHS, NEIGHBOURS = 30, 8, 16
@@ -76,8 +78,10 @@ def assigned(text: str) -> Iterator[tuple[int, int, int]]:
     last = pos = 0
     while m := ASSIGNED.search(text, pos):
         pos = m.end()
+        if _AGAIN.match(text, pos, pos + _NEXT):  # another name follows, which has the value
+            continue
         v = VALUE.match(text, pos)
-        if v is None or _AGAIN.match(text, pos):  # another name follows, which has the value
+        if v is None:
             continue
         start, end = v.span(v.lastindex)
         if v.lastindex == _BARE:
@@ -93,9 +97,18 @@ def assigned(text: str) -> Iterator[tuple[int, int, int]]:
 def runs(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     """(start, end) of long runs, parted behind "=" that more follows: the last part, and others of LONG characters."""
     for m in CANDIDATE.finditer(text, start, end):
-        *parts, last = [x.span() for x in _PART.finditer(text, *m.span())] or [m.span()]
-        yield from [(a, b) for a, b in parts if b - a >= LONG]
-        yield last
+        a, stop = m.span()
+        i = a
+        while i < stop:  # one pass: "=" in front, what is not "=", and "=" behind
+            part = i
+            while i < stop and text[i] == "=":
+                i += 1
+            j = text.find("=", i, stop)
+            i = stop if j < 0 else j
+            while i < stop and text[i] == "=":
+                i += 1
+            if i == stop or i - part >= LONG:
+                yield part, i
 
 
 def spans(text: str) -> list[tuple[int, int, bool]]:
@@ -138,6 +151,7 @@ def candidates(docs: DataFrame, dictionary: Iterable[str], id_col: str = "doc_id
 def train(labelled: DataFrame, rows: int = 5000, trees: int = 20, seed: int = 11) -> RandomForestClassificationModel | None:
     """A forest of labelled findings (features, labelled 0 or 1), about ``rows`` of each label drawn by hash; None unless
     both labels are there."""
+    labelled = reliable_checkpoint(labelled)  # counted, drawn from, and read by every pass of the forest
     counted = {r["labelled"]: r["n"] for r in labelled.groupBy("labelled").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if len(counted) < 2:
         return None
@@ -156,7 +170,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None, dictionary: Iterable[str],
     stay apart; an empty table gives an empty result; other columns are not read."""
     dictionary, docs = frozenset(dictionary), landed(docs)
     docs_at = arrange(docs, {id_col: "id"}, text=None).select("id", "row_file", "row_no")
-    found = candidates(docs, dictionary, id_col, text_col, path_col)
+    found = reliable_checkpoint(candidates(docs, dictionary, id_col, text_col, path_col))  # texts are scanned once
     model = train(labelled) if labelled is not None else None
     if model is None:
         scored = found.withColumn("score", F.col("labelled"))

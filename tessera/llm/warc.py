@@ -88,7 +88,11 @@ def _fields(lines: bytes) -> dict[str, str]:
     for line in lines.split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if colon:
-            out[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+            key, text = name.decode("utf-8", "replace").strip().lower(), value.decode("utf-8", "replace").strip()
+            if key == "warc-concurrent-to" and key in out:
+                out[key] += f" {text}"
+            else:
+                out.setdefault(key, text)
     return out
 
 
@@ -132,8 +136,10 @@ def _row(h: dict[str, str], block: bytes) -> tuple:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives in a folder (plain or gzipped), columns as in ``RECORDS``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    """One row per record of the archives in a folder, columns as in ``RECORDS``.  All files are read, plain and gzipped ones,
+    whatever their names, but for hidden ones and ``_SUCCESS``; a file that is no archive is an error.  Of a repeated header
+    the first counts, but for WARC-Concurrent-To, whose values are joined by a space."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
 
     def read(batches):
         types = [pa.string()] * 8 + [pa.int64(), pa.string(), pa.binary(), pa.map_(pa.string(), pa.string())]
@@ -157,16 +163,31 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(read, RECORDS)
 
 
+def _named(records: DataFrame) -> DataFrame:
+    """(record_id, other) for every WARC-Concurrent-To, as it stands."""
+    return records.select("record_id", F.explode(F.split("concurrent_to", " ")).alias("other")).where("record_id is not null and other <> ''")
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One row per response or revisit: ``capture``, ``request`` and ``metadata`` (nested records, null where missing) with
-    ``n_requests`` and ``n_metadata``.  Of several requests or metadata records of a capture, the one with the smallest
-    record id is nested and all are counted, so no group is collected; ``left_over`` has the rest."""
+    ``n_requests``, ``n_metadata`` and ``concurrent_ids``, the ids of all requests and metadata records of the capture.
+
+    A record belongs to a capture that it names in WARC-Concurrent-To, or that names it.  Of several requests or metadata
+    records the one with the smallest record id is nested; the others are listed by id, and ``left_over`` has them whole, so
+    no group of records is collected."""
     row = F.struct(*[F.col(c) for c in records.columns])
-    out = records.where(F.col("warc_type").isin("response", "revisit")).select(F.col("record_id").alias("to"), row.alias("capture"))
-    for kind, name, n in (("request", "request", "n_requests"), ("metadata", "metadata", "n_metadata")):
-        own = records.where((F.col("warc_type") == kind) & F.col("concurrent_to").isNotNull()).groupBy(F.col("concurrent_to").alias("to"))
-        out = out.join(own.agg(F.min_by(row, "record_id").alias(name), F.count(F.lit(1)).alias(n)), "to", "left")
-    return out.select("capture", "request", "metadata", F.coalesce("n_requests", F.lit(0)).alias("n_requests"), F.coalesce("n_metadata", F.lit(0)).alias("n_metadata"))
+    capture = F.col("warc_type").isin("response", "revisit")
+    out = records.where(capture).select(F.col("record_id").alias("to"), row.alias("capture"))
+    links = _named(records.where(~capture)).select(F.col("record_id").alias("side_id"), F.col("other").alias("to"))
+    links = links.unionByName(_named(records.where(capture)).select(F.col("other").alias("side_id"), F.col("record_id").alias("to"))).distinct()
+    sides = records.where(F.col("warc_type").isin("request", "metadata")).select(F.col("record_id").alias("side_id"), "warc_type", row.alias("row"))
+    met = links.join(sides, "side_id").groupBy("to").agg(
+        *[F.min_by(F.when(F.col("warc_type") == kind, F.col("row")), F.when(F.col("warc_type") == kind, F.col("side_id"))).alias(kind) for kind in ("request", "metadata")],
+        *[F.count(F.when(F.col("warc_type") == kind, 1)).alias(n) for kind, n in (("request", "n_requests"), ("metadata", "n_metadata"))],
+        F.sort_array(F.collect_set("side_id")).alias("concurrent_ids"))
+    out = out.join(met, "to", "left")
+    return out.select("capture", "request", "metadata", F.coalesce("n_requests", F.lit(0)).alias("n_requests"), F.coalesce("n_metadata", F.lit(0)).alias("n_metadata"),
+                      F.coalesce("concurrent_ids", F.array().cast("array<string>")).alias("concurrent_ids"))
 
 
 def left_over(records: DataFrame) -> DataFrame:

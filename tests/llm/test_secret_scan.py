@@ -4,7 +4,7 @@ import zlib
 import pytest
 
 from tessera.llm.queries import op5_secret_scan, secret_dictionary
-from tessera.llm.secret_scan import CANDIDATE, candidates, coverage, features, scan, train
+from tessera.llm.secret_scan import CANDIDATE, candidates, coverage, features, scan, train, spans
 from tests.llm.helpers import ODD_TEXTS, docs_of, no_docs, odd_docs
 
 SF1 = "/root/testdata/sf0.1"  # smaller tables hold too few secrets
@@ -111,3 +111,25 @@ def test_forest_finds_a_short_password(spark, dictionary):
 def test_coverage_feature_of_the_whole_value():
     words = frozenset(["word"])
     assert features("0" * 200 + "word" * 100, "", "", "", words)[21] == pytest.approx(2 / 3)
+
+
+def test_long_runs_take_linear_time():
+    """A megabyte of what the patterns begin with, in seconds."""
+    import time
+
+    for unit in ("token=", "=", "token: ", '"', "password='", "a=", "\\", "secret==", "token = token = "):
+        text = unit * ((1 << 20) // len(unit))
+        began = time.time()
+        found = spans(text)
+        assert time.time() - began < 20, unit
+        assert all(a < b for a, b, _ in found) and all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+
+
+def test_runs_are_parted_behind_equals_signs():
+    from tessera.llm.secret_scan import runs
+
+    of = lambda t: [t[a:b] for a, b in runs(t, 0, len(t))]
+    assert of("NAME=" + "k" * 30) == ["k" * 30]
+    assert of("n" * 25 + "==" + "k" * 30 + "=") == ["n" * 25 + "==", "k" * 30 + "="]
+    assert of("=" * 40) == ["=" * 40]
+    assert of("a=b=c=" + "d" * 20 + "==") == ["d" * 20 + "=="]

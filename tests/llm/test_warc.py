@@ -72,6 +72,48 @@ def test_missing_and_further_records(spark, tmp_path):
     assert {r.record_id for r in left_over(read).collect()} == {"i", "m2", "r1"}
 
 
+def record(kind, i, to=(), block=b"a: 1", content="application/warc-fields", **more):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {i}", f"Content-Length: {len(block)}", f"Content-Type: {content}"]
+    lines += [f"WARC-Concurrent-To: {x}" for x in to] + [f"{k}: {v}" for k, v in more.items()]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_plain_archives_and_other_names(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(record("response", "c1") + record("metadata", "m1", ["c1"]))
+    (tmp_path / "w" / "b.warc.gz").write_bytes(gzip.compress(record("response", "c2") + record("metadata", "m2", ["c2"])))
+    (tmp_path / "w" / "c").write_bytes(gzip.compress(record("response", "c3")) + gzip.compress(record("request", "r3", ["c3"])))
+    (tmp_path / "w" / "empty.warc").write_bytes(b"")
+    read = read_records(spark, str(tmp_path / "w"))
+    assert sorted(r.record_id for r in read.collect()) == ["c1", "c2", "c3", "m1", "m2", "r3"]
+    got = {r.capture.record_id: r for r in assemble(read).collect()}
+    assert (got["c1"].metadata.record_id, got["c2"].metadata.record_id, got["c3"].request.record_id) == ("m1", "m2", "r3")
+    (tmp_path / "w" / "odd.txt").write_bytes(b"no archive")
+    with pytest.raises(Exception, match="no WARC record"):
+        read_records(spark, str(tmp_path / "w")).count()
+
+
+def test_either_side_names_the_other(spark, tmp_path):
+    rows = [
+        record("response", "c1", ["r1", "m1"]), record("request", "r1"), record("metadata", "m1"), record("metadata", "m2", ["c1"]),
+        record("response", "c2"), record("request", "r2", ["c2", "c3"]), record("revisit", "c3", ["r2"], **{"warc-type": "response"}), record("metadata", "m9", ["c8"]),
+    ]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(b"".join(rows))
+    read = read_records(spark, str(tmp_path / "w"))
+    got = {r.capture.record_id: r for r in assemble(read).collect()}
+    assert (got["c1"].request.record_id, got["c1"].metadata.record_id, got["c1"].n_requests, got["c1"].n_metadata) == ("r1", "m1", 1, 2)
+    assert got["c1"].concurrent_ids == ["m1", "m2", "r1"]
+    assert got["c2"].request.record_id == got["c3"].request.record_id == "r2" and got["c3"].capture.warc_type == "revisit"
+    assert {r.record_id for r in left_over(read).collect()} == {"m2", "m9"}
+
+
+def test_clashing_columns(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x", "d", 5, "r")], TYPES + ", digest string, bytes long, record string").withColumnRenamed("record", "first")
+    write_archive(pages, str(tmp_path / "w"))
+    assert [(r.page_id, r.payload_bytes) for r in captures(read_records(spark, str(tmp_path / "w"))).collect()] == [(1, 1)]
+
+
 def test_pages_and_empty_table(spark, tmp_path):
     pages = spark.read.parquet(f"{SF001}/pages.parquet")
     write_archive(pages, str(tmp_path / "w"))
