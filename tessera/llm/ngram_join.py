@@ -39,7 +39,7 @@ from tessera.session import reliable_checkpoint
 #: Words of a shingle, and the similarity in hundredths from which documents link.
 SHINGLE, PERCENT = 5, 75
 #: Cells of the sketch of shingle counts (a byte each), its parts, and words of 64 bits of the filter of wanted rows.
-CELLS, PARTS, FILTER_WORDS = 1 << 25, 256, 1 << 19
+CELLS, PARTS, FILTER_WORDS = 1 << 24, 128, 1 << 19
 #: The level of a cell that is as full as the count above which shingles are frequent.
 EVEN = 128
 #: Keys are cut to 48 bits: they only propose pairs.
@@ -122,7 +122,7 @@ def _rarity(sketch: DataFrame) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary())], ["part", "levels"])
 
     out, width = np.zeros(CELLS, np.uint8), CELLS // PARTS
-    for r in added.select("part", "counts").mapInArrow(level, "part int, levels binary").collect():  # PARTS rows of fixed size
+    for r in added.select("part", "counts").mapInArrow(level, "part int, levels binary").toLocalIterator():  # PARTS rows of fixed size
         out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["levels"], np.uint8)
     return out, EVEN
 

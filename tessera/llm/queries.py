@@ -77,6 +77,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def captures(records: DataFrame) -> DataFrame:
     """Digest columns of the captures in ``records``; a revisit is given the page of the response that it refers to."""
+    records = reliable_checkpoint(records.drop("payload", "head"))  # archives are parsed once, for the columns used here
     rows = warc.assemble(records).select(
         F.col("metadata.fields")["page-id"].cast("long").alias("page_id"), F.col("capture.payload_bytes").alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"),
         F.col("capture.warc_type").alias("record_type"), F.col("capture.record_id").alias("record_id"), F.col("capture.refers_to").alias("to"))
