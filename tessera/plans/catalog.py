@@ -291,6 +291,12 @@ def residual_leverage_bins(spark, sf_dir):
     return diagnostics.residual_bins(_separate_influence(spark, sf_dir), "leverage", RESID, 20)
 
 
+@query
+def residual_vs_predicted(spark, sf_dir):
+    """Residual vs predicted value as counts on a 20 x 20 grid."""
+    return diagnostics.residual_bins(_separate_influence(spark, sf_dir), "fitted_values", RESID, 20)
+
+
 @query
 def log_transform(spark, sf_dir):
     """Natural log of the discount (zero discounts give NULL)."""
@@ -441,6 +447,14 @@ def knn_graph_lsh(spark, sf_dir):
     return t.select("id1", "id2", rounded("distance", 9).alias("distance"), "rank")
 
 
+@query
+def nearest_labelled(spark, sf_dir):
+    """The three nearest vectors with an even id for every vector with an odd one (exact, two tables)."""
+    e = _emb(spark, sf_dir)
+    t = M.topk_between(e.where("vec_id % 2 = 1"), "vec_id", "v", e.where("vec_id % 2 = 0"), "vec_id", "v", k=3, block_rows=128)
+    return t.select("id1", "id2", rounded("distance", 9).alias("distance"), F.col("rank").cast("int").alias("rank"))
+
+
 @query
 def vector_distances(spark, sf_dir):
     """Distances between each vector and the next id's vector
@@ -484,6 +498,7 @@ def davies_bouldin(spark, sf_dir):
 
 # --- text embeddings ----------------------------------------------------------------
 
+from tessera.functions import text as TX  # noqa: E402
 from tessera.operators import embed as E  # noqa: E402
 from tessera.operators import reduce as R_  # noqa: E402
 
@@ -518,6 +533,23 @@ def tfidf_transform(spark, sf_dir):
     return w.select("doc_id", "term", "tf", rounded("weight", 6).alias("weight"))
 
 
+@query
+def treebank_tokens(spark, sf_dir):
+    """Treebank-style tokens of every document, counted by token."""
+    counts = tfidf.term_counts(_docs(spark, sf_dir), token_fn=TX.treebank_tokens)
+    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
+
+
+@query
+def idf_weighted_treebank_embed(spark, sf_dir):
+    """E4 / J4 with Treebank tokens: words without an idf (punctuation, single characters) get the largest one."""
+    docs = _docs(spark, sf_dir)
+    words = tfidf.term_counts(docs, token_fn=TX.treebank_tokens).select(F.col("term").alias("word")).distinct()
+    words = words.withColumn("vector", F.array(F.length("word").cast("double"), (F.length("word") % 3).cast("double")))
+    e = E.idf_weighted_word_vector_embed(docs, words)
+    return e.select("doc_id", *_vec_cols(e, "vector", 2, 6))
+
+
 @query
 def mean_word_vector_embed(spark, sf_dir):
     """E3 with word tokens: mean word vector per document (NULL if no known word)."""

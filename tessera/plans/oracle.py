@@ -341,6 +341,9 @@ SELECT CAST(least(greatest(floor((lx - x0) / (x1 - x0) * 20.0), 0), 19) AS INTEG
 FROM p CROSS JOIN rg GROUP BY ALL
 """
 
+SQL["residual_vs_predicted"] = SQL["residual_leverage_bins"].replace(
+    "h AS lx, t_ext AS ly FROM rowt WHERE h IS NOT NULL", "fitted AS lx, t_ext AS ly FROM rowt WHERE fitted IS NOT NULL")
+
 SQL["log_transform"] = f"""
 SELECT l_orderkey, l_linenumber,
        {r('CASE WHEN l_discount > 0 THEN ln(l_discount) END', 9)} AS "Log l_discount" FROM lineitem
@@ -508,6 +511,48 @@ SELECT d.doc_id, {r('v0', 9)} AS v0, {r('v1', 9)} AS v1, {r('v2', 9)} AS v2, {r(
 FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id
 """
 
+#: The rewrites of the Treebank-style tokenizer, in their order.
+_TREEBANK = [
+    (r'^"', r" `` "), (r"(``)", r" \1 "), (r'([ (\[{<])"', r"\1 `` "), (r"([:,])([^\d])", r" \1 \2"), (r"([:,])$", r" \1 "),
+    (r"\.\.\.", r" ... "), (r"([;@#$%&])", r" \1 "), (r"""([^\.])(\.)([\]\)}>"']*)\s*$""", r"\1 \2\3 "), (r"([?!])", r" \1 "),
+    (r"([\]\[\(\)\{\}<>])", r" \1 "), (r"--", r" -- "), (r'"', r" '' "), (r"(\S)('')", r"\1 \2 "),
+    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", r"\1 \2 "), (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 "), (r"\s+", r" "),
+]
+
+
+def _treebank(text: str) -> str:
+    out = f"lower(coalesce({text}, ''))"
+    for pattern, new in _TREEBANK:
+        out = f"regexp_replace({out}, '" + pattern.replace("'", "''") + "', '" + new.replace("'", "''") + "', 'g')"
+    return f"trim({out})"
+
+
+_TB_TF = f"""
+tb0 AS (SELECT doc_id, {_treebank('text')} AS s FROM documents),
+tb AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split(s, ' ')) AS term FROM tb0 WHERE s <> '') GROUP BY ALL)"""
+
+SQL["treebank_tokens"] = f"""
+WITH {_TB_TF}
+SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS ctf FROM tb GROUP BY term
+"""
+
+SQL["idf_weighted_treebank_embed"] = f"""
+WITH {_TF}, {_TB_TF},
+n AS (SELECT count(*) AS n FROM documents),
+idf AS (SELECT term, ln((1.0 + n.n) / (1.0 + count(*))) + 1.0 AS idf FROM tf CROSS JOIN n GROUP BY term, n.n),
+top AS (SELECT max(idf) AS top FROM idf),
+m AS (SELECT doc_id, sum(tf * coalesce(idf, top) * length(tb.term)) / sum(tf) AS v0, sum(tf * coalesce(idf, top) * (length(tb.term) % 3)) / sum(tf) AS v1
+      FROM tb LEFT JOIN idf ON tb.term = idf.term CROSS JOIN top GROUP BY doc_id)
+SELECT d.doc_id, {r('v0', 6)} AS v0, {r('v1', 6)} AS v1 FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id
+"""
+
+SQL["nearest_labelled"] = f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS id1, b.vec_id AS id2, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id % 2 = 1 AND b.vec_id % 2 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY d, id2) AS rank FROM p)
+SELECT id1, id2, {r('d', 9)} AS distance, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3
+"""
+
 SQL["pool_token_states"] = f"""
 WITH t0 AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD_RE}') AS tk FROM documents),
 t AS (SELECT doc_id, unnest(tk) AS term, generate_subscripts(tk, 1) AS pos FROM t0),
