@@ -3,10 +3,10 @@
 Word-vector means (E3) and idf-weighted means (E4):
 
     term counts per document (counted inside each row, no shuffle)
-      -> inner join with the word-vector table on the word (J3; broadcast
-         when the table's size is counted below a bound, otherwise a shuffle
-         join that AQE splits for hot words)
-      -> [E4] left join with the idf table, missing idf = max idf (J4)
+      -> inner join with the word-vector table on the word (J3; ``hot_join``:
+         broadcast when the table's bytes are below a bound, otherwise a
+         shuffle join in which the rows of hot words are salted)
+      -> [E4] left join with the idf table (the same way), missing idf = max idf (J4)
       -> groupBy(doc).agg(Summarizer.sum(weight * vector)) / sum(weight)
 
 ``Summarizer`` is an ML aggregate with map-side partial buffers of size d,
@@ -25,14 +25,20 @@ from pyspark.sql import types as T
 
 from tessera.functions import text as TX
 from tessera.operators import tfidf
-
-BROADCAST_WORDS = 2_000_000
+from tessera.operators.hot_join import BROADCAST_BYTES, fits, hot_join
+from tessera.session import reliable_checkpoint
 
 
 def _word_table(word_vectors: DataFrame) -> DataFrame:
-    wv = word_vectors.select(F.col("word").alias("term"), F.col("vector").cast("array<double>").alias("_wv"))
-    n = wv.count()
-    return F.broadcast(wv) if n <= BROADCAST_WORDS else wv
+    return word_vectors.select(F.col("word").alias("term"), F.col("vector").cast("array<double>").alias("_wv"))
+
+
+def _with_vectors(counts: DataFrame, word_vectors: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """Term counts joined with the vectors of their words; the counts are written first where they are read more than once."""
+    table = _word_table(word_vectors)
+    if not fits(table, broadcast_bytes):
+        counts = reliable_checkpoint(counts)
+    return hot_join(counts, table, "term", ["doc_id"], broadcast_bytes=broadcast_bytes)
 
 
 def _weighted_mean(rows: DataFrame, docs: DataFrame, id_col: str, weight: str, scale: str | None,
@@ -52,25 +58,29 @@ def _weighted_mean(rows: DataFrame, docs: DataFrame, id_col: str, weight: str, s
 
 
 def mean_word_vector_embed(docs: DataFrame, word_vectors: DataFrame, id_col: str = "doc_id",
-                           text_col: str = "text", tokenizer: str = "treebank", out: str = "vector") -> DataFrame:
+                           text_col: str = "text", tokenizer: str = "treebank", out: str = "vector",
+                           broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Mean of the vectors of a document's known words (repeats count;
     unknown words dropped; lower-cased at fit and transform alike)."""
     counts = _counts(docs, id_col, text_col, tokenizer)
-    rows = counts.join(_word_table(word_vectors), "term", "inner")
-    return _weighted_mean(rows, docs, id_col, "tf", None, out)
+    return _weighted_mean(_with_vectors(counts, word_vectors, broadcast_bytes), docs, id_col, "tf", None, out)
 
 
 def idf_weighted_word_vector_embed(docs: DataFrame, word_vectors: DataFrame, id_col: str = "doc_id",
                                    text_col: str = "text", tokenizer: str = "treebank",
-                                   model: tfidf.TfidfModel | None = None, out: str = "vector") -> DataFrame:
+                                   model: tfidf.TfidfModel | None = None, out: str = "vector",
+                                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Each known word's vector times its smooth idf from a default TF-IDF
     fit on the same documents (words without an idf get the largest idf),
     divided by the number of known words (not by the weight sum)."""
     model = model or tfidf.tfidf_fit(docs, id_col, text_col)
     counts = _counts(docs, id_col, text_col, tokenizer)
-    rows = counts.join(_word_table(word_vectors), "term", "inner")
-    idf = model.idf_table()
-    rows = rows.join(idf, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(float(model.max_idf or 1.0))))
+    idf = model.vocabulary.select("term", "idf")
+    if not fits(idf, broadcast_bytes):
+        counts = reliable_checkpoint(counts)
+    rows = hot_join(counts, idf, "term", ["doc_id"], "left", broadcast_bytes)
+    rows = rows.withColumn("idf", F.coalesce("idf", F.lit(float(model.max_idf or 1.0))))
+    rows = _with_vectors(rows, word_vectors, broadcast_bytes)
     return _weighted_mean(rows, docs, id_col, "tf", "idf", out)
 
 

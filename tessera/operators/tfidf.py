@@ -21,10 +21,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import english_stop_words, tokens as token_expr
+from tessera.operators.hot_join import BROADCAST_BYTES, fits
 from tessera.session import reliable_checkpoint, spread
 
 BROADCAST_TERMS = 2_000_000
@@ -67,11 +71,9 @@ class TfidfModel:
         return add_row_number(self.vocabulary, ["term"], name="term_index", start=0)
 
 
-def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                params: TfidfParams = TfidfParams(), token_fn=None) -> DataFrame:
-    """``(doc_id, term, tf)`` counted inside each document row (no shuffle).
-
-    ``token_fn`` (text Column -> array Column) replaces the analyzer."""
+def term_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              params: TfidfParams = TfidfParams(), token_fn=None) -> DataFrame:
+    """``(doc_id, _runs)``: the terms of each document with their counts as one array of its row, stop words included."""
     if token_fn is not None:
         toks = token_fn(F.col(text_col))
     else:
@@ -86,7 +88,7 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             & ((i == 1) | (F.try_element_at(F.col("_s"), i) != F.try_element_at(F.col("_s"), i - 1))),
         ).alias("_st"),
     )
-    runs = with_starts.select(
+    return with_starts.select(
         "doc_id",
         F.transform(
             F.col("_st"),
@@ -96,6 +98,14 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ),
         ).alias("_runs"),
     )
+
+
+def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                params: TfidfParams = TfidfParams(), token_fn=None) -> DataFrame:
+    """``(doc_id, term, tf)`` counted inside each document row (no shuffle).
+
+    ``token_fn`` (text Column -> array Column) replaces the analyzer."""
+    runs = term_runs(docs, id_col, text_col, params, token_fn)
     # inline_outer: a plain generator would make the optimizer infer a
     # ``size(...) > 0`` filter that copies the whole run-length expression.
     tc = runs.select("doc_id", F.inline_outer("_runs")).where(F.col("term").isNotNull())
@@ -180,6 +190,44 @@ def tfidf_transform(docs: DataFrame, model: TfidfModel, id_col: str = "doc_id",
     return raw.select("doc_id", "term", "tf", F.when(den > 0, F.col("_w") / den).otherwise(0.0).alias("weight"))
 
 
+def tfidf_transform_rows(docs: DataFrame, model: TfidfModel, id_col: str = "doc_id", text_col: str = "text",
+                         broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """E2 inside the document rows, with the norm and without any shuffle: ``(doc_id, term, tf, weight)`` as ``tfidf_transform``
+    gives them, on tables and on streams.
+
+    The fitted terms go out as one broadcast whose bytes are checked first; a larger vocabulary is refused (use
+    ``tfidf_transform``, on a stream inside ``foreachBatch``).  Null and empty texts give no rows; a repeated or null id is a
+    document of its own."""
+    p = model.params
+    if p.norm not in ("l1", "l2", None):
+        raise ValueError(f"norm must be 'l1', 'l2' or None, not {p.norm!r}")
+    terms = model.vocabulary.select("term", "idf")
+    if not fits(terms, broadcast_bytes):
+        raise ValueError(f"the vocabulary has more than {broadcast_bytes} bytes")
+    table = terms.toPandas()
+    fitted = docs.sparkSession.sparkContext.broadcast((table["term"].to_numpy(object), table["idf"].to_numpy(float)))
+
+    def weigh(batches):
+        words, idf = pd.Index(fitted.value[0]), fitted.value[1]
+        for batch in batches:
+            runs = batch.column(1)
+            term, tf = runs.flatten().flatten()
+            owner = np.repeat(np.arange(len(batch)), runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            at = words.get_indexer(term.to_numpy(zero_copy_only=False))
+            known = np.flatnonzero(at >= 0)
+            owner, n = owner[known], tf.to_numpy(zero_copy_only=False)[known].astype(float)
+            w = idf[at[known]] * (1.0 if p.binary else np.log(n) + 1.0 if p.sublinear_tf else n)
+            if p.norm:
+                size = np.bincount(owner, np.abs(w) if p.norm == "l1" else w * w, len(batch))[owner]
+                size = size if p.norm == "l1" else np.sqrt(size)
+                w = np.divide(w, size, out=np.zeros_like(w), where=size > 0)
+            take = pa.array(known)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), term.take(take), tf.take(take), pa.array(w)], ["doc_id", "term", "tf", "weight"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return term_runs(docs, id_col, text_col, p).mapInArrow(weigh, f"doc_id {kind}, term string, tf bigint, weight double")
+
+
 def tfidf_fit_transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         params: TfidfParams = TfidfParams()) -> tuple[TfidfModel, DataFrame]:
     """Fit on ``docs`` and return (model, long-form weights)."""

@@ -810,6 +810,36 @@ def char_counts(spark, sf_dir):
     return tc.select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
 
 
+from tessera.operators import sparse_cluster as SP  # noqa: E402
+
+
+@query
+def tfidf_cluster_scores(spark, sf_dir):
+    """C6-C8 before any reduction: scores of the documents' languages as clusters of the whole TF-IDF vectors."""
+    docs = _t(spark, sf_dir, "documents")
+    _, w = tfidf.tfidf_fit_transform(docs.select("doc_id", "text"))
+    s = SP.sparse_scores(w, docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("cluster")))
+    return s.select(rounded("silhouette", 7).alias("silhouette"), rounded("calinski_harabasz", 4).alias("calinski_harabasz"),
+                    rounded("davies_bouldin", 6).alias("davies_bouldin"))
+
+
+@query
+def tfidf_transform_rows(spark, sf_dir):
+    """E2 inside the document rows (no shuffle): the model of the documents applied to the benchmark passages."""
+    model = tfidf.tfidf_fit(_docs(spark, sf_dir))
+    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return tfidf.tfidf_transform_rows(items, model).select("doc_id", "term", "tf", rounded("weight", 6).alias("weight"))
+
+
+@query
+def cluster_texts_before(spark, sf_dir):
+    """C3 ``before`` + C1: k-means(4, best of 4 restarts) of the whole TF-IDF vectors, sparse centroids."""
+    docs = _docs(spark, sf_dir)
+    _, w = tfidf.tfidf_fit_transform(docs)
+    labelled, _ = SP.sparse_kmeans(w, 4, "euclidean", n_init=4, ids=docs)
+    return labelled
+
+
 from tessera.operators import layout as LY  # noqa: E402
 
 

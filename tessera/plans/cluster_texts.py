@@ -20,6 +20,7 @@ from tessera.operators import embed as E
 from tessera.operators import layout as LY
 from tessera.operators import reduce as R
 from tessera.operators import scale as S
+from tessera.operators import sparse_cluster as SP
 from tessera.operators import tfidf as T
 from tessera.session import reliable_checkpoint
 
@@ -59,6 +60,7 @@ class TextClusterModel:
     centroids: list[list[float]]
     space: str
     assign_metric: str = "euclidean"
+    sparse_clusters: SP.SparseClusters | None = None  # clustered before reduction on TF-IDF
 
 
 def _first_step(config: TextClusterConfig, sparse: bool) -> str:
@@ -91,8 +93,8 @@ def _space(config: TextClusterConfig, sparse: bool) -> str:
         raise ValueError(f"cluster_space must be one of {SPACES}")
     if config.cluster_space != "auto":
         return config.cluster_space
-    # One-step types cluster before any reduction; on sparse TF-IDF that would
-    # mean vocabulary-wide dense centroids, so the step-one space is used.
+    # One-step types cluster before any reduction; on sparse TF-IDF only k-means
+    # does so, when asked for ("before"): the step-one space serves both algorithms.
     return "after_step1" if sparse else "before"
 
 
@@ -108,8 +110,13 @@ def cluster_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = _first_step(config, sparse)
     if sparse and config.scale_before_reduction:
         raise ValueError("scaling before reduction needs dense vectors")
+    long_form = sparse and config.cluster_space == "before"
+    if long_form and (config.algorithm != "kmeans" or config.scale_before_cluster):
+        raise ValueError("clustering before reduction on TF-IDF is k-means without scaling")
     if sparse:
         tf_model, weights = T.tfidf_fit_transform(docs, "doc_id", "text", config.tfidf)
+        if long_form:
+            weights = reliable_checkpoint(weights)
         svd_model, step1 = R.truncated_svd(weights, k=config.step_one_dims, n_iter=config.svd_iterations,
                                            seed=config.seed)
         step1 = _every_row(docs, step1.withColumnRenamed("reduced", "step1"), "step1", len(svd_model.singular_values))
@@ -148,13 +155,16 @@ def cluster_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     else:
         layout = step1.select("doc_id", F.element_at("step1", 1).alias("x_embed"),
                               F.element_at("step1", 2).alias("y_embed"))
+    if long_form:
+        labelled, fitted = SP.sparse_kmeans(weights, config.n_clusters, "euclidean", config.n_init, config.seed, ids=docs)
+        labelled = reliable_checkpoint(labelled)
+        model = TextClusterModel(config, tf_model, svd_model, None, [], space, sparse_clusters=fitted)
+        return layout.join(labelled, "doc_id"), SP.sparse_scores(weights, labelled), model
     if space == "after_step1":
         cvec = step1.select("doc_id", F.col("step1").alias("cv"))
     elif space == "after_full":
         cvec = layout.select("doc_id", F.array("x_embed", "y_embed").alias("cv"))
     else:
-        if sparse:
-            raise ValueError("clustering before reduction needs dense vectors")
         cvec = step1.select("doc_id", F.col("vec").alias("cv"))
     scaled = S.scale(cvec, "cv", config.scale_before_cluster, out="sv")
     if config.algorithm == "kmeans":
@@ -192,7 +202,12 @@ def assign_texts(new_docs: DataFrame, model: TextClusterModel, id_col: str = "do
                  text_col: str = "text") -> DataFrame:
     """Embed new texts with the fitted vocabulary, project with the fitted
     loadings, and take the nearest fitted centroid (labels unchanged, any
-    number of rows, no refit).  Texts with no known term get NULL."""
+    number of rows, no refit).  Texts with no known term get NULL, but for a
+    model clustered before reduction, which labels them as its fit does."""
+    if model.sparse_clusters is not None:
+        docs = new_docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        found = SP.assign_sparse(T.tfidf_transform(docs, model.tfidf_model), model.sparse_clusters, docs)
+        return docs.select("doc_id").join(found, "doc_id", "left")
     if model.tfidf_model is None or model.svd_model is None:
         raise ValueError("assign_texts needs a TF-IDF + SVD model")
     if model.config.scale_before_cluster is not None:

@@ -686,3 +686,32 @@ WITH t AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[\\t\\n\\v\
 c AS (SELECT doc_id, unnest(string_split(x, '')) AS term FROM t)
 SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM c WHERE term <> '' GROUP BY doc_id, term
 """
+
+SQL["tfidf_cluster_scores"] = f"""
+WITH {_TF},
+n AS (SELECT count(*) AS n FROM documents),
+dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w0 AS (SELECT tf.doc_id, tf.term, tf.tf * (ln((1.0 + n.n) / (1.0 + dfq.df)) + 1.0) AS w FROM tf JOIN dfq ON tf.term = dfq.term CROSS JOIN n),
+w AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM w0),
+cl AS (SELECT doc_id, coalesce(lang, '') AS own, CASE WHEN doc_id IN (SELECT doc_id FROM w) THEN 1.0 ELSE 0.0 END AS xx FROM documents),
+sz AS (SELECT own AS c, count(*) AS m FROM cl GROUP BY own),
+su AS (SELECT cl.own AS c, w.term, sum(w.x) AS s FROM w JOIN cl ON w.doc_id = cl.doc_id GROUP BY cl.own, w.term),
+sq AS (SELECT sz.c, sz.m, coalesce(sum(su.s * su.s), 0.0) AS q FROM sz LEFT JOIN su ON sz.c = su.c GROUP BY sz.c, sz.m),
+dt AS (SELECT w.doc_id, su.c, sum(w.x * su.s) AS d FROM w JOIN su ON w.term = su.term GROUP BY w.doc_id, su.c),
+al AS (SELECT cl.doc_id, cl.own, cl.xx, sq.c, sq.m, sq.q, coalesce(dt.d, 0.0) AS d
+       FROM cl CROSS JOIN sq LEFT JOIN dt ON dt.doc_id = cl.doc_id AND dt.c = sq.c),
+ab AS (SELECT doc_id, max(CASE WHEN own = c THEN m END) AS m, max(CASE WHEN own = c THEN ((m - 1.0) - (d - xx)) / greatest(m - 1, 1) END) AS a,
+              min(CASE WHEN own <> c THEN 1.0 - d / m END) AS b FROM al GROUP BY doc_id),
+si AS (SELECT avg(CASE WHEN m <= 1 OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS v FROM ab),
+wh AS (SELECT sum(t * t) AS q FROM (SELECT sum(x) AS t FROM w GROUP BY term)),
+ch AS (SELECT ((i.q - wh.q / n.n) / (i.k - 1)) / ((t.x - i.q) / (n.n - i.k)) AS v
+       FROM (SELECT sum(q / m) AS q, count(*) AS k FROM sq) i, wh, n, (SELECT sum(xx) AS x FROM cl) t),
+sp AS (SELECT own AS c, avg(sqrt(greatest(xx - 2.0 * d / m + q / (m * m), 0.0))) AS s FROM al WHERE own = c GROUP BY own),
+gr AS (SELECT a.c AS i, b.c AS j, sum(a.s * b.s) AS g FROM su a JOIN su b ON a.term = b.term AND a.c <> b.c GROUP BY a.c, b.c),
+pr AS (SELECT a.c AS i, x.s + y.s AS spread, sqrt(greatest(a.q / (a.m * a.m) + b.q / (b.m * b.m) - 2.0 * coalesce(gr.g, 0.0) / (a.m * b.m), 0.0)) AS d
+       FROM sq a JOIN sq b ON a.c <> b.c LEFT JOIN gr ON gr.i = a.c AND gr.j = b.c JOIN sp x ON x.c = a.c JOIN sp y ON y.c = b.c),
+db AS (SELECT avg(worst) AS v FROM (SELECT i, max(CASE WHEN d > 0 THEN spread / d ELSE 0.0 END) AS worst FROM pr GROUP BY i))
+SELECT {r('si.v', 7)} AS silhouette, {r('ch.v', 4)} AS calinski_harabasz, {r('db.v', 6)} AS davies_bouldin FROM si, ch, db
+"""
+
+SQL["tfidf_transform_rows"] = SQL["tfidf_transform"]

@@ -1,12 +1,12 @@
 """Fitted operators on streams.
 
-The reference has no streaming.  Three of its fitted-model operators are
+The reference has no streaming.  Four of its fitted-model operators are
 stateless row maps with small fitted tables and apply unchanged to a
 streaming DataFrame: projection of dense vectors (D9, ``PcaModel.transform``),
-cluster assignment (C5, ``assign_nearest``) and regression prediction (R8,
-``predict_ols``).  The TF-IDF transform (E2) runs on a stream with
-``norm=None`` only: its norm is a window over a document's terms, which Spark
-does not allow on streams.  No watermark or state store is needed.
+cluster assignment (C5, ``assign_nearest``), regression prediction (R8,
+``predict_ols``) and the TF-IDF transform with its norm (E2,
+``tfidf_transform_rows``: counts, weights and norm inside the document's row).
+No watermark or state store is needed.
 """
 
 from __future__ import annotations

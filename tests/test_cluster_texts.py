@@ -55,3 +55,16 @@ def test_svd_is_the_same_local_and_distributed(spark, monkeypatch):
         got.append({r["doc_id"]: r["reduced"] for r in scores.collect()})
     assert set(got[0]) == set(got[1])
     assert all(got[0][d] == pytest.approx(got[1][d], abs=1e-7) for d in got[0])
+
+
+def test_clustering_before_reduction_on_tfidf(spark):
+    cfg = CT.TextClusterConfig(algorithm="kmeans", cluster_space="before", n_init=2, n_clusters=3, step_one_dims=3, svd_iterations=1)
+    docs = _docs(spark, 30)
+    frame, scores, model = CT.cluster_texts(docs, config=cfg)
+    rows = {r["doc_id"]: r["cluster"] for r in frame.collect()}
+    assert len(rows) == 33 and None not in rows.values()
+    assert {r["doc_id"]: r["cluster"] for r in CT.assign_texts(docs, model).collect()} == rows
+    assert scores.first()["silhouette"] is not None
+    for bad in (dict(algorithm="agglomerative"), dict(scale_before_cluster="min_max")):
+        with pytest.raises(ValueError, match="before reduction"):
+            CT.cluster_texts(docs, config=CT.TextClusterConfig(**{**dict(algorithm="kmeans"), **bad, "cluster_space": "before"}))

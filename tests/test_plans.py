@@ -10,7 +10,7 @@ import __spark_entry__ as se
 from tests.conftest import SF001
 
 SLOW = {"cluster_texts", "cluster_texts_stats", "cluster_scores", "assign_cluster", "truncated_svd",
-        "cluster_texts_agglomerative", "tsne_layout"}
+        "cluster_texts_agglomerative", "cluster_texts_before", "tsne_layout"}
 
 
 @pytest.mark.parametrize("name", sorted(set(se.queries()) - SLOW))
