@@ -204,11 +204,16 @@ def tfidf_transform_rows(docs: DataFrame, model: TfidfModel, id_col: str = "doc_
     terms = model.vocabulary.select("term", "idf")
     if not fits(terms, broadcast_bytes):
         raise ValueError(f"the vocabulary has more than {broadcast_bytes} bytes")
-    table = terms.toPandas()
-    fitted = docs.sparkSession.sparkContext.broadcast((table["term"].to_numpy(object), table["idf"].to_numpy(float)))
+    sink = pa.BufferOutputStream()
+    table = terms.toArrow()  # stays in Arrow on the driver: no Python object for each term
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    fitted = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    del table, sink
 
     def weigh(batches):
-        words, idf = pd.Index(fitted.value[0]), fitted.value[1]
+        known_terms = pa.ipc.open_stream(fitted.value).read_all()
+        words, idf = pd.Index(known_terms["term"].to_numpy()), known_terms["idf"].to_numpy()
         for batch in batches:
             runs = batch.column(1)
             term, tf = runs.flatten().flatten()
