@@ -14,11 +14,13 @@ Linkages from summaries alone:
 * ``average`` + ``cosine``: the mean cosine distance between groups A and B
   is ``1 - S_A . S_B / (|A| |B|)`` with S the sum of unit vectors -- exact;
 * ``ward`` + ``euclidean``: merge cost ``|A||B|/(|A|+|B|) |mu_A - mu_B|^2`` -- exact;
-* ``average`` / ``complete`` / ``single`` with euclidean or manhattan, and
-  ``complete`` / ``single`` with cosine: Lance-Williams updates on micro-cluster
+* ``average`` / ``complete`` with euclidean or manhattan, and
+  ``complete`` with cosine: Lance-Williams updates on micro-cluster
   centroid distances -- exact when every row is its own micro-cluster,
   approximate with fewer micro-clusters than rows.
 
+``single`` linkage takes neither phase: ``tessera.operators.single_linkage`` is exact at any number of rows.
+
 Labels are canonical: clusters ordered by size (descending), then smallest id.
 """
 
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vector as V
+from tessera.operators.single_linkage import single_linkage
 from tessera.session import reliable_checkpoint
 
 MAX_MICRO = 5_000
@@ -100,9 +103,6 @@ def merge_summaries(sizes: np.ndarray, sums: np.ndarray, k: int, linkage: str, m
         elif linkage == "complete":
             new = np.maximum(d[i], d[j])
             n[i] = ni + nj
-        elif linkage == "single":
-            new = np.minimum(d[i], d[j])
-            n[i] = ni + nj
         else:
             raise ValueError(f"unknown linkage {linkage!r}")
         alive[j] = False
@@ -165,7 +165,11 @@ def agglomerative(df: DataFrame, vec_col: str, k: int = 4, linkage: str = "avera
     """Labels for every row of ``df`` (null where the vector is null or holds a null): ``k`` clusters or, with a
     ``distance_threshold``, those left when no two are nearer than it (``k`` isn't used then).
 
+    ``micro``, ``rounds`` and ``seed`` have no part in single linkage.
+
     Rows are told apart by their place in a written copy, so ids may repeat or be null; an empty table stays empty."""
+    if linkage == "single":
+        return single_linkage(df, vec_col, k, metric, id_col, name, distance_threshold)
     if not 1 <= micro <= MAX_MICRO:
         raise ValueError(f"micro must be in 1..{MAX_MICRO}")
     vec = V.clean(vec_col)
