@@ -88,6 +88,12 @@ def _outgoing(metric: str, below: float):
     return fn
 
 
+def _up(found: DataFrame) -> DataFrame:
+    """Pointers of pointers.  A root may hold most rows: they are the left side, which AQE splits."""
+    up = found.select(F.col("comp").alias("root"), F.col("root").alias("_up"))
+    return found.join(up, "root", "left").select("comp", F.coalesce("_up", "root").alias("root"))
+
+
 def _contract(choice: DataFrame) -> DataFrame:
     """(comp, root) of ``choice`` (comp, other): pointers followed to the end; the smaller of two that chose each other is the
     root."""
@@ -95,23 +101,24 @@ def _contract(choice: DataFrame) -> DataFrame:
     root = F.when((F.col("_back") == F.col("comp")) & (F.col("comp") < F.col("other")), F.col("comp")).otherwise(F.col("other"))
     found = reliable_checkpoint(choice.join(back, "other", "left").select("comp", root.alias("root")))
     while True:
-        up = found.select(F.col("comp").alias("root"), F.col("root").alias("_up"))
-        joined = hot_join(found, up, "root", ["comp"], "left")
-        step = reliable_checkpoint(joined.select("comp", F.coalesce("_up", "root").alias("root"), (F.coalesce("_up", "root") != F.col("root")).alias("_moved")))
+        step = _up(_up(found)).withColumnRenamed("root", "_new")
+        step = reliable_checkpoint(found.join(step, "comp").select("comp", F.col("_new").alias("root"), (F.col("_new") != F.col("root")).alias("_moved")))
         found = step.select("comp", "root")
         if step.where("_moved").isEmpty():
             return found
 
 
-def spanning_forest(points: DataFrame, metric: str = "euclidean", below: float | None = None, block_rows: int = 2_048) -> DataFrame:
+def spanning_forest(points: DataFrame, metric: str = "euclidean", below: float | None = None, block_rows: int = 2_048) -> tuple[DataFrame, DataFrame]:
     """Edges (``a``, ``b``, ``distance``, a < b) of the minimum spanning forest of ``points`` (``id`` long, unique; ``v``, unit
-    vectors for cosine) over the pairs nearer than ``below``: one tree, n - 1 edges, without it."""
+    vectors for cosine) over the pairs nearer than ``below``: one tree, n - 1 edges, without it.  And the trees: (``id``,
+    ``comp``)."""
     if metric not in METRICS:
         raise ValueError(f"single linkage needs one of {METRICS}")
     spark = points.sparkSession
     nodes = reliable_checkpoint(points.select("id", "v", F.col("id").alias("comp")))
     blocks = max(1, -(-nodes.count() // block_rows))
     forest = spark.createDataFrame([], "a long, b long, distance double")
+    rounds = []  # at most log2(n) tables
     last = F.lit(blocks - 1)
     while True:
         blk = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
@@ -122,8 +129,10 @@ def spanning_forest(points: DataFrame, metric: str = "euclidean", below: float |
         best = found.groupBy("comp").agg(F.min(F.struct("distance", "a", "b", "other")).alias("e")).select("comp", "e.*")
         best = reliable_checkpoint(best)
         if best.isEmpty():
-            return forest
-        forest = reliable_checkpoint(forest.unionByName(best.select("a", "b", "distance").distinct()))
+            for edges in rounds:
+                forest = forest.unionByName(edges)
+            return reliable_checkpoint(forest) if rounds else forest, nodes.select("id", "comp")
+        rounds.append(best.select("a", "b", "distance").distinct())
         nodes = reliable_checkpoint(_relabelled(nodes, _contract(best.select("comp", "other"))))
 
 
@@ -144,8 +153,7 @@ def forest_components(ids: DataFrame, edges: DataFrame) -> DataFrame:
         roots = _contract(reliable_checkpoint(best))
         for end in ("ca", "cb"):
             named = roots.select(F.col("comp").alias(end), "root")
-            edges = hot_join(edges, named, end, ["a", "b"], "left").withColumn(end, F.coalesce("root", end)).drop("root")
-            edges = reliable_checkpoint(edges)
+            edges = edges.join(named, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
         edges = reliable_checkpoint(edges.where("ca <> cb"))
         nodes = reliable_checkpoint(_relabelled(nodes, roots))
     return nodes
@@ -166,10 +174,10 @@ def single_linkage(df: DataFrame, vec_col: str, k: int = 4, metric: str = "eucli
     rows = reliable_checkpoint(hot_join(rows, classes, "v", ["id"]).select("id", "key", "first"))
     points = classes.select(F.col("first").alias("id"), "v")
     if distance_threshold is not None:  # copies, at distance 0, are merged below any threshold over 0
-        forest = spanning_forest(points, metric, distance_threshold, block_rows)
+        _, comps = spanning_forest(points, metric, distance_threshold, block_rows)
         alone = F.lit(distance_threshold <= 0)
     else:
-        forest = spanning_forest(points, metric, None, block_rows)
+        forest, comps = spanning_forest(points, metric, None, block_rows)
         zero = rows.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance"))
         order = [F.col(c).desc() for c in ("distance", "a", "b")]
         cut = None
@@ -178,10 +186,9 @@ def single_linkage(df: DataFrame, vec_col: str, k: int = 4, metric: str = "eucli
         alone = F.lit(False)
         if cut is not None:
             at = F.struct(F.lit(cut["distance"]).alias("distance"), F.lit(cut["a"]).alias("a"), F.lit(cut["b"]).alias("b"))
-            forest = forest.where(F.struct("distance", "a", "b") < at)
+            comps = forest_components(points.select("id"), forest.where(F.struct("distance", "a", "b") < at))
             alone = F.struct(F.lit(0.0).alias("distance"), F.col("first").alias("a"), F.col("id").alias("b")) >= at
-    comps = forest_components(points.select("id"), forest).select(F.col("id").alias("first"), "comp")
-    rows = hot_join(rows, comps, "first", ["id"])
+    rows = hot_join(rows, comps.select(F.col("id").alias("first"), "comp"), "first", ["id"])
     rows = reliable_checkpoint(rows.withColumn("comp", F.when((F.col("id") != F.col("first")) & alone, F.col("id")).otherwise(F.col("comp"))))
     sizes = rows.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("key").isNull(), "key", "id")).alias("least"))
     labels = add_row_number(sizes, [F.col("n").desc(), "least"], name, start=0).select("comp", F.col(name).cast("int").alias(name))

@@ -9,11 +9,13 @@ the clustering and the scores (the reference fits step one twice).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import vector as V
 from tessera.operators import agglomerative as AG
 from tessera.operators import cluster as C
 from tessera.operators import embed as E
@@ -22,7 +24,9 @@ from tessera.operators import reduce as R
 from tessera.operators import scale as S
 from tessera.operators import sparse_cluster as SP
 from tessera.operators import tfidf as T
+from tessera.operators.similarity import topk_between
 from tessera.session import reliable_checkpoint
+from tessera.sources.keys import add_row_number
 
 EMBEDDINGS = ("tfidf", "mean_word_vector", "idf_word_vector", "vectors")
 STEPS = ("linear", "svd", "pca")
@@ -61,6 +65,12 @@ class TextClusterModel:
     space: str
     assign_metric: str = "euclidean"
     sparse_clusters: SP.SparseClusters | None = None  # clustered before reduction on TF-IDF
+    width: int = 0                                    # of dense vectors
+    scale_in: S.ScaleModel = field(default_factory=S.ScaleModel)       # before reduction
+    scale_clusters: S.ScaleModel = field(default_factory=S.ScaleModel)  # before clustering
+    zero_cluster: int | None = None                   # of fitted rows whose clustered vector is all zeros
+    layout: DataFrame | None = None                   # t-SNE only: (vec, x_embed, y_embed) of the fitted rows
+    members: DataFrame | None = None                  # single linkage only: (vec, cluster) of the fitted rows
 
 
 def _first_step(config: TextClusterConfig, sparse: bool) -> str:
@@ -75,11 +85,27 @@ def _first_step(config: TextClusterConfig, sparse: bool) -> str:
     return step
 
 
-def _svd_of_vectors(raw: DataFrame, k: int, config: TextClusterConfig) -> tuple[R.SvdModel, DataFrame]:
-    """Uncentred SVD of dense vectors: their long form, a term for each dimension."""
+def _long(raw: DataFrame) -> DataFrame:
+    """Dense vectors in long form, a term for each dimension."""
     long = raw.select("doc_id", F.posexplode("vec").alias("_d", "weight")).where(F.col("weight") != 0)
-    long = long.select("doc_id", F.lpad(F.col("_d").cast("string"), 7, "0").alias("term"), "weight")
-    return R.truncated_svd(long, k=k, n_iter=config.svd_iterations, seed=config.seed)
+    return long.select("doc_id", F.lpad(F.col("_d").cast("string"), 7, "0").alias("term"), "weight")
+
+
+def _dense_vectors(docs: DataFrame, config: TextClusterConfig, word_vectors: DataFrame | None, idf: T.TfidfModel | None) -> DataFrame:
+    if config.embedding == "mean_word_vector":
+        raw = E.mean_word_vector_embed(docs, word_vectors, out="vec")
+    elif config.embedding == "idf_word_vector":
+        raw = E.idf_weighted_word_vector_embed(docs, word_vectors, model=idf, out="vec")
+    elif config.embedding == "vectors":
+        raw = docs.select("doc_id", V.clean("vec").alias("vec"))
+    else:
+        raise ValueError(f"embedding must be one of {EMBEDDINGS}")
+    return raw.select("doc_id", "vec")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str | None, vec_col: str | None) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), *([F.col(text_col).alias("text")] if text_col else []),
+                       *([F.col(vec_col).alias("vec")] if vec_col else []))
 
 
 def _every_row(ids: DataFrame, rows: DataFrame, col: str, size: int) -> DataFrame:
@@ -103,10 +129,12 @@ def cluster_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   vec_col: str | None = None):
     """Returns (frame ``doc_id, x_embed, y_embed, cluster``, one-row
     scores frame, fitted model)."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), *([F.col(text_col).alias("text")] if text_col else []),
-                       *([F.col(vec_col).alias("vec")] if vec_col else []))
+    docs = _named(docs, id_col, text_col, vec_col)
+    if docs.isEmpty():
+        raise ValueError("no texts to cluster")
     sparse = config.embedding == "tfidf"
-    tf_model = svd_model = pca_model = None
+    tf_model = svd_model = pca_model = fitted_layout = members = None
+    scale_in, width = S.ScaleModel(), (0,)
     first = _first_step(config, sparse)
     if sparse and config.scale_before_reduction:
         raise ValueError("scaling before reduction needs dense vectors")
@@ -121,23 +149,18 @@ def cluster_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                            seed=config.seed)
         step1 = _every_row(docs, step1.withColumnRenamed("reduced", "step1"), "step1", len(svd_model.singular_values))
     else:
-        if config.embedding == "mean_word_vector":
-            raw = E.mean_word_vector_embed(docs, word_vectors, out="vec")
-        elif config.embedding == "idf_word_vector":
-            raw = E.idf_weighted_word_vector_embed(docs, word_vectors, out="vec")
-        elif config.embedding == "vectors":
-            raw = docs.select("doc_id", F.col("vec").cast("array<double>").alias("vec"))
-        else:
-            raise ValueError(f"embedding must be one of {EMBEDDINGS}")
-        raw = reliable_checkpoint(raw.select("doc_id", "vec"))
+        if config.embedding == "idf_word_vector":
+            tf_model = T.tfidf_fit(docs, "doc_id", "text")
+        raw = reliable_checkpoint(_dense_vectors(docs, config, word_vectors, tf_model))
         width = raw.where("vec is not null").select(F.size("vec")).first()
         if width is None:
             raise ValueError("no text has a vector")
         raw = raw.withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0), width[0])))
         if config.scale_before_reduction:
-            raw = reliable_checkpoint(S.scale(raw, "vec", config.scale_before_reduction, out="vec"))
+            scale_in = S.fit_scale(raw, "vec", config.scale_before_reduction)
+            raw = reliable_checkpoint(scale_in.transform(raw, "vec", "vec"))
         if first == "svd":
-            svd_model, step1 = _svd_of_vectors(raw, min(config.step_one_dims, width[0]), config)
+            svd_model, step1 = R.truncated_svd(_long(raw), k=min(config.step_one_dims, width[0]), n_iter=config.svd_iterations, seed=config.seed)
             step1 = _every_row(raw, step1.withColumnRenamed("reduced", "step1"), "step1", len(svd_model.singular_values))
             step1 = step1.join(raw, "doc_id")
         else:
@@ -152,6 +175,7 @@ def cluster_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         col = "vec" if config.reduction == "tsne" and not sparse else "step1"
         layout = reliable_checkpoint(LY.tsne_layout(step1.select("doc_id", col), "doc_id", col,
                                                     config.tsne_perplexity, config.tsne_iterations))
+        fitted_layout = step1.select("doc_id", F.col(col).alias("vec")).join(layout, "doc_id").select("vec", "x_embed", "y_embed")
     else:
         layout = step1.select("doc_id", F.element_at("step1", 1).alias("x_embed"),
                               F.element_at("step1", 2).alias("y_embed"))
@@ -166,7 +190,8 @@ def cluster_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         cvec = layout.select("doc_id", F.array("x_embed", "y_embed").alias("cv"))
     else:
         cvec = step1.select("doc_id", F.col("vec").alias("cv"))
-    scaled = S.scale(cvec, "cv", config.scale_before_cluster, out="sv")
+    scale_clusters = S.fit_scale(cvec, "cv", config.scale_before_cluster)
+    scaled = scale_clusters.transform(cvec, "cv", "sv")
     if config.algorithm == "kmeans":
         labelled, centroids = C.kmeans(scaled, "sv", config.n_clusters, config.n_init, config.seed, id_col="doc_id")
         assign_metric = "euclidean"
@@ -174,50 +199,137 @@ def cluster_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         labelled = AG.agglomerative(scaled, "sv", config.n_clusters, config.linkage, config.affinity,
                                     id_col="doc_id", seed=config.seed,
                                     distance_threshold=config.distance_threshold)
+        labelled = reliable_checkpoint(labelled)  # read by the centroids and the scores
         mean_cos = config.linkage == "average" and config.affinity == "cosine"
         centroids = _centroids(labelled, "sv", unit=mean_cos)
         assign_metric = "mean_cosine" if mean_cos else ("euclidean" if config.affinity in ("euclidean", "l2")
                                                          else config.affinity)
     else:
         raise ValueError("algorithm must be 'agglomerative' or 'kmeans'")
-    labelled = reliable_checkpoint(labelled.select("doc_id", "cv", "cluster"))
+    labelled = reliable_checkpoint(labelled.select("doc_id", "cv", "sv", "cluster"))
+    if config.algorithm == "agglomerative" and config.linkage == "single":
+        members = labelled.select(F.col("sv").alias("vec"), "cluster")
+    zero = labelled.where(_is_zero("cv")).agg(F.min("cluster")).first()[0]
     frame = layout.join(labelled.select("doc_id", "cluster"), "doc_id")
     scores = (C.silhouette(labelled, "cv", "cluster")
               .join(C.calinski_harabasz(labelled, "cv", "cluster"), how="inner")
               .join(C.davies_bouldin(labelled, "cv", "cluster"), how="inner"))
-    model = TextClusterModel(config, tf_model, svd_model, pca_model, centroids, space, assign_metric)
+    model = TextClusterModel(config, tf_model, svd_model, pca_model, centroids, space, assign_metric, width=width[0], scale_in=scale_in,
+                             scale_clusters=scale_clusters, zero_cluster=zero, layout=fitted_layout, members=members)
     return frame, scores, model
 
 
 def _centroids(labelled: DataFrame, vec_col: str, unit: bool) -> list[list[float]]:
     """Per-cluster mean vectors (of unit vectors when ``unit``), k x d, checked."""
-    from tessera.functions import vector as V
-
     vec = F.col(vec_col).cast("array<double>")
     summ = C.cluster_summaries(labelled, "cluster", V.normalize(vec) if unit else vec)
     return [[x / s["n"] for x in s["s"]] for s in summ]
 
 
-def assign_texts(new_docs: DataFrame, model: TextClusterModel, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """Embed new texts with the fitted vocabulary, project with the fitted
-    loadings, and take the nearest fitted centroid (labels unchanged, any
-    number of rows, no refit).  Texts with no known term get NULL, but for a
-    model clustered before reduction, which labels them as its fit does."""
+def _is_zero(col: str):
+    return F.forall(col, lambda x: x == 0)
+
+
+def assign_texts(new_docs: DataFrame, model: TextClusterModel, id_col: str = "doc_id", text_col: str | None = "text",
+                 vec_col: str | None = None, word_vectors: DataFrame | None = None) -> DataFrame:
+    """The fitted stages (vectors, scaling, reduction or layout, scaling) applied to new rows, then the nearest fitted cluster:
+    ``doc_id, cluster``, labels unchanged, any number of rows, nothing fitted again.
+
+    Nearest by centroid; by mean cosine distance to the members (average linkage with cosine); by the nearest member (single
+    linkage).  Rows without a vector (null or empty texts, no known word, null vectors) count as zero vectors, as in the fit,
+    and vectors of zeros get the cluster of the fitted ones, if there were any.  A t-SNE layout places new rows by
+    ``layout_transform``.  ``word_vectors`` is the table of the fit, for embeddings by words; ids are taken as unique, and
+    an empty table stays empty."""
+    config = model.config
+    docs = _named(new_docs, id_col, text_col if config.embedding != "vectors" else None, vec_col)
     if model.sparse_clusters is not None:
-        docs = new_docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         found = SP.assign_sparse(T.tfidf_transform(docs, model.tfidf_model), model.sparse_clusters, docs)
         return docs.select("doc_id").join(found, "doc_id", "left")
-    if model.tfidf_model is None or model.svd_model is None:
-        raise ValueError("assign_texts needs a TF-IDF + SVD model")
-    if model.config.scale_before_cluster is not None:
-        raise ValueError("assignment after cluster-space scaling is not supported")
-    if model.space == "after_full" and model.config.reduction.endswith("tsne"):
-        raise ValueError("a t-SNE layout has no transform: cluster in the step-one space to assign new texts")
-    docs = new_docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    w = T.tfidf_transform(docs, model.tfidf_model)
-    proj = model.svd_model.transform(w, out="cv")
-    if model.space == "after_full":
-        proj = proj.withColumn("cv", F.slice("cv", 1, 2))
-    labelled = C.assign_nearest(proj, "cv", model.centroids, "cluster", metric=model.assign_metric)
-    return docs.select("doc_id").join(labelled.select("doc_id", "cluster"), "doc_id", "left")
+    if config.embedding == "tfidf":
+        weights = T.tfidf_transform(docs, model.tfidf_model)
+        rows = docs.select("doc_id")
+    else:
+        if config.embedding != "vectors" and word_vectors is None:
+            raise ValueError("embeddings by words need the word vectors of the fit")
+        raw = _every_row(docs, _dense_vectors(docs, config, word_vectors, model.tfidf_model), "vec", model.width)
+        raw = model.scale_in.transform(raw, "vec", "vec")
+        rows = raw = reliable_checkpoint(raw.select("doc_id", "vec"))
+        weights = _long(raw)
+    if model.svd_model is not None:
+        step1 = model.svd_model.transform(weights, out="step1")
+        rows = rows.join(_every_row(docs, step1, "step1", len(model.svd_model.singular_values)), "doc_id")
+    else:
+        rows = model.pca_model.transform(rows, "vec", "step1")
+    if model.space == "after_full" and model.layout is not None:
+        col = "vec" if config.reduction == "tsne" and config.embedding != "tfidf" else "step1"
+        new = reliable_checkpoint(rows.select("doc_id", F.col(col).alias("vec")))
+        rows = LY.layout_transform(new, "doc_id", "vec", model.layout).select("doc_id", F.array("x_embed", "y_embed").alias("cv"))
+    elif model.space == "after_full":
+        rows = rows.select("doc_id", F.slice("step1", 1, 2).alias("cv"))
+    else:
+        rows = rows.select("doc_id", F.col("step1" if model.space == "after_step1" else "vec").alias("cv"))
+    rows = model.scale_clusters.transform(rows, "cv", "sv")
+    if model.members is not None:
+        rows = reliable_checkpoint(rows)
+        numbered = add_row_number(model.members, ["cluster", "vec"], "n")
+        near = topk_between(rows, "doc_id", "sv", numbered, "n", "vec", 1, {"l2": "euclidean", "l1": "manhattan"}.get(config.affinity, config.affinity))
+        found = near.join(numbered.select(F.col("n").alias("id2"), "cluster"), "id2").select(F.col("id1").alias("doc_id"), "cluster")
+        rows = rows.join(found, "doc_id", "left")
+    else:
+        rows = C.assign_nearest(rows, "sv", model.centroids, "cluster", metric=model.assign_metric)
+    if model.zero_cluster is not None:
+        rows = rows.withColumn("cluster", F.when(_is_zero("cv"), model.zero_cluster).otherwise(F.col("cluster")))
+    return docs.select("doc_id").join(rows.select("doc_id", "cluster"), "doc_id", "left")
+
+
+def _tables(model: TextClusterModel) -> dict[str, DataFrame]:
+    found = {"layout": model.layout, "members": model.members}
+    if model.tfidf_model is not None:
+        found["vocabulary"] = model.tfidf_model.vocabulary
+    if model.svd_model is not None:
+        found["loadings"] = model.svd_model.loadings
+    if model.sparse_clusters is not None:
+        found["sparse_centroids"], found["sparse_norms"] = model.sparse_clusters.centroids, model.sparse_clusters.norms
+    return {name: df for name, df in found.items() if df is not None}
+
+
+def save_model(model: TextClusterModel, path: str) -> None:
+    """Writes the fitted stages under ``path`` (a new folder that the whole cluster sees): tables as parquet, numbers as one row of
+    JSON, written last.  The word vectors of embeddings by words aren't copied."""
+    tables = _tables(model)
+    facts = {"config": asdict(model.config), "tables": sorted(tables), "centroids": model.centroids, "space": model.space,
+             "assign_metric": model.assign_metric, "width": model.width, "scale_in": asdict(model.scale_in),
+             "scale_clusters": asdict(model.scale_clusters), "zero_cluster": model.zero_cluster,
+             "sparse_metric": model.sparse_clusters.metric if model.sparse_clusters else None,
+             "pca": asdict(model.pca_model) if model.pca_model else None,
+             "singular_values": model.svd_model.singular_values if model.svd_model else None}
+    if model.tfidf_model is not None:
+        t = model.tfidf_model
+        facts["tfidf"] = {"n_docs": t.n_docs, "n_terms": t.n_terms, "max_idf": t.max_idf, "params": asdict(t.params)}
+    for name, df in tables.items():
+        df.write.mode("error").parquet(f"{path}/{name}")
+    SparkSession.active().createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("error").text(f"{path}/model")
+
+
+def load_model(spark: SparkSession, path: str) -> TextClusterModel:
+    """The model that ``save_model`` wrote under ``path``."""
+    facts = json.loads(spark.read.text(f"{path}/model", wholetext=True).first()[0])
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in facts["tables"]}
+
+    def params(found: dict) -> T.TfidfParams:
+        stop = found["stop_words"]
+        return T.TfidfParams(**{**found, "stop_words": tuple(stop) if isinstance(stop, list) else stop})
+
+    config = TextClusterConfig(**{**facts["config"], "tfidf": params(facts["config"]["tfidf"])})
+    model = TextClusterModel(config, None, None, R.PcaModel(**facts["pca"]) if facts["pca"] else None, facts["centroids"], facts["space"],
+                             facts["assign_metric"], width=facts["width"], scale_in=S.ScaleModel(**facts["scale_in"]),
+                             scale_clusters=S.ScaleModel(**facts["scale_clusters"]), zero_cluster=facts["zero_cluster"],
+                             layout=tables.get("layout"), members=tables.get("members"))
+    if "tfidf" in facts:
+        t = facts["tfidf"]
+        model.tfidf_model = T.TfidfModel(tables["vocabulary"], t["n_docs"], t["n_terms"], t["max_idf"], params(t["params"]))
+    if "loadings" in tables:
+        model.svd_model = R.SvdModel(len(facts["singular_values"]), facts["singular_values"], tables["loadings"])
+    if "sparse_norms" in tables:
+        model.sparse_clusters = SP.SparseClusters(tables["sparse_centroids"], tables["sparse_norms"], facts["sparse_metric"])
+    return model
