@@ -849,3 +849,32 @@ def tsne_layout(spark, sf_dir):
     30, the operator's default iterations)."""
     e = _emb(spark, sf_dir).select("vec_id", "v")
     return LY.tsne_layout(e, "vec_id", "v", perplexity=30.0)
+
+
+from tessera.operators.single_linkage import single_linkage as _single_linkage  # noqa: E402
+
+
+@query
+def single_linkage(spark, sf_dir):
+    """C2 with single linkage, exact: the embeddings' clusters when no two are nearer than a cosine distance of 0.65."""
+    e = _emb(spark, sf_dir).select("vec_id", "v")
+    return _single_linkage(e, "v", metric="cosine", id_col="vec_id", distance_threshold=0.65).select("vec_id", "cluster")
+
+
+@query
+def assign_stored_model(spark, sf_dir):
+    """C4 + C5 + D9: the embeddings scaled, reduced by PCA and clustered by k-means; the fitted chain saved and loaded again, and
+    every embedding assigned by it: whether it gets the cluster of the fit."""
+    import uuid
+
+    from tessera.session import shared_dir
+
+    e = _emb(spark, sf_dir).select("vec_id", "v")
+    config = CT.TextClusterConfig(embedding="vectors", reduction="pca", scale_before_reduction="standard", cluster_space="after_step1",
+                                  scale_before_cluster="min_max", step_one_dims=8, algorithm="kmeans", n_init=2)
+    frame, _, model = CT.cluster_texts(e, "vec_id", None, config, vec_col="v")
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    CT.save_model(model, path)
+    found = CT.assign_texts(e, CT.load_model(spark, path), "vec_id", None, "v")
+    both = frame.select("doc_id", F.col("cluster").alias("fitted")).join(found, "doc_id")
+    return both.select(F.col("doc_id").alias("vec_id"), F.col("fitted").eqNullSafe(F.col("cluster")).alias("same_cluster"))
