@@ -878,3 +878,12 @@ def assign_stored_model(spark, sf_dir):
     found = CT.assign_texts(e, CT.load_model(spark, path), "vec_id", None, "v")
     both = frame.select("doc_id", F.col("cluster").alias("fitted")).join(found, "doc_id")
     return both.select(F.col("doc_id").alias("vec_id"), F.col("fitted").eqNullSafe(F.col("cluster")).alias("same_cluster"))
+
+
+from tessera.operators.umap import umap_layout as _umap_layout  # noqa: E402
+
+
+@query
+def umap_layout(spark, sf_dir):
+    """2-D UMAP of the embeddings (15 neighbours, cosine, the operator's default epochs)."""
+    return _umap_layout(_emb(spark, sf_dir).select("vec_id", "v"), "vec_id", "v", metric="cosine")

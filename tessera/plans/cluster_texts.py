@@ -25,12 +25,14 @@ from tessera.operators import scale as S
 from tessera.operators import sparse_cluster as SP
 from tessera.operators import tfidf as T
 from tessera.operators.similarity import topk_between
+from tessera.operators.umap import umap_layout
 from tessera.session import reliable_checkpoint
 from tessera.sources.keys import add_row_number
 
 EMBEDDINGS = ("tfidf", "mean_word_vector", "idf_word_vector", "vectors")
 STEPS = ("linear", "svd", "pca")
-REDUCTIONS = (*STEPS, "tsne", *(f"{s}__tsne" for s in STEPS))
+LAYOUTS = ("tsne", "umap")
+REDUCTIONS = (*STEPS, *LAYOUTS, *(f"{s}__{x}" for s in STEPS for x in LAYOUTS))
 SPACES = ("auto", "before", "after_step1", "after_full")
 
 
@@ -42,6 +44,9 @@ class TextClusterConfig:
     scale_before_reduction: str | None = None
     tsne_perplexity: float = 30.0
     tsne_iterations: int = 500
+    umap_neighbours: int = 15
+    umap_metric: str = "euclidean"
+    umap_epochs: int = 100
     step_one_dims: int = 50
     svd_iterations: int = 5
     cluster_space: str = "auto"        # auto, before, after_step1, after_full
@@ -69,7 +74,7 @@ class TextClusterModel:
     scale_in: S.ScaleModel = field(default_factory=S.ScaleModel)       # before reduction
     scale_clusters: S.ScaleModel = field(default_factory=S.ScaleModel)  # before clustering
     zero_cluster: int | None = None                   # of fitted rows whose clustered vector is all zeros
-    layout: DataFrame | None = None                   # t-SNE only: (vec, x_embed, y_embed) of the fitted rows
+    layout: DataFrame | None = None                   # t-SNE and UMAP only: (vec, x_embed, y_embed) of the fitted rows
     members: DataFrame | None = None                  # single linkage only: (vec, cluster) of the fitted rows
 
 
@@ -78,7 +83,7 @@ def _first_step(config: TextClusterConfig, sparse: bool) -> str:
     if config.reduction not in REDUCTIONS:
         raise ValueError(f"reduction must be one of {REDUCTIONS}, not {config.reduction!r}")
     step = config.reduction.split("__")[0]
-    if step in ("linear", "tsne"):
+    if step in ("linear", *LAYOUTS):
         step = "svd" if sparse else "pca"
     if step == "pca" and sparse:
         raise ValueError("pca centres its input, which a sparse TF-IDF matrix can't hold: use svd or linear")
@@ -108,6 +113,10 @@ def _named(docs: DataFrame, id_col: str, text_col: str | None, vec_col: str | No
                        *([F.col(vec_col).alias("vec")] if vec_col else []))
 
 
+def _laid_out(config: TextClusterConfig) -> str:
+    return "vec" if config.reduction in LAYOUTS and config.embedding != "tfidf" else "step1"
+
+
 def _every_row(ids: DataFrame, rows: DataFrame, col: str, size: int) -> DataFrame:
     """``rows`` for all ``ids``; what has no vector (no known term) gets the zero vector."""
     zero = F.array_repeat(F.lit(0.0), size)
@@ -168,13 +177,17 @@ def cluster_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             step1 = pca_model.transform(raw, "vec", "step1").select("doc_id", "step1", "vec")
     step1 = reliable_checkpoint(step1)
     space = _space(config, sparse) if not ("__" in config.reduction and config.cluster_space == "auto") else "after_step1"
-    if config.reduction.endswith("tsne"):
-        # Step one (SVD / PCA) feeds the t-SNE layout; the step-one frame is
+    if config.reduction.endswith(LAYOUTS):
+        # Step one (SVD / PCA) feeds the layout; the step-one frame is
         # materialised once and reused by layout, clustering and scores.
-        # "tsne" alone lays out the dense vectors themselves (sparse: the step-one space).
-        col = "vec" if config.reduction == "tsne" and not sparse else "step1"
-        layout = reliable_checkpoint(LY.tsne_layout(step1.select("doc_id", col), "doc_id", col,
-                                                    config.tsne_perplexity, config.tsne_iterations))
+        # A layout alone takes the dense vectors themselves (sparse: the step-one space).
+        col = _laid_out(config)
+        rows = step1.select("doc_id", col)
+        if config.reduction.endswith("umap"):
+            layout = umap_layout(rows, "doc_id", col, config.umap_neighbours, config.umap_metric, epochs=config.umap_epochs, seed=config.seed)
+        else:
+            layout = LY.tsne_layout(rows, "doc_id", col, config.tsne_perplexity, config.tsne_iterations)
+        layout = reliable_checkpoint(layout)
         fitted_layout = step1.select("doc_id", F.col(col).alias("vec")).join(layout, "doc_id").select("vec", "x_embed", "y_embed")
     else:
         layout = step1.select("doc_id", F.element_at("step1", 1).alias("x_embed"),
@@ -237,7 +250,7 @@ def assign_texts(new_docs: DataFrame, model: TextClusterModel, id_col: str = "do
 
     Nearest by centroid; by mean cosine distance to the members (average linkage with cosine); by the nearest member (single
     linkage).  Rows without a vector (null or empty texts, no known word, null vectors) count as zero vectors, as in the fit,
-    and vectors of zeros get the cluster of the fitted ones, if there were any.  A t-SNE layout places new rows by
+    and vectors of zeros get the cluster of the fitted ones, if there were any.  A layout (t-SNE, UMAP) places new rows by
     ``layout_transform``.  ``word_vectors`` is the table of the fit, for embeddings by words; ids are taken as unique, and
     an empty table stays empty."""
     config = model.config
@@ -261,9 +274,10 @@ def assign_texts(new_docs: DataFrame, model: TextClusterModel, id_col: str = "do
     else:
         rows = model.pca_model.transform(rows, "vec", "step1")
     if model.space == "after_full" and model.layout is not None:
-        col = "vec" if config.reduction == "tsne" and config.embedding != "tfidf" else "step1"
+        col = _laid_out(config)
         new = reliable_checkpoint(rows.select("doc_id", F.col(col).alias("vec")))
-        rows = LY.layout_transform(new, "doc_id", "vec", model.layout).select("doc_id", F.array("x_embed", "y_embed").alias("cv"))
+        metric = config.umap_metric if config.reduction.endswith("umap") else "euclidean"
+        rows = LY.layout_transform(new, "doc_id", "vec", model.layout, metric=metric).select("doc_id", F.array("x_embed", "y_embed").alias("cv"))
     elif model.space == "after_full":
         rows = rows.select("doc_id", F.slice("step1", 1, 2).alias("cv"))
     else:

@@ -23,7 +23,7 @@ def test_every_document_is_labelled(spark):
     assert all(again[r["doc_id"]] == r["cluster"] for r in rows if r["doc_id"] < 60)
 
 
-@pytest.mark.parametrize("reduction", ["umap", "svdd", "linear__umap", "", "tsne__svd"])
+@pytest.mark.parametrize("reduction", ["umapp", "svdd", "umap__linear", "", "tsne__svd"])
 def test_unknown_reductions_are_refused(spark, reduction):
     with pytest.raises(ValueError, match="reduction"):
         CT.cluster_texts(_docs(spark, 5), config=CT.TextClusterConfig(reduction=reduction))

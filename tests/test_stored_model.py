@@ -30,10 +30,12 @@ def _vectors(spark, zeros=2):
     dict(algorithm="agglomerative", linkage="single", affinity="l2", scale_before_cluster="standard"),
     dict(algorithm="agglomerative", cluster_space="after_step1"),
     dict(reduction="tsne", cluster_space="after_full", tsne_iterations=12, tsne_perplexity=5.0),
+    dict(reduction="umap", cluster_space="after_full", umap_epochs=8, umap_neighbours=8),
+    dict(reduction="pca__umap", umap_epochs=3, umap_metric="manhattan"),
 ])
 def test_dense_vectors(spark, settings):
     config = CT.TextClusterConfig(**{**dict(embedding="vectors", algorithm="kmeans", n_init=2, n_clusters=3, step_one_dims=3, svd_iterations=2), **settings})
-    rows = _vectors(spark, 0 if config.reduction == "tsne" else 2)
+    rows = _vectors(spark, 0 if config.cluster_space == "after_full" and config.reduction in CT.LAYOUTS else 2)
     frame, _, model = CT.cluster_texts(rows, "vec_id", None, config, vec_col="emb")
     want = {r["doc_id"]: r["cluster"] for r in frame.collect()}
     again = _saved(spark, model)
