@@ -157,14 +157,13 @@ def _epoch(at: DataFrame, edges: DataFrame, hubs: DataFrame, n: int, epoch: int,
     pull = F.when(d2 > 0, -2 * a * b * F.pow(d2, F.lit(b - 1)) / (1 + a * F.pow(d2, F.lit(b)))).otherwise(0.0)
     push = F.when(d2 > 0, 2 * b / ((0.001 + d2) * (1 + a * F.pow(d2, F.lit(b))))).otherwise(0.0)
     drawn = edges.join(end("i"), ["i", "_salt_i"]).join(end("j"), ["j", "_salt_j"])
-    forces = drawn.select(F.col("i").alias("id"), (F.col("w") * clip(pull * dx)).alias("fx"), (F.col("w") * clip(pull * dy)).alias("fy"))
-    forces = forces.groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+    forces = drawn.select(F.col("i").alias("id"), *[(F.col("w") * clip(pull * d)).alias(f"f{c}") for c, d in (("x", dx), ("y", dy))], F.lit(0.0).alias("rx"), F.lit(0.0).alias("ry"))
     chance = at.select(F.col("id").alias("i"), F.col("x").alias("x_i"), F.col("y").alias("y_i"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s"))
     chance = chance.withColumn("j", F.pmod(F.xxhash64("i", "s", F.lit(epoch), F.lit(seed)), F.lit(n)))
     met = chance.join(place.select(F.col("id").alias("j"), F.col("x").alias("x_j"), F.col("y").alias("y_j")), "j").where("i <> j")
-    apart = met.select(F.col("i").alias("id"), clip(push * dx).alias("rx"), clip(push * dy).alias("ry"))
-    apart = apart.groupBy("id").agg(F.sum("rx").alias("rx"), F.sum("ry").alias("ry"))
-    moved = at.join(forces, "id", "left").join(apart, "id", "left")
+    apart = met.select(F.col("i").alias("id"), F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy"), clip(push * dx).alias("rx"), clip(push * dy).alias("ry"))
+    sums = forces.unionByName(apart).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("fx", "fy", "rx", "ry")])
+    moved = at.join(sums, "id", "left")
 
     def new(c):
         return (F.col(c) + alpha * (F.coalesce(F.col(f"f{c}"), F.lit(0.0)) / F.col("degree") + F.coalesce(F.col(f"r{c}"), F.lit(0.0)))).alias(c)
