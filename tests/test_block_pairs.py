@@ -16,7 +16,7 @@ def _brute(v, k, metric):
 
 @pytest.mark.parametrize("metric", M.METRICS)
 def test_tiles_give_the_brute_force_neighbours(metric, monkeypatch):
-    for name, size in (("STRIP", 16), ("TILE", 24), ("FOLD", 7), ("CHUNK", 40)):
+    for name, size in (("WHOLE", 0), ("STRIP", 16), ("TILE", 24), ("FOLD", 7), ("CHUNK", 40)):
         monkeypatch.setattr(M, name, size)
     rng = np.random.default_rng(3)
     v = rng.normal(size=(150, 9)) + 4.0
@@ -32,7 +32,8 @@ def test_tiles_give_the_brute_force_neighbours(metric, monkeypatch):
     assert np.allclose(s.reshape(-1, 6), score, atol=1e-6)
 
 
-def test_rows_without_a_finite_score_have_no_neighbours():
+def test_rows_without_a_finite_score_have_no_neighbours(monkeypatch):
+    monkeypatch.setattr(M, "WHOLE", 0)
     v = np.random.default_rng(4).normal(size=(30, 4))
     v[3, 1], v[5, 2] = np.nan, np.inf
     ids = np.arange(30)
