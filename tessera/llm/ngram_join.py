@@ -128,10 +128,9 @@ def _rarity(sketch: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the nodes of edges (a, b): alternating large and small stars until nothing changes; the
-    component is its smallest node."""
+    """(node, component) of the nodes of edges (a, b): alternating large and small stars until each node has one edge to a
+    smaller one that has none; the component is its smallest node."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    last = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -139,18 +138,30 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         e = reliable_checkpoint(small.distinct())
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == last:
+        roles = e.select(F.col("a").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+        roles = roles.groupBy("node").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+        if not roles.where("low + high > 1").agg(F.count(F.lit(1))).first()[0]:
             break
-        last = state
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def merged(whole: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the edges that gave ``whole`` (node, component) and of ``links`` (a, b) together: only the
+    components that links join are contracted again."""
+    of = lambda c: whole.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = reliable_checkpoint(components(named.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))))
+    new = joined.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    old = whole.join(new, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return old.unionByName(joined.join(whole, "node", "left_anti"))
+
+
 def _pairs_that(pairs: DataFrame, of: DataFrame, test) -> DataFrame:
-    """The pairs (a, b) of classes whose rows in ``of`` (cls, n, data) pass the test.  A class that is in many pairs
-    stands as a, so it is joined last."""
-    side = lambda c: of.select(F.col("cls").alias(c), F.struct("n", "data").alias(f"{c}_row"))
-    met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_row", "b_row")
+    """The pairs (a, b, and where they are known the places a_place, b_place of their rows) of classes whose rows in ``of``
+    (cls, place, n, data) pass the test, with the places.  A class that is in many pairs stands as a, so it is joined last."""
+    by = lambda c: [c, f"{c}_place"] if f"{c}_place" in pairs.columns else [c]
+    side = lambda c: of.select(F.col("cls").alias(c), F.col("place").alias(f"{c}_place"), F.struct("n", "data").alias(f"{c}_row"))
+    met = pairs.join(side("b"), by("b")).join(side("a"), by("a")).select("a", "b", "a_place", "b_place", "a_row", "b_row")
 
     def check(batches):
         for batch in batches:
@@ -158,9 +169,9 @@ def _pairs_that(pairs: DataFrame, of: DataFrame, test) -> DataFrame:
             left, right = column(t, "a_row"), column(t, "b_row")
             rows = zip(left.field("data"), left.field("n").to_pylist(), right.field("data"), right.field("n").to_pylist(), strict=True)
             keep = [test(x.as_buffer(), n_x, y.as_buffer(), n_y) for x, n_x, y, n_y in rows]
-            yield from t.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).to_batches()
+            yield from t.select(["a", "b", "a_place", "b_place"]).filter(pa.array(keep, pa.bool_())).to_batches()
 
-    return met.mapInArrow(check, "a binary, b binary")
+    return met.mapInArrow(check, "a binary, b binary, a_place long, b_place long")
 
 
 class _Forest:
@@ -219,9 +230,9 @@ def _dealt(rest: DataFrame, marks: DataFrame, n_buckets: int) -> DataFrame:
     """Rows of groups (key, cls, n, component, size) with their signatures, dealt into meetings: a group is cut into blocks
     of about ``WIDTH`` classes, and every two blocks meet in some bucket, which holds many meetings."""
     blocks = F.ceil(F.col("size") / WIDTH).cast("int")
-    dealt = rest.join(marks.select("cls", "data"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
-    dealt = dealt.select("key", "cls", "n", "component", "data", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "n", "component", "data", "own")
+    dealt = rest.join(marks.select("cls", "place", "data"), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    dealt = dealt.select("key", "cls", "place", "n", "component", "data", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "place", "n", "component", "data", "own")
     return dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(n_buckets)))
 
 
@@ -280,8 +291,8 @@ def _verified(rest: DataFrame, marks: DataFrame, fetch, percent: int, n_buckets:
     dealt = _dealt(rest, marks, n_buckets)
     kept = dealt.columns
     left = reliable_checkpoint(dealt.groupBy("bucket").applyInArrow(involved, dealt.schema))
-    sets = fetch(marks.select("cls", "place", "n").join(left.select("cls").distinct(), "cls"))
-    both = left.join(sets.select("cls", F.col("data").alias("elements")), "cls")
+    sets = fetch(left.select("place"))
+    both = left.join(sets.select("cls", "place", F.col("data").alias("elements")), ["cls", "place"])
     return both.groupBy("bucket").applyInArrow(bucket, "a binary, b binary").distinct()
 
 
@@ -294,9 +305,8 @@ def _similar(x, n_x: int, y, n_y: int, percent: int) -> bool:
 
 
 def _fetch(src: DataFrame, places: DataFrame, shingle: int) -> DataFrame:
-    """(cls, n, data) with the sorted sets of the rows named in ``places`` (cls, place, n).  A fixed-size filter of places
-    goes to the tasks, which make sets of the rows that pass; the join removes what passed by chance."""
-    places = reliable_checkpoint(places)
+    """(cls, place, n, data) with the sorted sets of the rows named in ``places`` (place).  A fixed-size filter of places
+    goes to the tasks, which make sets of the rows that pass.  Other rows pass by chance: join by class and place."""
     bit = F.pmod(F.col("place"), F.lit(FILTER_WORDS * 64))
     mask = F.expr(f"shiftleft(1L, cast(pmod(pmod(place, {FILTER_WORDS * 64}), 64) as int))")
     got = places.groupBy(F.floor(bit / 64).cast("int").alias("word")).agg(F.bit_or(mask).alias("mask")).toPandas()  # at most FILTER_WORDS rows
@@ -312,11 +322,10 @@ def _fetch(src: DataFrame, places: DataFrame, shingle: int) -> DataFrame:
             sets = _sets(b, shingle) if b.num_rows else []
             here = [i for i, s in enumerate(sets) if len(s)]
             place = b.column(b.schema.get_field_index("place")).take(pa.array(here, pa.int64()))
-            cols = [pa.array([_digest(sets[i]) for i in here], pa.binary()), place, pa.array([sets[i].astype("<u8").tobytes() for i in here], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["cls", "place", "data"])
+            cols = [pa.array([_digest(sets[i]) for i in here], pa.binary()), place, pa.array([len(sets[i]) for i in here], pa.int64()), pa.array([sets[i].astype("<u8").tobytes() for i in here], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["cls", "place", "n", "data"])
 
-    sets = src.select("text", "place").mapInArrow(fetch, "cls binary, place long, data binary")
-    out = reliable_checkpoint(sets.join(places, ["cls", "place"]).select("cls", "n", "data"))
+    out = reliable_checkpoint(src.select("text", "place").mapInArrow(fetch, "cls binary, place long, n long, data binary"))
     passes.destroy()
     return out
 
@@ -458,21 +467,25 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = stars.select(F.col("a").alias("cls")).unionByName(stars.select(F.col("b").alias("cls"))).unionByName(groups.select("cls")).distinct()
     places = rows.where("cls is not null").groupBy("cls").agg(F.min("place").alias("place")).join(wanted, "cls")
     marks = reliable_checkpoint(rows.select("cls", "place", "n", F.col("bits").alias("data")).join(places, ["cls", "place"]))
+    places = marks.select("cls", "place")
 
     def linked(pairs: DataFrame) -> DataFrame:
         return confirmed(_pairs_that(pairs, marks, lambda x, n_x, y, n_y: _may_link(x, n_x, y, n_y, percent)))
 
+    def placed(pairs: DataFrame) -> DataFrame:
+        for c in ("a", "b"):
+            pairs = pairs.join(places.select(F.col("cls").alias(c), F.col("place").alias(f"{c}_place")), c)
+        return pairs
+
     def confirmed(left: DataFrame) -> DataFrame:
         left = reliable_checkpoint(left)
         if left.isEmpty():
-            return left
-        named = left.select(F.col("a").alias("cls")).unionByName(left.select(F.col("b").alias("cls"))).distinct()
-        sets = _fetch(src, marks.select("cls", "place", "n").join(named, "cls"), shingle)
-        return reliable_checkpoint(_pairs_that(left, sets, lambda x, n_x, y, n_y: _similar(x, n_x, y, n_y, percent)))
+            return left.select("a", "b")
+        sets = _fetch(src, left.select(F.col("a_place").alias("place")).unionByName(left.select(F.col("b_place").alias("place"))), shingle)
+        return reliable_checkpoint(_pairs_that(left, sets, lambda x, n_x, y, n_y: _similar(x, n_x, y, n_y, percent)).select("a", "b"))
 
     # 5. links and components
-    links = linked(stars)
-    whole = reliable_checkpoint(components(links))
+    whole = reliable_checkpoint(components(linked(stars)))
     before, turn, stage = math.inf, 0, "leaders"
     while True:
         named = groups.join(whole.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -491,12 +504,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             more = linked(pairs.distinct())
         elif stage == "proposals":  # most of what signatures allow is a link, so little of dense groups is left for the last turn
             asked = reliable_checkpoint(_proposed(rest, marks, percent, n))
-            more, dense = confirmed(asked.where("key is null").select("a", "b")), asked.where("key is not null").select("key")
+            more, dense = confirmed(placed(asked.where("key is null").select("a", "b"))), asked.where("key is not null").select("key")
         else:
             more = reliable_checkpoint(_verified(rest, marks, lambda places: _fetch(src, places, shingle), percent, n))
-        links = links.unionByName(more)
         if not more.isEmpty():
-            whole = reliable_checkpoint(components(links))
+            whole = reliable_checkpoint(merged(whole, more))
+        groups = rest.select("key", "cls", "n")  # components only grow, so a group in one component stays so
         if stage == "verified" or stage == "proposals" and dense.isEmpty():
             break
         if stage == "proposals":

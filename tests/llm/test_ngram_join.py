@@ -152,3 +152,29 @@ def test_components(spark):
     want = {f"{x:04}": f"{root(x):04}" for p in pairs for x in p if p[0] != p[1]}
     rows = components(edges).collect()
     assert {r.node: r.component for r in rows} == want and len(rows) == len(want)
+
+
+def test_components_end_when_edges_are_stars(spark, monkeypatch):
+    written, real = [], module.reliable_checkpoint
+    monkeypatch.setattr(module, "reliable_checkpoint", lambda df: (written.append(df), real(df))[1])
+    rows = components(spark.createDataFrame([("a", "b"), ("c", "a"), ("x", "y")], "a string, b string")).collect()
+    assert {(r.node, r.component) for r in rows} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
+    assert len(written) == 1
+
+
+def test_merged_is_components_of_all_edges(spark):
+    rng = random.Random(2)
+    edges = [(f"{rng.randrange(150):04}", f"{rng.randrange(150):04}") for _ in range(110)]
+    frame = lambda e: spark.createDataFrame(e, "a string, b string")
+    want = {(r.node, r.component) for r in components(frame(edges)).collect()}
+    rows = module.merged(components(frame(edges[:60])), frame(edges[60:])).collect()
+    assert {(r.node, r.component) for r in rows} == want and len(rows) == len(want)
+
+
+def test_fetched_sets_are_not_shuffled(spark, monkeypatch):
+    plans, real = [], module.reliable_checkpoint
+    monkeypatch.setattr(module, "reliable_checkpoint", lambda df: (plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())), real(df))[1])
+    texts = [" ".join(f"w{i}" for i in range(20)), " ".join(f"w{i}" for i in range(21))]
+    assert {c for _, _, c in got(docs_of(spark, texts))} == {0}
+    sets = [p for cols, p in plans if "place" in cols and "data" in cols and "MapInArrow" in p]
+    assert sets and not any("Exchange" in p for p in sets)
