@@ -16,15 +16,22 @@ from tessera.session import reliable_checkpoint
 
 
 def _whole(docs: DataFrame, *cols: str) -> DataFrame:
-    """The columns named, and all columns as ``row``, so that no column of ``docs`` clashes with a new one."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *cols)
+    """The columns named, and all others as ``row``, so that no column of ``docs`` clashes with a new one and no text
+    stands twice in a row."""
+    others = [c for c in docs.columns if c not in cols]
+    return docs.select(*[F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")] * bool(others), *cols)
+
+
+def _again(found: DataFrame, docs: DataFrame, *cols: str) -> DataFrame:
+    """The columns of ``docs``, after ``_whole``."""
+    return found.select(*[F.col(c if c in cols else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a clear language: those without letters, and those whose best codeword is not clearly nearer
     than the others, go."""
     found = language_id.language_id(_whole(docs, "doc_id", "text", "lang"))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")).select("row.*")
+    return _again(found.where((F.col("lang_pred") != language_id.UNKNOWN) & ~F.col("ambiguous")), docs, "doc_id", "text", "lang")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents without any window of a benchmark item."""
     found = decontaminate.decontaminate(_whole(docs, "text"), table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("items") == 0).select("row.*")
+    return _again(found.where(F.size("items") == 0), docs, "text")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,7 +96,9 @@ def gather(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.nd
 
 
 def slices(batches, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` text bytes; a longer text comes alone."""
+    """The same rows in batches of about ``most`` text bytes; a longer text comes alone.  Arrow's pool keeps what was freed,
+    and workers are used again: before the first and after the last row it gives that back."""
+    pa.default_memory_pool().release_unused()
     for b in batches:
         if not b.num_rows:
             continue
@@ -107,6 +109,7 @@ def slices(batches, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.
             j = min(j, n)
             yield b.slice(i, j - i)
             i = j
+    pa.default_memory_pool().release_unused()
 
 
 def runs(batches, text: str = "text") -> Iterator[tuple[int, list[pa.RecordBatch]]]:

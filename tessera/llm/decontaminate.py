@@ -83,6 +83,7 @@ def _count(docs: DataFrame, wanted: dict[int, np.ndarray]) -> dict[int, np.ndarr
     out = {k: np.zeros(len(t), np.int64) for k, t in wanted.items()}
     for r in docs.select("text").mapInArrow(count, "k int, i int, n long").groupBy("k", "i").agg(F.sum("n").alias("n")).collect():  # at most a row for each shingle of the part
         out[r["k"]][r["i"]] = r["n"]
+    sent.destroy()
     return out
 
 
@@ -152,9 +153,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     stays."""
     new = ["n_words", "hit_spans", "items"]
     rest = [c for c in docs.columns if c not in new]
+    text = F.col(f"`{text_col}`")
+    others = [c for c in rest if c != text_col or dict(docs.dtypes)[c] != "string"]  # a text that is a string is sent to the workers once
+    if not others:
+        others = rest
     src = docs.select(
-        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.lit(None).cast("array<int>").alias("hit_spans"),
-        F.array().cast("array<string>").alias("items"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+        (F.coalesce(text.cast("string"), F.lit("")) if len(others) == len(rest) else text).alias("text"), F.lit(None).cast("array<int>").alias("hit_spans"),
+        F.array().cast("array<string>").alias("items"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
     schema = f"text string, hit_spans array<int>, items array<string>, row {src.schema['row'].dataType.simpleString()}, n_words long"
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -193,7 +198,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 yield from pa.table(cols, ["text", "hit_spans", "items", "row", "n_words"]).to_batches()
 
         out = out.mapInArrow(match, schema)
-    return out.select("n_words", F.coalesce("hit_spans", F.array().cast("array<int>")).alias("hit_spans"), "items", "row.*")
+    return out.select("n_words", F.coalesce("hit_spans", F.array().cast("array<int>")).alias("hit_spans"), "items", *[(F.col(f"row.`{c}`") if c in others else F.col("text")).alias(c) for c in rest])
 
 
 def n_hit(spans):

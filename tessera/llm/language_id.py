@@ -141,6 +141,7 @@ def fit(labelled: DataFrame, rows_per_language: int = 5000) -> Model | None:
         error = (r["wrong"] + 1) / (r["n"] + 2)
         first.scale[r["bit"]] = max(r["size"] / max(r["n"], 1), 1e-6) / 4
         first.trust[r["bit"]] = max(0.05, min(1.0, 1 - 2 * error))
+    sent.destroy()
     return first
 
 
@@ -154,7 +155,10 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     lettered = F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"\p{L}"), F.lit(False))
     new = ["lang_pred", "score", "ambiguous"]
     rest = [c for c in docs.columns if c not in new]
-    src = docs.select(F.when(lettered, F.col(f"`{text_col}`").cast("string")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    others = [c for c in rest if c != text_col or dict(docs.dtypes)[c] != "string"]  # a text that is a string is sent to the workers once
+    if not others:
+        others = rest
+    src = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), lettered.alias("lettered"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"))
     kind = src.schema["row"].dataType.simpleString()
 
     def predict(batches):
@@ -162,17 +166,18 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
         for b in slices(batches):
             t = pa.Table.from_batches([b])
             text = column(t, "text")
-            known = ~np.asarray(text.is_null()) if m else np.zeros(len(text), bool)
+            known = column(t, "lettered").to_numpy(zero_copy_only=False) if m else np.zeros(len(text), bool)
             best, score, unclear = np.zeros(len(text), int), np.zeros(len(text)), np.zeros(len(text), bool)
             if known.any():
-                share = m.shares(m.margins(text))
+                share = m.shares(m.margins(text.take(pa.array(np.arange(len(text)), mask=~known))))
                 best, score = share.argmax(1), np.where(known, share.max(1), 0.0)
                 unclear = known & (score < CLEAR)
             names = [m.languages[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(unclear), column(t, "row")], [*new, "row"])
+            cols = [pa.array(names, pa.string()), pa.array(score), pa.array(unclear), column(t, "row")]
+            yield pa.RecordBatch.from_arrays([*cols, text] if len(others) < len(rest) else cols, [*new, "row", "text"][: 5 if len(others) < len(rest) else 4])
 
-    out = src.mapInArrow(predict, f"lang_pred string, score double, ambiguous boolean, row {kind}")
-    return out.select(*new, "row.*")
+    out = src.mapInArrow(predict, f"lang_pred string, score double, ambiguous boolean, row {kind}" + ", text string" * (len(others) < len(rest)))
+    return out.select(*new, *[(F.col(f"row.`{c}`") if c in others else F.col("text")).alias(c) for c in rest])
 
 
 def held_out(id_col: Column) -> Column:

@@ -1,11 +1,13 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
 
 import corpus_pipeline
+from tessera.llm import common
 from tessera.llm.byte_bpe import read_ranks
 from tessera.llm.language_id import language_id
 from tests.conftest import SF001
@@ -49,3 +51,21 @@ def test_stages_keep_columns(spark, name, stage):
     rows = {tuple(r) for r in docs.collect()}
     assert all(tuple(r) in rows for r in out.collect())
     assert stage(spark, no_docs(spark), SF001).count() == 0
+
+
+@pytest.mark.parametrize("name,stage", [s for s in corpus_pipeline.STAGES if s[0] in ("language_id", "decontaminate")])
+def test_texts_go_to_the_workers_once(spark, monkeypatch, name, stage):
+    docs = odd_docs(spark)
+    sent, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, schema: (sent.append(df.schema.simpleString()), real(df, f, schema))[1])
+    stage(spark, docs, SF001)
+    assert sent and all(s.count("text:string") == 1 for s in sent)
+
+
+def test_slices_give_memory_back(monkeypatch):
+    given = []
+    pool = type("Pool", (), {"release_unused": lambda self: given.append(1)})
+    monkeypatch.setattr(common.pa, "default_memory_pool", pool)
+    texts = pa.RecordBatch.from_arrays([pa.array(["some text", None, "x"])], ["text"])
+    assert [b.num_rows for b in common.slices([texts], most=4)] == [1, 2]
+    assert len(given) == 2
