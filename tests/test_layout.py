@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tessera.operators.layout import tsne_layout
+from tessera.operators.layout import _forces, _grid, pack_edges, tsne_layout
 
 
 def test_tsne_separates_blobs(spark):
@@ -37,3 +37,26 @@ def test_svd_then_tsne_chain(spark):
     assert pdf[["x_embed", "y_embed"]].notna().all().all()
     assert model.space == "after_step1"
     assert scores.count() == 1
+
+
+def test_forces_of_packed_edges_follow_the_definition(spark):
+    rng = np.random.default_rng(5)
+    n = 97
+    p = np.where(rng.random((n, n)) < 0.2, rng.random((n, n)), 0.0)
+    np.fill_diagonal(p, 0.0)
+    p[:, 3] = p[3] = 0.0  # a point without edges gets no force
+    i, j = np.nonzero(p)
+    edges = spark.createDataFrame([(int(a), int(b), float(p[a, b])) for a, b in zip(i, j)], "i long, j long, p double")
+    packed = pack_edges(edges, 10)
+    assert packed.count() == 10  # a row for each run of points, not for each edge
+    y = rng.normal(size=(n, 2))
+    attr, rep, z = _forces(packed, y, 8)
+    diff = y[:, None] - y[None]
+    want = ((p / (1 + (diff**2).sum(-1)))[:, :, None] * diff).sum(1)
+    assert np.allclose(attr, want, atol=1e-12)
+    cnt, cen = _grid(y, 8)
+    away = y[:, None] - cen[None]
+    q = 1 / (1 + (away**2).sum(-1))
+    q[3] = 0.0
+    assert np.allclose(rep, ((cnt * q * q)[:, :, None] * away).sum(1), atol=1e-12)
+    assert np.isclose(z, (cnt * q).sum() - (n - 1))
