@@ -1,8 +1,10 @@
 """Single linkage against brute force, beyond the number of rows that the summaries of other linkages keep."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tessera.operators import single_linkage as module
 from tessera.operators.agglomerative import agglomerative
 from tessera.operators.single_linkage import single_linkage, spanning_forest
 
@@ -116,3 +118,21 @@ def test_odd_rows(spark):
     assert agglomerative(df.limit(0), "v", 3, "single").count() == 0
     with pytest.raises(ValueError, match="single"):
         single_linkage(df, "v", metric="hamming").count()
+
+
+@pytest.mark.parametrize("metric,below", [("euclidean", np.inf), ("cosine", 0.05), ("manhattan", 0.8)])
+def test_a_pair_of_blocks_gives_its_own_forest(monkeypatch, metric, below):
+    """Vectors meet once: a task gives all edges that the forest can need, not those of one round."""
+    monkeypatch.setattr(module, "STRIP_VALUES", 70)
+    x = np.random.default_rng(2).normal(size=(40, 3))
+    x = x / np.linalg.norm(x, axis=1)[:, None] if metric == "cosine" else x
+    table = lambda rows, s: pa.table({f"{s}id": rows, f"{s}v": [x[i].tolist() for i in rows]})
+    d = _distances(x, metric)
+    for left, right in ((range(40), range(40)), (range(15), range(15, 40))):
+        got = module._block_forest(metric, below)(table(list(left), "l"), table(list(right), "r")).to_pylist()
+        tied, want = list(range(40)), []
+        for h, a, b in sorted((d[a, b], min(a, b), max(a, b)) for a in left for b in right if a != b):
+            if h < below and tied[a] != tied[b]:
+                want.append((a, b))
+                tied = [tied[a] if c == tied[b] else c for c in tied]
+        assert sorted((e["a"], e["b"]) for e in got) == sorted(want) and want
