@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tessera.operators import umap as module
 from tessera.operators.umap import curve, fuzzy_graph, umap_layout
 
 
@@ -60,3 +61,19 @@ def test_odd_rows(spark):
     for bad in (dict(metric="hamming"), dict(neighbours=1)):
         with pytest.raises(ValueError):
             umap_layout(df, "id", "v", **bad)
+
+
+def test_packed_epochs_are_the_joined_ones(spark, monkeypatch):
+    """Positions that are broadcast give the same layout as those joined to the edges, and nothing is written by an epoch."""
+    x = np.random.default_rng(5).normal(size=(70, 4))
+    x[60:] = x[0]  # copies
+    places, written = [], []
+    plain = module.reliable_checkpoint
+    monkeypatch.setattr(module, "reliable_checkpoint", lambda df: written.append(1) or plain(df))
+    for most in (module.MAX_POINTS, 10):
+        monkeypatch.setattr(module, "MAX_POINTS", most)
+        written.clear()
+        got = {r["id"]: (r["x_embed"], r["y_embed"]) for r in umap_layout(_frame(spark, x), "id", "v", neighbours=6, epochs=4).collect()}
+        places.append(np.array([got[i] for i in range(70)]))
+        assert (len(written) < 8) == (most > 10)
+    assert np.allclose(*places, atol=1e-6)
