@@ -5,6 +5,7 @@ import pytest
 
 from tessera.operators import block_svd as B
 from tessera.operators import reduce as R
+from tessera.operators import strip_svd as ST
 
 
 def _long(spark):
@@ -47,3 +48,28 @@ def test_fewer_directions_than_columns(spark, monkeypatch):
         a[d, t] = x
     assert np.allclose(model.singular_values, np.linalg.svd(a, compute_uv=False)[:3], atol=1e-6)
     assert scores.count() == 6
+
+
+@pytest.mark.parametrize("spread_rows", [False, True])
+def test_strips_give_the_svd(spark, monkeypatch, spread_rows):
+    """Many terms: strips of columns, several chunks, cells and ranges; no dense block of terms, no blocks of documents."""
+    rows, w = _long(spark)
+    docs, terms = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    a = np.zeros((len(docs), len(terms)))
+    for d, t, x in rows:
+        a[docs.index(d), terms.index(t)] += x
+    _, s, vt = np.linalg.svd(a, full_matrices=False)
+    monkeypatch.setattr(R, "BROADCAST_VALUES", 600)  # 15 of 40 columns
+    monkeypatch.setattr(R, "_to_block", lambda *args: pytest.fail("a dense block on the driver"))
+    monkeypatch.setattr(R, "block_svd", lambda *args: pytest.fail("rows of terms sent to blocks of documents"))
+    for name, n in (("CHUNK_ENTRIES", 50), ("CELL_ENTRIES", 60), ("RANGE_DOCS", 16)):
+        monkeypatch.setattr(ST, name, n)
+    w = w.repartition(3) if spread_rows else w.orderBy("doc_id")
+    model, scores = R.truncated_svd(w, k=4, n_oversamples=36, n_iter=1)
+    assert np.allclose(model.singular_values, s[:4], rtol=1e-6)
+    got, loads = {r.doc_id: r.reduced for r in scores.collect()}, {r.term: r.comp for r in model.loadings.collect()}
+    assert set(got) == set(docs) and set(loads) == set(terms)
+    v = np.array([loads[t] for t in terms])
+    assert np.allclose(np.abs(v), np.abs(vt[:4].T), atol=1e-5)
+    assert all(v[np.abs(np.round(v[:, j], 12)).argmax(), j] > 0 for j in range(4))
+    assert np.allclose(np.array([got[d] for d in docs]), a @ v, atol=1e-5)
